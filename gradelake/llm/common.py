@@ -55,3 +55,23 @@ KEY_BITS = 60
 def range_bits(n_rows: int, per_range: int) -> int:
     """Leading key bits that cut uniform keys of `n_rows` rows into ranges of about `per_range`."""
     return min(40, max(0, math.ceil(math.log2(max(1, n_rows) / per_range))))
+
+#: A key with more than one in HOT_SHARE of all rows is hot; there are fewer than HOT_SHARE such keys.
+HOT_SHARE = 1000
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """`rows` left-joined with `table` on the long column `key`, without one task getting all rows of a hot key.
+
+    table has one row a key, with `weight` rows of `rows` on it (an upper bound does), `total` in all. The hot keys, fewer than HOT_SHARE, are
+    broadcast. The other rows are joined by shuffle; rows that found a hot key are spread over that shuffle by the hash of what they hold.
+    """
+    values = [c for c in table.columns if c not in (key, weight)]
+    as_one = F.struct(*values)
+    hot = table.filter(F.col(weight) * HOT_SHARE > total).select(F.col(key).alias("_hot_key"), as_one.alias("_hot"))
+    cold = table.filter(F.col(weight) * HOT_SHARE <= total).select(F.col(key).alias("_cold_key"), as_one.alias("_cold"))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    spread = F.when(F.col("_hot_key").isNull(), F.col(key)).otherwise(F.xxhash64(*[F.col(c) for c in rows.columns]))
+    marked = marked.withColumn("_route", spread)
+    out = marked.join(cold, (F.col("_route") == F.col("_cold_key")) & F.col("_hot_key").isNull(), "left")
+    return out.select(*rows.columns, *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in values])

@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradelake.llm import langid, mixing, secret_scan, sharding, tokens
+from gradelake.llm import decontam, langid, line_dedup, mixing, secret_scan, sharding, tokens
 from gradelake.llm.common import table
 
 
@@ -22,6 +22,14 @@ def tokenizer_path(name: str) -> str:
     return f"/opt/tokenizers/{name}"
 
 
+def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_table(table(spark, sf_dir, "documents"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(table(spark, sf_dir, "documents"))
 
@@ -42,5 +50,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_mix, op7_token_counts, op8_secrets, op9_shards, op10_language)}
-ORACLE = {"op6_mix": mixing.MIX_SQL}
+QUERIES = {f.__name__: f for f in (op1_line_templates, op3_decontaminate, op6_mix, op7_token_counts, op8_secrets, op9_shards, op10_language)}
+ORACLE = {"op1_line_templates": line_dedup.LINE_SQL, "op6_mix": mixing.MIX_SQL}

@@ -6,8 +6,9 @@ import importlib.util
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gradelake.llm import decontam, langid, line_dedup, mixing, secret_scan, sharding, tokens
+from gradelake.llm import decontam, langid, line_dedup, mixing, neighbours, secret_scan, sharding, tokens
 from gradelake.llm.common import table
 
 
@@ -30,6 +31,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(table(spark, sf_dir, "documents"))
 
@@ -50,5 +55,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_templates, op3_decontaminate, op6_mix, op7_token_counts, op8_secrets, op9_shards, op10_language)}
-ORACLE = {"op1_line_templates": line_dedup.LINE_SQL, "op6_mix": mixing.MIX_SQL}
+QUERIES = {f.__name__: f for f in (op1_line_templates, op3_decontaminate, op5_nearest, op6_mix, op7_token_counts, op8_secrets, op9_shards, op10_language)}
+ORACLE = {"op1_line_templates": line_dedup.LINE_SQL, "op5_nearest": neighbours.NEAREST_SQL, "op6_mix": mixing.MIX_SQL}

@@ -64,14 +64,40 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int)
     """`rows` left-joined with `table` on the long column `key`, without one task getting all rows of a hot key.
 
     table has one row a key, with `weight` rows of `rows` on it (an upper bound does), `total` in all. The hot keys, fewer than HOT_SHARE, are
-    broadcast. The other rows are joined by shuffle; rows that found a hot key are spread over that shuffle by the hash of what they hold.
+    broadcast. The other rows are joined by shuffle; rows that found a hot key, or have none, are
+    spread over that shuffle by the hash of what they hold.
     """
     values = [c for c in table.columns if c not in (key, weight)]
     as_one = F.struct(*values)
     hot = table.filter(F.col(weight) * HOT_SHARE > total).select(F.col(key).alias("_hot_key"), as_one.alias("_hot"))
     cold = table.filter(F.col(weight) * HOT_SHARE <= total).select(F.col(key).alias("_cold_key"), as_one.alias("_cold"))
     marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-    spread = F.when(F.col("_hot_key").isNull(), F.col(key)).otherwise(F.xxhash64(*[F.col(c) for c in rows.columns]))
+    spread = F.when(F.col("_hot_key").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(F.xxhash64(*[F.col(c) for c in rows.columns]))
     marked = marked.withColumn("_route", spread)
-    out = marked.join(cold, (F.col("_route") == F.col("_cold_key")) & F.col("_hot_key").isNull(), "left")
+    out = marked.join(cold, (F.col("_route") == F.col("_cold_key")) & F.col("_hot_key").isNull() & F.col(key).isNotNull(), "left")
     return out.select(*rows.columns, *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in values])
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of the edges (a, b): root is the least node that can be reached.
+
+    Nodes are hung under ever smaller ones, first those above a node, then those below it, until nothing moves; every round at least about
+    halves the ways left. Each round is written to the shared folder. Only minima per node are kept, no neighbour lists.
+    """
+    now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    state = None
+    while True:
+        both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        up = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        up = up.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+        up = stored(up, "edges_up")
+        below = up.groupBy("a").agg(F.min("b").alias("m"))
+        down = up.join(below, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(below.select("a", F.col("m").alias("b")))
+        now = stored(down.filter("a <> b").distinct(), "edges_down")
+        new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if new == state:
+            break
+        state = new
+    # every edge now goes from a node to its root
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import decontam, langid, line_dedup, mixing, neighbours, secret_scan, sharding, tokens
+from gradelake.llm import decontam, jaccard, langid, line_dedup, mixing, neighbours, secret_scan, sharding, tokens
 from gradelake.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_table(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,5 +59,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_templates, op3_decontaminate, op5_nearest, op6_mix, op7_token_counts, op8_secrets, op9_shards, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_line_templates, op2_ngram_jaccard, op3_decontaminate, op5_nearest, op6_mix, op7_token_counts, op8_secrets, op9_shards, op10_language)}
 ORACLE = {"op1_line_templates": line_dedup.LINE_SQL, "op5_nearest": neighbours.NEAREST_SQL, "op6_mix": mixing.MIX_SQL}

@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import decontam, jaccard, langid, line_dedup, mixing, neighbours, secret_scan, sharding, tokens
+from gradelake.llm import decontam, html_extract, jaccard, langid, line_dedup, mixing, neighbours, secret_scan, sharding, tokens
 from gradelake.llm.common import table
 
 
@@ -35,6 +35,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -59,5 +64,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_templates, op2_ngram_jaccard, op3_decontaminate, op5_nearest, op6_mix, op7_token_counts, op8_secrets, op9_shards, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_line_templates, op2_ngram_jaccard, op3_decontaminate, op4_main_text, op5_nearest, op6_mix, op7_token_counts, op8_secrets, op9_shards, op10_language)}
 ORACLE = {"op1_line_templates": line_dedup.LINE_SQL, "op5_nearest": neighbours.NEAREST_SQL, "op6_mix": mixing.MIX_SQL}

@@ -287,6 +287,24 @@ def contaminated() -> Column:
     return (n_hit() > 0) & (20 * n_hit() >= F.col("n_words"))
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """`docs` without the contaminated ones; all others stay as they are."""
+    return find_benchmark(docs, benchmark).filter(~contaminated()).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def cut_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """`docs` with the hit spans cut out of their texts: from the first to the last word of each merged span."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = b.column("spans").to_pylist()
+            text = [without(t.as_py(), [(x["start"], x["end"]) for x in s]) if s else t.as_py() for t, s in zip(b.column("text"), spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if c == "text" else b.column(c) for c in kept], names=kept)
+
+    kept = docs.columns
+    return find_benchmark(docs, benchmark).mapInArrow(cut, docs.schema)
+
+
 def contamination_table(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row."""
     found = find_benchmark(docs.select("doc_id", "text"), benchmark)

@@ -419,9 +419,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """`docs` without near duplicates: of each component the row with the least doc_id stays, as do rows without words or doc_id.
+    """`docs` without near duplicates: of each component the rows with the least doc_id stay, as do rows without words or doc_id.
 
-    Rows that repeat a doc_id stay or go together, except equal rows, of which one stays.
+    Of rows equal in doc_id and text one stays. Texts are moved only if the table of what goes is too large to broadcast, or doc_ids repeat.
     """
-    gone = near_duplicates(docs).filter(F.col("doc_id").isNotNull() & (F.col("component_id") != F.col("doc_id"))).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = stored(near_duplicates(docs), "jaccard_found").filter(F.col("doc_id").isNotNull())
+    gone = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    twice = stored(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "jaccard_repeated")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if twice.isEmpty():
+        return kept
+    single = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
+    return single.union(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))

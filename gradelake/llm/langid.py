@@ -179,6 +179,16 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(guess, schema)
 
 
+#: Documents farther than this from every profile are in no known language. Prose scores 0.4 and more, random letters less than 0.2.
+LEAST_SCORE = 0.25
+
+
+def in_known_language(docs: DataFrame) -> DataFrame:
+    """`docs` without those of no known language: no letters, or a score below LEAST_SCORE. Their columns stay as they are."""
+    found = identify(docs, learn(docs))
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def language_table(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row, by profiles learned from the rows not held out."""
     d = docs.select("doc_id", "text")

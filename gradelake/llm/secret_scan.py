@@ -68,11 +68,6 @@ def hot_windows(s: str, c: CharacterClass) -> Iterator[tuple[int, int]]:
     total, kinds, begun, end = 0.0, [0, 0, 0], -1, -1
     kind = lambda ch: 0 if "a" <= ch <= "z" else 1 if "A" <= ch <= "Z" else 2 if "0" <= ch <= "9" else None
     for i, ch in enumerate(s):
-        n = counts.get(ch, 0)
-        total += term[n + 1] - term[n]
-        counts[ch] = n + 1
-        if (k := kind(ch)) is not None:
-            kinds[k] += 1
         if i >= w:
             old = s[i - w]
             n = counts[old]
@@ -80,6 +75,11 @@ def hot_windows(s: str, c: CharacterClass) -> Iterator[tuple[int, int]]:
             counts[old] = n - 1
             if (k := kind(old)) is not None:
                 kinds[k] -= 1
+        n = counts.get(ch, 0)
+        total += term[n + 1] - term[n]
+        counts[ch] = n + 1
+        if (k := kind(ch)) is not None:
+            kinds[k] += 1
         if i >= w - 1 and math.log2(w) - total / w >= c.bits and mixed(c.name, kinds):
             if i - w + 1 > end:
                 if begun >= 0:

@@ -360,10 +360,10 @@ def _(v):
 
 
 @query("template_accuracy", "template:s perturbed_accuracy:d n_items:l original_accuracy:d delta:d", "items", """
-SELECT *, perturbed_accuracy - original_accuracy AS delta FROM (SELECT template, avg(y) AS perturbed_accuracy, count(*) AS n_items FROM items WHERE idx % 2 = 0 GROUP BY template) a
-JOIN (SELECT template, avg(y) AS original_accuracy FROM items WHERE idx % 2 = 1 GROUP BY template) b USING (template)""")
+SELECT *, perturbed_accuracy - original_accuracy AS delta FROM (SELECT template, avg(y) AS perturbed_accuracy, count(*) AS n_items FROM items WHERE idx % 3 = 0 GROUP BY template) a
+JOIN (SELECT template, avg(y) AS original_accuracy FROM items WHERE idx % 3 = 1 GROUP BY template) b USING (template)""")
 def _(v):
-    return perturb.template_accuracy(v.items.filter("idx % 2 = 0"), v.items.filter("idx % 2 = 1"))
+    return perturb.template_accuracy(v.items.filter("idx % 3 = 0"), v.items.filter("idx % 3 = 1"))
 
 
 @query("absent_provenance", "run:s absent:s", "items", """

@@ -260,20 +260,20 @@ def judged(v):
 JUDGED = "j AS (SELECT conv_id * 1000 + turn AS idx, (length(text) % 3 <> 0)::INT AS y, CASE WHEN conv_id % 2 = 0 THEN 'train' ELSE 'test' END AS split FROM conversations)"
 
 
-@query("compare_verdict_rules", "rule:s window:s n:l auroc:d n_saturated:l n_fallback:l n_moved:l threshold:d recall:d precision:d", "tokens", f"""
+@query("compare_verdict_rules", "rule:s top:s n:l auroc:d n_saturated:l n_fallback:l n_moved:l threshold:d recall:d precision:d", "tokens", f"""
 WITH {MASS}, {JUDGED}, a AS ({" UNION ALL ".join(mass(r, w) for r in ("prefix", "exact") for w in (20, 40, None))}),
 d AS (SELECT a.rule, a.window_, a.idx, round(a.p_yes, 12) AS p_yes, j.y, j.split, b.p_yes AS base FROM a JOIN j USING (idx) JOIN a b ON b.idx = a.idx AND b.rule = 'prefix' AND b.window_ = '20'),
 q AS (SELECT *, rank() OVER w + (count(*) OVER t - 1) / 2.0 AS r FROM d WHERE split = 'test' WINDOW w AS (PARTITION BY rule, window_ ORDER BY p_yes), t AS (PARTITION BY rule, window_, p_yes)),
 g AS (SELECT rule, window_, p_yes, count(*) AS n, sum(1 - y) AS w FROM d WHERE split = 'train' GROUP BY ALL),
 h AS (SELECT rule, window_, p_yes, sum(w) OVER z / (sum(n) OVER z)::DOUBLE AS precision FROM g WINDOW z AS (PARTITION BY rule, window_ ORDER BY p_yes ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 thr AS (SELECT rule, window_, max(p_yes) FILTER (WHERE precision >= 0.3) AS p FROM h GROUP BY ALL)
-SELECT q.rule, q.window_ AS "window", count(*) AS n, (sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)) AS auroc, count(*) FILTER (WHERE p_yes <= 0.02 OR p_yes >= 0.98) AS n_saturated,
+SELECT q.rule, q.window_ AS top, count(*) AS n, (sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)) AS auroc, count(*) FILTER (WHERE p_yes <= 0.02 OR p_yes >= 0.98) AS n_saturated,
   count(*) FILTER (WHERE p_yes = 0.5) AS n_fallback, count(*) FILTER (WHERE abs(p_yes - base) > 1e-3) AS n_moved, 1 - max(p) AS threshold,
   CASE WHEN max(p) IS NOT NULL THEN count(*) FILTER (WHERE p_yes <= p AND y = 0)::DOUBLE / count(*) FILTER (WHERE y = 0) END AS recall,
   CASE WHEN max(p) IS NOT NULL THEN count(*) FILTER (WHERE p_yes <= p AND y = 0)::DOUBLE / nullif(count(*) FILTER (WHERE p_yes <= p), 0) END AS precision
 FROM q LEFT JOIN thr ON thr.rule = q.rule AND thr.window_ = q.window_ GROUP BY q.rule, q.window_""")
 def _(v):
-    return verdict.compare_verdict_rules(v.tokens, judged(v), target=0.3)
+    return verdict.compare_verdict_rules(v.tokens, judged(v), target=0.3).withColumnRenamed("window", "top")
 
 
 def draws(seed: int, n_boot: int, table: str, unit: str, stratum: str | None = None) -> str:
@@ -337,12 +337,12 @@ def _(v):
     return resample.routing_gain_bootstrap(v.routing, 4, 16, fractions=(0.1, 0.3, 0.5))
 
 
-PAIRS = "pairs AS (SELECT 'all' AS run, template, a - b AS delta FROM (SELECT template, avg(y) AS a FROM items WHERE idx % 2 = 0 GROUP BY template) x JOIN (SELECT template, avg(y) AS b FROM items WHERE idx % 2 = 1 GROUP BY template) z USING (template))"
+PAIRS = "pairs AS (SELECT 'all' AS run, template, a - b AS delta FROM (SELECT template, avg(y) AS a FROM items WHERE idx % 3 = 0 GROUP BY template) x JOIN (SELECT template, avg(y) AS b FROM items WHERE idx % 3 = 1 GROUP BY template) z USING (template))"
 
 
 @query("template_delta_bootstrap", "b:l mean_delta:d", "items", f"WITH {PAIRS}, w AS ({draws(17, 10, 'pairs', 'template')}) SELECT b, sum(delta * w) / sum(w) AS mean_delta FROM pairs JOIN w USING (run, template) GROUP BY b")
 def _(v):
-    pairs = perturb.template_accuracy(v.items.filter("idx % 2 = 0"), v.items.filter("idx % 2 = 1")).withColumn("run", F.lit("all"))
+    pairs = perturb.template_accuracy(v.items.filter("idx % 3 = 0"), v.items.filter("idx % 3 = 1")).withColumn("run", F.lit("all"))
     return resample.template_delta_bootstrap(pairs, 10, 17, by=("run",))
 
 

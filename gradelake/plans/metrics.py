@@ -162,8 +162,8 @@ def _(v):
 @query("flagged_metrics", "run:s n_flagged:l tp:l recall:d precision:d low:d high:d", "items", f"""
 WITH {FLAGGED}, q AS (SELECT run, count(*) FILTER (WHERE flagged) AS n_flagged, count(*) FILTER (WHERE flagged AND y = 0) AS tp, count(*) FILTER (WHERE y = 0)::DOUBLE AS n, 1.96 AS z FROM f GROUP BY run),
 p AS (SELECT *, tp / nullif(n, 0) AS p FROM q)
-SELECT run, n_flagged, tp, p AS recall, tp / nullif(n_flagged, 0)::DOUBLE AS precision, greatest(0, least(p, (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n))) AS low,
-  least(1, greatest(p, (p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n))) AS high FROM p""")
+SELECT run, n_flagged, tp, p AS recall, tp / nullif(n_flagged, 0)::DOUBLE AS precision, CASE WHEN n > 0 THEN greatest(0, least(p, (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n))) END AS low,
+  CASE WHEN n > 0 THEN least(1, greatest(p, (p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n))) END AS high FROM p""")
 def _(v):
     return rank.flagged_metrics(rank.flag_at_budget(v.items, F.bround(0.1 * F.col("n_all")), ["run"], "score_b", 3), ["run"])
 
@@ -376,14 +376,14 @@ def _(v):
     return checks.fixed_budget_table(v.scores)
 
 
-@query("check_risk_identity", "run:s n_budgets:l max_discrepancy:d", "scores", "SELECT run, 7 AS n_budgets, 0 AS max_discrepancy FROM scores GROUP BY run")
+@query("check_risk_identity", "run:s n_budgets:l max_discrepancy:d", "scores", "SELECT run, 7 AS n_budgets, CASE WHEN sum(1 - y) > 0 THEN 0 END AS max_discrepancy FROM scores GROUP BY run")
 def _(v):
     return checks.check_risk_identity(checks.fixed_budget_table(v.scores), checks.main_metrics(v.scores))
 
 
 @query("check_auroc_identity", "run:s detector:s mean_recall:d from_auroc:d discrepancy:d", "scores", f"""
-WITH {RANKED}, m AS (SELECT run, detector, sum((n - w) * (cw - w + w / 2.0)) / (max(tn - tw) * max(tw))::DOUBLE AS auroc, max(tw)::DOUBLE / max(tn) AS p, max(tn) AS n FROM c GROUP BY ALL)
-SELECT run, detector, p / 2 + (1 - p) * auroc + 1 / (2.0 * n) AS mean_recall, p / 2 + (1 - p) * auroc + 1 / (2.0 * n) AS from_auroc, 0 AS discrepancy FROM m""")
+WITH {RANKED}, m AS (SELECT run, detector, sum((n - w) * (cw - w + w / 2.0)) / nullif(max(tn - tw) * max(tw), 0)::DOUBLE AS auroc, max(tw)::DOUBLE / max(tn) AS p, max(tn) AS n FROM c GROUP BY ALL)
+SELECT run, detector, p / 2 + (1 - p) * auroc + 1 / (2.0 * n) AS mean_recall, p / 2 + (1 - p) * auroc + 1 / (2.0 * n) AS from_auroc, CASE WHEN auroc IS NOT NULL THEN 0 END AS discrepancy FROM m""")
 def _(v):
     return checks.check_auroc_identity(v.scores, ["run", "detector"])
 

@@ -22,6 +22,14 @@ def main_metrics(scores: DataFrame, detectors: tuple[str, str] = ("probe", "judg
     return out
 
 
+def with_intervals(main: DataFrame, draws: DataFrame, metrics: tuple[str, ...] = ("auroc", "ap", "aurc")) -> DataFrame:
+    """`main` with the low and high ends of each difference over the replicates of `draws` (run, b, metrics)."""
+    q = lambda m: F.percentile(F.when(~F.isnan(m), F.col(m)), F.array(F.lit(0.025), F.lit(0.975)))
+    ends = draws.groupBy("run").agg(*[q(m).alias(m) for m in metrics])
+    ends = ends.select("run", *[F.col(m)[i].alias(f"{m}_{n}") for m in metrics for i, n in enumerate(("low", "high"))])
+    return main.join(ends, "run", "left")
+
+
 def fixed_budget_table(scores: DataFrame, detectors: tuple[str, str] = ("probe", "judge"), by: tuple[str, ...] = ("run",), budgets: tuple[float, ...] = BUDGETS) -> DataFrame:
     """A row a run and budget: reviewed, recall and residual risk of both detectors, and the gains of the first."""
     m = budget_metrics(scores, [*by, "detector"], budgets=budgets)

@@ -68,18 +68,15 @@ def population_table(df: DataFrame, y: str = "label") -> DataFrame:
 def labelable_audit(df: DataFrame, stored: str = "stored_labelable", by: tuple[str, ...] = ("run",)) -> DataFrame:
     """How stored `labelable` differs from the one worked out: counts by direction and the first 10 idx (comma-joined)."""
     differs = F.col(stored).isNotNull() & (F.col(stored) != F.col("labelable"))
-    rank = F.row_number().over(Window.partitionBy(*by, differs).orderBy("idx"))
-    first = F.when(differs & (F.col("_nth") <= 10), F.col("idx"))
-    return (
-        df.withColumn("_nth", rank)
-        .groupBy(*by)
-        .agg(
-            F.count(stored).alias("n_with_field"),
-            F.count_if(differs & F.col(stored)).alias("n_stored_only"),
-            F.count_if(differs & ~F.col(stored)).alias("n_computed_only"),
-            F.array_join(F.array_sort(F.collect_list(first)), ",").alias("first_idx"),
-        )
+    counts = df.groupBy(*by).agg(
+        F.count(stored).alias("n_with_field"),
+        F.count_if(differs & F.col(stored)).alias("n_stored_only"),
+        F.count_if(differs & ~F.col(stored)).alias("n_computed_only"),
     )
+    # Spark keeps 10 rows a group in each task before it shuffles them
+    first = df.filter(differs).select(*by, "idx").withColumn("_nth", F.row_number().over(Window.partitionBy(*by).orderBy("idx"))).filter("_nth <= 10")
+    first = first.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list("idx")), ",").alias("first_idx"))
+    return counts.join(first, list(by), "left")
 
 
 def label_disagreements(df: DataFrame, stored: str = "stored_correct", by: tuple[str, ...] = ("run",)) -> DataFrame:

@@ -11,12 +11,12 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradelake.functions.text import shallow_features
 from gradelake.operators.rank import auroc
-from gradelake.operators.resample import draw_hash
+from gradelake.operators.resample import draw_hash, poisson
 
 RIDGE = 0.01
 
@@ -274,19 +274,12 @@ def sweep(train_heads: DataFrame, test_heads: DataFrame, grid: dict[str, tuple],
     return auroc(out, ["axis", "cell"])
 
 
-def resample_weight(seed: int, replicate: int, key: Column) -> Column:
-    """A Poisson(1) number by hash: how often a row counts in a replicate, without numbering rows."""
-    u = (draw_hash(seed, F.lit(replicate), key) + 0.5) / float(1 << 32)
-    cuts = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)])
-    return F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]), lambda x: x < u))
-
-
 def train_resample_auc(train_heads: DataFrame, test_heads: DataFrame, reps: int, seed: int, topk: int, keys: tuple[str, ...] = ("idx",)) -> DataFrame:
     """replicate, auroc on test: train rows are resampled, heads chosen and the model fitted anew each time; reps is small."""
     out = None
     label = lambda h: h.select(*keys, "y").distinct()
     for r in range(reps):
-        drawn = train_heads.withColumn("_w", resample_weight(seed, r, F.concat_ws(":", *keys))).filter("_w > 0")
+        drawn = train_heads.withColumn("_w", poisson(seed, F.lit(r), *[F.col(k) for k in keys])).filter("_w > 0")
         top = head_ranking(head_lda_auc(drawn, "_w"), topk, None)
         repeated = drawn.select(*keys, "y", "_w").distinct().withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_w"))))
         train = select_head_features(drawn, top, keys).join(repeated, list(keys)).select(*keys, "y", "features")

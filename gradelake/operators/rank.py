@@ -155,9 +155,9 @@ def budget_rank(n: Column, share: Column) -> Column:
     return F.greatest(F.lit(1), F.least(n - 1, F.floor(share * n + 0.5))).cast("long")
 
 
-def budget_metrics(df: DataFrame, by: list[str], score: str = "score", y: str = "y", budgets: tuple[float, ...] = BUDGETS, buckets: int = 1) -> DataFrame:
+def budget_metrics(df: DataFrame, by: list[str], score: str = "score", y: str = "y", budgets: tuple[float, ...] = BUDGETS, buckets: int = 1, weight: str | None = None) -> DataFrame:
     """For each budget: reviewed (the lowest m), recall of wrong answers, and residual_risk among the rest; ties in expectation."""
-    cells = with_running(tie_groups(df, by, score, y), by, buckets=buckets)
+    cells = with_running(tie_groups(df, by, score, y, weight), by, buckets=buckets)
     ranks = F.transform(F.array(*map(F.lit, budgets)), lambda b: F.struct(b.alias("label"), budget_rank(F.col("n_all"), b).alias("m")))
     c = at_ranks(cells, by, ranks, "reviewed", "budget")
     caught = F.col("wrong_before") + (F.col("reviewed") - F.col("n_before")) * F.col("wrong") / F.col("n")
@@ -184,12 +184,39 @@ def selective_error(df: DataFrame, by: list[str], score: str = "score", y: str =
     return c.select(*by, "coverage", "accepted", (wrong / F.col("accepted")).alias("risk"))
 
 
-def flag_at_budget(df: DataFrame, m: Column, by: list[str], score: str = "score", seed: int = 0) -> DataFrame:
-    """`df` with flagged: whether a row is among the m lowest of its group, ties in a seeded order. m may use the window-wide count n_all."""
-    w = Window.partitionBy(*by)
-    order = w.orderBy(F.col(score), F.md5(F.concat(F.lit(f"{seed}:"), F.col("idx").cast("string"))), "idx")
-    out = df.withColumns({"n_all": F.count(F.lit(1)).over(w), "_nth": F.row_number().over(order)})
-    return out.withColumn("flagged", F.col("_nth") <= m).drop("_nth", "n_all")
+def flag_at_budget(df: DataFrame, by: list[str], score: str = "score", seed: int = 0, share: float | None = None, like: Column | None = None) -> DataFrame:
+    """`df` with flagged: whether a row is among the m lowest of its group, ties in a seeded order; null scores are not.
+
+    m is the share of the group rounded half to even, or the number of its rows for which `like` holds (another detector's own flags).
+    No group is ordered as a whole: the tie group that m falls into is found by prefix sums, in it the range of order hashes, and
+    only the rows of that range are numbered. Every row then compares itself with its group's boundary.
+    """
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("idx").cast("string")))
+    place = F.conv(F.substring(order, 1, 3), 16, 10).cast("int")  # 4096 ranges
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by]
+    usable = df.filter(F.col(score).isNotNull())
+    m = F.bround(F.lit(share) * F.count(F.lit(1))) if like is None else F.count_if(like)
+    goals = df.groupBy(*by).agg(m.cast("long").alias("_m"))
+    cells = with_running(usable.groupBy(*by, F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n")), by, values=("n",))
+
+    def within(cells: DataFrame, goals: DataFrame, key: str) -> DataFrame:
+        """by, key and _m (what is left of it) of the cell that _m falls into."""
+        on = same("c", "g")
+        j = cells.alias("c").join(goals.alias("g"), on) if on else cells.alias("c").join(F.broadcast(goals.alias("g")))
+        j = j.filter((F.col("n_before") < F.col("_m")) & (F.col("_m") <= F.col("n_before") + F.col("n")))
+        return j.select(*[F.col(f"c.{c}").alias(c) for c in by], *[F.col(f"g.{c}") for c in goals.columns if c not in (*by, "_m")], F.col(key), (F.col("_m") - F.col("n_before")).alias("_m"))
+
+    cut = within(cells, goals, "score").withColumnRenamed("score", "_cut")
+    rows = usable.select(*by, F.col(score).alias("_s"), order.alias("_order"), F.col("idx").alias("_idx"), place.alias("_place"))
+    ties = rows.alias("r").join(cut.alias("k"), [*same("r", "k"), F.col("_s") == F.col("_cut")]).select("r.*")
+    ranges = with_running(ties.groupBy(*by, "_place").agg(F.count(F.lit(1)).alias("n")), by, values=("n",), order="_place")
+    last = within(ranges, cut, "_place")
+    near = ties.alias("r").join(last.alias("k"), [*same("r", "k"), F.col("r._place") == F.col("k._place")]).select("r.*", "k._m")
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy("_order", "_idx"))
+    edge = near.withColumn("_nth", nth).filter("_nth = _m").select(*by, F.struct(F.col("_s").alias("s"), F.col("_order").alias("o"), F.col("_idx").alias("i")).alias("_edge"))
+    own = F.struct(F.col(score).alias("s"), order.alias("o"), F.col("idx").alias("i"))
+    out = df.alias("d").join(edge.alias("e"), same("d", "e") or F.lit(True), "left")
+    return out.select("d.*", F.coalesce(F.col(score).isNotNull() & (own <= F.col("_edge")), F.lit(False)).alias("flagged"))
 
 
 def flagged_metrics(flagged: DataFrame, by: list[str], y: str = "y", z: float = 1.96) -> DataFrame:
@@ -222,3 +249,12 @@ def budget_calibration(lengths: DataFrame, truncated_share: float, shares: tuple
     all_q = lengths.sparkSession.createDataFrame([(float(q),) for q in shares], "q double")
     hit = hit.select(F.col("w.q").alias("q"), F.col("score").alias("raw"))
     return all_q.join(F.broadcast(hit), "q", "left").select("q", "raw", F.pow(F.lit(2.0), F.ceil(F.log2("raw"))).cast("long").alias("rounded"))
+
+
+def length_summary(lengths: DataFrame, length: str = "length", by: tuple[str, ...] = ()) -> DataFrame:
+    """n, median, p90, p99 and max of the lengths measured again: the values at ranks n // 2, int(.9 n), int(.99 n) from 0."""
+    counts = lengths.groupBy(*by, F.col(length).cast("long").alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    c = with_running(counts, list(by), values=("n",))
+    at = lambda share: F.max(F.when((F.col("n_before") <= share) & (share < F.col("n_before") + F.col("n")), F.col("score")))
+    n = F.col("n_all")
+    return c.groupBy(*by).agg(F.sum("n").alias("n"), at(F.floor(n / 2)).alias("median"), at(F.floor(n * 0.9)).alias("p90"), at(F.floor(n * 0.99)).alias("p99"), F.max("score").alias("max"))

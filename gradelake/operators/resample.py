@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradelake.operators.rank import BUDGETS, auroc, rank_metrics
+from gradelake.operators.rank import BUDGETS, auroc, budget_metrics, rank_metrics
 from gradelake.operators.routing import FRACTIONS, gain_over_random
 
 #: Distinct (score_a, score_b, y) cells of one group that are sent to every task at most.
@@ -30,7 +30,8 @@ def bootstrap_weights(df: DataFrame, n_boot: int, seed: int, unit: str = "idx",
     """(by, b, unit, w): how often each unit is drawn in replicate b, with replacement; units not drawn are left out.
 
     Units are rows, or clusters where `unit` names one that rows share. With strata as many are drawn of each class as it has. Draws depend on
-    seed, b, stratum and position alone, so detectors that are compared see the same. Each group is numbered by one window of its units.
+    seed, b, stratum and position alone, so detectors that are compared see the same. Units of a group are numbered by one window: for groups too large
+    for a task take `poisson_weights` or `paired_intervals`.
     """
     group = [*by, *([strata] if strata else [])]
     units = df.select(*group, unit).distinct()
@@ -45,6 +46,19 @@ def bootstrap_weights(df: DataFrame, n_boot: int, seed: int, unit: str = "idx",
     return counts.join(numbered.select(*group, "_i", unit), [*group, "_i"]).select(*group, "b", unit, "w")
 
 
+def poisson_weights(df: DataFrame, n_boot: int, seed: int, unit: str = "idx", by: tuple[str, ...] = ("run",)) -> DataFrame:
+    """(by, b, unit, w) like `bootstrap_weights` for groups of any size: each unit counts a Poisson(1) number of times, by hash, so nothing is numbered or ordered."""
+    units = df.select(*by, unit).distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    return units.withColumn("w", poisson(seed, F.col("b"), F.col(unit)).cast("long")).filter("w > 0").select(*by, "b", unit, "w")
+
+
+def poisson(seed: int, *parts: Column) -> Column:
+    """A Poisson(1) number by hash, below 9."""
+    u = (draw_hash(seed, *parts) + 0.5) / float(1 << 32)
+    cuts = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)])
+    return F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]), lambda x: x < u))
+
+
 def percentile_ci(draws: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     """mean, low and high (2.5 and 97.5 per cent, linear) of the replicates that are defined, and whether they leave zero out."""
     q = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))
@@ -67,6 +81,14 @@ def paired_bootstrap(df: DataFrame, a: str, b: str, n_boot: int, seed: int, by:
     return j.select(*keys, *[(F.col(f"x.{m}") - F.col(f"z.{m}")).alias(m) for m in ("auroc", "ap", "aurc")])
 
 
+def paired_budget_bootstrap(df: DataFrame, a: str, b: str, n_boot: int, seed: int, by: tuple[str, ...] = ("run",), budgets: tuple[float, ...] = BUDGETS) -> DataFrame:
+    """(by, b, budget, recall, residual_risk): the differences at each budget in class-stratified replicates."""
+    w = weighted(df, bootstrap_weights(df, n_boot, seed, by=by, strata="y"))
+    keys = [*by, "b"]
+    x, z = (budget_metrics(w, keys, s, budgets=budgets, weight="w").alias(n) for s, n in ((a, "x"), (b, "z")))
+    return x.join(z, [*keys, "budget"]).select(*keys, "budget", *[(F.col(f"x.{m}") - F.col(f"z.{m}")).alias(m) for m in ("recall", "residual_risk")])
+
+
 def paired_recall_bootstrap(df: DataFrame, flag_a: str, flag_b: str, n_boot: int, seed: int, by: tuple[str, ...] = ("run",)) -> DataFrame:
     """(by, b, difference): recall of wrong answers by flag_a less that by flag_b; replicates without wrong answers are null."""
     w = weighted(df, bootstrap_weights(df, n_boot, seed, by=by))
@@ -100,6 +122,12 @@ def routing_gain_bootstrap(df: DataFrame, n_boot: int, seed: int, order: str = "
     return gain_over_random(w, [*by, "b"], fractions, order, weight="w").drop("m")
 
 
+def routing_gain_difference(df: DataFrame, a: str, b: str, n_boot: int, seed: int, by: tuple[str, ...] = ("run",), fractions: tuple[float, ...] = FRACTIONS) -> DataFrame:
+    """(by, b, fraction, difference): gain over random of routing by a less that by b, in the same replicates."""
+    x, z = (routing_gain_bootstrap(df, n_boot, seed, s, by, fractions).alias(n) for s, n in ((a, "x"), (b, "z")))
+    return x.join(z, [*by, "b", "fraction"]).select(*by, "b", "fraction", (F.col("x.gain_over_random") - F.col("z.gain_over_random")).alias("difference"))
+
+
 def template_delta_bootstrap(pairs: DataFrame, n_boot: int, seed: int, template: str = "template", by: tuple[str, ...] = ()) -> DataFrame:
     """(by, b, mean_delta) over templates drawn with replacement."""
     w = weighted(pairs, bootstrap_weights(pairs, n_boot, seed, template, by))

@@ -16,6 +16,13 @@ def lines(v):
     return v.with_repeats.withColumn("malformed", F.col("idx") % 101 == 0)
 
 
+@query("read_records", "idx:l run:s gold_answer:s error:s seq:l", "records", "SELECT idx, run, gold_answer, error, seq FROM records WHERE idx % 5 > 1")
+def _(v):
+    line = F.to_json(F.struct("idx", "run", "gold_answer", "error"))
+    broken = F.when(F.col("idx") % 10 == 0, F.lit("[1, 2]")).when(F.col("idx") % 10 == 5, F.lit("  ")).when(F.col("idx") % 10 == 1, F.substring(line, 1, 9)).when(F.col("idx") % 10 == 6, F.to_json(F.struct("run")))
+    return src.parse_lines(v.records.select(F.coalesce(broken, line).alias("value"), "seq")).filter(~F.col("malformed"))
+
+
 @query("ingest_stats", "run:s n_lines:l n_malformed:l n_duplicate:l", "with_repeats", """
 SELECT run, count(*) AS n_lines, count(*) FILTER (WHERE idx % 101 = 0) AS n_malformed,
        count(*) FILTER (WHERE idx % 101 <> 0) - count(DISTINCT CASE WHEN idx % 101 <> 0 THEN idx END) AS n_duplicate FROM with_repeats GROUP BY run""")

@@ -156,7 +156,13 @@ FLAGGED = """f AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY score_
 
 @query("flag_at_budget", "run:s idx:l flagged:b", "items", f"WITH {FLAGGED} SELECT run, idx, flagged FROM f")
 def _(v):
-    return rank.flag_at_budget(v.items, F.bround(0.1 * F.col("n_all")), ["run"], "score_b", 3)
+    return rank.flag_at_budget(v.items, ["run"], "score_b", 3, share=0.1)
+
+
+@query("flag_at_judge_rate", "run:s idx:l flagged:b", "items", """
+SELECT run, idx, row_number() OVER (PARTITION BY run ORDER BY score_b, md5('4:' || CAST(idx AS VARCHAR)), idx) <= sum(1 - verdict_yes) OVER (PARTITION BY run) AS flagged FROM items""")
+def _(v):
+    return rank.flag_at_budget(v.items, ["run"], "score_b", 4, like=F.col("verdict_yes") == 0)
 
 
 @query("flagged_metrics", "run:s n_flagged:l tp:l recall:d precision:d low:d high:d", "items", f"""
@@ -165,7 +171,7 @@ p AS (SELECT *, tp / nullif(n, 0) AS p FROM q)
 SELECT run, n_flagged, tp, p AS recall, tp / nullif(n_flagged, 0)::DOUBLE AS precision, CASE WHEN n > 0 THEN greatest(0, least(p, (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n))) END AS low,
   CASE WHEN n > 0 THEN least(1, greatest(p, (p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n))) END AS high FROM p""")
 def _(v):
-    return rank.flagged_metrics(rank.flag_at_budget(v.items, F.bround(0.1 * F.col("n_all")), ["run"], "score_b", 3), ["run"])
+    return rank.flagged_metrics(rank.flag_at_budget(v.items, ["run"], "score_b", 3, share=0.1), ["run"])
 
 
 @query("level_breakdown", "run:s level:s n:l n_wrong:l prevalence:d auroc_probe:d auroc_judge:d difference:d", "scores", """
@@ -184,6 +190,12 @@ def _(v):
     return rank.budget_calibration(v.items, 0.24, (0.5, 0.95, 0.99, 0.999, 1.0))
 
 
+@query("length_summary", "run:s n:l median:l p90:l p99:l max:l", "items", """
+WITH l AS (SELECT run, list_sort(list(length)) AS v, count(*) AS n FROM items GROUP BY run) SELECT run, n, v[n // 2 + 1] AS median, v[floor(n * 0.9::DOUBLE)::BIGINT + 1] AS p90, v[floor(n * 0.99::DOUBLE)::BIGINT + 1] AS p99, v[n] AS max FROM l""")
+def _(v):
+    return rank.length_summary(v.items, by=("run",))
+
+
 GAINS = """k AS (SELECT run, score, count(*) AS n, sum(major_ok - greedy_ok) AS g FROM routing GROUP BY ALL),
 c AS (SELECT *, sum(n) OVER b AS cn, sum(g) OVER b AS cg, sum(n) OVER a AS tn, sum(g) OVER a AS tg FROM k WINDOW b AS (PARTITION BY run ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY run)),
 t AS (SELECT run, avg(greedy_ok) AS greedy, avg(major_ok) AS major, count(*) AS n, count(*) FILTER (WHERE major_ok > greedy_ok) AS repairs, count(*) FILTER (WHERE major_ok < greedy_ok) AS breaks FROM routing GROUP BY run),
@@ -304,6 +316,29 @@ def _(v):
     return resample.paired_bootstrap(v.items, "score_a", "score_b", 8, 11)
 
 
+def weighted_budgets(score: str) -> str:
+    """SQL of the weighted budget metrics of d (run, b, score, y, w) at 5 and 20 per cent."""
+    return f"""SELECT run, b, budget, (cw - q + (m - (cn - n)) * q::DOUBLE / n) / nullif(tw, 0) AS recall, (tw - (cw - q + (m - (cn - n)) * q::DOUBLE / n)) / nullif(tn - m, 0) AS risk FROM (
+      SELECT *, greatest(1, least(tn - 1, floor(budget * tn + 0.5))) AS m FROM (SELECT *, sum(n) OVER o AS cn, sum(q) OVER o AS cw, sum(n) OVER a AS tn, sum(q) OVER a AS tw
+        FROM (SELECT run, b, {score} AS s, sum(w) AS n, sum(w * (1 - y)) AS q FROM d GROUP BY ALL) x4 WINDOW o AS (PARTITION BY run, b ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY run, b)) x5,
+      (SELECT unnest([0.05, 0.2]::DOUBLE[]) AS budget) x6) x7 WHERE cn - n < m AND m <= cn"""
+
+
+@query("paired_budget_bootstrap", "run:s b:l budget:d recall:d residual_risk:d", "items", f"""
+WITH w AS ({draws(11, 6, "items", "idx", "y")}), d AS (SELECT items.*, w.b, w.w FROM items JOIN w USING (run, idx)), x AS ({weighted_budgets("score_a")}), z AS ({weighted_budgets("score_b")})
+SELECT run, b, budget, x.recall - z.recall AS recall, x.risk - z.risk AS residual_risk FROM x JOIN z USING (run, b, budget)""")
+def _(v):
+    return resample.paired_budget_bootstrap(v.items, "score_a", "score_b", 6, 11, budgets=(0.05, 0.2))
+
+
+@query("poisson_weights", "run:s b:l template:s w:l", "items", """
+WITH u AS (SELECT DISTINCT run, template, b FROM items, (SELECT unnest(range(0, 4)) AS b) z), h AS (SELECT *, (('0x' || substr(md5('19:' || CAST(b AS VARCHAR) || ':' || template), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u FROM u),
+c AS (SELECT *, len(list_filter([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253]::DOUBLE[], lambda x: x < u)) AS w FROM h)
+SELECT run, b, template, w FROM c WHERE w > 0""")
+def _(v):
+    return resample.poisson_weights(v.items, 4, 19, "template")
+
+
 @query("paired_recall_bootstrap", "run:s b:l difference:d", "items", f"""
 WITH w AS ({draws(12, 8, "items", "idx")}) SELECT run, b, (sum(w * (1 - y) * (score_b <= 0.3)::INT) - sum(w * (1 - y) * (1 - verdict_yes)))::DOUBLE / nullif(sum(w * (1 - y)), 0) AS difference FROM items JOIN w USING (run, idx) GROUP BY run, b""")
 def _(v):
@@ -340,6 +375,12 @@ def _(v):
 PAIRS = "pairs AS (SELECT 'all' AS run, template, a - b AS delta FROM (SELECT template, avg(y) AS a FROM items WHERE idx % 3 = 0 GROUP BY template) x JOIN (SELECT template, avg(y) AS b FROM items WHERE idx % 3 = 1 GROUP BY template) z USING (template))"
 
 
+@query("routing_gain_difference", "run:s b:l fraction:d difference:d", "routing")
+def _(v):
+    d = v.routing.withColumn("other", F.pmod(F.col("idx") * 37, F.lit(10)) / 10)
+    return resample.routing_gain_difference(d, "score", "other", 4, 16, fractions=(0.1, 0.3, 0.5))
+
+
 @query("template_delta_bootstrap", "b:l mean_delta:d", "items", f"WITH {PAIRS}, w AS ({draws(17, 10, 'pairs', 'template')}) SELECT b, sum(delta * w) / sum(w) AS mean_delta FROM pairs JOIN w USING (run, template) GROUP BY b")
 def _(v):
     pairs = perturb.template_accuracy(v.items.filter("idx % 3 = 0"), v.items.filter("idx % 3 = 1")).withColumn("run", F.lit("all"))
@@ -369,6 +410,11 @@ def _(v):
     return checks.main_metrics(v.scores)
 
 
+@query("main_metrics_intervals", "run:s auroc_difference:d auroc_low:d auroc_high:d ap_low:d ap_high:d aurc_low:d aurc_high:d", "scores")
+def _(v):
+    return checks.with_intervals(checks.main_metrics(v.scores), resample.paired_intervals(v.items, "score_a", "score_b", 200, 1))
+
+
 @query("fixed_budget_table", "run:s budget:d reviewed:l probe_recall:d judge_recall:d recall_gain:d probe_residual_risk:d judge_residual_risk:d risk_gain:d", "scores", f"""
 WITH {BUDGET} SELECT a.run, a.budget, a.reviewed, a.recall AS probe_recall, b.recall AS judge_recall, a.recall - b.recall AS recall_gain, a.residual_risk AS probe_residual_risk, b.residual_risk AS judge_residual_risk,
   b.residual_risk - a.residual_risk AS risk_gain FROM budgets a JOIN budgets b ON a.run = b.run AND a.budget = b.budget AND a.detector = 'probe' AND b.detector = 'judge'""")

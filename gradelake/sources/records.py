@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 from gradelake.schemas import CORRUPT, JUDGED_RECORD
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Every non-blank line of JSONL files, parsed or not, with seq: the place of the line (file, then offset of its part of the file).
-
-    Lines that do not parse, are no objects or lack idx have malformed = true. The schema is fixed; nothing is inferred.
-    """
-    lines = spark.read.text(path).withColumn("file", F.col("_metadata.file_path")).withColumn("part", F.col("_metadata.file_block_start"))
-    lines = lines.withColumn("nth", F.monotonically_increasing_id()).filter(F.length(F.btrim("value", F.lit(" \t\r"))) > 0)
-    parsed = lines.withColumn("r", F.from_json("value", JUDGED_RECORD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
-    bad = F.col("r").isNull() | F.col(f"r.{CORRUPT}").isNotNull() | F.col("r.idx").isNull() | ~F.btrim("value", F.lit(" \t\r")).startswith("{")
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """Non-blank lines (value, and other columns that stay) parsed by the fixed schema; malformed: no JSON, no object, or no idx."""
+    text = F.btrim("value", F.lit(" \t\r"))
+    parsed = lines.filter(F.length(text) > 0).withColumn("_r", F.from_json("value", JUDGED_RECORD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+    bad = F.col("_r").isNull() | F.col(f"_r.{CORRUPT}").isNotNull() | F.col("_r.idx").isNull() | ~text.startswith("{")
     names = [f.name for f in JUDGED_RECORD.fields if f.name != CORRUPT]
-    return parsed.select(*[F.col(f"r.{n}").alias(n) for n in names], bad.alias("malformed"), F.struct("file", "part", "nth").alias("seq"))
+    return parsed.select(*[F.col(f"_r.{n}").alias(n) for n in names], bad.alias("malformed"), *[c for c in lines.columns if c != "value"])
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every non-blank line of JSONL files, parsed or not, with seq: the place of the line (file, then offset of its part of the file)."""
+    lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("nth")).alias("seq"))
+    return parse_lines(lines)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:

@@ -39,7 +39,7 @@ def test_query_is_its_sql(spark, duck, name):
 
 
 def test_every_query_without_sql_is_a_model_or_a_simulation():
-    assert set(QUERIES) - set(ORACLE) == {"paired_intervals", "head_lda_auc", "fit_lr", "shallow_probe", "fit_mlp_ensemble", "fit_raw_and_controlled", "transfer_matrix", "sweep", "train_resample_auc"}
+    assert set(QUERIES) - set(ORACLE) == {"paired_intervals", "main_metrics_intervals", "routing_gain_difference", "head_lda_auc", "fit_lr", "shallow_probe", "fit_mlp_ensemble", "fit_raw_and_controlled", "transfer_matrix", "sweep", "train_resample_auc"}
 
 
 def test_broken_files_are_read(spark, tmp_path):

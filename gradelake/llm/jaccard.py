@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import components, lookup, stored
+from gradelake.llm.common import components, lookup, small, stored
 from gradelake.llm.words import Words, mix
 
 CHARACTER = r"[^\x20\x09-\x0D]"
@@ -32,6 +32,8 @@ PERCENT = 80
 BLOCK_TOKENS = 1 << 20
 RANGE_TOKENS = 1 << 18
 GROUP_TOKENS = 1 << 20
+#: Ids (of documents or sets) that are broadcast at most; above it they are joined by shuffle.
+MAX_BROADCAST_IDS = 2_000_000
 #: Bits of a shingle's hash after step 1; the 8 bits above them hold its count's class.
 BITS = 56
 _FACTORS = [int(x) | 1 for x in mix(np.arange(1, N + 1))]
@@ -426,7 +428,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = stored(near_duplicates(docs), "jaccard_found").filter(F.col("doc_id").isNotNull())
     gone = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
     twice = stored(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "jaccard_repeated")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(small(gone, MAX_BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
     if twice.isEmpty():
         return kept
     single = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)

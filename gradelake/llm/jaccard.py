@@ -355,11 +355,11 @@ def join_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
     return dealt.mapInArrow(run, "fp long, root long")
 
 
-def in_blocks(rows: DataFrame) -> DataFrame:
-    """`rows` (comp, fp, n, keys, label) with block and n_blocks: components above GROUP_TOKENS are dealt to several blocks."""
-    sizes = rows.groupBy("comp").agg(F.sum(F.octet_length("keys") / 8).alias("size"))
+def dealt(sets: DataFrame) -> DataFrame:
+    """`sets` (comp, fp, n) with block and n_blocks: components above GROUP_TOKENS are dealt to several blocks."""
+    sizes = sets.groupBy("comp").agg(F.sum("n").alias("size"))
     sizes = sizes.select("comp", F.ceil(F.col("size") / GROUP_TOKENS).cast("int").alias("n_blocks"))
-    return rows.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("n_blocks")).cast("int"))
+    return sets.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("n_blocks")).cast("int"))
 
 
 def relabel(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -374,8 +374,10 @@ def linked_sets(sets: DataFrame) -> DataFrame:
     stars = stored(stars.filter("least <> most").select("key", "least", "rows"), "jaccard_stars")
     near = lookup(firsts, stars, "key", "rows", firsts.count()).filter(F.col("least").isNotNull() & (F.col("least") != F.col("fp")))
     comps = components(near.select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct())
-    rows = sets.join(comps.select(F.col("node").alias("fp"), F.col("root").alias("comp")), "fp").withColumn("label", F.col("fp"))
-    rows = stored(in_blocks(rows), "jaccard_groups")
+    # which group a set belongs to is settled without its shingles; they are moved once, to their group
+    groups = sets.select("fp", "n").distinct().join(comps.select(F.col("node").alias("fp"), F.col("root").alias("comp")), "fp")
+    groups = small(stored(dealt(groups).drop("n"), "jaccard_groups"), MAX_BROADCAST_IDS)
+    rows = sets.join(groups, "fp").withColumn("label", F.col("fp"))
 
     links = stored(join_groups(rows, ["comp", "block"]), "jaccard_links")
     large = rows.filter("n_blocks > 1")
@@ -384,7 +386,7 @@ def linked_sets(sets: DataFrame) -> DataFrame:
     # representatives of what is connected within the blocks of a large component
     within = links.select(F.col("fp").alias("node"), "root")
     large = relabel(large, within)
-    reps = in_blocks(large.filter("fp = label").drop("block", "n_blocks"))
+    reps = dealt(large.filter("fp = label").drop("block", "n_blocks"))
     links = links.union(stored(join_groups(reps, ["comp", "block"]), "jaccard_rep_links"))
     labels = stored(components(links.select(F.col("fp").alias("a"), F.col("root").alias("b"))), "jaccard_labels")
     large = stored(relabel(large, labels), "jaccard_large")

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradelake.llm.common import aside
 from gradelake.llm.words import Words
 
 WINDOW = 13
@@ -231,6 +232,8 @@ def shards(text: pa.Array) -> Iterator[pa.Array]:
         at = to
 
 
+#: Columns that `find_benchmark` adds; old ones of these names are replaced.
+MADE = ("n_words", "spans", "items")
 _SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -250,8 +253,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     A null text has no words. An item of fewer words than a window is one window; one without words never occurs. Items of one id count
     once. Each block of the benchmark (its size is bounded) is one pass of a chain of passes over the rows, all within one stage.
     """
-    made = ("n_words", "spans", "items")
-    kept = [c for c in docs.columns if c not in made]
+    kept = [c for c in docs.columns if c not in MADE]
     out = docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(0).cast("long").alias("n_words"), F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
     for block in benchmark_blocks(benchmark):
         phrases = docs.sparkSession.sparkContext.broadcast(Phrases(block))
@@ -271,7 +273,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 kind = b.schema.field("spans").type
                 yield pa.RecordBatch.from_arrays(
                     [b.column(c) for c in kept] + [pa.array(np.concatenate(n_words) if n_words else [], pa.int64()), pa.array([[{"start": x, "end": y} for x, y in s] for s in spans], kind), pa.array(items, pa.list_(pa.string()))],
-                    names=[*kept, *made],
+                    names=[*kept, *MADE],
                 )
 
         out = out.mapInArrow(search, out.schema)
@@ -289,7 +291,8 @@ def contaminated() -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without the contaminated ones; all others stay as they are."""
-    return find_benchmark(docs, benchmark).filter(~contaminated()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, back = aside(docs, MADE)
+    return find_benchmark(own, benchmark).filter(~contaminated()).select(*back)
 
 
 def cut_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -301,8 +304,9 @@ def cut_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             text = [without(t.as_py(), [(x["start"], x["end"]) for x in s]) if s else t.as_py() for t, s in zip(b.column("text"), spans, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if c == "text" else b.column(c) for c in kept], names=kept)
 
-    kept = docs.columns
-    return find_benchmark(docs, benchmark).mapInArrow(cut, docs.schema)
+    own, back = aside(docs, MADE)
+    kept = own.columns
+    return find_benchmark(own, benchmark).mapInArrow(cut, own.schema).select(*back)
 
 
 def contamination_table(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradelake.llm.common import aside
+
 #: n-grams of 1 to N characters, words padded by one space on either side.
 N = 3
 #: Places of a profile.
@@ -185,8 +187,9 @@ LEAST_SCORE = 0.25
 
 def in_known_language(docs: DataFrame) -> DataFrame:
     """`docs` without those of no known language: no letters, or a score below LEAST_SCORE. Their columns stay as they are."""
-    found = identify(docs, learn(docs))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, back = aside(docs, ("lang_pred", "score"))
+    found = identify(own, learn(docs))
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*back)
 
 
 def language_table(docs: DataFrame) -> DataFrame:

@@ -176,6 +176,12 @@ def test_language_is_predicted_on_held_out_rows(spark):
     assert [(got[i].lang_pred, got[i].score) for i in (900, 901, 902)] == [("und", 0.0)] * 3 and got[903].lang_pred == "en"
     kept = langid.in_known_language(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= set(range(300)) and not {900, 901, 902} & {r.doc_id for r in kept.collect()}
+    clash = langid.in_known_language(docs.withColumns({"score": F.col("doc_id"), "lang_pred": F.lit("x")}))
+    assert clash.filter("score = doc_id and lang_pred = 'x'").count() >= 300
+    letters = random.Random(3)
+    noise = [(i, " ".join("".join(letters.choice("qxzjkvwy") for _ in range(9)) for _ in range(30)), None, "s", 1) for i in range(2000, 2020)]
+    far = langid.in_known_language(docs.unionByName(spark.createDataFrame(noise, DOCS)))
+    assert far.filter("doc_id >= 2000").count() == 0
     assert langid.language_table(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in langid.language_table(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
@@ -218,6 +224,10 @@ def test_decontamination_takes_and_cuts(spark):
     assert sorted(r.doc_id for r in decontam.decontaminate(docs, bench).collect()) == [2, 3]
     cut = {r.doc_id: r.text for r in decontam.cut_benchmark(docs, bench).collect()}
     assert cut[1] == "start  end" and cut[2] == "clean words " * 300 and cut[3] is None
+    clash = docs.withColumns({"spans": F.col("doc_id"), "items": F.lit("x"), "n_words": F.lit(None).cast("string")})
+    for f in (decontam.decontaminate, decontam.cut_benchmark):
+        kept = f(clash, bench)
+        assert kept.columns == clash.columns and kept.filter("doc_id = 2").first().spans == 2
     assert decontam.decontaminate(docs, bench.limit(0)).count() == 3 and decontam.decontaminate(docs.limit(0), bench).count() == 0
 
 

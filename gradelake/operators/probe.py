@@ -231,20 +231,33 @@ def shallow_probe(train: DataFrame, apply_to: DataFrame, text: str = "phase1_sol
     return fit_lr(t, a, "shallow").select(*apply_to.columns, "score")
 
 
-def fit_raw_and_controlled(train: DataFrame, apply_to: DataFrame) -> DataFrame:
-    """Scores of `apply_to` (features, shallow) by a regression on the features (detector raw) and on what shallow features don't explain of them (controlled)."""
-    t, a = scale_array(train, train, "shallow"), scale_array(train, apply_to, "shallow")
-    raw = fit_lr(t, a).withColumn("detector", F.lit("raw"))
-    controlled = fit_lr(residualize(t, t), residualize(t, a)).withColumn("detector", F.lit("controlled"))
-    return raw.unionByName(controlled)
-
-
-def transfer_matrix(splits: dict[str, tuple[DataFrame, DataFrame]], keys: tuple[str, ...] = ("idx",)) -> DataFrame:
-    """source, target, keys, y, score: a model fitted on each source's train rows scores each target's test rows. splits: few named pairs."""
+def score_with(detector: str, train: DataFrame, apply_to: DataFrame, c: float = 0.5, hidden: int = 128, seeds: tuple[int, ...] = (0, 1, 2, 3, 4), steps: int = 60) -> DataFrame:
+    """`apply_to` with score by a named detector: lr or mlp (seeds averaged), on raw features or on what `shallow` doesn't explain of them (controlled)."""
+    model, _, kind = detector.partition("_")
+    if kind == "controlled":
+        t, a = scale_array(train, train, "shallow"), scale_array(train, apply_to, "shallow")
+        train, apply_to = residualize(t, t), residualize(t, a)
+    if model == "lr":
+        return fit_lr(train, apply_to, c=c)
+    members = fit_mlp_ensemble(train, apply_to, seeds, hidden, steps=steps)
+    keys = [k for k in apply_to.columns if k not in ("features", "shallow", "score")]
+    return members.groupBy(*keys).agg(F.avg("score").alias("score"))
+
+
+def fit_raw_and_controlled(train: DataFrame, apply_to: DataFrame, model: str = "lr", **how) -> DataFrame:
+    """detector (raw, controlled) and score of the rows of `apply_to` (features, shallow) by both variants of a model."""
+    keys = [c for c in apply_to.columns if c not in ("features", "shallow", "score", "detector")]
+    out = [score_with(f"{model}_{k}", train, apply_to, **how).select(*keys, "score", F.lit(k).alias("detector")) for k in ("raw", "controlled")]
+    return out[0].unionByName(out[1])
+
+
+def transfer_matrix(splits: dict[str, tuple[DataFrame, DataFrame]], keys: tuple[str, ...] = ("idx",), detector: str = "lr_raw", **how) -> DataFrame:
+    """source, target, keys, y, score: a model (and, controlled, the coefficients of shallow features) fitted on each source's train rows scores each target's
+    test rows. splits: few named pairs."""
     out = None
     for source, (train, _) in splits.items():
         for target, (_, test) in splits.items():
-            s = fit_lr(train, test).select(F.lit(source).alias("source"), F.lit(target).alias("target"), *keys, "y", "score")
+            s = score_with(detector, train, test, **how).select(F.lit(source).alias("source"), F.lit(target).alias("target"), *keys, "y", "score")
             out = s if out is None else out.unionByName(s)
     return out
 
@@ -256,35 +269,38 @@ def transfer_deltas(scores: DataFrame) -> DataFrame:
     return m.join(own, "target").withColumn("retained", F.col("auroc") - F.col("in_distribution"))
 
 
-def sweep(train_heads: DataFrame, test_heads: DataFrame, grid: dict[str, tuple], default: dict, keys: tuple[str, ...] = ("idx",)) -> DataFrame:
-    """axis, cell, auroc: one axis at a time around the default; axes topk and c. Head AUCs are worked out once."""
-    aucs = head_lda_auc(train_heads)
-    order = head_ranking(aucs, max([default["topk"], *grid.get("topk", ())]), None).cache()
-    labels = lambda h: h.select(*keys, "y").distinct()
-
-    def cell(axis: str, value, topk: int, c: float) -> DataFrame:
-        top = order.filter(F.col("rank") <= topk)
-        train, test = (select_head_features(h, top, keys).join(labels(h), list(keys)) for h in (train_heads, test_heads))
-        return fit_lr(train, test, c=c).select(F.lit(axis).alias("axis"), F.lit(str(value)).alias("cell"), "y", "score")
+def features_of(heads: DataFrame, top: DataFrame, keys: tuple[str, ...], shallow: DataFrame | None = None) -> DataFrame:
+    """keys, y, features of the chosen heads, and shallow if a table of keys and shallow is given."""
+    out = select_head_features(heads, top, keys).join(heads.select(*keys, "y").distinct(), list(keys))
+    return out if shallow is None else out.join(shallow.select(*keys, "shallow"), list(keys))
 
-    out = cell("default", "default", default["topk"], default["c"])
-    for axis, values in grid.items():
-        for v in values:
-            out = out.unionByName(cell(axis, v, **(default | {axis: v})))
-    return auroc(out, ["axis", "cell"])
 
-
-def train_resample_auc(train_heads: DataFrame, test_heads: DataFrame, reps: int, seed: int, topk: int, keys: tuple[str, ...] = ("idx",)) -> DataFrame:
-    """replicate, auroc on test: train rows are resampled, heads chosen and the model fitted anew each time; reps is small."""
+def sweep(train_heads: DataFrame, test_heads: DataFrame, grid: dict[str, tuple], default: dict, detectors: tuple[str, ...] = ("lr_raw",), shallow: DataFrame | None = None, keys: tuple[str, ...] = ("idx",), **how) -> DataFrame:
+    """axis, cell, detector, auroc: one axis (topk, c, hidden) at a time around the default. Head AUCs are worked out once."""
+    order = head_ranking(head_lda_auc(train_heads), max([default["topk"], *grid.get("topk", ())]), None).cache()
+    out = None
+    for axis, value in [("default", "default"), *[(a, v) for a, values in grid.items() for v in values]]:
+        at = default if axis == "default" else default | {axis: value}
+        top = order.filter(F.col("rank") <= at["topk"])
+        train, test = (features_of(h, top, keys, shallow) for h in (train_heads, test_heads))
+        for d in detectors:
+            if axis == "c" and not d.startswith("lr") or axis == "hidden" and not d.startswith("mlp"):
+                continue
+            one = score_with(d, train, test, at["c"], at.get("hidden", 128), **how)
+            one = one.select(F.lit(axis).alias("axis"), F.lit(str(value)).alias("cell"), F.lit(d).alias("detector"), "y", "score")
+            out = one if out is None else out.unionByName(one)
+    return auroc(out, ["axis", "cell", "detector"])
+
+
+def train_resample_auc(train_heads: DataFrame, test_heads: DataFrame, reps: int, seed: int, topk: int, detector: str = "lr_raw", shallow: DataFrame | None = None, keys: tuple[str, ...] = ("idx",), **how) -> DataFrame:
+    """replicate, auroc on test: train rows are resampled, heads chosen, features residualised (controlled) and the model fitted anew each time; reps is small."""
     out = None
-    label = lambda h: h.select(*keys, "y").distinct()
     for r in range(reps):
         drawn = train_heads.withColumn("_w", poisson(seed, F.lit(r), *[F.col(k) for k in keys])).filter("_w > 0")
         top = head_ranking(head_lda_auc(drawn, "_w"), topk, None)
-        repeated = drawn.select(*keys, "y", "_w").distinct().withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_w"))))
-        train = select_head_features(drawn, top, keys).join(repeated, list(keys)).select(*keys, "y", "features")
-        test = select_head_features(test_heads, top, keys).join(label(test_heads), list(keys))
-        one = fit_lr(train, test).select(F.lit(r).alias("replicate"), "y", "score")
+        copies = drawn.select(*keys, "_w").distinct().withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_w")))).select(*keys)
+        train = features_of(drawn, top, keys, shallow).join(copies, list(keys))
+        one = score_with(detector, train, features_of(test_heads, top, keys, shallow), **how).select(F.lit(r).alias("replicate"), "y", "score")
         out = one if out is None else out.unionByName(one)
     return auroc(out, ["replicate"])
 

@@ -593,9 +593,10 @@ def _(v):
     return probe.transfer_deltas(s.unionByName(v.items.select(F.col("run").alias("source"), F.col("run").alias("target"), F.col("score_b").alias("score"), "y")))
 
 
-@query("sweep", "axis:s cell:s auroc:d")
+@query("sweep", "axis:s cell:s detector:s auroc:d")
 def _(v):
-    return probe.sweep(*halves(heads(v)), {"topk": (2, 4), "c": (0.05, 5.0)}, {"topk": 3, "c": 0.5})
+    shallow = features(v).select("idx", "shallow")
+    return probe.sweep(*halves(heads(v)), {"c": (0.05,), "hidden": (8,)}, {"topk": 3, "c": 0.5, "hidden": 4}, ("lr_controlled", "mlp_raw"), shallow, seeds=(0,), steps=10)
 
 
 @query("train_resample_auc", "n:l mean:d sd:d")

@@ -20,7 +20,7 @@ def apply(spark, column, values):
 GOLD = {"so\n#### 12": "12", "#### -1,234.50": "-1234.50", "#### $ 7": "7", "12": None, "#### ,": None, None: None, "####+3": "+3"}
 FINAL = {
     "a\n#### 41 and 7": "41", "The final answer is: 1,200.": "1200", "Hence the total is 9 apples": "9", "ANSWER: -4.5": "-4.5", "we get **17** so": "17",
-    "a = 3\nb = 12 \nok": "12" if False else "3", "first 3, then 8 at last": "8", "call 5a or b6": None, "nothing": None, "answer is - but 6": "6", None: None, "": None,
+    "a = 3\nb = 12 \nok": "3", "first 3, then 8 at last": "8", "call 5a or b6": None, "nothing": None, "answer is - but 6": "6", None: None, "": None,
 }
 BOXED = {
     r"\boxed{1} and \boxed{\frac{1}{2}}": r"\frac{1}{2}", r"\fbox{7}": "7", r"\boxed 5 ok": "5", r"\boxed{a \fbox{b}}": "b", r"\boxed{\boxed{3}}": r"\boxed{3}",

@@ -133,6 +133,16 @@ def test_models_rank_and_residuals_vanish(spark):
     assert probe.fit_lr(flat.filter("y = 1"), flat).select("score").distinct().collect()[0].score == 1.0
 
 
+def test_detectors_by_name(spark):
+    df, x, y = activations(spark, 120)
+    flat = df.filter("layer = 1").select("idx", "y", F.col("vec").alias("features"), F.slice("vec", 5, 2).alias("shallow"))
+    for d in ("lr_raw", "lr_controlled", "mlp_raw", "mlp_controlled"):
+        s = probe.score_with(d, flat, flat, hidden=4, seeds=(0,), steps=20)
+        assert s.count() == 120 and s.filter("score < 0 or score > 1").count() == 0
+    both = probe.fit_raw_and_controlled(flat, flat)
+    assert {r.detector: r["count"] for r in both.groupBy("detector").count().collect()} == {"raw": 120, "controlled": 120}
+
+
 def test_balancing(spark):
     df = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(100)], "idx long, y int")
     n = {r.y: r["count"] for r in probe.balance_train(df, 1).groupBy("y").count().collect()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -26,6 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Bytes of an Arrow batch that goes to a Python worker at most (or one row).
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+
+
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """`docs`; the session's limit of Arrow batches is lowered to BATCH_BYTES if it is higher, so that long texts don't add up in workers."""
+    conf = docs.sparkSession.conf
+    number, unit = re.fullmatch(r"(-?\d+)([a-z]*)", conf.get(_BATCH).strip().lower()).groups()
+    if int(number) <= 0 or int(number) * _UNITS[unit] > BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return docs
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df`, written to the shared folder and read again: lineage is cut and a lost executor loses nothing."""
     spark = df.sparkSession

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import aside
+from gradelake.llm.common import aside, in_small_batches
 from gradelake.llm.words import Words
 
 WINDOW = 13
@@ -26,7 +26,7 @@ WINDOW = 13
 CHARACTER = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Bytes of text that one index is built over (or one longer text), and bytes of phrases searched in one pass.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 PHRASE_BYTES = 4 << 20
 #: Every so many text positions the suffix order keeps a sample.
 SAMPLE = 4
@@ -254,7 +254,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     once. Each block of the benchmark (its size is bounded) is one pass of a chain of passes over the rows, all within one stage.
     """
     kept = [c for c in docs.columns if c not in MADE]
-    out = docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(0).cast("long").alias("n_words"), F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
+    out = in_small_batches(docs).select(*[F.col(f"`{c}`") for c in kept], F.lit(0).cast("long").alias("n_words"), F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
     for block in benchmark_blocks(benchmark):
         phrases = docs.sparkSession.sparkContext.broadcast(Phrases(block))
 

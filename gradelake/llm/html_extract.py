@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gradelake.llm.common import in_small_batches
 from gradelake.llm.html_blocks import Block, blocks
 from gradelake.llm.html_training import labelled_page
 
@@ -149,4 +150,4 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
             text = [main_text(h.as_py(), sent.value) for h in b.column("html")]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(text, pa.string())], names=[*kept, "text"])
 
-    return pages.select(*[f"`{c}`" for c in kept], "html").mapInArrow(run, schema)
+    return in_small_batches(pages).select(*[f"`{c}`" for c in kept], "html").mapInArrow(run, schema)

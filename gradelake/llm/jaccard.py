@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import components, lookup, small, stored
+from gradelake.llm.common import components, in_small_batches, lookup, small, stored
 from gradelake.llm.words import Words, mix
 
 CHARACTER = r"[^\x20\x09-\x0D]"
@@ -102,7 +102,7 @@ def set_rows(docs: DataFrame) -> DataFrame:
                 fp.append(fingerprint(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.int64())], names=["doc_id", "n_shingles", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(sets, f"doc_id {kind}, n_shingles long, fp long")
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(sets, f"doc_id {kind}, n_shingles long, fp long")
 
 
 _RANGES = "range int, block long, head binary, tokens binary"
@@ -151,7 +151,7 @@ def ranges_of(docs: DataFrame, n_ranges: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(cut, _RANGES)
+    return in_small_batches(docs).select("text").mapInArrow(cut, _RANGES)
 
 
 def count_range(t: pa.Table) -> pa.Table:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import aside
+from gradelake.llm.common import aside, in_small_batches
 
 #: n-grams of 1 to N characters, words padded by one space on either side.
 N = 3
@@ -146,7 +146,7 @@ def learn(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Profiles:
         return Profiles({})
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])
     draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    sample = known.filter(draw < share[F.col("lang")]).select("lang", "text")
+    sample = in_small_batches(known).filter(draw < share[F.col("lang")]).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -178,7 +178,7 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
             cols = [b.column(c) for c in kept] + [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*kept, "lang_pred", "score"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(guess, schema)
+    return in_small_batches(docs).select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(guess, schema)
 
 
 #: Documents farther than this from every profile are in no known language. Prose scores 0.4 and more, random letters less than 0.2.

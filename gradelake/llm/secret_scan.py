@@ -11,6 +11,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gradelake.llm.common import in_small_batches
+
 #: Base patterns: kind, pattern, group whose length counts, least length. A match below it is dropped.
 BASE = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII), 2, 6),
@@ -128,4 +130,4 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(spans, schema)
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(spans, schema)

@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradelake.llm.common import in_small_batches
+
 #: UTF-8 bytes that one call to the tokenizer holds at most (a longer piece is a call of its own).
 BATCH_BYTES = 1 << 18
 #: Characters of distinct pieces whose counts each of the two generations holds at most.
@@ -110,7 +112,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, out: str = "n_tokens", spaces_
             n = [seen.total(pieces(t.as_py(), spaces_dropped) if cut else [t.as_py()]) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(n, pa.int64())], names=[*kept, out])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], "text").mapInArrow(lengths, schema)
+    return in_small_batches(docs).select(*[F.col(f"`{c}`") for c in kept], "text").mapInArrow(lengths, schema)
 
 
 def token_table(docs: DataFrame, tokenizer: str, limit: int = 2048, spaces_dropped: bool = False) -> DataFrame:

@@ -172,3 +172,13 @@ def test_line_dedup_keeps_one_copy_of_every_line(spark):
     masked = lambda x: re.sub(r"\S*[0-9]\S*", "<*>", x)
     assert {masked(x) for x in kept} == {masked(x) for d in docs.collect() for x in d.text.split("\n")}
     assert docs.filter(F.col("text").isNull()).count() == 0
+
+
+def test_batches_are_bounded_but_never_raised(spark):
+    key = common._BATCH
+    old = spark.conf.get(key)
+    for given, want in (("64m", str(common.BATCH_BYTES)), ("1m", "1m"), ("67108864b", str(common.BATCH_BYTES))):
+        spark.conf.set(key, given)
+        common.in_small_batches(spark.range(1))
+        assert spark.conf.get(key).rstrip("b") == want.rstrip("b")
+    spark.conf.set(key, old)

@@ -111,7 +111,7 @@ _RANGES = "range int, block long, head binary, tokens binary"
 def ranges_of(docs: DataFrame, n_ranges: int) -> DataFrame:
     """Blocks of documents, cut by hash range. head, in range 0 only: the fingerprints and sizes of the block's sets.
 
-    A block is known by the hash of its sets, so a task that runs again makes the same blocks.
+    A block is known by the hash of its sets and numbers them by fingerprint, so blocks of the same sets are equal in whatever order the texts came.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,8 @@ def ranges_of(docs: DataFrame, n_ranges: int) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            fps, sets = np.array(list(held), np.int64), list(held.values())
+            fps = np.array(sorted(held), np.int64)
+            sets = [held[fp] for fp in fps.tolist()]
             sizes = np.array([len(s) for s in sets], np.int64)
             tokens = np.concatenate(sets) >> np.uint64(64 - BITS)
             order = np.argsort(tokens)
@@ -181,7 +182,7 @@ def count_range(t: pa.Table) -> pa.Table:
 
 def survivors(t: pa.Table) -> pa.Table:
     """One block: fp, n and the shared tokens, in global order, of the sets that may have a link."""
-    # equal blocks (repeated data) have equal heads and rows; the second is dropped with its repeated tokens
+    # blocks of the same sets (repeated data, in any order) have equal heads and rows; the second is dropped with its repeated tokens
     head = np.frombuffer(next(h for h in t.column("head").to_pylist() if h), np.int64)
     fps, sizes = head[: len(head) // 2], head[len(head) // 2 :]
     keys = np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("keys").to_pylist()])

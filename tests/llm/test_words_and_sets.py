@@ -110,6 +110,16 @@ def test_group_join_finds_every_component():
         assert [root[i] for i in range(len(sets))] == up
 
 
+def test_blocks_of_the_same_texts_in_another_order(spark):
+    texts = ["one two three four five", " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40)), "six seven eight nine ten"]
+    rows = list(enumerate(texts + texts[::-1]))
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    assert docs.rdd.glom().map(len).collect() == [4, 4]
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    assert got == {i: min(i, 7 - i) for i in range(8)}
+    assert sorted(r.doc_id for r in jaccard.one_of_each(docs).collect()) == [0, 1, 2, 3]
+
+
 def test_pack_round_trip():
     import numpy as np
 

@@ -93,7 +93,7 @@ class Views:
 
     @cached_property
     def tokens(self) -> DataFrame:
-        words = self.conversations.select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("pos", "word")).filter("pos < 64")
+        words = self.conversations.select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("pos", "word"))
         said = F.array(*map(F.lit, ("Yes", "no", "NOTE", " yes*", "Y", "N", "YESTERDAY")))
         rank = (F.col("pos") + 1).cast("long")
         word = F.when(rank % 5 == 1, F.element_at(said, (F.col("conv_id") % 7 + 1).cast("int"))).otherwise(F.col("word"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import gradelake.plans
 from gradelake.operators import align, probe, report
+from gradelake.plans.fixtures import Views
 from gradelake.sources import records
 
 SF = "/root/testdata/sf0.001"
@@ -38,6 +39,19 @@ def test_query_is_its_sql(spark, duck, name):
     assert normal(map(tuple, df.select(*names).collect())) == normal(got.fetchall())
 
 
+def test_tokens_are_all_words_of_a_turn(spark, tmp_path):
+    texts = {(1, 0): [f"w{i}" for i in range(300)], (1, 1): ["one"], (2, 0): [f"late{i}" for i in range(65)]}
+    rows = [(c, t, " ".join(w)) for (c, t), w in texts.items()]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    said = ("Yes", "no", "NOTE", " yes*", "Y", "N", "YESTERDAY")
+    want = {(c * 1000 + t, i): said[c % 7] if i % 5 == 1 else w for (c, t), ws in texts.items() for i, w in enumerate(ws, 1)}
+    got = Views(spark, str(tmp_path)).tokens.collect()
+    assert len(got) == len(want) and {(r.idx, r["rank"]): r.text for r in got} == want
+    assert {r.text for r in QUERIES["classify_token"](spark, str(tmp_path)).collect()} == set(want.values())
+    by_rule = {(r.rule, r["class"]): r.n_tokens for r in QUERIES["vocab_class_counts"](spark, str(tmp_path)).collect()}
+    assert by_rule[("exact", "no")] == len({x for x in want.values() if x.strip().lower() in ("no", "n")})
+
+
 def test_every_query_without_sql_is_a_model_or_a_simulation():
     assert set(QUERIES) - set(ORACLE) == {"paired_intervals", "main_metrics_intervals", "routing_gain_difference", "head_lda_auc", "fit_lr", "shallow_probe", "fit_mlp_ensemble", "fit_raw_and_controlled", "transfer_matrix", "sweep", "train_resample_auc"}
 

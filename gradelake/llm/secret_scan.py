@@ -39,19 +39,29 @@ CLASSES = (
     CharacterClass("entropy_b64", r"[A-Za-z0-9+/_=-]{24,}", 24, 3.9),
 )
 KINDS = ("assign", "access", "hex", *(c.name for c in CLASSES))
-#: Strings that look random and are none: UUIDs, runs of the alphabets in order, and pure words or numbers.
+#: Strings that look random and are none: UUIDs, runs of the alphabets in order (anywhere; the others are whole candidates), and pure words or numbers.
 ALLOW = (
     re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}"),
     re.compile(r"(?i)abcdefghijklm|nopqrstuvwxyz|0123456789abcdef|23456789"),
     re.compile(r"[A-Za-z]+(?:[-_/=+][A-Za-z]+)*[=+/_-]*"),
     re.compile(r"[0-9+/_=-]+"),
 )
-_IN_ORDER = ALLOW[1]
+_IN_ORDER = re.compile(f"(?=({ALLOW[1].pattern.removeprefix('(?i)')}))", re.IGNORECASE)
 
 
 def allowed(candidate: str) -> bool:
     """Whether the allow-list suppresses a whole candidate string."""
-    return any(p.fullmatch(candidate) for p in (ALLOW[0], ALLOW[2], ALLOW[3])) or bool(_IN_ORDER.search(candidate))
+    return any(p.fullmatch(candidate) for p in (ALLOW[0], ALLOW[2], ALLOW[3]))
+
+
+def stretches(candidate: str) -> Iterator[tuple[int, int]]:
+    """What lies between the alphabets in order: a window that overlaps none of them lies in one of these."""
+    at = 0
+    for m in _IN_ORDER.finditer(candidate):
+        if at < m.start():
+            yield at, m.start()
+        at = max(at, m.end(1))
+    yield at, len(candidate)
 
 
 def mixed(name: str, kinds: list[int]) -> bool:
@@ -105,7 +115,8 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     for k, (c, pattern) in enumerate(_CANDIDATE, len(BASE)):
         for m in pattern.finditer(text):
             if not allowed(m[0]):
-                found += [(m.start() + a, k, m.start() + b) for a, b in hot_windows(m[0], c)]
+                for at, end in stretches(m[0]):
+                    found += [(m.start() + at + a, k, m.start() + at + b) for a, b in hot_windows(m[0][at:end], c)]
     return sorted(found)
 
 

@@ -136,6 +136,15 @@ def test_secrets(spark):
     assert secret_scan.find_secrets(docs.limit(0)).count() == 0
 
 
+def test_alphabets_in_order_hide_only_windows_that_overlap_them():
+    key = "Zk3qW9xT2bN7vR4mP8sL1dF6hG5jC0yK7wQ3zX9u"
+    assert secret_scan.scan("id=1234567890/" + key) == [(12, secret_scan.KINDS.index("entropy_b64"), 14 + len(key))]
+    spans = secret_scan.scan(key + "abcdefghijklm" + key + "0123456789abcdefghijklm" + key)
+    n, kind = len(key), secret_scan.KINDS.index("entropy_b64")
+    assert spans == [(0, kind, n), (n + 13, kind, 2 * n + 13), (2 * n + 36, kind, 3 * n + 36)]
+    assert secret_scan.scan("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") == []
+
+
 def test_window_entropy_is_that_of_each_window():
     r = random.Random(5)
     for c in secret_scan.CLASSES:

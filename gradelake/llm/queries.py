@@ -9,7 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradelake.llm import decontam, html_extract, jaccard, langid, line_dedup, mixing, neighbours, secret_scan, sharding, tokens
-from gradelake.llm.common import table
+from gradelake.llm.common import small_batches, table
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A whole table; the session, which is the job's own, passes small batches to Python from here on."""
+    small_batches(spark)
+    return table(spark, sf_dir, name)
 
 
 def tokenizer_path(name: str) -> str:
@@ -24,44 +30,44 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_table(table(spark, sf_dir, "documents"))
+    return line_dedup.line_table(read(spark, sf_dir, "documents"))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.contamination_table(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    text = html_extract.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_table(table(spark, sf_dir, "documents"))
+    return mixing.mix_table(read(spark, sf_dir, "documents"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_table(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), spaces_dropped=True)
+    return tokens.token_table(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), spaces_dropped=True)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    return secret_scan.find_secrets(read(spark, sf_dir, "documents"))
 
 
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_table(table(spark, sf_dir, "documents"))
+    return sharding.shard_table(read(spark, sf_dir, "documents"))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.language_table(table(spark, sf_dir, "documents"))
+    return langid.language_table(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_line_templates, op2_ngram_jaccard, op3_decontaminate, op4_main_text, op5_nearest, op6_mix, op7_token_counts, op8_secrets, op9_shards, op10_language)}

@@ -77,12 +77,12 @@ def corpus(seed, n=160):
     return rows
 
 
-@pytest.mark.parametrize("bounds", [None, (500, 300, 2000), (50, 50, 300)])
-def test_jaccard_join_is_exact(spark, monkeypatch, bounds):
+@pytest.mark.parametrize("seed,bounds", [(4, None), (5, (50, 50, 300, 5)), (6, (900, 90, 120, 3))])
+def test_jaccard_join_is_exact(spark, monkeypatch, bounds, seed):
     if bounds:
-        for name, v in zip(("BLOCK_TOKENS", "RANGE_TOKENS", "GROUP_TOKENS"), bounds, strict=True):
+        for name, v in zip(("BLOCK_TOKENS", "RANGE_TOKENS", "GROUP_TOKENS", "ROW_TOKENS"), bounds, strict=True):
             monkeypatch.setattr(jaccard, name, v)
-    rows = corpus(4)
+    rows = corpus(seed)
     got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect())) == brute_components(rows)
 
@@ -123,9 +123,38 @@ def test_blocks_of_the_same_texts_in_another_order(spark):
 def test_pack_round_trip():
     import numpy as np
 
-    tokens = np.array([0, 0, 5, 1 << 40, (1 << 56) - 1], np.uint64)
-    got = jaccard.unpack(jaccard.pack(tokens, np.array([1, 2, 65535, 0, 9])))
-    assert got[0].tolist() == tokens.tolist() and got[1].tolist() == [1, 2, 65535, 0, 9]
+    tokens, counts, sets = np.array([0, 5, 1 << 40, (1 << 56) - 1], np.uint64), np.array([2, 1, 32768, 1]), np.array([1, 2, 65535, 0])
+    got = jaccard.unpack(jaccard.pack(tokens, counts, sets))
+    assert [x.tolist() for x in got] == [tokens.tolist(), counts.tolist(), sets.tolist()]
+    assert [len(x) for x in jaccard.unpack(jaccard.pack(tokens[:0], counts[:0], sets[:0]))] == [0, 0, 0]
+
+
+def test_ranges_grow_where_rows_would_be_small():
+    assert [jaccard.n_ranges_for(n) for n in (0, 1 << 18, 1 << 30, 1 << 34, 1 << 40)] == [1, 1, 1 << 12, 1 << 14, 1 << 18]
+
+
+def test_shingles_in_very_many_sets(spark, monkeypatch):
+    common_words = " ".join(f"c{i}" for i in range(12))
+    rows = [(i, f"{common_words} " + " ".join(f"u{i}x{j}" for j in range(8 if i % 3 else 1))) for i in range(90)]
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 300)
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, got.collect())) == brute_components(rows)
+
+
+def test_one_of_each_decides_rows_and_not_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (2, a + " x"), (2, b), (3, b + " y"), (4, b), (None, a), (None, a), (5, " "), (5, " ")] + [(6, "same row here")] * 3
+    docs = spark.createDataFrame(rows, "`doc_id` long, `text` string").withColumns({"a.b": F.lit(1), "row_key": F.lit("k"), "held": F.lit(2)})
+    got = jaccard.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted([("1", a), ("2", b), ("None", a), ("None", a), ("5", " "), ("5", " "), ("6", "same row here")])
+
+
+def test_bloom_filter_holds_what_it_was_given(spark):
+    held = common.bloom_filter(spark.range(2000).select(F.col("id").alias("a.b")))
+    got = spark.range(40000).filter(held(F.col("id"))).agg(F.count_if(F.col("id") < 2000), F.count(F.lit(1))).first()
+    assert got[0] == 2000 and got[1] < 2020
+    assert spark.range(9).filter(common.bloom_filter(spark.range(0))(F.col("id"))).count() == 0
 
 
 def test_one_of_each_keeps_rows_without_partners(spark):
@@ -189,6 +218,6 @@ def test_batches_are_bounded_but_never_raised(spark):
     old = spark.conf.get(key)
     for given, want in (("64m", str(common.BATCH_BYTES)), ("1m", "1m"), ("67108864b", str(common.BATCH_BYTES))):
         spark.conf.set(key, given)
-        common.in_small_batches(spark.range(1))
+        common.small_batches(spark)
         assert spark.conf.get(key).rstrip("b") == want.rstrip("b")
     spark.conf.set(key, old)

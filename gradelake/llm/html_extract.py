@@ -1,37 +1,72 @@
 """Main text of pages by a linear-chain conditional random field over DOM leaf blocks.
 
-A page is a sequence of leaf blocks; each is in the article or not. Features are the tags and names above a block and the shape of its
-text. The weights and the transitions are fitted by gradient steps on the likelihood of labelled pages, and a page is decoded by Viterbi.
+A page is a sequence of leaf blocks; each is in the article or not. Features are the tags and names above a block, the shape and wording of its
+text, the heading it stands under, and how much of the page's text its element holds. The weights and the transitions are fitted by gradient
+steps on the likelihood of labelled pages, and a page is decoded by Viterbi.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from gradelake.llm.common import aside, quoted
 from gradelake.llm.html_blocks import Block, blocks
-from gradelake.llm.html_training import labelled_page
+from gradelake.llm.html_training import CUES, NAMES, RECIPES, labelled_page
 
 #: Labelled pages that the model is fitted on: the bound of its training sample.
-TRAIN_PAGES = 700
-STEPS = 160
-RATE = 0.1
-PENALTY = 1e-3
-
-
-def features(b: Block) -> list[str]:
-    words = b.text.count(" ") + 1
-    size = "1" if words == 1 else "2-4" if words < 5 else "5-10" if words < 11 else "11-25" if words < 26 else "26+"
-    share = b.linked / len(b.text)
-    links = "none" if share == 0 else "some" if share < 0.5 else "most"
-    leaf = b.tags[-1] if b.tags else "-"
-    stop = b.text[-1] in ".!?…"
-    out = ["bias", f"size {size}", f"links {links}", f"links {links} {size}", f"leaf {leaf}", f"leaf {leaf} {size}", f"stop {stop}", f"copyright {'©' in b.text}"]
-    return out + [f"tag {t}" for t in set(b.tags)] + [f"name {n}" for n in b.names]
+TRAIN_PAGES = 800
+STEPS = 110
+RATE = 0.15
+PENALTY = 3e-4
+LONGEST = 80
+#: Names that count: all parts of names that the labelled pages give to things.
+VOCABULARY = frozenset(p for x in NAMES.values() for p in x.split()) | {"banner", "contentinfo", "complementary", "dialog", "entry", "region", "wrap"}
+_CUE = {w: kind for kind, words in reversed(CUES.items()) for w in words.split()}
+_WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
+_CLOCK = re.compile(r"\b\d{1,2}:\d\d\b|\bago\b")
+#: Longer texts are told by their length, not by single words.
+CUE_CHARS = 240
+
+
+def cues(text: str) -> set[str]:
+    if len(text) > CUE_CHARS:
+        return set()
+    return {_CUE[w] for w in _WORD.findall(text.lower()) if w in _CUE}
+
+
+def page_features(page: list[Block]) -> list[list[str]]:
+    """The features of each block of a page."""
+    held: dict[int, int] = {}
+    for b in page:
+        held[b.holder] = held.get(b.holder, 0) + len(b.text) - b.linked
+    most = max(held.values(), default=0)
+    out, under = [], "none"
+    for b in page:
+        words = b.text.count(" ") + 1
+        size = "1" if words == 1 else "2-4" if words < 5 else "5-10" if words < 11 else "11-25" if words < 26 else "26+"
+        share = b.linked / len(b.text)
+        links = "none" if share == 0 else "some" if share < 0.5 else "most"
+        said = cues(b.text)
+        heading = b.leaf[0] == "h" and b.leaf[1:].isdigit() or words < 6
+        if heading and (said or b.leaf[0] == "h"):
+            under = "comments" if "comments" in said else "sidebar" if "sidebar" in said else "other" if said else "none"
+        own = held[b.holder] / most if most else 0
+        part = "most" if own > 0.99 else "much" if own > 0.4 else "some" if own > 0.1 else "little"
+        stop = "full" if b.text[-1] in ".!?…" else "none" if b.text[-1].isalnum() else "other"
+        f = ["bias", f"size {size}", f"links {links}", f"links {links} {size}", f"leaf {b.leaf}", f"leaf {b.leaf} {size}", f"stop {stop} {size}", f"part {part}", f"part {part} {size}", f"under {under} {size}"]
+        f.append(f"mark {'©' in b.text}")
+        f.append(f"clock {words < 12 and bool(_CLOCK.search(b.text))}")
+        short = "short" if words < 6 else "longer"
+        f += [f"cue {c} {short}" for c in said] + [f"tag {t}" for t in b.tags] + [f"name {n}" for n in b.names]
+        out.append(f)
+    return out
 
 
 class Model:
@@ -42,8 +77,8 @@ class Model:
 
     def scores(self, page: list[Block]) -> np.ndarray:
         out = np.zeros((len(page), 2))
-        for i, b in enumerate(page):
-            out[i] = self.weights[[self.index[f] for f in features(b) if f in self.index]].sum(0)
+        for i, own in enumerate(page_features(page)):
+            out[i] = self.weights[[self.index[f] for f in own if f in self.index]].sum(0)
         return out
 
     def decode(self, page: list[Block]) -> list[bool]:
@@ -72,8 +107,8 @@ def _sums(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def fit(pages: list[tuple[list[Block], list[bool]]], steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY) -> Model:
-    """Maximum penalised likelihood by Adam steps; all sequences advance together, padded at the end."""
-    pages = [p for p in pages if p[0]]
+    """Maximum penalised likelihood by Adam steps; all sequences advance together, padded at the end. Pages of more than LONGEST blocks are no help."""
+    pages = [p for p in pages if 0 < len(p[0]) <= LONGEST]
     index: dict[str, int] = {}
     where, feature = [], []
     longest = max(len(p) for p, _ in pages)
@@ -81,8 +116,8 @@ def fit(pages: list[tuple[list[Block], list[bool]]], steps: int = STEPS, rate: f
     real = np.zeros((len(pages), longest), bool)
     for i, (page, labels) in enumerate(pages):
         label[i, : len(page)], real[i, : len(page)] = labels, True
-        for t, b in enumerate(page):
-            for f in features(b):
+        for t, own in enumerate(page_features(page)):
+            for f in own:
                 where.append(i * longest + t)
                 feature.append(index.setdefault(f, len(index)))
     where, feature = np.array(where), np.array(feature)
@@ -118,35 +153,38 @@ def fit(pages: list[tuple[list[Block], list[bool]]], steps: int = STEPS, rate: f
     return Model(index, *params)
 
 
-def labelled(seed: int) -> tuple[list[Block], list[bool]]:
-    page, labels = labelled_page(seed)
-    found = blocks(page)
-    return found, [labels.get(b.text.removeprefix("© "), False) for b in found]
+def labelled(seed: int, recipe: str | None = None) -> tuple[list[Block], list[str]]:
+    """The blocks of a labelled page and the kind of each."""
+    page, kinds = labelled_page(seed, recipe)
+    found = blocks(page, VOCABULARY)
+    return found, [kinds.get(re.sub("^© (site · )?", "", b.text), kinds.get(b.text, "mixed")) for b in found]
 
 
 @functools.cache
-def trained(n_pages: int = TRAIN_PAGES) -> Model:
-    """The model of the labelled pages 0 to n_pages - 1, the same wherever it is fitted."""
-    return fit([labelled(seed) for seed in range(n_pages)])
+def trained(n_pages: int = TRAIN_PAGES, recipes: tuple[str, ...] = tuple(RECIPES)) -> Model:
+    """The model of `n_pages` labelled pages by `recipes` in turn, the same wherever it is fitted."""
+    pages = [labelled(k, recipes[k % len(recipes)]) for k in range(n_pages)]
+    return fit([(found, [k == "article" for k in kinds]) for found, kinds in pages])
 
 
 def main_text(page: str | None, model: Model) -> str:
-    found = blocks(page)
+    found = blocks(page, VOCABULARY)
     return " ".join(b.text for b, keep in zip(found, model.decode(found), strict=True) if keep)
 
 
 def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """`pages` without html, with text: the article of the whole html. A null or empty html, or one without an article, gives ''.
 
-    Other columns pass through, an old text is replaced.
+    Other columns pass through whatever their names, an old text is replaced. Equal rows give equal rows, no rows none.
     """
     kept = [c for c in pages.columns if c not in ("html", "text")]
+    own, back = aside(pages.select(*quoted(kept), "html"), ("html",))
+    names = own.columns[:-1]
     sent = pages.sparkSession.sparkContext.broadcast(model or trained())
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in kept], "text string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = [main_text(h.as_py(), sent.value) for h in b.column("html")]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(text, pa.string())], names=[*kept, "text"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(text, pa.string())], names=[*names, "text"])
 
-    return pages.select(*[f"`{c}`" for c in kept], "html").mapInArrow(run, schema)
+    return own.mapInArrow(run, own.drop("html").withColumn("text", F.lit("")).schema).select(*back[:-1], "text")

@@ -55,7 +55,7 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_table(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), spaces_dropped=True)
+    return tokens.token_table(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

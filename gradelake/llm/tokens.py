@@ -1,21 +1,25 @@
 """Token counts by a tokenizer file, in Arrow batches that return lengths only.
 
-Texts are cut at safe boundaries into short pieces. A task encodes each distinct piece once, in batches of about equal bytes,
-and a text's count is the sum over its pieces, so a very long text costs no more memory than its pieces.
+Texts are cut at safe boundaries into short pieces. A task encodes each distinct piece once, in batches of about equal bytes that are filled
+from all texts of an Arrow batch, and a text's count is the sum over its pieces, so a very long text costs no more memory than its pieces.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradelake.llm.common import aside, quoted
+
 
 #: UTF-8 bytes that one call to the tokenizer holds at most (a longer piece is a call of its own).
 BATCH_BYTES = 1 << 18
@@ -72,20 +76,44 @@ class PieceCounts:
     def __init__(self, count: Callable[[list[str]], list[int]]):
         self.count, self.young, self.old, self.chars = count, {}, {}, 0
 
-    def total(self, parts: list[str]) -> int:
+    def totals(self, texts: list[list[str]]) -> list[int]:
+        """The counts of texts, given as their pieces; new pieces of all of them are encoded together."""
         young = self.young
-        if missing := set(parts).difference(young):
+        every = set().union(*texts)
+        if missing := every.difference(young):
             known = {p: self.old[p] for p in missing if p in self.old}
             new = [p for p in missing if p not in known]
             more = sum(map(len, missing))
             if self.chars and self.chars + more > CACHE_CHARS:
                 self.old, self.chars = young, 0
-                young = self.young = {p: young[p] for p in parts if p in young}
+                young = self.young = {p: young[p] for p in every if p in young}
             self.chars += more
             young.update(known)
             for batch in balanced(new):
                 young.update(zip(batch, self.count(batch), strict=True))
-        return sum(map(young.__getitem__, parts))
+        return [sum(map(young.__getitem__, parts)) for parts in texts]
+
+
+@functools.cache
+def drops_spaces(path: str) -> bool:
+    """Whether the tokenizer file says that spaces only part its tokens: it keeps what a pattern without white space matches and nothing else.
+
+    Steps before that may change letters but not spaces, and no special string may hold one.
+    """
+    if not path.endswith(".json"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        t = json.load(f)
+    before, normal = t.get("pre_tokenizer") or {}, t.get("normalizer") or {}
+    first = before.get("pretokenizers", [before])[0]
+    pattern = first.get("pattern", {}).get("Regex") if isinstance(first.get("pattern"), dict) else None
+    if first.get("type") != "Split" or first.get("behavior") != "Removed" or not first.get("invert") or not pattern or "(?" in pattern:
+        return False
+    keeps = regex.compile(pattern)
+    if any(keeps.fullmatch(x) for c in map(chr, range(256)) for x in (" ", c + " ", " " + c)):
+        return False
+    calm = all(x.get("type") in (None, "NFC", "NFD", "NFKC", "NFKD", "Lowercase") or (x.get("pattern"), x.get("content")) == ({"Regex": r"\s+"}, " ") for x in normal.get("normalizers", [normal]))
+    return calm and not any(any(map(str.isspace, x["content"])) or x.get("lstrip") or x.get("rstrip") for x in t.get("added_tokens", []))
 
 
 @functools.cache
@@ -94,28 +122,30 @@ def seen_by(path: str) -> PieceCounts:
     return PieceCounts(counter(path))
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, out: str = "n_tokens", spaces_dropped: bool = False) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, out: str = "n_tokens") -> DataFrame:
     """`docs` without text, with `out` (long) added: the tokens of the whole text. A null text counts as empty: 0.
 
-    Other columns pass through, an old column named `out` is replaced. The tokenizer is a file that every executor can read.
-    spaces_dropped: the tokenizer drops white space, so texts may be cut at every space. A .model's texts are not cut.
+    Other columns pass through, an old column named `out` is replaced. Equal rows give equal rows, no rows none. The tokenizer is a file that
+    every executor can read. Where its own definition says that it drops white space, texts are cut at every space. A .model's texts are
+    not cut, nor is a text without a safe boundary, however long.
     """
     kept = [c for c in docs.columns if c not in ("text", out)]
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn(out, F.lit(0).cast("long")).schema
-    cut = tokenizer.endswith(".json")
+    own, back = aside(docs.select(*quoted(kept), "text"), ("text",))
+    names = own.columns[:-1]
+    cut, dropped = tokenizer.endswith(".json"), drops_spaces(tokenizer)
 
     def lengths(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = seen_by(tokenizer)
         for b in arrow:
-            texts = pc.fill_null(b.column("text"), "")
-            n = [seen.total(pieces(t.as_py(), spaces_dropped) if cut else [t.as_py()]) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(n, pa.int64())], names=[*kept, out])
+            texts = [t.as_py() for t in pc.fill_null(b.column("text"), "")]
+            n = seen.totals([pieces(t, dropped) if cut else [t] for t in texts])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(n, pa.int64())], names=[*names, "n"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], "text").mapInArrow(lengths, schema)
+    return own.mapInArrow(lengths, own.drop("text").withColumn("n", F.lit(0).cast("long")).schema).select(*back[:-1], F.col("n").alias(out))
 
 
-def token_table(docs: DataFrame, tokenizer: str, limit: int = 2048, spaces_dropped: bool = False) -> DataFrame:
-    """doc_id, n_bytes (UTF-8; null text 0), n_tokens, over_limit (n_tokens > limit)."""
+def token_table(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFrame:
+    """doc_id, n_bytes (UTF-8; null text 0), n_tokens, over_limit (n_tokens > limit) of every row."""
     d = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    d = count_tokens(d, tokenizer, spaces_dropped=spaces_dropped)
+    d = count_tokens(d, tokenizer)
     return d.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

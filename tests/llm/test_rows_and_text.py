@@ -95,19 +95,21 @@ def test_rebalancing_moves_only_what_it_must(spark):
     assert {r.version for r in sharding.place_slots(load, 5, old, 2, n_slots=64).collect()} == {2}
 
 
-@pytest.mark.parametrize("name,dropped", [("word_bpe_49k.json", True), ("word_bpe_49k.json", False), ("byte_bpe_50k.json", False), ("piece_bpe_32k.model", False)])
+@pytest.mark.parametrize("name,dropped", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False), ("piece_bpe_32k.model", False)])
 def test_token_counts_are_those_of_whole_texts(spark, monkeypatch, name, dropped):
     monkeypatch.setattr(tokens, "CACHE_CHARS", 200)
     monkeypatch.setattr(tokens, "BATCH_BYTES", 64)
     path = tokenizer_path(name)
+    assert tokens.drops_spaces(path) == dropped
     texts = ["a  b", "x <|endoftext|> y", "don't  's 's", "é ́ x", "", None, "\n\n x\t\ty", "1 2 3  ", "Straße ñandú çà Ünïcode " * 40, "ab" * 3000, "\x1c a\x1cb", "x <|startoftext|>y 日本 語"]
     docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)] + [(0, "a  b", 6), (None, "z", 1)], "doc_id long, text string, n_tokens int")
-    got = {r.doc_id: r for r in tokens.token_table(docs, path, 100, dropped).collect()}
+    got = {r.doc_id: r for r in tokens.token_table(docs, path, 100).collect()}
     whole = tokens.counter(path)([t or "" for t in texts])
     for i, t in enumerate(texts):
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (whole[i], len((t or "").encode()), whole[i] > 100)
     assert tokens.count_tokens(docs.limit(0), path).columns == ["doc_id", "n_tokens"]
     assert tokens.token_table(docs.limit(0), path).count() == 0
+    assert tokens.count_tokens(docs.withColumns({"a.b": F.lit(1), "n": F.lit("x")}), path).columns == ["doc_id", "a.b", "n", "n_tokens"]
 
 
 def test_secrets(spark):
@@ -261,20 +263,41 @@ def test_pages(spark):
     )
     rows = [(1, "u", page, "old"), (2, None, None, "old"), (3, "u", "", None), (4, "u", "<nav><a href=x>only</a></nav>", "x")]
     got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
+    odd = spark.createDataFrame(rows, "page_id long, url string, html string, text string").withColumn("a.b", F.lit(1))
+    assert html_extract.extract(odd).columns == ["page_id", "url", "a.b", "text"] and html_extract.extract(odd.limit(0)).count() == 0
     assert got == {1: "A & B First para­graph of the story, with some words. Second one is <here>.", 2: "", 3: "", 4: ""}
 
 
-def test_page_model_on_held_out_pages():
-    model, right, total = html_extract.trained(), 0, 0
-    for seed in range(9000, 9150):
-        page, labels = html_extract.labelled(seed)
-        right += sum(a == b for a, b in zip(model.decode(page), labels, strict=True))
-        total += len(labels)
-    assert right >= 0.98 * total
+def test_page_model_on_recipes_it_has_not_seen():
+    """Split by recipe: the model is fitted without three ways of building pages and reads pages built that way, most of them with names that say nothing."""
+    held = ("boxes", "newspaper", "system")
+    model = html_extract.trained(500, tuple(r for r in html_training.RECIPES if r not in held))
+    right, total = {}, {}
+    for recipe in held:
+        for seed in range(9000, 9030):
+            page, kinds = html_extract.labelled(seed, recipe)
+            for keep, kind in zip(model.decode(page), kinds, strict=True):
+                total[kind] = total.get(kind, 0) + 1
+                right[kind] = right.get(kind, 0) + (keep == (kind == "article"))
+    share = {k: right[k] / n for k, n in total.items() if n >= 20}
+    assert share["article"] >= 0.9 and min(share.values()) >= 0.9, share
+
+
+def test_pages_with_names_that_say_nothing():
+    body = "".join(f"<p>{'Words of the story that go on for a while, and then some more. ' * 3}{k}.</p>" for k in range(5))
+    page = (
+        f"<body><div class='x1'><div class='x2'><a href=/>Start</a> <a href=/a>All things</a></div><div class='x3'><h1>A story of words</h1>{body}</div>"
+        "<div class='x4'><h3>2 comments</h3><div class='x5'><b>Ann</b><p>I liked this very much, thank you.</p></div><div class='x5'><b>Bob</b><p>Me too, but less.</p></div>"
+        "<h3>Leave a reply</h3><p>Your email address will not be published.</p><label>Name</label><button>Post comment</button></div>"
+        "<div class='x6'>We use cookies to improve your experience.</div></div></body>"
+    )
+    text = html_extract.main_text(page, html_extract.trained())
+    assert "A story of words" in text and "4." in text
+    assert not any(x in text for x in ("liked", "Me too", "Leave a reply", "email", "cookies", "All things", "Post comment"))
 
 
 def test_viterbi_is_the_best_sequence():
-    page = blocks(html_training.labelled_page(3)[0])[:9]
+    page = html_extract.labelled(3)[0][:9]
     model = html_extract.trained()
     s = model.scores(page)
 
@@ -285,6 +308,21 @@ def test_viterbi_is_the_best_sequence():
     assert [bool(x) for x in max(every, key=value)] == model.decode(page)
 
 
+def test_blocks_of_broken_and_deep_pages():
+    text = lambda page: [b.text for b in blocks(page)]
+    assert text('<p title="a<b>c">hello</p>') == ["hello"] and text("<p title='>'>x</p><p a=it's>y</p>") == ["x", "y"]
+    assert text("a < b <c") == ["a < b"] and text("1 <2> 3") == ["1 <2> 3"] and text("</p>x</nosuch>y") == ["x", "y"]
+    assert text("<ul><li>a<li>b<ul><li>c</ul></ul><p>d<div>e</div>f") == ["a", "b", "c", "d", "e", "f"]
+    assert text("<script>if (a</b>) '</p>'</script x>t<!-- <p>no --><![CDATA[no]]>u") == ["tu"] and text("x<script>never ends") == ["x"]
+    assert text("<p>a <b>b<i>c</b>d</i> e</p>") == ["a bcd e"] and text(None) == text("") == text("  ") == []
+    linked = blocks("<div><a href=x>one <b>two</a></b> three</div><p>four</p>")
+    assert [(b.text, b.linked) for b in linked] == [("one two three", 6), ("four", 0)]
+    deep = blocks("<div class=a>x" * 100_000, frozenset("a"))
+    assert len(deep) == 100_000 and deep[-1].tags == {"div"} and deep[-1].names == {"a"}
+    for page in ("<a " * 200_000, "<div>" * 100_000 + "<li></li>" * 100_000, "</script" * 100_000 + "<script>" * 100_000, '<p a="' * 100_000, "<i>" * 50_000 + "</b>" * 50_000, "<!--" * 100_000):
+        assert blocks(page) == []
+
+
 def test_neighbours_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "TILE_ROWS", 37)
     monkeypatch.setattr(neighbours, "CHUNK_QUERIES", 3)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import aside
+from gradelake.llm.common import aside, quoted
 
 #: n-grams of 1 to N characters, words padded by one space on either side.
 N = 3
@@ -23,6 +23,8 @@ N = 3
 PLACES = 400
 #: Labelled documents that a language's profile is learned from, about; chosen by hash. The only bound here.
 TRAIN_PER_LANGUAGE = 4000
+#: Labels that lang may hold at most: it bounds the table of profiles that is broadcast.
+MAX_LANGUAGES = 1000
 #: Code points up to 0xFFFF have an id of their own after lower-casing; letters above share ids by their low bits.
 _BITS = 16
 #: Characters counted in one go.
@@ -111,7 +113,7 @@ class Profiles:
     def __init__(self, profiles: dict[str, list[int]]):
         self.languages = sorted(profiles)
         self.keys = np.unique(np.array([k for p in profiles.values() for k in p], np.uint64))
-        self.place = np.full((len(self.languages), len(self.keys) + 1), PLACES, np.int64)
+        self.place = np.full((len(self.languages), len(self.keys) + 1), PLACES, np.int16)
         for i, name in enumerate(self.languages):
             p = np.array(profiles[name], np.uint64)
             self.place[i, np.searchsorted(self.keys, p)] = np.arange(len(p))
@@ -123,7 +125,7 @@ class Profiles:
             return "und", 0.0
         at = np.searchsorted(self.keys, keys)
         at[(at == len(self.keys)) | (self.keys[np.minimum(at, len(self.keys) - 1)] != keys)] = len(self.keys)
-        places = self.place[:, at]
+        places = self.place[:, at].astype(np.int64)
         away = np.where(places == PLACES, PLACES, np.abs(places - np.arange(len(keys)))).sum(1)
         best = int(np.argmin(away))
         return self.languages[best], 1.0 - float(away[best]) / (PLACES * len(keys))
@@ -141,7 +143,9 @@ def learn(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Profiles:
     each language, come to the driver. Languages are the distinct labels, so the table of profiles is as small as their number.
     """
     known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} different labels in lang")
     if not sizes:
         return Profiles({})
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])
@@ -169,16 +173,17 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
     `und` and 0 if the text is null or has no letter. Old columns of these names are replaced, others pass through.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    own, back = aside(docs.select(*quoted([c for c in docs.columns if c not in ("lang_pred", "score")])), ("text",))
+    names = own.columns
+    sent = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [profiles.predict(t.as_py()) for t in b.column("text")]
-            cols = [b.column(c) for c in kept] + [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*kept, "lang_pred", "score"])
+            found = [sent.value.predict(t.as_py()) for t in b.column("text")]
+            made = [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *made], names=[*names, "lang_pred", "score"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(guess, schema)
+    return own.mapInArrow(guess, own.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema).select(*back, "lang_pred", "score")
 
 
 #: Documents farther than this from every profile are in no known language. Prose scores 0.4 and more, random letters less than 0.2.
@@ -187,7 +192,7 @@ LEAST_SCORE = 0.25
 
 def in_known_language(docs: DataFrame) -> DataFrame:
     """`docs` without those of no known language: no letters, or a score below LEAST_SCORE. Their columns stay as they are."""
-    own, back = aside(docs, ("lang_pred", "score"))
+    own, back = aside(docs, ("text",))
     found = identify(own, learn(docs))
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*back)
 

@@ -1,9 +1,10 @@
 """Benchmark decontamination with an FM-index per training shard.
 
 A shard is a few megabytes of documents. Their words become numbers: a word of the test phrases its own, any other word a separator,
-since no phrase holds it. Stretches shorter than the shortest phrase go, and what is left is indexed: suffix order, its
-Burrows-Wheeler transform in a wavelet matrix, and sampled suffix positions. All phrases are searched backwards at once, their occurrences
-are located from the samples, and the spans of words that they cover are merged. No document text is shuffled.
+since no phrase holds it. Stretches shorter than the shortest phrase go, and what is left is indexed once: suffix order, its
+Burrows-Wheeler transform in a wavelet matrix, and sampled suffix positions. In that one index the phrases of all blocks of the benchmark are
+searched backwards, many at a time; those with a word that the shard lacks are left out before. Occurrences are located from the samples,
+and the spans of words that they cover are merged. No document text is shuffled. Words are known by 64 bits of hash.
 """
 
 from __future__ import annotations
@@ -18,16 +19,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import aside
+from gradelake.llm.common import aside, quoted
 from gradelake.llm.words import Words
 
 WINDOW = 13
 #: A word: after lower-casing A-Z, a run of anything but ASCII that is neither digit nor letter.
 CHARACTER = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-#: Bytes of text that one index is built over (or one longer text), and bytes of phrases searched in one pass.
+#: Bytes of text that one index is built over (or one longer text), of phrases that are broadcast as one block, and of all blocks of one pass over the documents.
 SHARD_BYTES = 4 << 20
 PHRASE_BYTES = 4 << 20
+PASS_BYTES = 256 << 20
+#: Phrases searched at a time.
+PHRASES_AT_ONCE = 1 << 17
 #: Every so many text positions the suffix order keeps a sample.
 SAMPLE = 4
 
@@ -119,48 +123,54 @@ class FMIndex:
 
 
 class Phrases:
-    """The windows of some benchmark items, by length, as numbers of the words that occur in them."""
+    """The different windows of some benchmark items by length: where one of each begins in `numbers` (places in `vocabulary`), and which items have it."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         words = Words(CHARACTER)
         hashes, bounds = words.of_arrow(pa.array([t for _, t in items], pa.string()))
         self.names = sorted({i for i, _ in items})
-        name_of = {x: k for k, x in enumerate(self.names)}
+        place = {x: k for k, x in enumerate(self.names)}
+        name = np.array([place[i] for i, _ in items], np.int32)
         self.vocabulary = np.unique(hashes)
-        numbers = np.searchsorted(self.vocabulary, hashes) + 1
-        of: dict[tuple[int, ...], set[int]] = {}
-        for k, (name, _) in enumerate(items):
-            own = numbers[bounds[k] : bounds[k + 1]].tolist()
-            for j in range(max(0, len(own) - window) + 1 if own else 0):
-                of.setdefault(tuple(own[j : j + window]), set()).add(name_of[name])
-        self.shortest = min(map(len, of), default=0)
-        self.groups = []
-        for length in sorted({*map(len, of)}):
-            rows = sorted(p for p in of if len(p) == length)
-            self.groups.append((np.array(rows, np.int64), [np.array(sorted(of[p]), np.int64) for p in rows]))
+        self.numbers = np.searchsorted(self.vocabulary, hashes).astype(np.int32)
+        size = np.diff(bounds)
+        self.groups: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for length in sorted({min(int(n), window) for n in size if n}):
+            own = np.flatnonzero(size == length) if length < window else np.flatnonzero(size >= window)
+            many = size[own] - length + 1
+            item = np.repeat(own, many)
+            start = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + bounds[item]
+            rows = np.ascontiguousarray(self.numbers[start[:, None] + np.arange(length)])
+            _, first, which = np.unique(rows.view(f"V{4 * length}").ravel(), return_index=True, return_inverse=True)
+            pairs = np.unique(which.astype(np.int64) * max(1, len(self.names)) + name[item])
+            which, names = pairs // max(1, len(self.names)), (pairs % max(1, len(self.names))).astype(np.int32)
+            self.groups.append((length, start[first].astype(np.int32), np.searchsorted(which, np.arange(len(first) + 1)).astype(np.int32), names))
 
 
 class Finder:
-    def __init__(self, phrases: Phrases):
-        self.phrases, self.words = phrases, Words(CHARACTER)
+    """Searches texts for the phrases of all blocks. vocabulary: the hashes of the words of all blocks, in order."""
+
+    def __init__(self, blocks: list[Phrases], vocabulary: np.ndarray):
+        self.words, self.vocabulary = Words(CHARACTER), vocabulary
+        self.blocks = [(p, np.searchsorted(vocabulary, p.vocabulary)) for p in blocks]
+        self.shortest = min((g[0] for p in blocks for g in p.groups), default=0)
 
     def search(self, text: pa.Array) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[list[str]]]:
         """Of each text: the number of words, the merged spans of hit words, and the items that occur."""
-        p = self.phrases
         hashes, bounds = self.words.of_arrow(text)
         n = len(bounds) - 1
         spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         items: list[list[str]] = [[] for _ in range(n)]
-        if not p.groups or not len(hashes):
+        if not self.shortest or not len(hashes):
             return np.diff(bounds), spans, items
-        at = np.minimum(np.searchsorted(p.vocabulary, hashes), len(p.vocabulary) - 1)
-        known = p.vocabulary[at] == hashes
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        known = self.vocabulary[at] == hashes
         # stretches of known words within a text
         begins = np.zeros(len(hashes) + 1, bool)
         begins[bounds] = True
         start = np.flatnonzero(known & (begins[:-1] | ~np.concatenate([[False], known[:-1]])))
         stop = np.flatnonzero(known & (begins[1:] | ~np.concatenate([known[1:], [False]]))) + 1
-        long = stop - start >= p.shortest
+        long = stop - start >= self.shortest
         start, stop = start[long], stop[long]
         if not len(start):
             return np.diff(bounds), spans, items
@@ -168,31 +178,18 @@ class Finder:
         ends = np.cumsum(size)
         place = np.arange(ends[-1])
         origin = place - np.repeat(ends - size, size) + np.repeat(start, size)
-        number = np.where(np.isin(place, ends - 1), 0, at[np.minimum(origin, len(at) - 1)] + 1)
-        index = FMIndex(number, len(p.vocabulary) + 1)
+        is_end = np.zeros(len(place), bool)
+        is_end[ends - 1] = True
+        here = at[np.minimum(origin, len(at) - 1)]
+        local = np.unique(here[~is_end])
+        number = np.where(is_end, 0, np.searchsorted(local, here) + 1)
+        number_of = np.zeros(len(self.vocabulary), np.int64)
+        number_of[local] = np.arange(1, len(local) + 1)
+        index = FMIndex(number, len(local) + 1)
         cover = np.zeros(len(hashes) + 1, np.int64)
-        pairs: list[np.ndarray] = []
-        n_names = max(1, len(p.names))
-        for rows, names in p.groups:
-            found, low, high = index.ranges(rows)
-            per = 1 << 20
-            for a in range(0, len(found), 256):
-                f, lo, hi = found[a : a + 256], low[a : a + 256], high[a : a + 256]
-                counts = hi - lo
-                which = np.repeat(np.arange(len(f)), counts)
-                places = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lo, counts)
-                for b in range(0, len(places), per):
-                    word = origin[index.locate(places[b : b + per])]
-                    np.add.at(cover, word, 1)
-                    np.add.at(cover, word + rows.shape[1], -1)
-                    doc = np.searchsorted(bounds, word, "right") - 1
-                    hit = np.unique(doc * len(f) + which[b : b + per])
-                    for d, w in zip((hit // len(f)).tolist(), (hit % len(f)).tolist(), strict=True):
-                        pairs.append(d * n_names + names[f[w]])
-        if pairs:
-            both = np.unique(np.concatenate(pairs))
-            for d, k in zip((both // n_names).tolist(), (both % n_names).tolist(), strict=True):
-                items[d].append(p.names[k])
+        for block, places in self.blocks:
+            for d, name in self.occurrences(block, number_of[places], index, origin, bounds, cover):
+                items[d].append(block.names[name])
         hit = np.cumsum(cover[:-1]) > 0
         edge = begins[:-1]
         first = np.flatnonzero(hit & (edge | ~np.concatenate([[False], hit[:-1]])))
@@ -200,7 +197,36 @@ class Finder:
         doc = np.searchsorted(bounds, first, "right") - 1
         for d, a, b in zip(doc.tolist(), (first - bounds[doc]).tolist(), (last - bounds[doc]).tolist(), strict=True):
             spans[d].append((a, b))
-        return np.diff(bounds), spans, items
+        return np.diff(bounds), spans, [sorted(set(x)) for x in items]
+
+    def occurrences(self, block: Phrases, number_of: np.ndarray, index: FMIndex, origin: np.ndarray, bounds: np.ndarray, cover: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(text, item) of all phrases of a block that occur; the words they cover are counted in `cover`, one up where one begins, one down where it ends."""
+        numbers = number_of[block.numbers]
+        missing = np.concatenate([[0], np.cumsum(numbers == 0)])
+        pairs: list[np.ndarray] = []
+        n_names = max(1, len(block.names))
+        for length, starts, lists, names in block.groups:
+            possible = np.flatnonzero(missing[starts + length] == missing[starts])
+            for a in range(0, len(possible), PHRASES_AT_ONCE):
+                some = possible[a : a + PHRASES_AT_ONCE]
+                found, low, high = index.ranges(numbers[starts[some][:, None] + np.arange(length)])
+                found = some[found]
+                for c in range(0, len(found), 256):
+                    f, lo, hi = found[c : c + 256], low[c : c + 256], high[c : c + 256]
+                    counts = hi - lo
+                    which = np.repeat(np.arange(len(f)), counts)
+                    places = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lo, counts)
+                    for b in range(0, len(places), 1 << 20):
+                        word = origin[index.locate(places[b : b + (1 << 20)])]
+                        np.add.at(cover, word, 1)
+                        np.add.at(cover, word + length, -1)
+                        doc = np.searchsorted(bounds, word, "right") - 1
+                        hit = np.unique(doc * len(f) + which[b : b + (1 << 20)])
+                        for d, w in zip((hit // len(f)).tolist(), (hit % len(f)).tolist(), strict=True):
+                            pairs.append(d * n_names + names[lists[f[w]] : lists[f[w] + 1]].astype(np.int64))
+        if pairs:
+            both = np.unique(np.concatenate(pairs))
+            yield from zip((both // n_names).tolist(), (both % n_names).tolist(), strict=True)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -238,7 +264,10 @@ _SPANS = "array<struct<start:int,end:int>>"
 
 
 def benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
-    """The items as (item_id as text, text) in blocks of about PHRASE_BYTES; items without text are left out, a null id is ''."""
+    """The items as (item_id as text, text) in blocks of about PHRASE_BYTES; items without text are left out, a null id is ''.
+
+    A block is what the driver holds at a time; an item has all its windows in one block.
+    """
     b = benchmark.filter(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
     size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / PHRASE_BYTES))
@@ -247,19 +276,34 @@ def benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
         yield [(r.item, r.text) for r in own.collect()]
 
 
+def passes(benchmark: DataFrame) -> Iterator[list[Phrases]]:
+    """The blocks of each pass over the documents: up to PASS_BYTES of benchmark together."""
+    held: list[Phrases] = []
+    for block in benchmark_blocks(benchmark):
+        held.append(Phrases(block))
+        if len(held) * PHRASE_BYTES >= PASS_BYTES:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def find_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` with n_words, spans (merged spans of hit words, counted from 0, end exclusive) and items (ids that occur, as strings).
 
     A null text has no words. An item of fewer words than a window is one window; one without words never occurs. Items of one id count
-    once. Each block of the benchmark (its size is bounded) is one pass of a chain of passes over the rows, all within one stage.
+    once, equal rows give equal rows, old columns of the added names are replaced. A shard is indexed once for up to PASS_BYTES of
+    benchmark, which lie in blocks, each a broadcast of bounded size; what is beyond takes another pass over the rows in the same stage.
     """
-    kept = [c for c in docs.columns if c not in MADE]
-    out = docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(0).cast("long").alias("n_words"), F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
-    for block in benchmark_blocks(benchmark):
-        phrases = docs.sparkSession.sparkContext.broadcast(Phrases(block))
-
-        def search(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
-            finder = Finder(phrases.value)
+    own, back = aside(docs.select(*quoted([c for c in docs.columns if c not in MADE])), ("text",))
+    kept, context = own.columns, docs.sparkSession.sparkContext
+    out = own.select(*kept, F.lit(0).cast("long").alias("n_words"), F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
+    for blocks in passes(benchmark):
+        sent = [context.broadcast(p) for p in blocks]
+        words = context.broadcast(np.unique(np.concatenate([p.vocabulary for p in blocks])))
+
+        def search(batches: Iterator[pa.RecordBatch], sent=sent, words=words) -> Iterator[pa.RecordBatch]:
+            finder = Finder([x.value for x in sent], words.value)
             for b in batches:
                 n_words, spans, items = [], [], []
                 for shard in shards(b.column("text")):
@@ -277,7 +321,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 )
 
         out = out.mapInArrow(search, out.schema)
-    return out
+    return out.select(*back, *MADE)
 
 
 def n_hit() -> Column:
@@ -291,7 +335,7 @@ def contaminated() -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without the contaminated ones; all others stay as they are."""
-    own, back = aside(docs, MADE)
+    own, back = aside(docs, ("text",))
     return find_benchmark(own, benchmark).filter(~contaminated()).select(*back)
 
 
@@ -304,7 +348,7 @@ def cut_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             text = [without(t.as_py(), [(x["start"], x["end"]) for x in s]) if s else t.as_py() for t, s in zip(b.column("text"), spans, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if c == "text" else b.column(c) for c in kept], names=kept)
 
-    own, back = aside(docs, MADE)
+    own, back = aside(docs, ("text",))
     kept = own.columns
     return find_benchmark(own, benchmark).mapInArrow(cut, own.schema).select(*back)
 

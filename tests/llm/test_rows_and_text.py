@@ -187,7 +187,8 @@ def test_language_is_predicted_on_held_out_rows(spark):
     assert [(got[i].lang_pred, got[i].score) for i in (900, 901, 902)] == [("und", 0.0)] * 3 and got[903].lang_pred == "en"
     kept = langid.in_known_language(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= set(range(300)) and not {900, 901, 902} & {r.doc_id for r in kept.collect()}
-    clash = langid.in_known_language(docs.withColumns({"score": F.col("doc_id"), "lang_pred": F.lit("x")}))
+    clash = langid.in_known_language(docs.withColumns({"score": F.col("doc_id"), "lang_pred": F.lit("x"), "a.b": F.lit(1), "_own_score": F.lit(2)}))
+    assert clash.columns == [*docs.columns, "score", "lang_pred", "a.b", "_own_score"]
     assert clash.filter("score = doc_id and lang_pred = 'x'").count() >= 300
     letters = random.Random(3)
     noise = [(i, " ".join("".join(letters.choice("qxzjkvwy") for _ in range(9)) for _ in range(30)), None, "s", 1) for i in range(2000, 2020)]
@@ -214,11 +215,13 @@ def test_out_of_place_distance():
 V = ["a", "B", "c", "dé", "e9", "f", "zz"]
 
 
-def test_decontamination_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("pass_bytes", [1 << 20, 60, 130])
+def test_decontamination_against_brute_force(spark, monkeypatch, pass_bytes):
     monkeypatch.setattr(decontam, "PHRASE_BYTES", 60)
+    monkeypatch.setattr(decontam, "PASS_BYTES", pass_bytes)
     monkeypatch.setattr(decontam, "SHARD_BYTES", 200)
-    r = random.Random(5)
-    for _ in range(4):
+    r = random.Random(pass_bytes)
+    for _ in range(2):
         items = [(i, " ".join(r.choice(V) for _ in range(r.choice([0, 1, 2, 12, 13, 14, 20])))) for i in range(9)]
         docs = [(i, None if r.random() < 0.1 else " ".join([r.choice(V + ["q", "r"] * 3) + r.choice(["", ",", "."]) for _ in range(r.choice([0, 3, 30]))] + r.choice(items)[1].split()[r.choice([0, 1]) :])) for i in range(25)]
         bench = spark.createDataFrame([*items, (99, None), (98, "...")], "item_id long, text string")
@@ -235,7 +238,7 @@ def test_decontamination_takes_and_cuts(spark):
     assert sorted(r.doc_id for r in decontam.decontaminate(docs, bench).collect()) == [2, 3]
     cut = {r.doc_id: r.text for r in decontam.cut_benchmark(docs, bench).collect()}
     assert cut[1] == "start  end" and cut[2] == "clean words " * 300 and cut[3] is None
-    clash = docs.withColumns({"spans": F.col("doc_id"), "items": F.lit("x"), "n_words": F.lit(None).cast("string")})
+    clash = docs.withColumns({"spans": F.col("doc_id"), "items": F.lit("x"), "n_words": F.lit(None).cast("string"), "_own_items": F.lit(1), "a.b": F.lit(2)})
     for f in (decontam.decontaminate, decontam.cut_benchmark):
         kept = f(clash, bench)
         assert kept.columns == clash.columns and kept.filter("doc_id = 2").first().spans == 2

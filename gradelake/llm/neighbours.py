@@ -1,9 +1,10 @@
 """Nearest neighbours by a block matrix join.
 
-Queries are taken in chunks of bounded size, which are broadcast; candidates stream past them in tiles. Both are quantised to int8 with a
+Queries and candidates are dealt to the rows and columns of a grid of blocks by hash; each goes to all blocks of its row or column, and every pair
+meets in one block. There the queries are read first and the candidates stream past them in tiles. Both are quantised to int8 with a
 scale of their own, and one matrix product of a tile gives all distances with an error bound: by the triangle inequality a distance is
 off by no more than the two quantisation errors. Only pairs that may still be among a query's nearest are computed again, from the original
-numbers in double precision, and kept in a heap for each query. Spark merges the heaps of all tasks.
+numbers in double precision, and kept in a heap for each query. Spark merges the heaps of all blocks. Nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that are broadcast at once, about; queries and candidates of a tile.
-CHUNK_QUERIES = 8192
+from gradelake.llm.common import stored
+
+#: Queries of a block, about; queries and candidates of a tile.
+BLOCK_QUERIES = 16384
 TILE_QUERIES = 512
 TILE_ROWS = 4096
 #: Components that one float32 product sums exactly: 127 * 127 * 1024 < 2 ** 24.
@@ -117,41 +120,61 @@ def matrices(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.
         yield ids[rows], flat[(ends[rows] - n)[:, None] + np.arange(n)]
 
 
+def grid(n_queries: int, n_rows: int) -> tuple[int, int]:
+    """Rows of the grid, over queries, and columns, over candidates: as many columns as keep a tile busy, but no more than make queries move as much as candidates."""
+    down = max(1, math.ceil(n_queries / BLOCK_QUERIES))
+    return down, max(1, min(math.ceil(n_rows / TILE_ROWS), math.ceil(n_rows * down / max(1, n_queries))))
+
+
 def nearest(embeddings: DataFrame, is_query: Column, k: int = 10, vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest other rows by Euclidean distance, ties to the smaller vec_id.
 
     Exact: the int8 product only discards pairs that its error bound rules out. Vectors are compared with those of their own
-    dimension. Rows without vec_id and vectors that are null, zero or not finite take no part. Of rows that repeat a query's vec_id the
-    least vector is the query; a candidate with the query's vec_id is the query's own row. With fewer candidates than k, all are returned.
+    dimension. Rows without vec_id and vectors that are null, empty, zero or not finite take no part. Of rows that repeat a query's vec_id the
+    least vector is the query; a candidate with the query's vec_id is the query's own row; other repeated rows are candidates each. With fewer
+    candidates than k, all are returned; no rows or no queries give none. Other columns play no part.
     """
-    rows = embeddings.filter(F.col("vec_id").isNotNull() & usable(vector)).select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
-    queries = rows.filter("q").groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_chunks = max(1, math.ceil(queries.count() / CHUNK_QUERIES))
-    found = None
-    for chunk in range(n_chunks):
-        part = queries if n_chunks == 1 else queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n_chunks)) == chunk)
-        by_size: dict[int, list] = {}
-        for r in part.collect():  # about CHUNK_QUERIES vectors
-            by_size.setdefault(len(r.v), []).append(r)
-        packed = {n: (np.array([r.vec_id for r in x], np.int64), np.array([r.v for r in x])) for n, x in by_size.items()}
-        sent = rows.sparkSession.sparkContext.broadcast(packed)
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            heaps = {n: Heaps(ids, x, k) for n, (ids, x) in sent.value.items()}
-            for b in batches:
-                for ids, x in matrices(b.column("vec_id"), b.column("v")):
-                    if x.shape[1] in heaps:
+    rows = embeddings.filter(F.col("vec_id").isNotNull() & usable(vector)).select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).alias("v"), is_query.alias("q"))
+    queries = stored(rows.filter("q").groupBy("vec_id").agg(F.min("v").alias("v")), "nearest_queries")
+    down, across = grid(queries.count(), rows.count())
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(dealt(down).alias("i"), spread(across).alias("j"), F.lit(False).alias("later"), "vec_id", "v")
+    seen = rows.select(spread(down).alias("i"), dealt(across).alias("j"), F.lit(True).alias("later"), "vec_id", "v")
+    blocks = asked.union(seen).repartition(down * across, "i", "j").sortWithinPartitions("i", "j", "later")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, heaps = None, {}
+        waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def found() -> pa.RecordBatch:
+            every = [x for h in heaps.values() for x in h.rows()]
+            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in every], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+
+        for b in batches:
+            place = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("i", "j", "later")])
+            edges = np.flatnonzero(np.any(place[:, 1:] != place[:, :-1], 0)) + 1
+            for start, stop in zip([0, *edges.tolist()], [*edges.tolist(), len(b)], strict=True):
+                i, j, later = place[:, start].tolist()
+                if (i, j) != here:
+                    yield found()
+                    here, heaps, waiting = (i, j), {}, {}
+                own = b.slice(start, stop - start)
+                if later and waiting:
+                    heaps = {n: Heaps(*(np.concatenate(x) for x in zip(*parts, strict=True)), k) for n, parts in waiting.items()}
+                    waiting = {}
+                for ids, x in matrices(own.column("vec_id"), own.column("v")):
+                    if not later:
+                        waiting.setdefault(x.shape[1], []).append((ids, x))
+                    elif x.shape[1] in heaps:
                         for a in range(0, len(ids), TILE_ROWS):
                             heaps[x.shape[1]].see(ids[a : a + TILE_ROWS], x[a : a + TILE_ROWS])
-            for h in heaps.values():
-                q, v, d = zip(*h.rows(), strict=True) if any(h.heaps) else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(d, pa.float64())], names=["query_id", "vec_id", "score"])
+        yield found()
 
-        near = rows.select("vec_id", "v").mapInArrow(search, "query_id long, vec_id long, score double")
-        found = near if found is None else found.union(near)
+    near = blocks.mapInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    found = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return found.select("query_id", "rank", "vec_id", "score")
+    near = near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return near.select("query_id", "rank", "vec_id", "score")
 
 
 NEAREST_SQL = """

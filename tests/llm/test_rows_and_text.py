@@ -328,7 +328,8 @@ def test_blocks_of_broken_and_deep_pages():
 
 def test_neighbours_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "TILE_ROWS", 37)
-    monkeypatch.setattr(neighbours, "CHUNK_QUERIES", 3)
+    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 3)
+    assert neighbours.grid(10, 900) == (4, 25) and neighbours.grid(0, 0) == (1, 1)
     g = np.random.default_rng(3)
     x = g.normal(size=(900, 12)).astype(np.float32)
     x[100:160] = x[100]

@@ -50,10 +50,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A place in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/gradelake/{uuid.uuid4().hex}/{name}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df`, written to the shared folder and read again: lineage is cut and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gradelake/{uuid.uuid4().hex}/{name}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path.rpartition("/")[0]

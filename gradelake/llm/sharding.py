@@ -1,27 +1,39 @@
 """Sharding through fixed virtual slots.
 
 A record's slot is a hash of its id and text, one of a few thousand for good. What is decided is only which shard a slot
-belongs to: the slots' bytes are summed, and a versioned map (version, virtual_slot, shard) is stored. Rebalancing edits
-that map: slots stay where they are unless their shard is above its share, and only those move.
+belongs to: the slots' bytes are summed, and a versioned map (version, virtual_slot, shard) is stored. Rebalancing reads the last
+version, edits it and stores the next: slots stay where they are unless their shard is above its share, and only those move.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
-from gradelake.llm.common import stored
+from gradelake.llm.common import new_path, stored
 
 N_SLOTS = 4096
+LARGE = 8
 #: Bytes that a record takes besides its text.
 RECORD_BYTES = 16
 
 
 def sized(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
-    """doc_id, size (UTF-8 bytes and 16), text_crc32 (null text: that of the empty text) and virtual_slot of each row."""
+    """doc_id, size (UTF-8 bytes and 16), text_crc32 (null text: that of the empty text) and virtual_slot of each row.
+
+    Rows equal in id and text share a slot, unless they repeat and together hold more than LARGE average slots: then each goes by its place in the table too.
+    """
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
     d = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + RECORD_BYTES).cast("long").alias("size"), crc)
-    return d.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_slots)).cast("int"))
+    d = d.withColumn("record", F.xxhash64("doc_id", "text_crc32"))
+    total = d.agg(F.sum("size")).first()[0] or 0
+    # fewer than n_slots / LARGE records
+    large = d.groupBy("record").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).filter((F.col("rows") > 1) & (F.col("bytes") * n_slots > LARGE * total))
+    large = large.select("record", F.lit(True).alias("large"))
+    d = d.withColumn("place", F.monotonically_increasing_id()).join(F.broadcast(large), "record", "left")
+    slot = F.pmod(F.when(F.col("large"), F.xxhash64("record", "place")).otherwise(F.col("record")), F.lit(n_slots))
+    return d.select("doc_id", "size", "text_crc32", slot.cast("int").alias("virtual_slot"))
 
 
 def place_slots(slot_bytes: DataFrame, n_shards: int, old: DataFrame | None = None, version: int = 1, n_slots: int = N_SLOTS) -> DataFrame:
@@ -61,17 +73,45 @@ def place_slots(slot_bytes: DataFrame, n_shards: int, old: DataFrame | None = No
     return pairs.select(F.lit(version).alias("version"), "p.virtual_slot", "p.shard")
 
 
-def assign_shards(docs: DataFrame, n_shards: int = 40, slot_map: DataFrame | None = None, n_slots: int = N_SLOTS) -> tuple[DataFrame, DataFrame]:
-    """(rows, slot_map): doc_id, size, text_crc32, virtual_slot, shard and slot of each row, and the stored map.
+def stored_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """The slot-to-shard map of a version, or of the last one; None if `path` has none."""
+    try:
+        every = spark.read.parquet(path)
+    except AnalysisException:
+        return None
+    if version is None:
+        version = every.agg(F.max("version")).first()[0]
+    return every.filter(F.col("version") == version)
+
+
+def store_map(slot_map: DataFrame, path: str) -> DataFrame:
+    """Adds a version of the map to those under `path`, and reads it from there."""
+    slot_map.write.mode("append").parquet(path)
+    return stored_map(slot_map.sparkSession, path)
+
+
+def rebalance(slot_bytes: DataFrame, n_shards: int, path: str, n_slots: int = N_SLOTS) -> DataFrame:
+    """The next version of the map under `path`, edited from its last one for `n_shards` shards of about equal bytes, and stored beside it."""
+    old = stored_map(slot_bytes.sparkSession, path)
+    version = old.first().version + 1 if old is not None else 1
+    return store_map(place_slots(slot_bytes, n_shards, old, version, n_slots), path)
+
+
+def assign_shards(docs: DataFrame, n_shards: int = 40, maps: str | None = None, n_slots: int = N_SLOTS) -> tuple[DataFrame, DataFrame]:
+    """(rows, slot_map): doc_id, size, text_crc32, virtual_slot, shard and slot of each row, and the map they follow.
 
-    slot numbers a shard's rows from 0 without gaps, by virtual slot, then doc_id. Equal rows share a virtual slot; null ids and
-    texts are hashed like others. A map that is given is followed as it is. No rows: a map of empty slots and no rows.
+    maps: the path of the stored versions of the map. The last one is followed as it is; where there is none, or no path is given, the
+    first is made for `n_shards` and stored. slot numbers a shard's rows from 0 without gaps, by virtual slot, then doc_id. Copies of a text with
+    other ids are records of their own and spread over shards, so that one text that makes up a third of the table fills no shard. Null
+    ids and texts are hashed like others. No rows: a map of empty slots and no rows.
     """
     narrow = stored(sized(docs, n_slots), "shard_rows")
     per_slot = narrow.groupBy("virtual_slot").agg(F.sum("size").alias("slot_bytes"), F.count(F.lit(1)).alias("slot_rows"))
     per_slot = stored(per_slot, "shard_slots")
+    maps = maps or new_path(docs.sparkSession, "shard_map")
+    slot_map = stored_map(docs.sparkSession, maps)
     if slot_map is None:
-        slot_map = stored(place_slots(per_slot, n_shards, n_slots=n_slots), "shard_map")
+        slot_map = rebalance(per_slot, n_shards, maps, n_slots)
     in_shard = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     placed = per_slot.join(slot_map.select("virtual_slot", "shard"), "virtual_slot")
     placed = placed.select("virtual_slot", "shard", F.coalesce(F.sum("slot_rows").over(in_shard), F.lit(0)).alias("first"))
@@ -82,7 +122,8 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, slot_map: DataFrame | Non
     return rows.select("doc_id", "size", "text_crc32", "virtual_slot", "shard", (F.col("first") + F.col("nth")).cast("long").alias("slot")), slot_map
 
 
-def shard_table(docs: DataFrame, n_shards: int = 40) -> DataFrame:
-    """doc_id, size, text_crc32, law ('bytes': the shards' sizes are near equal), shard, slot, grown_shard (null), virtual_slot."""
-    rows, _ = assign_shards(docs, n_shards)
-    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+def shard_table(docs: DataFrame, n_shards: int = 40, maps: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law ('bytes': the shards' sizes are near equal), shard, slot, grown_shard (null), virtual_slot and the map's version."""
+    rows, slot_map = assign_shards(docs, n_shards, maps)
+    version = F.lit(slot_map.first().version).alias("map_version")
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", version)

@@ -82,17 +82,98 @@ def test_shards_are_even_and_slots_gapless(spark):
     assert sharding.shard_table(docs.limit(0)).count() == 0
 
 
-def test_rebalancing_moves_only_what_it_must(spark):
+def test_rebalancing_starts_from_the_stored_map(spark, tmp_path):
     load = spark.range(64).select(F.col("id").cast("int").alias("virtual_slot"), (F.col("id") % 7 + 1).alias("slot_bytes"))
-    old = sharding.place_slots(load, 4, n_slots=64)
-    new = {r.virtual_slot: r.shard for r in sharding.place_slots(load, 5, old, 2, n_slots=64).collect()}
-    was = {r.virtual_slot: r.shard for r in old.collect()}
-    size = {r.virtual_slot: r.slot_bytes for r in load.collect()}
+    path, size = str(tmp_path / "maps"), {r.virtual_slot: r.slot_bytes for r in load.collect()}
+    was = {r.virtual_slot: r.shard for r in sharding.rebalance(load, 4, path, n_slots=64).collect()}
+    new = {r.virtual_slot: r.shard for r in sharding.rebalance(load, 5, path, n_slots=64).collect()}
     sums = [sum(size[v] for v in new if new[v] == s) for s in range(5)]
-    assert max(sums) - min(sums) <= 7
+    assert max(sums) - min(sums) <= 7 and len(new) == 64
     moved = sum(size[v] for v in new if new[v] != was[v])
     assert moved <= sums[4] + 4 * 7
-    assert {r.version for r in sharding.place_slots(load, 5, old, 2, n_slots=64).collect()} == {2}
+    assert {r.virtual_slot: r.shard for r in sharding.stored_map(spark, path, 1).collect()} == was
+    assert {r.version for r in sharding.stored_map(spark, path).collect()} == {2}
+
+
+def test_a_stored_map_is_followed(spark, tmp_path):
+    r = random.Random(3)
+    docs = spark.createDataFrame([(i, "x" * r.randrange(90), None, None, None) for i in range(2000)], DOCS)
+    path = str(tmp_path / "maps")
+    first = {x.doc_id: x for x in sharding.shard_table(docs, 6, path).collect()}
+    again = {x.doc_id: x for x in sharding.shard_table(docs.filter("doc_id % 3 > 0"), 9, path).collect()}
+    assert {x.map_version for x in again.values()} == {1} and all(first[i].shard == x.shard for i, x in again.items())
+    per_slot = spark.createDataFrame([(x.virtual_slot, x.size) for x in first.values()], "virtual_slot int, size long").groupBy("virtual_slot").agg(F.sum("size").alias("slot_bytes"))
+    sharding.rebalance(per_slot, 7, path)
+    grown = {x.doc_id: x for x in sharding.shard_table(docs, 6, path).collect()}
+    assert {x.map_version for x in grown.values()} == {2} and {x.shard for x in grown.values()} == set(range(7))
+    moved = sum(x.size for i, x in grown.items() if first[i].shard != x.shard)
+    assert moved <= 1.2 * sum(x.size for x in grown.values()) / 7
+
+
+def test_one_row_repeated_very_often_fills_no_shard(spark):
+    docs = spark.createDataFrame([(1, "the same text")] * 3000 + [(i, "other") for i in range(2, 3000)], "doc_id long, text string")
+    rows = sharding.shard_table(docs, 5).groupBy("shard").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows"), F.max("slot").alias("top")).collect()
+    assert len(rows) == 5 and sum(r.rows for r in rows) == 5998 and max(r.n for r in rows) < 1.02 * min(r.n for r in rows)
+    assert all(r.top == r.rows - 1 for r in rows)
+
+
+def base_spans(text):
+    """The base patterns' spans by trying every place, one character at a time."""
+    out = []
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+    def assign(i):
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if not low.startswith(word, i):
+                continue
+            j = i + len(word)
+            j += text[j : j + 1] in ('"', "'") and text[j : j + 1] != ""
+            while text[j : j + 1] == " ":
+                j += 1
+            if text[j : j + 1] not in (":", "="):
+                continue
+            j += 1
+            while text[j : j + 1] == " ":
+                j += 1
+            j += text[j : j + 1] in ('"', "'") and text[j : j + 1] != ""
+            k = j
+            while k < len(text) and text[k] in value:
+                k += 1
+            if k > j:
+                return k, k - j >= 6
+        return None
+
+    def run(head, chars, least):
+        def at(i):
+            if not text.startswith(head, i):
+                return None
+            k = i + len(head)
+            while k < len(text) and text[k] in chars:
+                k += 1
+            return (k, k - i >= least) if k > i + (len(head) > 0) * len(head) else None
+
+        return at
+
+    for kind, find in enumerate((assign, run("AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), run("", set("0123456789abcdef"), 24))):
+        i = 0
+        while i < len(text):
+            m = find(i)
+            if m is None:
+                i += 1
+                continue
+            if m[1]:
+                out.append((i, kind, m[0]))
+            i = m[0]
+    return sorted(out)
+
+
+def test_base_patterns_by_trying_every_place():
+    r = random.Random(7)
+    parts = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", "apiKey", '"', "'", " ", "  ", ":", "=", "==", "abc", "aBc9+/", "AKIA", "AKIAAKIA", "0a" * 12, "f" * 23, "A9" * 9, "é", "\n", ".", "-", "ſ", "İ", "K"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randrange(14)))
+        assert [x for x in secret_scan.scan(text) if x[1] < 3] == base_spans(text), text
 
 
 @pytest.mark.parametrize("name,dropped", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False), ("piece_bpe_32k.model", False)])

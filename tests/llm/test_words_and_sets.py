@@ -1,8 +1,10 @@
 """Word hashes, the Jaccard join and line dedup against brute force."""
 
+import hashlib
 import random
 import re
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -203,6 +205,74 @@ def test_line_templates(spark):
     assert line_dedup.line_table(docs.limit(0)).count() == 0
 
 
+def test_templates_merge_lines_with_fields_anywhere(spark):
+    texts = {
+        1: "user alice logged in from paris today\nPosted by Alice in News", 2: "user bobby logged in from berlin today\nPosted by Bob in News", 3: "user carol logged out of paris at noon",
+        4: "report filed by alice from host bravo at noon today", 5: "report filed by bob from host tango at noon today", 6: "The cat sat", 7: "The cat ran",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_recurring, r.dropped_lines) for r in line_dedup.line_table(docs).collect()}
+    assert got == {1: (2, ""), 2: (2, "0,1"), 3: (0, ""), 4: (1, ""), 5: (1, "0"), 6: (0, ""), 7: (0, "")}
+
+
+def brute_lines(rows):
+    """The tree by its definition, over all pairs."""
+    space = " \t\n\x0b\x0c\r"
+    last = (1 << 63) - 1
+    every = []
+    for row, (d, t) in enumerate(rows):
+        for k, line in enumerate((t if t is not None else "").split("\n")):
+            tokens = [("<*>" if re.search("[0-9@]|://", x) else x) for x in re.split(r"[\x20\x09-\x0D]+", line.strip(space)) if x]
+            if tokens:
+                every.append((last if d is None else d, k, " ".join(tokens), row))
+    code = lambda line: int(hashlib.md5(line.encode()).hexdigest()[:15], 16)
+    forms = {}
+    for d, k, line, _ in every:
+        first, end = forms.get(line, ((d, k, code(line)), d))
+        forms[line] = min(first, (d, k, code(line))), max(end, d)
+    nodes = {}
+    for line in forms:
+        t = line.split(" ")
+        if 10 * (len(t) - 1) >= 7 * len(t):
+            for i in range(3):
+                nodes.setdefault((len(t), t[0], i, tuple(t[len(t) * i // 3 : len(t) * (i + 1) // 3])), []).append(line)
+    members = {}
+    for own in nodes.values():
+        top = min(own, key=lambda x: forms[x][0])
+        for line in own:
+            x, y = line.split(" "), top.split(" ")
+            if line != top and 10 * sum(a == b for a, b in zip(x, y, strict=True)) >= 7 * len(x):
+                members.setdefault(top, set()).add(line)
+    firsts = {}
+    for line, (first, end) in forms.items():
+        if first[0] != max([end, *(forms[m][1] for m in members.get(line, ()))]):
+            for m in {line, *members.get(line, ())}:
+                firsts.setdefault(m, set()).add(first[0])
+    out = []
+    for row, (d, _) in enumerate(rows):
+        own = sorted((k, x, line) for x, k, line, r in every if r == row)
+        drop = [k for k, x, line in own if firsts.get(line, {x}) != {x}]
+        out.append((d, len(own), sum(line in firsts for _, _, line in own), len(drop), ",".join(map(str, drop))))
+    return sorted(out, key=str)
+
+
+def test_line_templates_by_definition_and_in_sql(spark):
+    r = random.Random(11)
+    words = ["a", "b", "c", "x1", "d@e", "f:g", "h://i", ":", "j"]
+    rows = []
+    for i in range(70):
+        text = "\n".join(r.choice(["", " ", "  "]) + r.choice([" ", "\t"]).join(r.choice(words[: r.choice([2, 9])]) for _ in range(r.choice([1, 2, 3, 4, 5, 6, 7, 10, 13]))) for _ in range(r.choice([1, 3, 9])))
+        rows.append((r.choice([i, i, i, 5, None]), r.choice([text] * 9 + ["", None])))
+    rows.append(rows[0])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_lines(rows)
+    assert sorted(map(tuple, line_dedup.line_table(docs).collect()), key=str) == want
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(con.execute(line_dedup.LINE_SQL).fetchall(), key=str) == want
+
+
 def test_line_dedup_keeps_one_copy_of_every_line(spark):
     r = random.Random(3)
     lines = [" ".join(f"{r.choice('abcdefgh')}{r.randrange(9)}x" for _ in range(r.choice([2, 9, 30]))) for _ in range(25)]

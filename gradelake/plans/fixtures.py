@@ -44,7 +44,7 @@ SELECT idx, run, template, CAST(y AS INT) AS greedy_ok, CASE WHEN (idx * 31) % 7
 TOKENS_SQL = """
 SELECT conv_id * 1000 + turn AS idx, w.rank AS rank, w.word AS text, CAST(1.0 AS DOUBLE) / (w.rank * (w.rank + 1)) AS prob FROM (
   SELECT conv_id, turn, unnest(list_zip(string_split(text, ' '), range(1, len(string_split(text, ' ')) + 1))) AS p FROM conversations) q,
-  LATERAL (SELECT CASE WHEN p[2] % 5 = 1 THEN ['Yes', 'no', 'NOTE', ' yes*', 'Y', 'N', 'YESTERDAY'][(conv_id % 7 + 1)::INT] ELSE p[1] END AS word, p[2] AS rank) w WHERE w.rank <= 64"""
+  LATERAL (SELECT CASE WHEN p[2] % 5 = 1 THEN ['Yes', 'no', 'NOTE', ' yes*', 'Y', 'N', 'YESTERDAY'][(conv_id % 7 + 1)::INT] ELSE p[1] END AS word, p[2] AS rank) w"""
 HEADS_SQL = """
 SELECT e.vec_id AS idx, h.h AS flat_head, CASE WHEN e.label < 5 THEN 1 ELSE 0 END AS y, e.embedding[(h.h * 8 + 1):(h.h * 8 + 8)] AS vec FROM embeddings e, (SELECT unnest(range(0, 8)) AS h) h"""
 
@@ -101,7 +101,8 @@ class Views:
 
     @cached_property
     def layers(self) -> DataFrame:
-        """idx, layer (two of four heads), y, vec (32 numbers)."""
-        e = self.embeddings.filter(F.size("embedding") == 64)
+        """idx, layer (two of four heads), y, vec (32 numbers). Embeddings of another width are refused."""
+        width = F.when(F.size("embedding") == 64, True).otherwise(F.raise_error(F.lit("an embedding of another width than 64")).cast("boolean"))
+        e = self.embeddings.filter(F.col("embedding").isNotNull()).filter(width)
         parts = F.array(*[F.struct(F.lit(i).alias("layer"), F.slice("embedding", 32 * i + 1, 32).alias("vec")) for i in (0, 1)])
         return e.select(F.col("vec_id").alias("idx"), (F.col("label") < 5).cast("int").alias("y"), F.explode(parts).alias("p")).select("idx", "y", "p.layer", "p.vec")

@@ -37,9 +37,9 @@ def _(v):
 
 
 @query("pending_problems", "idx:l problem:s", "records", """
-SELECT idx, problem FROM records p WHERE NOT EXISTS (SELECT 1 FROM records d WHERE d.idx = p.idx AND d.idx % 3 <> 0 AND d.error IS NULL)""")
+SELECT idx, problem FROM records p WHERE NOT EXISTS (SELECT 1 FROM records d WHERE d.idx = p.idx AND d.split = 'train' AND d.error IS NULL)""")
 def _(v):
-    return src.pending_problems(v.records.select("idx", "problem"), v.records.filter("idx % 3 <> 0"), retry_failed=True)
+    return src.pending_problems(v.records.select("idx", "problem"), v.records.filter("split = 'train'"), retry_failed=True)
 
 
 @query("out_of_range_records", "idx:l run:s", "records items", "SELECT idx, run FROM records WHERE idx >= (SELECT count(*) FROM items)")
@@ -100,18 +100,45 @@ def _(v):
     return v.records.select("idx", F.expr(REPLY).alias("reply")).select("idx", answers.parse_final_number("reply").alias("number"))
 
 
-@query("extract_boxed", "idx:l boxed:s", "records", "SELECT idx, '\\frac{' || CAST(idx % 9 AS VARCHAR) || '}{' || CAST(idx % 7 AS VARCHAR) || '}' AS boxed FROM records")
+#: Replies in many spellings, with what they hold; {n} is a number of the record's own.
+BOXED = [
+    ("\\boxed{{n}}", "{n}"), ("so \\boxed{\\frac{1}{{n}}}.", "\\frac{1}{{n}}"), ("first \\boxed{3}, then \\boxed{{n}} end", "{n}"), ("\\fbox{{n}} it is", "{n}"), ("\\boxed{3} then \\fbox{{n}}", "{n}"),
+    ("\\fbox{3} then \\boxed{{n}}", "{n}"), ("\\boxed {n} ok", "{n}"), ("\\boxed{-{n}}", "-{n}"), ("\\boxed{\\frac{\\sqrt{{n}}}{2}}", "\\frac{\\sqrt{{n}}}{2}"), ("\\boxed{\\text{even {n}}}", "\\text{even {n}}"),
+    ("\\boxed{\\boxed{{n}}}", "\\boxed{{n}}"), ("\\boxed{a \\fbox{{n}}}", "{n}"), ("\\boxed{{{n}}}", "{{n}}"), ("\\boxed   {{n}}", "{n}"), ("\\boxed\\pi and {n}", "\\pi"), ("\\boxed{open {n}", None), ("the answer is {n}", None),
+    ("\\boxed{{n}} and \\boxed{open", "{n}"), ("\\boxed{}", ""), ("box {n}", None), ("\\boxed{x_{1} = {n}}", "x_{1} = {n}"), ("\\boxed{({n},\\infty)}", "({n},\\infty)"),
+]
+MATH = [
+    ("so \\boxed{{n}}.", "{n}"), ("The final answer is ${n}.5$. Done", "{n}.5"), ("the answer is: {n}. Then more", "{n}"), ("I say {n}", None), ("\\boxed{} the answer is {n}", "{n}"), ("ANSWER IS {n}\nand 7", "{n}"),
+    ("The final answer is: $\\frac{1}{{n}}$", "\\frac{1}{{n}}"), ("answer is 4, final answer is {n}", "{n}"), ("answer is . then {n}", None), ("\\boxed{\\text{}} final answer is {n} cm", "{n} cm"), ("answer is {n}.25.", "{n}.25"), ("\\boxed{open {n} the answer is 9", "9"),
+]
+LATEX = [
+    ("${n}$", "{n}"), ("x = {n}.00\\text{ cm}", "{n}"), ("1, {n}", "1,{n}"), ("\\text{even}.", "even"), ("\\dfrac{{n}}{2}", "\\frac{{n}}{2}"), ("\\tfrac{1}{{n}}", "\\frac{1}{{n}}"), ("\\frac1{{n}}", "\\frac{1}{{n}}"), ("\\frac{{n}}2", "\\frac{{n}}{2}"),
+    ("\\frac12", "\\frac{1}{2}"), ("\\left(1,{n}\\right)", "(1,{n})"), ("\\(x+{n}\\)", "x+{n}"), ("\\!{n}\\,", "{n}"), ("{n}\\%", "{n}"), ("{n}^\\circ", "{n}"), ("{n}^{\\circ}", "{n}"), ("\\textbf{{n}}", "{n}"), ("{n}\\text{ inches}", "{n}"),
+    ("\\text{ odd}", "odd"), ("\\${n}", "{n}"), ("2\\cdot{n}", "2\\cdot{n}"), ("{n}{,}000", "{n}000"), ("{n},000", "{n}000"), (".5", "0.5"), ("-.5", "-0.5"), ("{n}\\sqrt3", "{n}\\sqrt{3}"), ("y = -{n}.50", "-{n}.5"), ("({n},2)", "({n},2)"), ("x<{n}", "x<{n}"),
+    ("-0.0", "0"), ("{n}.", "{n}"), ("\\frac{\\sqrt{{n}}}2", "\\frac{\\sqrt{{n}}}{2}"), ("\\mathbf{\\text{no}}", "no"), ("{n}e2", "{n}00"), ("$$", None), ("\\text{}", None), ("\\frac{{n}", "\\frac{{n}"), ("{n}}", "{n}}"), ("-1,{n}", "-1,{n}"),
+]
+
+
+def spelled_out(cases, side: int):
+    """The text or the answer of each record, by its place among `cases`."""
+    texts = F.array(*[F.lit(case[side]).cast("string") for case in cases])
+    return F.replace(F.element_at(texts, (F.col("idx") % len(cases) + 1).cast("int")), F.lit("{n}"), (F.col("idx") % 8 + 2).cast("string"))
+
+
+def spelled_sql(cases, name: str) -> str:
+    """SQL of the answers."""
+    values = ", ".join("NULL" if x is None else "'" + x.replace("'", "''") + "'" for _, x in cases)
+    return f"SELECT idx, replace(([{values}]::VARCHAR[])[idx % {len(cases)} + 1], '{{n}}', CAST(idx % 8 + 2 AS VARCHAR)) AS {name} FROM records"
+
+
+@query("extract_boxed", "idx:l boxed:s", "records", spelled_sql(BOXED, "boxed"))
 def _(v):
-    text = F.concat(F.lit("first \\boxed{1} then \\boxed{\\frac{"), F.col("idx") % 9, F.lit("}{"), F.col("idx") % 7, F.lit("}} end"))
-    return v.records.select("idx", answers.extract_boxed(text).alias("boxed"))
+    return v.records.select("idx", answers.extract_boxed(spelled_out(BOXED, 0)).alias("boxed"))
 
 
-@query("parse_math_answer", "idx:l answer:s", "records", """
-SELECT idx, CASE WHEN idx % 2 = 0 THEN CAST(idx % 9 AS VARCHAR) ELSE CAST(idx % 9 AS VARCHAR) || '.5' END AS answer FROM records""")
+@query("parse_math_answer", "idx:l answer:s", "records", spelled_sql(MATH, "answer"))
 def _(v):
-    n = (F.col("idx") % 9).cast("string")
-    text = F.when(F.col("idx") % 2 == 0, F.concat(F.lit("so \\boxed{"), n, F.lit("}."))).otherwise(F.concat(F.lit("The final answer is $"), n, F.lit(".5. Done")))
-    return v.records.select("idx", answers.parse_math_answer(text).alias("answer"))
+    return v.records.select("idx", answers.parse_math_answer(spelled_out(MATH, 0)).alias("answer"))
 
 
 @query("canonical_number", "idx:l canonical:s", "records", """
@@ -120,17 +147,16 @@ def _(v):
     return v.records.select("idx", answers.canonical_number("phase1_answer").alias("canonical"))
 
 
-@query("canonical_latex", "idx:l canonical:s", "records", """
-SELECT idx, CASE idx % 4 WHEN 0 THEN '\\frac{1}{' || CAST(idx % 8 + 1 AS VARCHAR) || '}' WHEN 1 THEN CAST(idx % 8 AS VARCHAR) WHEN 2 THEN '1,' || CAST(idx % 8 AS VARCHAR) ELSE 'even' END AS canonical FROM records""")
+@query("canonical_latex", "idx:l canonical:s", "records", spelled_sql(LATEX, "canonical"))
+def _(v):
+    return v.records.select("idx", answers.canonical_latex(spelled_out(LATEX, 0)).alias("canonical"))
+
+
+@query("latex_answers_equal", "idx:l equal:b", "records", f"""
+WITH a AS ({spelled_sql(LATEX, "a")}), b AS (SELECT idx, CASE idx % 3 WHEN 0 THEN a WHEN 1 THEN a || 'x' END AS b FROM a) SELECT idx, coalesce(a = b, FALSE) AS equal FROM a JOIN b USING (idx)""")
 def _(v):
-    n = F.col("idx") % 8
-    text = (
-        F.when(F.col("idx") % 4 == 0, F.concat(F.lit("$\\dfrac1"), n + 1, F.lit("$")))
-        .when(F.col("idx") % 4 == 1, F.concat(F.lit("x = "), n, F.lit(".00\\text{ cm}")))
-        .when(F.col("idx") % 4 == 2, F.concat(F.lit("1, "), n))
-        .otherwise(F.lit("\\text{even}."))
-    )
-    return v.records.select("idx", answers.canonical_latex(text).alias("canonical"))
+    other = F.when(F.col("idx") % 3 == 0, spelled_out(LATEX, 1)).when(F.col("idx") % 3 == 1, F.concat(spelled_out(LATEX, 1), F.lit("x")))
+    return v.records.select("idx", answers.answers_equal(spelled_out(LATEX, 0), other, F.lit("math")).alias("equal"))
 
 
 VALUE = "CAST(replace(replace({c}, ',', ''), '$', '') AS DOUBLE)"
@@ -222,12 +248,13 @@ def _(v):
 
 
 @query("attach_level", "idx:l level:s", "items", """
-WITH lv AS (SELECT trim(problem) AS p, min(level) AS level FROM items WHERE idx % 3 <> 0 GROUP BY trim(problem)) SELECT idx, coalesce(lv.level, 'UNMATCHED') AS level FROM items LEFT JOIN lv ON trim(items.problem) = lv.p""")
+WITH lv AS (SELECT trim(problem) AS p, min(level) AS level FROM items WHERE split = 'train' GROUP BY trim(problem)) SELECT idx, coalesce(lv.level, 'UNMATCHED') AS level FROM items LEFT JOIN lv ON trim(items.problem) = lv.p""")
 def _(v):
-    return align.attach_level(v.items.drop("level"), v.items.filter("idx % 3 <> 0").select("problem", "level"))
+    return align.attach_level(v.items.drop("level"), v.items.filter("split = 'train'").select("problem", "level"))
 
 
-PERTURBED = "SELECT doc_id, text AS question, source AS original_question, doc_id % 20 AS original_id FROM documents WHERE doc_id % 2 = 0"
+#: Every document is a perturbed item, known by its length as its original; every judged item, known the same way, is a reference.
+PERTURBED = "SELECT doc_id, text AS question, CAST(n_chars AS VARCHAR) AS original_question, doc_id % 20 AS original_id FROM documents"
 
 
 @query("template_map", "question:s original_question:s original_id:l n_originals:l n_ids:l violation:b", "", f"""
@@ -238,16 +265,16 @@ def _(v):
 
 
 def perturbed(v):
-    return v.documents.filter("doc_id % 2 = 0").select("doc_id", F.col("text").alias("question"), F.col("source").alias("original_question"), (F.col("doc_id") % 20).alias("original_id"))
+    return v.documents.select("doc_id", F.col("text").alias("question"), F.col("n_chars").cast("string").alias("original_question"), (F.col("doc_id") % 20).alias("original_id"))
 
 
-@query("match_originals", "original_question:s n_perturbed:l n_reference:l state:s", "", f"""
+@query("match_originals", "original_question:s n_perturbed:l n_reference:l state:s", "items", f"""
 WITH m AS (SELECT trim(question) AS question, min(original_question) AS original_question FROM ({PERTURBED}) p GROUP BY 1),
 w AS (SELECT m.original_question, count(*) AS n_perturbed FROM ({PERTURBED}) p JOIN m ON trim(p.question) = m.question GROUP BY 1),
-f AS (SELECT source AS original_question, count(*) AS n, bool_and(doc_id % 4 <> 3) AS usable FROM documents WHERE doc_id % 2 = 1 AND doc_id < 40 AND source <> 'src3' GROUP BY source)
+f AS (SELECT CAST(length AS VARCHAR) AS original_question, count(*) AS n, bool_and(labelable) AS usable FROM items GROUP BY 1)
 SELECT w.original_question, n_perturbed, coalesce(n, 0) AS n_reference, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'duplicated' WHEN NOT usable THEN 'unlabelable' ELSE 'matched' END AS state FROM w LEFT JOIN f USING (original_question)""")
 def _(v):
-    ref = v.documents.filter("doc_id % 2 = 1 and doc_id < 40 and source <> 'src3'").select(F.col("source").alias("question"), (F.col("doc_id") % 4 != 3).alias("labelable"))
+    ref = v.items.select(F.col("length").cast("string").alias("question"), "labelable")
     return perturb.match_originals(perturbed(v), ref, perturb.template_map(perturbed(v)))
 
 
@@ -367,10 +394,10 @@ def _(v):
 
 
 @query("template_accuracy", "template:s perturbed_accuracy:d n_items:l original_accuracy:d delta:d", "items", """
-SELECT *, perturbed_accuracy - original_accuracy AS delta FROM (SELECT template, avg(y) AS perturbed_accuracy, count(*) AS n_items FROM items WHERE idx % 3 = 0 GROUP BY template) a
-JOIN (SELECT template, avg(y) AS original_accuracy FROM items WHERE idx % 3 = 1 GROUP BY template) b USING (template)""")
+SELECT *, perturbed_accuracy - original_accuracy AS delta FROM (SELECT template, avg(y) AS perturbed_accuracy, count(*) AS n_items FROM items WHERE split = 'test' GROUP BY template) a
+JOIN (SELECT template, avg(y) AS original_accuracy FROM items WHERE split = 'train' GROUP BY template) b USING (template)""")
 def _(v):
-    return perturb.template_accuracy(v.items.filter("idx % 3 = 0"), v.items.filter("idx % 3 = 1"))
+    return perturb.template_accuracy(v.items.filter("split = 'test'"), v.items.filter("split = 'train'"))
 
 
 @query("absent_provenance", "run:s absent:s", "items", """

@@ -30,6 +30,8 @@ MATH = {r"so \boxed{2}": "2", "The final answer is $0.5$.": "0.5", "the answer i
 LATEX = {
     "$2$": "2", r"\(x=5\)": "5", r"\dfrac12": r"\frac{1}{2}", r"\tfrac{3}{4}": r"\frac{3}{4}", r"12\text{ cm}": "12", r"\text{even}": "even", r"\text{ cm}": "cm", "1{,}000": "1000",
     "12,345.0": "12345", "1, 2": "1,2", ".50": "0.5", "-.5": "-0.5", r"90^\circ": "90", r"50\%": "50", r"\$3.20": "3.2", r"\left(1,2\right)": "(1,2)", r"\sqrt2": r"\sqrt{2}", "1e3": "1000",
+    "y = -3": "-3", r"\\boxed{2": r"\\boxed{2", "}2{": "}2{", r"\frac{\sqrt3}2": r"\frac{\sqrt{3}}{2}", r"\frac{\frac12}{3}": r"\frac{\frac{1}{2}}{3}", r"\frac ab": r"\fracab", r"\[ \dfrac 3 4 \]": r"\frac34",
+    r"5\text{ inches} or so": "5", r"\(12\text{ cm}\)": "12", r"\text{\(7\)}": "7", r"\leftarrow": r"\leftarrow", r"\text{}": None, "$$": None, r"30^{\circ}": "30", "(1,000)": "(1,000)", r"\text{not even}": "noteven", "x<5": "x<5",
     "7.": "7", "": None, None: None, r"\mathbf{\text{no}}": "no", "-0": "0", r"2\cdot3": r"2\cdot3",
 }
 NUMBER = {"64.00": "64", "$1,234": "1234", "-0": "0", "+5": "5", " 007.50 ": "7.5", "1e3": "1000", "x": None, "": None, None: None, "NaN": None, "Infinity": None, ".5": "0.5", "1 2": None, "$": None, "12.": "12", "-.50": "-0.5"}

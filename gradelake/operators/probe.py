@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gradelake.functions.text import shallow_features
 from gradelake.operators.rank import auroc
-from gradelake.operators.resample import draw_hash, poisson
+from gradelake.operators.resample import draw_hash, numbered, poisson
 
 RIDGE = 0.01
 
@@ -177,17 +177,18 @@ def scale_array(train: DataFrame, apply_to: DataFrame, column: str) -> DataFrame
 def balance_train(df: DataFrame, seed: int, y: str = "y", key: str = "idx") -> DataFrame:
     """The rows of the larger class, and as many of the smaller one, drawn with replacement by hash; a single class stays as it is.
 
-    Draws are numbers of the smaller class's rows, which are numbered in order of `key`.
+    Draws are numbers of the smaller class's keys, which are numbered in a hashed order; only keys are numbered, features move once.
     """
-    sizes = df.groupBy(y).agg(F.count(F.lit(1)).alias("n"))
-    facts = sizes.agg(F.max("n").alias("_most"), F.min("n").alias("_least"), F.min_by(y, F.struct("n", y)).alias("_small"), F.count(F.lit(1)).alias("_classes"))
-    marked = df.join(F.broadcast(facts))
-    numbered = marked.filter((F.col(y) == F.col("_small")) & (F.col("_classes") == 2))
-    numbered = numbered.withColumn("_i", F.row_number().over(Window.partitionBy(y).orderBy(key)) - 1)
-    draws = facts.filter("_classes = 2").select("_least", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_most") - 1)).alias("_j"))
-    draws = draws.select(F.pmod(draw_hash(seed, F.col("_j")), F.col("_least")).cast("int").alias("_i"))
-    rest = marked.filter((F.col("_classes") < 2) | (F.col(y) != F.col("_small"))).select(*df.columns)
-    return rest.unionByName(numbered.join(draws, "_i").select(*df.columns))
+    sizes = sorted((r["count"], r[y]) for r in df.groupBy(y).count().collect())  # two classes
+    if len(sizes) < 2:
+        return df
+    small, most = sizes[0][1], sizes[-1][0]
+    rare = df.filter(F.col(y) == small)
+    places = numbered(rare.select(y, key).distinct(), [y], key).select(key, "_i")
+    draws = df.sparkSession.range(most).select(F.pmod(draw_hash(seed, F.col("id")), F.lit(places.count())).alias("_i"))
+    times = draws.groupBy("_i").agg(F.count(F.lit(1)).alias("_times")).join(places, "_i").select(key, "_times")
+    copies = rare.join(times, key).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    return df.filter(F.col(y) != small).unionByName(copies.select(*df.columns))
 
 
 def fit_lr(train: DataFrame, apply_to: DataFrame, features: str = "features", c: float = 0.5, y: str = "y") -> DataFrame:
@@ -277,7 +278,8 @@ def features_of(heads: DataFrame, top: DataFrame, keys: tuple[str, ...], shallow
 
 def sweep(train_heads: DataFrame, test_heads: DataFrame, grid: dict[str, tuple], default: dict, detectors: tuple[str, ...] = ("lr_raw",), shallow: DataFrame | None = None, keys: tuple[str, ...] = ("idx",), **how) -> DataFrame:
     """axis, cell, detector, auroc: one axis (topk, c, hidden) at a time around the default. Head AUCs are worked out once."""
-    order = head_ranking(head_lda_auc(train_heads), max([default["topk"], *grid.get("topk", ())]), None).cache()
+    order = head_ranking(head_lda_auc(train_heads), max([default["topk"], *grid.get("topk", ())]), None)
+    order = order.sparkSession.createDataFrame(order.collect(), order.schema)  # the chosen heads
     out = None
     for axis, value in [("default", "default"), *[(a, v) for a, values in grid.items() for v in values]]:
         at = default if axis == "default" else default | {axis: value}

@@ -1,8 +1,8 @@
 """Tie-exact rank metrics. y is 1 for a right answer; a high score says right, so the lowest scores are reviewed first.
 
 Everything starts from tie groups: one row for each distinct score of a group, with its counts. That shrinks saturated scores to a few rows before
-anything is ordered. Prefix sums over tie groups run in one window for each group, or, for groups too large for one task, in buckets
-of scores: totals of the buckets give offsets, and the buckets are ordered in parallel. Ties share a bucket, so results are the same.
+anything is ordered. No group is ordered in one task: tie groups are cut at approximate quantiles of their scores into BUCKETS buckets, totals of
+the buckets give offsets, and the buckets are ordered in parallel. Ties share a bucket, so results are exact.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 BUDGETS = (0.02, 0.05, 0.075, 0.10, 0.125, 0.15, 0.20)
 COVERAGES = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5)
+#: Parts that the tie groups of one group are ordered in.
+BUCKETS = 16
 Z95 = 1.959963984540054
 _GAMMA = 0.5772156649015329
 
@@ -24,26 +26,28 @@ def tie_groups(df: DataFrame, by: list[str], score: str = "score", y: str = "y",
     return g.filter("n > 0").withColumn("wrong", F.col("n") - F.col("pos"))
 
 
-def with_running(cells: DataFrame, by: list[str], descending: bool = False, values: tuple[str, ...] = ("n", "pos", "wrong"), buckets: int = 1, order: str = "score") -> DataFrame:
-    """`cells` with {v}_before (sums over the cells before, in order of score) and {v}_all of each value.
+def beside(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """`left` with the other columns of `right` (one row for each value of `by`, nulls included; one row in all if `by` is empty)."""
+    if not by:
+        return left.join(F.broadcast(right))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
+    return left.alias("l").join(right.alias("r"), same).select("l.*", *[F.col(f"r.{c}") for c in right.columns if c not in by])
 
-    buckets > 1: the cells of a group are cut at its approximate quantiles of score into so many parts, which are ordered in parallel.
-    """
+
+def with_running(cells: DataFrame, by: list[str], descending: bool = False, values: tuple[str, ...] = ("n", "pos", "wrong"), buckets: int = BUCKETS, order: str = "score") -> DataFrame:
+    """`cells` with {v}_before (sums over the cells before, in order of score) and {v}_all of each value. The cells of a group are ordered in `buckets` parts."""
     key = F.col(order).desc() if descending else F.col(order).asc()
-    if buckets <= 1:
-        w = Window.partitionBy(*by)
-        before = w.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-        return cells.withColumns({f"{v}_before": F.coalesce(F.sum(v).over(before), F.lit(0)) for v in values} | {f"{v}_all": F.sum(v).over(w) for v in values})
-    cuts = cells.groupBy(*by).agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)]).alias("_cuts"))
-    cells = cells.join(cuts, by) if by else cells.join(F.broadcast(cuts))
-    cells = cells.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
-    totals = cells.groupBy(*by, "_bucket").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    by = list(by)
+    cuts = cells.groupBy(*by).agg(F.percentile_approx(order, [i / buckets for i in range(1, max(2, buckets))], 1000).alias("_cuts"))
+    bucket = sum((F.coalesce((F.get("_cuts", F.lit(i)) < F.col(order)).cast("int"), F.lit(0)) for i in range(max(1, buckets - 1))), F.lit(0))
+    dealt = beside(cells, cuts, by).withColumn("_bucket", bucket).drop("_cuts")
+    totals = dealt.groupBy(*by, "_bucket").agg(*[F.sum(v).alias(f"_{v}") for v in values])
     bucket_order = Window.partitionBy(*by).orderBy(F.col("_bucket").desc() if descending else F.col("_bucket"))
     before = bucket_order.rowsBetween(Window.unboundedPreceding, -1)
     sums = {f"_{v}_offset": F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)) for v in values} | {f"{v}_all": F.sum(f"_{v}").over(Window.partitionBy(*by)) for v in values}
     offsets = totals.withColumns(sums).drop(*[f"_{v}" for v in values])  # at most `buckets` rows a group
     inner = Window.partitionBy(*by, "_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    out = cells.join(offsets, [*by, "_bucket"])
+    out = beside(dealt, offsets, [*by, "_bucket"])
     out = out.withColumns({f"{v}_before": F.coalesce(F.sum(v).over(inner), F.lit(0)) + F.col(f"_{v}_offset") for v in values})
     return out.drop("_bucket", *[f"_{v}_offset" for v in values])
 
@@ -55,14 +59,14 @@ def harmonic(n: Column) -> Column:
     return F.when(n <= 128, summed).otherwise(F.log(x) + _GAMMA + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x))
 
 
-def auroc(df: DataFrame, by: list[str], score: str = "score", y: str = "y", weight: str | None = None, buckets: int = 1) -> DataFrame:
+def auroc(df: DataFrame, by: list[str], score: str = "score", y: str = "y", weight: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """auroc: the probability that a right answer scores above a wrong one, ties counting half; null with a single class."""
     cells = with_running(tie_groups(df, by, score, y, weight), by, values=("pos", "wrong"), buckets=buckets)
     pairs = F.sum(F.col("pos") * (F.col("wrong_before") + F.col("wrong") / 2))
     return cells.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("wrong").alias("n_wrong"), pairs.alias("_p")).select(*by, F.try_divide(F.col("_p"), F.col("n_pos").cast("double") * F.col("n_wrong")).alias("auroc"))
 
 
-def rank_metrics(df: DataFrame, by: list[str], score: str = "score", y: str = "y", weight: str | None = None, buckets: int = 1) -> DataFrame:
+def rank_metrics(df: DataFrame, by: list[str], score: str = "score", y: str = "y", weight: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """n, n_wrong, auroc, ap (average precision of wrong answers, tied blocks at once) and aurc (mean risk over all coverages, ties in expectation)."""
     c = with_running(tie_groups(df, by, score, y, weight), by, buckets=buckets)
     seen, hit = F.col("n_before") + F.col("n"), F.col("wrong_before") + F.col("wrong")
@@ -135,6 +139,22 @@ def verdict_point(test: DataFrame, by: list[str], y: str = "y", pred: str = "ver
     )
 
 
+def error_detection(train: DataFrame, test: DataFrame, by: list[str], score: str = "error_score", y: str = "y", pred: str = "verdict_yes") -> DataFrame:
+    """A row a group, the report of error detection at the judge's own precision: the target and the threshold found on train; on test the detector's
+    recall and precision at that frozen threshold with the interval of its recall, the best recall that any threshold of test would have had, and the judge's
+    recall with its interval, precision, and the difference of both recalls. Without a threshold the detector's columns are null."""
+    goal = verdict_point(train, by, y, pred).select(*by, F.col("precision").alias("target"))
+    frozen = threshold_at_precision(train, goal, by, score, y)
+    point = operating_point(test, frozen, by, score, y).select(*by, "n_flagged", "recall", "precision")
+    judge = verdict_point(test, by, y, pred).select(*by, F.col("recall").alias("judge_recall"), F.col("precision").alias("judge_precision"))
+    wrong = test.groupBy(*by).agg(F.count_if(F.col(y) == 0).alias("n_wrong"), F.count(F.lit(1)).alias("n"))
+    out = wrong.join(goal, by, "left").join(frozen, by, "left").join(point, by, "left").join(oracle_recall(test, goal, by, score, y), by, "left").join(judge, by, "left")
+    ends = {}
+    for name in ("recall", "judge_recall"):
+        ends[f"{name}_low"], ends[f"{name}_high"] = wilson_interval(F.round(F.col(name) * F.col("n_wrong")), F.when(F.col(name).isNotNull(), F.col("n_wrong")))
+    return out.withColumns(ends | {"recall_difference": F.col("recall") - F.col("judge_recall")})
+
+
 def wilson_interval(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     """(low, high) of k of n, within 0 to 1 and around k / n; null for n = 0."""
     n, p = n.cast("double"), F.try_divide(k.cast("double"), n)
@@ -155,7 +175,7 @@ def budget_rank(n: Column, share: Column) -> Column:
     return F.greatest(F.lit(1), F.least(n - 1, F.floor(share * n + 0.5))).cast("long")
 
 
-def budget_metrics(df: DataFrame, by: list[str], score: str = "score", y: str = "y", budgets: tuple[float, ...] = BUDGETS, buckets: int = 1, weight: str | None = None) -> DataFrame:
+def budget_metrics(df: DataFrame, by: list[str], score: str = "score", y: str = "y", budgets: tuple[float, ...] = BUDGETS, buckets: int = BUCKETS, weight: str | None = None) -> DataFrame:
     """For each budget: reviewed (the lowest m), recall of wrong answers, and residual_risk among the rest; ties in expectation."""
     cells = with_running(tie_groups(df, by, score, y, weight), by, buckets=buckets)
     ranks = F.transform(F.array(*map(F.lit, budgets)), lambda b: F.struct(b.alias("label"), budget_rank(F.col("n_all"), b).alias("m")))

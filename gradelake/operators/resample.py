@@ -26,24 +26,39 @@ def draw_hash(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+#: Leading hexadecimal digits of the order hash that cut a group into ranges to be numbered.
+_DIGITS = 3
+
+
+def numbered(units: DataFrame, group: list[str], unit: str) -> DataFrame:
+    """`units` (distinct, in groups) with _i, their place from 0 in a hashed order of their group, and _n, its size. A group is numbered in 4096 ranges, in parallel."""
+    order = F.md5(F.col(unit).cast("string"))
+    at = units.withColumns({"_order": order, "_range": F.conv(F.substring(order, 1, _DIGITS), 16, 10).cast("int")})
+    sizes = at.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    w = Window.partitionBy(*group)
+    before = w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*group, "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_first"), F.sum("_rows").over(w).alias("_n"))
+    same = [F.col(f"u.{c}").eqNullSafe(F.col(f"s.{c}")) for c in group] + [F.col("u._range") == F.col("s._range")]
+    nth = F.row_number().over(Window.partitionBy(*group, "_range").orderBy("_order", unit)) - 1
+    placed = at.withColumn("_nth", nth).alias("u").join(sizes.alias("s"), same)
+    return placed.select(*[F.col(f"u.{c}").alias(c) for c in units.columns], (F.col("_first") + F.col("_nth")).alias("_i"), "_n")
+
+
 def bootstrap_weights(df: DataFrame, n_boot: int, seed: int, unit: str = "idx", by: tuple[str, ...] = ("run",), strata: str | None = None) -> DataFrame:
     """(by, b, unit, w): how often each unit is drawn in replicate b, with replacement; units not drawn are left out.
 
     Units are rows, or clusters where `unit` names one that rows share. With strata as many are drawn of each class as it has. Draws depend on
-    seed, b, stratum and position alone, so detectors that are compared see the same. Units of a group are numbered by one window: for groups too large
-    for a task take `poisson_weights` or `paired_intervals`.
+    seed, b, stratum and position in a hashed order alone, so detectors that are compared see the same. A draw is a row until it is counted; for very large
+    groups `poisson_weights` and `paired_intervals` need none.
     """
     group = [*by, *([strata] if strata else [])]
-    units = df.select(*group, unit).distinct()
-    numbered = units.withColumns(
-        {"_n": F.count(F.lit(1)).over(Window.partitionBy(*group)), "_i": F.row_number().over(Window.partitionBy(*group).orderBy(unit)) - 1}
-    )
+    placed = numbered(df.select(*group, unit).distinct(), group, unit)
     label = F.col(strata).cast("string") if strata else F.lit("all")
     b = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")
-    draws = numbered.select(*group, "_n", F.col("_i").alias("_j"), b)
-    picked = draws.withColumn("_i", F.pmod(draw_hash(seed, F.col("b"), label, F.col("_j")), F.col("_n")).cast("int"))
+    draws = placed.select(*group, "_n", F.col("_i").alias("_j"), b)
+    picked = draws.withColumn("_i", F.pmod(draw_hash(seed, F.col("b"), label, F.col("_j")), F.col("_n")))
     counts = picked.groupBy(*group, "b", "_i").agg(F.count(F.lit(1)).alias("w"))
-    return counts.join(numbered.select(*group, "_i", unit), [*group, "_i"]).select(*group, "b", unit, "w")
+    return counts.join(placed.select(*group, "_i", unit), [*group, "_i"]).select(*group, "b", unit, "w")
 
 
 def poisson_weights(df: DataFrame, n_boot: int, seed: int, unit: str = "idx", by: tuple[str, ...] = ("run",)) -> DataFrame:
@@ -161,16 +176,28 @@ def metric_names(budgets: tuple[float, ...]) -> list[str]:
     return ["auroc", "ap", "aurc", *[f"{m}_{b:g}" for b in budgets for m in ("recall", "residual_risk")]]
 
 
+def drawn_intervals(df: DataFrame, a: str, b: str, n_boot: int, seed: int, budgets: tuple[float, ...] = BUDGETS, run: str = "run") -> DataFrame:
+    """The columns of `paired_intervals` from rows drawn one by one: for any number of distinct scores."""
+    d = df.withColumnRenamed(run, "run")
+    whole = paired_bootstrap(d, a, b, n_boot, seed)
+    at = paired_budget_bootstrap(d, a, b, n_boot, seed, budgets=budgets)
+    values = [F.max(F.when(F.abs(F.col("budget") - x) < 1e-12, F.col(m))).alias(f"{m}_{x:g}") for x in budgets for m in ("recall", "residual_risk")]
+    wide = at.groupBy("run", "b").agg(*values)
+    out = whole.join(wide, ["run", "b"], "left")
+    return out.select("run", F.col("b").cast("long").alias("b"), *[F.coalesce(F.col(f"`{m}`"), F.lit(float("nan"))).alias(m) for m in metric_names(budgets)])
+
+
 def paired_intervals(df: DataFrame, a: str, b: str, n_boot: int = 2000, seed: int = 0, budgets: tuple[float, ...] = BUDGETS, run: str = "run") -> DataFrame:
     """(run, b, metrics): differences of a and b in class-stratified replicates, each drawn as cell counts.
 
-    The cells of a run are the distinct (a, b, y) with their counts, checked to be at most MAX_CELLS and sent to all tasks; replicates are
-    spread over tasks. A replicate's draw depends on seed, run and its number alone.
+    The cells of a run are the distinct (a, b, y) with their counts; up to MAX_CELLS they are sent to all tasks and replicates are
+    spread over tasks. A replicate's draw depends on seed, run and its number alone. Beyond, rows are drawn one by one and all is summed by
+    Spark: other draws of the same law.
     """
     spark = df.sparkSession
     cells = df.groupBy(run, F.col(a).alias("_a"), F.col(b).alias("_b"), F.col("y").cast("int").alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
-    if (size := cells.count()) > MAX_CELLS:
-        raise ValueError(f"{size} distinct cells; round the scores, or use paired_bootstrap")
+    if cells.limit(MAX_CELLS + 1).count() > MAX_CELLS:
+        return drawn_intervals(df, a, b, n_boot, seed, budgets, run)
     table = spark.sparkContext.broadcast({k: g for k, g in cells.toPandas().groupby(run)})
     names = metric_names(budgets)
 

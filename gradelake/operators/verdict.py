@@ -62,17 +62,17 @@ def compare_verdict_rules(tokens: DataFrame, items: DataFrame, windows: tuple[in
     """For each rule and window: auroc, ap, the train threshold for precision `target` and its recall and precision on test, how many p_yes are
     saturated or have no mass, and how many records move by more than 0.001 against the prefix rule in the first window.
 
-    items: idx, split, y. All cells are rows of one table, so every metric is one pass over it.
+    items: idx, split, y. The tokens are read once, for all rules and windows together.
     """
-    cells = None
-    for rule in RULES:
-        for w in windows:
-            c = verdict_mass(tokens, rule, w).select("idx", "p_yes", F.lit(rule).alias("rule"), F.lit("full" if w is None else str(w)).alias("window"))
-            cells = c if cells is None else cells.unionByName(c)
+    named = [("full" if w is None else str(w), w) for w in windows]
+    classes = {r: classify_token("text", r) for r in RULES}
+    mass = lambda r, w, k: F.sum(F.when((classes[r] == k) & (F.lit(True) if w is None else F.col("rank") <= w), F.col("prob")).otherwise(0.0))
+    sums = tokens.groupBy("idx").agg(*[mass(r, w, k).alias(f"{r}_{n}_{k}") for r in RULES for n, w in named for k in ("yes", "no")])
+    each = [F.struct(F.lit(r).alias("rule"), F.lit(n).alias("window"), p_yes(F.col(f"{r}_{n}_yes"), F.col(f"{r}_{n}_no")).alias("p_yes")) for r in RULES for n, _ in named]
+    cells = sums.select("idx", p_yes(F.col(f"{RULES[0]}_{named[0][0]}_yes"), F.col(f"{RULES[0]}_{named[0][0]}_no")).alias("_first"), F.explode(F.array(*each)).alias("c"))
+    cells = cells.select("idx", "_first", "c.*")
     by = ["rule", "window"]
     d = cells.join(items.select("idx", "split", "y"), "idx").withColumn("error_score", 1 - F.col("p_yes"))
-    first = d.filter((F.col("rule") == RULES[0]) & (F.col("window") == ("full" if windows[0] is None else str(windows[0])))).select("idx", F.col("p_yes").alias("_first"))
-    d = d.join(first, "idx", "left")
     test = d.filter(F.col("split") == "test")
     goal = d.select(*by).distinct().withColumn("target", F.lit(target))
     thr = threshold_at_precision(d.filter(F.col("split") == "train"), goal, by)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradelake.functions import answers
-from gradelake.functions.prompts import render_prompts, template
+from gradelake.functions.prompts import KINDS, render_every_kind, template
 from gradelake.functions.text import FEATURES, classify_token, shallow_features
 from gradelake.operators import align, grade, perturb, report
 from gradelake.plans.registry import query
@@ -73,10 +73,27 @@ def _sql_text(t: str) -> str:
     return "'" + body.replace("{problem}", "' || problem || '").replace("{solution}", "' || phase1_solution || '") + "'"
 
 
-@query("render_prompts", "idx:l prompt:s", "records", f"""
-SELECT idx, CASE WHEN dataset = 'math' THEN {_sql_text(template('math', 'judge'))} ELSE {_sql_text(template('gsm8k', 'judge'))} END AS prompt FROM records""")
+def prompts_sql() -> str:
+    return " UNION ALL ".join(f"SELECT idx, '{k}' AS kind, CASE WHEN dataset = 'math' THEN {_sql_text(template('math', k))} ELSE {_sql_text(template('gsm8k', k))} END AS prompt FROM p" for k in KINDS)
+
+
+@query("render_prompts", "idx:l kind:s prompt:s", "records", f"WITH p AS (SELECT * REPLACE (CASE WHEN idx % 2 = 0 THEN 'math' ELSE dataset END AS dataset) FROM records) {prompts_sql()}")
+def _(v):
+    r = v.records.withColumn("dataset", F.when(F.col("idx") % 2 == 0, "math").otherwise(F.col("dataset")))
+    return r.select("*", F.explode(F.array(*map(F.lit, KINDS))).alias("kind")).transform(render_every_kind)
+
+
+@query("write_records", "run:s split:s n:l first_idx:l last_idx:l n_missing_gold:l digest:s", "records", """
+SELECT run, split, count(*) AS n, min(idx) AS first_idx, max(idx) AS last_idx, count(*) FILTER (WHERE gold_answer IS NULL) AS n_missing_gold,
+  md5(string_agg(CAST(idx AS VARCHAR) || ':' || coalesce(phase1_answer, ''), ',' ORDER BY idx)) AS digest FROM records GROUP BY run, split""")
 def _(v):
-    return render_prompts(v.records, "judge")
+    # written in partitions and read back
+    path = src.scratch_path(v.spark, "records")
+    src.write_records(v.records.select("idx", "run", "split", "gold_answer", "phase1_answer"), path, ("run", "split"))
+    one = F.struct("idx", F.concat(F.col("idx").cast("string"), F.lit(":"), F.coalesce("phase1_answer", F.lit(""))).alias("t"))
+    back = v.spark.read.schema("idx long, gold_answer string, phase1_answer string, run string, split string").parquet(path)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["t"]), ",")
+    return back.groupBy("run", "split").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.count_if(F.col("gold_answer").isNull()).alias("n_missing_gold"), F.md5(text).alias("digest"))
 
 
 NUMBER = r"([-0-9,]+(?:\.[0-9]+)?)"
@@ -394,10 +411,10 @@ def _(v):
 
 
 @query("template_accuracy", "template:s perturbed_accuracy:d n_items:l original_accuracy:d delta:d", "items", """
-SELECT *, perturbed_accuracy - original_accuracy AS delta FROM (SELECT template, avg(y) AS perturbed_accuracy, count(*) AS n_items FROM items WHERE split = 'test' GROUP BY template) a
-JOIN (SELECT template, avg(y) AS original_accuracy FROM items WHERE split = 'train' GROUP BY template) b USING (template)""")
+SELECT *, perturbed_accuracy - original_accuracy AS delta FROM (SELECT template, avg(y) AS perturbed_accuracy, count(*) AS n_items FROM items WHERE dataset = 'math' GROUP BY template) a
+JOIN (SELECT template, avg(y) AS original_accuracy FROM items WHERE dataset = 'gsm8k' GROUP BY template) b USING (template)""")
 def _(v):
-    return perturb.template_accuracy(v.items.filter("split = 'test'"), v.items.filter("split = 'train'"))
+    return perturb.template_accuracy(v.items.filter("dataset = 'math'"), v.items.filter("dataset = 'gsm8k'"))
 
 
 @query("absent_provenance", "run:s absent:s", "items", """

@@ -117,6 +117,20 @@ def _(v):
     return rank.oracle_recall(errors(v).filter("split = 'test'"), goal(v), ["run"])
 
 
+@query("error_detection", "run:s n:l n_wrong:l target:d threshold:d n_flagged:l recall:d recall_low:d recall_high:d precision:d oracle_recall:d judge_recall:d judge_precision:d recall_difference:d", "items", f"""
+WITH {THRESHOLD}, held AS (SELECT i.*, 1 - score_b AS s, threshold FROM items i LEFT JOIN thr USING (run) WHERE split = 'test'),
+a AS (SELECT run, count(*) AS n, count(*) FILTER (WHERE y = 0)::DOUBLE AS n_wrong, max(threshold) AS threshold, count(*) FILTER (WHERE s >= threshold) AS f, count(*) FILTER (WHERE s >= threshold AND y = 0)::DOUBLE AS h,
+  avg(CASE WHEN y = 0 THEN 1 - verdict_yes END) AS judge_recall, avg(CASE WHEN verdict_yes = 0 THEN 1 - y END) AS judge_precision FROM held GROUP BY run),
+o AS (SELECT run, max(recall) FILTER (WHERE precision >= target) AS oracle_recall FROM curve JOIN goal USING (run) WHERE split = 'test' GROUP BY run),
+r AS (SELECT a.*, goal.target, oracle_recall, CASE WHEN threshold IS NOT NULL THEN h / nullif(n_wrong, 0) END AS recall, CASE WHEN threshold IS NOT NULL THEN h / nullif(f, 0) END AS precision, 1.959963984540054 AS z FROM a LEFT JOIN goal USING (run) LEFT JOIN o USING (run))
+SELECT run, n, n_wrong, target, threshold, CASE WHEN threshold IS NOT NULL THEN f END AS n_flagged, recall, precision, oracle_recall, judge_recall, judge_precision, recall - judge_recall AS recall_difference,
+  greatest(0, least(recall, (recall + z * z / (2 * n_wrong) - z * sqrt(recall * (1 - recall) / n_wrong + z * z / (4 * n_wrong * n_wrong))) / (1 + z * z / n_wrong))) + 0 * recall AS recall_low,
+  least(1, greatest(recall, (recall + z * z / (2 * n_wrong) + z * sqrt(recall * (1 - recall) / n_wrong + z * z / (4 * n_wrong * n_wrong))) / (1 + z * z / n_wrong))) + 0 * recall AS recall_high FROM r""")
+def _(v):
+    e = errors(v)
+    return rank.error_detection(e.filter("split = 'train'"), e.filter("split = 'test'"), ["run"])
+
+
 @query("wilson_interval", "run:s low:d high:d", "items", """
 WITH p AS (SELECT run, count(*)::DOUBLE AS n, avg(y) AS p, 1.959963984540054 AS z FROM items GROUP BY run)
 SELECT run, greatest(0, least(p, (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n))) AS low,
@@ -292,9 +306,9 @@ def draws(seed: int, n_boot: int, table: str, unit: str, stratum: str | None = N
     """SQL of `bootstrap_weights` by run: replicate, unit, w."""
     part, label = (f"run, {stratum}", f"CAST({stratum} AS VARCHAR)") if stratum else ("run", "'all'")
     pick = ", ".join(["run", *([stratum] if stratum else [])])
-    return f"""SELECT u.run, d.b, u.{unit}, count(*) AS w FROM (SELECT *, count(*) OVER (PARTITION BY {part}) AS n, row_number() OVER (PARTITION BY {part} ORDER BY {unit}) - 1 AS i FROM (SELECT DISTINCT {pick}, {unit} FROM {table}) x0) u
+    return f"""SELECT u.run, d.b, u.{unit}, count(*) AS w FROM (SELECT *, count(*) OVER (PARTITION BY {part}) AS n, row_number() OVER (PARTITION BY {part} ORDER BY md5(CAST({unit} AS VARCHAR)), {unit}) - 1 AS i FROM (SELECT DISTINCT {pick}, {unit} FROM {table}) x0) u
   JOIN (SELECT {pick}, b, ('0x' || substr(md5('{seed}:' || CAST(b AS VARCHAR) || ':' || {label} || ':' || CAST(i AS VARCHAR)), 1, 8))::BIGINT % n AS i
-        FROM (SELECT *, count(*) OVER (PARTITION BY {part}) AS n, row_number() OVER (PARTITION BY {part} ORDER BY {unit}) - 1 AS i FROM (SELECT DISTINCT {pick}, {unit} FROM {table}) x1) y, (SELECT unnest(range(0, {n_boot})) AS b) z) d
+        FROM (SELECT *, count(*) OVER (PARTITION BY {part}) AS n, row_number() OVER (PARTITION BY {part} ORDER BY md5(CAST({unit} AS VARCHAR)), {unit}) - 1 AS i FROM (SELECT DISTINCT {pick}, {unit} FROM {table}) x1) y, (SELECT unnest(range(0, {n_boot})) AS b) z) d
   USING ({pick}, i) GROUP BY u.run, d.b, u.{unit}"""
 
 
@@ -309,9 +323,17 @@ def _(v):
     return resample.bootstrap_weights(v.items, 5, 11, strata="y")
 
 
-@query("paired_bootstrap", "run:s b:l auroc:d", "items", f"""
-WITH w AS ({draws(11, 8, "items", "idx", "y")}), d AS (SELECT items.*, w.b, w.w FROM items JOIN w USING (run, idx)), a AS ({weighted_auroc("score_a", "d")}), c AS ({weighted_auroc("score_b", "d")})
-SELECT run, b, a.auroc - c.auroc AS auroc FROM a JOIN c USING (run, b)""")
+def weighted_metrics(score: str) -> str:
+    """SQL of auroc, ap and aurc of d (run, b, score, y, w): the last by a running sum over every copy of a row, each with the mean risk of its tie."""
+    return f"""SELECT run, b, sum(p * (cw - q + q / 2.0)) / nullif(sum(p) * sum(q), 0)::DOUBLE AS auroc, sum(q * cw::DOUBLE / cn) / nullif(sum(q), 0) AS ap,
+      sum(list_sum(list_transform(range(1, n::BIGINT + 1), lambda i: ((tw - cw) + i * q::DOUBLE / n) / ((tn - cn) + i)))) / max(tn) AS aurc
+      FROM (SELECT *, sum(q) OVER o AS cw, sum(n) OVER o AS cn, sum(q) OVER a AS tw, sum(n) OVER a AS tn FROM (SELECT run, b, {score} AS s, sum(w) AS n, sum(w * y) AS p, sum(w * (1 - y)) AS q FROM d GROUP BY ALL) x8
+        WINDOW o AS (PARTITION BY run, b ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY run, b)) x9 GROUP BY run, b"""
+
+
+@query("paired_bootstrap", "run:s b:l auroc:d ap:d aurc:d", "items", f"""
+WITH w AS ({draws(11, 8, "items", "idx", "y")}), d AS (SELECT items.*, w.b, w.w FROM items JOIN w USING (run, idx)), a AS ({weighted_metrics("score_a")}), c AS ({weighted_metrics("score_b")})
+SELECT run, b, a.auroc - c.auroc AS auroc, a.ap - c.ap AS ap, a.aurc - c.aurc AS aurc FROM a JOIN c USING (run, b)""")
 def _(v):
     return resample.paired_bootstrap(v.items, "score_a", "score_b", 8, 11)
 
@@ -355,35 +377,43 @@ def _(v):
 
 
 @query("two_sample_delta", "run:s b:l difference:d", "items", f"""
-WITH even AS (SELECT * FROM items WHERE idx % 2 = 0), odd AS (SELECT * FROM items WHERE idx % 2 = 1), wp AS ({draws(14, 6, "even", "template")}), wr AS ({draws(15, 6, "odd", "idx")}),
-p AS (SELECT even.*, b, w FROM even JOIN wp USING (run, template)), r AS (SELECT odd.*, b, w FROM odd JOIN wr USING (run, idx)),
+WITH perturbed AS (SELECT * FROM items WHERE split = 'test'), reference AS (SELECT * FROM items WHERE split = 'train'), wp AS ({draws(14, 6, "perturbed", "template")}), wr AS ({draws(15, 6, "reference", "idx")}),
+p AS (SELECT perturbed.*, b, w FROM perturbed JOIN wp USING (run, template)), r AS (SELECT reference.*, b, w FROM reference JOIN wr USING (run, idx)),
 a AS ({weighted_auroc("score_a", "p")}), c AS ({weighted_auroc("score_a", "r")}), a2 AS ({weighted_auroc("score_b", "p")}), c2 AS ({weighted_auroc("score_b", "r")})
 SELECT run, b, (a.auroc - c.auroc) - (a2.auroc - c2.auroc) AS difference FROM a JOIN c USING (run, b) JOIN a2 USING (run, b) JOIN c2 USING (run, b)""")
 def _(v):
-    return resample.two_sample_delta(v.items.filter("idx % 2 = 0"), v.items.filter("idx % 2 = 1"), "score_a", 6, 14, minus="score_b")
+    return resample.two_sample_delta(v.items.filter("split = 'test'"), v.items.filter("split = 'train'"), "score_a", 6, 14, minus="score_b")
 
 
-@query("routing_gain_bootstrap", "run:s b:l fraction:d gain_over_random:d", "routing", f"""
-WITH w AS ({draws(16, 4, "routing", "idx")}), d AS (SELECT routing.*, b, w FROM routing JOIN w USING (run, idx)), k AS (SELECT run, b, score, sum(w) AS n, sum(w * (major_ok - greedy_ok)) AS g FROM d GROUP BY ALL),
-c AS (SELECT *, sum(n) OVER x AS cn, sum(g) OVER x AS cg, sum(n) OVER a AS tn, sum(g) OVER a AS tg FROM k WINDOW x AS (PARTITION BY run, b ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY run, b)),
-q AS (SELECT DISTINCT run, b, tn, tg, f AS fraction, floor(f * tn + 0.5) AS m FROM c, (SELECT unnest([0.1, 0.3, 0.5]::DOUBLE[]) AS f) z)
-SELECT q.run, q.b, fraction, coalesce((SELECT cg - g + (m - (cn - n)) * g::DOUBLE / n FROM c WHERE c.run = q.run AND c.b = q.b AND cn - n < m AND m <= cn), 0) / tn - m / tn * tg / tn AS gain_over_random FROM q""")
-def _(v):
-    return resample.routing_gain_bootstrap(v.routing, 4, 16, fractions=(0.1, 0.3, 0.5))
+def weighted_gains(score: str) -> str:
+    """SQL of the gain over random of d (run, b, score, greedy_ok, major_ok, w) at three fractions."""
+    cells = f"""SELECT *, sum(n) OVER x AS cn, sum(g) OVER x AS cg, sum(n) OVER a AS tn, sum(g) OVER a AS tg FROM (SELECT run, b, {score} AS s, sum(w) AS n, sum(w * (major_ok - greedy_ok)) AS g FROM d GROUP BY ALL) k
+      WINDOW x AS (PARTITION BY run, b ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY run, b)"""
+    return f"""SELECT q.run, q.b, fraction, coalesce((SELECT cg - g + (m - (cn - n)) * g::DOUBLE / n FROM ({cells}) c WHERE c.run = q.run AND c.b = q.b AND cn - n < m AND m <= cn), 0) / tn - m / tn * tg / tn AS gain_over_random
+      FROM (SELECT DISTINCT run, b, tn, tg, f AS fraction, floor(f * tn + 0.5) AS m FROM ({cells}) c, (SELECT unnest([0.1, 0.3, 0.5]::DOUBLE[]) AS f) z) q"""
+
 
+ROUTED = f"WITH w AS ({draws(16, 4, 'routing', 'idx')}), d AS (SELECT routing.*, (idx * 37) % 10 / 10.0 AS other, b, w FROM routing JOIN w USING (run, idx))"
 
-PAIRS = "pairs AS (SELECT 'all' AS run, template, a - b AS delta FROM (SELECT template, avg(y) AS a FROM items WHERE idx % 3 = 0 GROUP BY template) x JOIN (SELECT template, avg(y) AS b FROM items WHERE idx % 3 = 1 GROUP BY template) z USING (template))"
 
+@query("routing_gain_bootstrap", "run:s b:l fraction:d gain_over_random:d", "routing", f"{ROUTED} {weighted_gains('score')}")
+def _(v):
+    return resample.routing_gain_bootstrap(v.routing, 4, 16, fractions=(0.1, 0.3, 0.5))
 
-@query("routing_gain_difference", "run:s b:l fraction:d difference:d", "routing")
+
+@query("routing_gain_difference", "run:s b:l fraction:d difference:d", "routing", f"""
+{ROUTED}, x AS ({weighted_gains("score")}), z AS ({weighted_gains("other")}) SELECT run, b, fraction, x.gain_over_random - z.gain_over_random AS difference FROM x JOIN z USING (run, b, fraction)""")
 def _(v):
     d = v.routing.withColumn("other", F.pmod(F.col("idx") * 37, F.lit(10)) / 10)
     return resample.routing_gain_difference(d, "score", "other", 4, 16, fractions=(0.1, 0.3, 0.5))
 
 
+PAIRS = "pairs AS (SELECT 'all' AS run, template, a - b AS delta FROM (SELECT template, avg(y) AS a FROM items WHERE dataset = 'math' GROUP BY template) x JOIN (SELECT template, avg(y) AS b FROM items WHERE dataset = 'gsm8k' GROUP BY template) z USING (template))"
+
+
 @query("template_delta_bootstrap", "b:l mean_delta:d", "items", f"WITH {PAIRS}, w AS ({draws(17, 10, 'pairs', 'template')}) SELECT b, sum(delta * w) / sum(w) AS mean_delta FROM pairs JOIN w USING (run, template) GROUP BY b")
 def _(v):
-    pairs = perturb.template_accuracy(v.items.filter("idx % 3 = 0"), v.items.filter("idx % 3 = 1")).withColumn("run", F.lit("all"))
+    pairs = perturb.template_accuracy(v.items.filter("dataset = 'math'"), v.items.filter("dataset = 'gsm8k'")).withColumn("run", F.lit("all"))
     return resample.template_delta_bootstrap(pairs, 10, 17, by=("run",))
 
 
@@ -422,19 +452,35 @@ def _(v):
     return checks.fixed_budget_table(v.scores)
 
 
-@query("check_risk_identity", "run:s n_budgets:l max_discrepancy:d", "scores", "SELECT run, 7 AS n_budgets, CASE WHEN sum(1 - y) > 0 THEN 0 END AS max_discrepancy FROM scores GROUP BY run")
+@query("check_risk_identity", "run:s n_budgets:l max_discrepancy:d", "scores", f"""
+WITH {BUDGET}, p AS (SELECT run, detector, max(tw)::DOUBLE / max(tn) AS prevalence, max(tn) AS n FROM c GROUP BY ALL)
+SELECT a.run, count(*) AS n_budgets, max(abs((b.residual_risk - a.residual_risk) - p.prevalence * (a.recall - b.recall) / (1 - a.reviewed::DOUBLE / p.n))) AS max_discrepancy
+FROM budgets a JOIN budgets b ON a.run = b.run AND a.budget = b.budget AND a.detector = 'probe' AND b.detector = 'judge' JOIN p ON p.run = a.run AND p.detector = 'probe' GROUP BY a.run""")
 def _(v):
     return checks.check_risk_identity(checks.fixed_budget_table(v.scores), checks.main_metrics(v.scores))
 
 
+@query("check_risk_identity_of_other_scores", "run:s n_budgets:l max_discrepancy:d", "scores", f"""
+WITH {BUDGET}, p AS (SELECT run, detector, max(tw)::DOUBLE / max(tn) AS prevalence, max(tn) AS n FROM c GROUP BY ALL)
+SELECT a.run, count(*) AS n_budgets, max(abs((b.residual_risk - a.residual_risk) - 2 * p.prevalence * (a.recall - b.recall) / (1 - a.reviewed::DOUBLE / p.n))) AS max_discrepancy
+FROM budgets a JOIN budgets b ON a.run = b.run AND a.budget = b.budget AND a.detector = 'probe' AND b.detector = 'judge' JOIN p ON p.run = a.run AND p.detector = 'probe' GROUP BY a.run""")
+def _(v):
+    # a report whose prevalence is wrong: the check must say by how much
+    return checks.check_risk_identity(checks.fixed_budget_table(v.scores), checks.main_metrics(v.scores).withColumn("prevalence", 2 * F.col("prevalence")))
+
+
 @query("check_auroc_identity", "run:s detector:s mean_recall:d from_auroc:d discrepancy:d", "scores", f"""
-WITH {RANKED}, m AS (SELECT run, detector, sum((n - w) * (cw - w + w / 2.0)) / nullif(max(tn - tw) * max(tw), 0)::DOUBLE AS auroc, max(tw)::DOUBLE / max(tn) AS p, max(tn) AS n FROM c GROUP BY ALL)
-SELECT run, detector, p / 2 + (1 - p) * auroc + 1 / (2.0 * n) AS mean_recall, p / 2 + (1 - p) * auroc + 1 / (2.0 * n) AS from_auroc, CASE WHEN auroc IS NOT NULL THEN 0 END AS discrepancy FROM m""")
+WITH {RANKED}, m AS (SELECT run, detector, sum((n - w) * (cw - w + w / 2.0)) / nullif(max(tn - tw) * max(tw), 0)::DOUBLE AS auroc, max(tw)::DOUBLE / max(tn) AS p, max(tn) AS n FROM c GROUP BY ALL),
+v AS (SELECT run, detector, sum(list_sum(list_transform(range(1, n + 1), lambda i: cw - w + i * w::DOUBLE / n))) / nullif(max(tw), 0) / max(tn) AS mean_recall FROM c GROUP BY ALL)
+SELECT run, detector, mean_recall, p / 2 + (1 - p) * auroc + 1 / (2.0 * n) AS from_auroc, abs(mean_recall - (p / 2 + (1 - p) * auroc + 1 / (2.0 * n))) AS discrepancy FROM m JOIN v USING (run, detector)""")
 def _(v):
     return checks.check_auroc_identity(v.scores, ["run", "detector"])
 
 
-@query("check_routing_identity", "run:s max_discrepancy:d", "routing", "SELECT run, 0 AS max_discrepancy FROM routing GROUP BY run")
+@query("check_routing_identity", "run:s max_discrepancy:d", "routing", f"""
+WITH {GAINS}, i AS (SELECT run, major_ok - greedy_ok AS g, row_number() OVER (PARTITION BY run ORDER BY major_ok - greedy_ok DESC, idx) AS i FROM routing),
+a AS (SELECT t.run, fraction, n, greedy + coalesce((SELECT sum(g) FROM i WHERE i.run = t.run AND i.i <= floor(fraction * t.n)), 0)::DOUBLE / n AS items, greedy + (least(floor(fraction * n), repairs) - greatest(0, floor(fraction * n) - (n - breaks))) / n AS closed FROM t, fr)
+SELECT run, max(abs(items - closed)) AS max_discrepancy FROM a GROUP BY run""")
 def _(v):
     return checks.check_routing_identity(v.routing, ["run"])
 
@@ -481,10 +527,16 @@ def _(v):
 
 
 @query("vector_quality", "layer:l n_vectors:l n_not_finite:l peak:d n_beyond:l", "", """
-SELECT layer, count(*) AS n_vectors, 0 AS n_not_finite, max(list_max(list_transform(v, lambda x: abs(x::DOUBLE)))) AS peak, 0 AS n_beyond
-FROM (SELECT embedding[1:32] AS v, 0 AS layer FROM embeddings UNION ALL SELECT embedding[33:64], 1 FROM embeddings) t GROUP BY layer""")
+WITH h AS (SELECT vec_id, embedding[1:32] AS v, 0 AS layer FROM embeddings UNION ALL SELECT vec_id, embedding[33:64], 1 FROM embeddings),
+s AS (SELECT vec_id, layer, v[1]::DOUBLE * CASE WHEN (vec_id + layer) % 11 = 0 THEN 1e9 ELSE 1 END AS a, CASE WHEN (vec_id + layer) % 7 = 0 THEN NULL ELSE v[2]::DOUBLE END AS b, CASE WHEN (vec_id + layer) % 13 = 0 THEN NULL ELSE v[3]::DOUBLE END AS c, v[4:32]::DOUBLE[] AS rest FROM h),
+p AS (SELECT layer, (b IS NULL)::INT + (c IS NULL)::INT AS bad, greatest(abs(a), coalesce(abs(b), 0), coalesce(abs(c), 0), list_max(list_transform(rest, lambda x: abs(x)))) AS peak FROM s)
+SELECT layer, count(*) AS n_vectors, sum(bad) AS n_not_finite, max(peak) AS peak, count(*) FILTER (WHERE peak > 65504) AS n_beyond FROM p GROUP BY layer""")
 def _(v):
-    return probe.vector_quality(v.layers)
+    # vectors with a very large number, with NaN and with minus infinity among them
+    at = F.col("idx") + F.col("layer")
+    x = lambda i: F.element_at("vec", i).cast("double")
+    first = F.array(x(1) * F.when(at % 11 == 0, 1e9).otherwise(1.0), F.when(at % 7 == 0, float("nan")).otherwise(x(2)), F.when(at % 13 == 0, float("-inf")).otherwise(x(3)))
+    return probe.vector_quality(v.layers.withColumn("vec", F.concat(first, F.slice("vec", 4, 29).cast("array<double>"))))
 
 
 @query("head_class_means", "flat_head:l y:l n:l mean_first:d mean_square_first:d", "heads", "SELECT flat_head, y, count(*) AS n, avg(vec[1]::DOUBLE) AS mean_first, avg(vec[1]::DOUBLE * vec[1]) AS mean_square_first FROM heads GROUP BY flat_head, y")
@@ -543,7 +595,7 @@ def _(v):
 
 @query("balance_train", "idx:l y:l n:l", "items", """
 WITH t AS (SELECT * FROM items WHERE split = 'train'), s AS (SELECT y, count(*) AS n FROM t GROUP BY y), f AS (SELECT max(n) AS most, min(n) AS least, arg_min(y, n * 10 + y) AS small FROM s),
-i AS (SELECT idx, y, row_number() OVER (ORDER BY idx) - 1 AS i FROM t, f WHERE y = small), d AS (SELECT ('0x' || substr(md5('9:' || CAST(j AS VARCHAR)), 1, 8))::BIGINT % least AS i FROM (SELECT unnest(range(0, most)) AS j, least FROM f) z)
+i AS (SELECT idx, y, row_number() OVER (ORDER BY md5(CAST(idx AS VARCHAR)), idx) - 1 AS i FROM t, f WHERE y = small), d AS (SELECT ('0x' || substr(md5('9:' || CAST(j AS VARCHAR)), 1, 8))::BIGINT % least AS i FROM (SELECT unnest(range(0, most)) AS j, least FROM f) z)
 SELECT idx, y, count(*) AS n FROM (SELECT idx, y FROM t, f WHERE y <> small UNION ALL SELECT idx, y FROM i JOIN d USING (i)) x GROUP BY idx, y""")
 def _(v):
     return probe.balance_train(v.items.filter("split = 'train'"), 9).groupBy("idx", "y").agg(F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +53,16 @@ def write_records(df: DataFrame, path: str, partition_by: tuple[str, ...] = (),
     (w.partitionBy(*partition_by) if partition_by else w).save(path)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that spark.checkpoint.dir names, which all executors share; only a local session may leave it unset."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="gradelake-")
+    return f"{where.rstrip('/')}/gradelake/{uuid.uuid4().hex}/{name}"
+
+
 def pending_problems(problems: DataFrame, done: DataFrame, retry_failed: bool = False, keys: tuple[str, ...] = ("idx",)) -> DataFrame:
     """Problems that have no record yet; with retry_failed a record with an error is none."""
     finished = done.filter(F.col("error").isNull()) if retry_failed else done

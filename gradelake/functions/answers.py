@@ -146,6 +146,7 @@ def canonical_number(c: str | Column, other_spellings: bool = False) -> Column:
     Plain literals of up to DIGITS digits stay in the JVM. With other_spellings (exponents and whatever else a decimal may be spelled
     like, longer literals) those few go through an Arrow batch; without, they are null.
     """
+    ready = _col(c).rlike(r"^(0|-?[1-9][0-9]{0,26})$")  # most answers: whole numbers as they should be
     t = F.replace(F.btrim(_col(c), F.lit(" \t\n\r\x0b\x0c")), F.lit(","), F.lit(""))
     t = F.when(t.startswith("$"), F.btrim(F.substring(t, 2, 1 << 30), F.lit(" \t\n\r\x0b\x0c"))).otherwise(t)
     plain = t.rlike(_PLAIN) & (F.length(F.regexp_replace(t, "[^0-9]", "")) <= DIGITS)
@@ -153,7 +154,7 @@ def canonical_number(c: str | Column, other_spellings: bool = False) -> Column:
     part = F.regexp_replace(F.regexp_extract(t, r"\.([0-9]*)$", 1), "0+$", "")
     size = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(part == "", "").otherwise(F.concat(F.lit("."), part)))
     made = F.when(size == "0", "0").otherwise(F.concat(F.when(t.startswith("-"), "-").otherwise(""), size))
-    out = F.when(plain, made)
+    out = F.when(ready, _col(c)).when(plain, made)
     return F.coalesce(out, _batched(exact_number)(F.when(~plain, _col(c)))) if other_spellings else out
 
 

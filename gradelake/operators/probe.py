@@ -19,6 +19,8 @@ from gradelake.operators.rank import auroc
 from gradelake.operators.resample import draw_hash, numbered, poisson
 
 RIDGE = 0.01
+#: Rows that a step of a fit reads in one task at least.
+ROWS_A_PART = 8192
 
 
 def explode_heads(df: DataFrame, head_dim: int, vec: str = "vec", layer: str = "layer") -> DataFrame:
@@ -213,11 +215,16 @@ def fit_mlp_ensemble(train: DataFrame, apply_to: DataFrame, seeds: tuple[int, ..
     """A row for each row of `apply_to` and seed: member, score; one hidden layer, fitted on balanced rows. `ensemble` averages the members."""
     t, a = scale_array(train, train, features), scale_array(train, apply_to, features)
     width = train.select(F.size(features)).first()[0]
+    most = 2 * train.count()
     out = None
     for s in seeds:
         rows = balance_train(t, s, y).select(F.col(y).cast("double").alias("label"), array_to_vector(features).alias("_x"))
         mlp = MultilayerPerceptronClassifier(featuresCol="_x", labelCol="label", layers=[width, hidden, 2], seed=s, maxIter=steps, probabilityCol="_p")
-        one = _scored(mlp.fit(rows), a, apply_to, features).withColumn("member", F.lit(s))
+        # every step reads them: in memory, and not in more parts than their number is worth
+        rows = rows.coalesce(max(1, most // ROWS_A_PART)).persist()
+        model = mlp.fit(rows)
+        rows.unpersist()
+        one = _scored(model, a, apply_to, features).withColumn("member", F.lit(s))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -226,6 +233,13 @@ def ensemble(members: DataFrame, keys: tuple[str, ...] = ("idx",), y: str = "y")
     return members.groupBy(*keys).agg(F.first(y).alias(y), F.avg("score").alias("score"))
 
 
+def seed_aucs(members: DataFrame, y: str = "y") -> DataFrame:
+    """member, auroc of each seed's model, with the mean and deviation over seeds on every row."""
+    a = auroc(members, ["member"], y=y)
+    whole = a.agg(F.avg("auroc").alias("mean_auroc"), F.stddev_samp("auroc").alias("sd_auroc"))
+    return a.join(F.broadcast(whole))
+
+
 def shallow_probe(train: DataFrame, apply_to: DataFrame, text: str = "phase1_solution") -> DataFrame:
     """P(right) by the seven shallow features of the text alone."""
     t, a = with_shallow(train, text), with_shallow(apply_to, text)

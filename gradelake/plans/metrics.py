@@ -418,16 +418,31 @@ def _(v):
 
 
 @query("percentile_ci", "run:s n_draws:l mean:d low:d high:d excludes_zero:b", "items", f"""
-WITH w AS ({draws(12, 16, "items", "idx")}), t AS (SELECT run, b, (sum(w * (1 - y) * (score_b <= 0.3)::INT) - sum(w * (1 - y) * (1 - verdict_yes)))::DOUBLE / nullif(sum(w * (1 - y)), 0) AS d FROM items JOIN w USING (run, idx) GROUP BY run, b)
+WITH w AS ({draws(12, 200, "items", "idx")}), t AS (SELECT run, b, (sum(w * (1 - y) * (score_b <= 0.3)::INT) - sum(w * (1 - y) * (1 - verdict_yes)))::DOUBLE / nullif(sum(w * (1 - y)), 0) AS d FROM items JOIN w USING (run, idx) GROUP BY run, b)
 SELECT run, count(d) AS n_draws, avg(d) AS mean, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high, quantile_cont(d, 0.025) > 0 OR quantile_cont(d, 0.975) < 0 AS excludes_zero FROM t GROUP BY run""")
 def _(v):
     d = v.items.withColumns({"flag_a": F.col("score_b") <= 0.3, "flag_b": F.col("verdict_yes") == 0})
-    return resample.percentile_ci(resample.paired_recall_bootstrap(d, "flag_a", "flag_b", 16, 12), "difference", ("run",))
+    return resample.percentile_ci(resample.paired_recall_bootstrap(d, "flag_a", "flag_b", 200, 12), "difference", ("run",))
+
+
+@query("bootstrap_intervals", "run:s metric:s n_draws:l mean:d low:d high:d excludes_zero:b", "items", f"""
+WITH w AS ({draws(11, 20, "items", "idx", "y")}), d AS (SELECT items.*, w.b, w.w FROM items JOIN w USING (run, idx)), a AS ({weighted_metrics("score_a")}), c AS ({weighted_metrics("score_b")}),
+x AS ({weighted_budgets("score_a")}), z AS ({weighted_budgets("score_b")}), l AS (SELECT run, unnest(['auroc', 'ap', 'aurc']) AS metric, unnest([a.auroc - c.auroc, a.ap - c.ap, a.aurc - c.aurc]) AS v FROM a JOIN c USING (run, b)
+  UNION ALL SELECT run, unnest(['recall_', 'residual_risk_']) || budget AS metric, unnest([x.recall - z.recall, x.risk - z.risk]) AS v FROM x JOIN z USING (run, b, budget))
+SELECT run, metric, count(v) AS n_draws, avg(v) AS mean, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high, quantile_cont(v, 0.025) > 0 OR quantile_cont(v, 0.975) < 0 AS excludes_zero FROM l GROUP BY run, metric""")
+def _(v):
+    one = lambda name, c: F.struct(name.alias("metric"), F.col(c).alias("value"))
+    whole = resample.paired_bootstrap(v.items, "score_a", "score_b", 20, 11)
+    at = resample.paired_budget_bootstrap(v.items, "score_a", "score_b", 20, 11, budgets=(0.05, 0.2))
+    long = whole.select("run", F.explode(F.array(*[one(F.lit(m), m) for m in ("auroc", "ap", "aurc")])).alias("pair"))
+    budget = lambda m: F.concat(F.lit(f"{m}_"), F.col("budget").cast("string"))
+    long = long.union(at.select("run", F.explode(F.array(*[one(budget(m), m) for m in ("recall", "residual_risk")])).alias("pair")))
+    return resample.percentile_ci(long.select("run", "pair.*"), "value", ("run", "metric"))
 
 
 @query("paired_intervals", "run:s metric:s mean:d low:d high:d", "items")
 def _(v):
-    d = resample.paired_intervals(v.items, "score_a", "score_b", 200, 1)
+    d = resample.paired_intervals(v.items, "score_a", "score_b", 2000, 1)
     names = resample.metric_names(rank.BUDGETS)
     long = d.select("run", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"`{n}`").alias("value")) for n in names])).alias("x")).select("run", "x.*")
     return resample.percentile_ci(long.filter(~F.isnan("value")), "value", ("run", "metric"))
@@ -442,7 +457,7 @@ def _(v):
 
 @query("main_metrics_intervals", "run:s auroc_difference:d auroc_low:d auroc_high:d ap_low:d ap_high:d aurc_low:d aurc_high:d", "scores")
 def _(v):
-    return checks.with_intervals(checks.main_metrics(v.scores), resample.paired_intervals(v.items, "score_a", "score_b", 200, 1))
+    return checks.with_intervals(checks.main_metrics(v.scores), resample.paired_intervals(v.items, "score_a", "score_b", 2000, 1))
 
 
 @query("fixed_budget_table", "run:s budget:d reviewed:l probe_recall:d judge_recall:d recall_gain:d probe_residual_risk:d judge_residual_risk:d risk_gain:d", "scores", f"""
@@ -623,7 +638,12 @@ def _(v):
 
 @query("fit_mlp_ensemble", "idx:l y:l score:d")
 def _(v):
-    return probe.ensemble(probe.fit_mlp_ensemble(*halves(features(v).drop("text")), seeds=(0, 1), hidden=16, steps=25))
+    return probe.ensemble(probe.fit_mlp_ensemble(*halves(features(v).drop("text"))))
+
+
+@query("seed_aucs", "member:l auroc:d mean_auroc:d sd_auroc:d")
+def _(v):
+    return probe.seed_aucs(probe.fit_mlp_ensemble(*halves(features(v).drop("text"))))
 
 
 @query("fit_raw_and_controlled", "idx:l detector:s y:l score:d")

@@ -86,21 +86,28 @@ def weighted(df: DataFrame, weights: DataFrame, unit: str = "idx") -> DataFrame:
     return df.join(weights, keys)
 
 
+def two_scores(df: DataFrame, a: str, b: str) -> DataFrame:
+    """`df` with _score_a and _score_b, and without columns that are named like those of weights."""
+    return df.withColumns({"_score_a": F.col(f"`{a}`"), "_score_b": F.col(f"`{b}`")}).drop("b", "w")
+
+
 def paired_bootstrap(df: DataFrame, a: str, b: str, n_boot: int, seed: int, by: tuple[str, ...] = ("run",)) -> DataFrame:
     """(by, b, auroc, ap, aurc): the differences of detectors a and b (columns) in class-stratified replicates, drawn row by row."""
+    df = two_scores(df, a, b)
     w = weighted(df, bootstrap_weights(df, n_boot, seed, by=by, strata="y"))
     keys = [*by, "b"]
     one = lambda s: rank_metrics(w, keys, s, weight="w")
-    x, z = one(a), one(b)
+    x, z = one("_score_a"), one("_score_b")
     j = x.alias("x").join(z.alias("z"), keys)
     return j.select(*keys, *[(F.col(f"x.{m}") - F.col(f"z.{m}")).alias(m) for m in ("auroc", "ap", "aurc")])
 
 
 def paired_budget_bootstrap(df: DataFrame, a: str, b: str, n_boot: int, seed: int, by: tuple[str, ...] = ("run",), budgets: tuple[float, ...] = BUDGETS) -> DataFrame:
     """(by, b, budget, recall, residual_risk): the differences at each budget in class-stratified replicates."""
+    df = two_scores(df, a, b)
     w = weighted(df, bootstrap_weights(df, n_boot, seed, by=by, strata="y"))
     keys = [*by, "b"]
-    x, z = (budget_metrics(w, keys, s, budgets=budgets, weight="w").alias(n) for s, n in ((a, "x"), (b, "z")))
+    x, z = (budget_metrics(w, keys, s, budgets=budgets, weight="w").alias(n) for s, n in (("_score_a", "x"), ("_score_b", "z")))
     return x.join(z, [*keys, "budget"]).select(*keys, "budget", *[(F.col(f"x.{m}") - F.col(f"z.{m}")).alias(m) for m in ("recall", "residual_risk")])
 
 
@@ -114,9 +121,10 @@ def paired_recall_bootstrap(df: DataFrame, flag_a: str, flag_b: str, n_boot: int
 
 def cluster_bootstrap(df: DataFrame, a: str, b: str, cluster: str, n_boot: int, seed: int, by: tuple[str, ...] = ("run",)) -> DataFrame:
     """(by, b, difference): AUROC of a less that of b, whole clusters drawn together; null in replicates with a single class."""
+    df = two_scores(df, a, b)
     w = weighted(df, bootstrap_weights(df, n_boot, seed, cluster, by))
     keys = [*by, "b"]
-    x, z = auroc(w, keys, a, weight="w"), auroc(w, keys, b, weight="w")
+    x, z = auroc(w, keys, "_score_a", weight="w"), auroc(w, keys, "_score_b", weight="w")
     return x.alias("x").join(z.alias("z"), keys).select(*keys, (F.col("x.auroc") - F.col("z.auroc")).alias("difference"))
 
 

@@ -146,3 +146,43 @@ def test_two_sample_delta_of_one_score_with_itself_is_zero(spark):
     df = frame(spark, {"r": scores(120, 30, 4)}).withColumn("template", F.col("idx") % 12)
     d = resample.two_sample_delta(df, df, "score", 4, 1, minus="score").collect()
     assert all(r.difference == 0 for r in d)
+
+
+def test_groups_of_null_are_groups(spark):
+    df = spark.createDataFrame([(None, 0.1, 0), (None, 0.9, 1), ("a", 0.5, 1), ("a", 0.7, 0)], "run string, score double, y int")
+    assert {r.run: r.auroc for r in rank.auroc(df, ["run"]).collect()} == {None: 1.0, "a": 0.0}
+    assert {r.run: r.reviewed for r in rank.budget_metrics(df, ["run"], budgets=(0.5,)).collect()} == {None: 1, "a": 1}
+
+
+def test_intervals_beyond_the_cells_that_are_sent(spark, monkeypatch):
+    g = np.random.default_rng(4)
+    y = (g.random(150) < 0.6).astype(int)
+    rows = [("r", i, float(a), float(b), int(c)) for i, (a, b, c) in enumerate(zip(g.random(150) + y, g.random(150), y, strict=True))]
+    df = spark.createDataFrame(rows, "run string, idx long, a double, b double, y int")
+    few = resample.paired_intervals(df, "a", "b", 40, 3, budgets=(0.1,))
+    monkeypatch.setattr(resample, "MAX_CELLS", 20)
+    many = resample.paired_intervals(df, "a", "b", 40, 3, budgets=(0.1,))
+    assert few.columns == many.columns and few.schema["b"].dataType == many.schema["b"].dataType
+    a, b = (np.array([[r[c] for c in ("auroc", "ap", "aurc", "recall_0.1", "residual_risk_0.1")] for r in d.collect()]) for d in (few, many))
+    assert a.shape == b.shape == (40, 5) and np.isfinite(b).all()
+    # two samples of one law
+    assert (np.abs(a.mean(0) - b.mean(0)) < 5 * np.sqrt((a.var(0) + b.var(0)) / 40) + 1e-12).all()
+
+
+def test_numbers_of_units_are_a_permutation(spark):
+    df = spark.createDataFrame([(k, i) for k, n in (("a", 500), ("b", 3), (None, 7)) for i in range(n)], "run string, idx long")
+    got = resample.numbered(df, ["run"], "idx").collect()
+    for k, n in (("a", 500), ("b", 3), (None, 7)):
+        own = [r for r in got if r.run == k]
+        assert sorted(r._i for r in own) == list(range(n)) and {r._n for r in own} == {n}
+
+
+def test_error_detection_report(spark):
+    rows = [("t", i, i / 100, int(i < 70), int(i < 60)) for i in range(100)]
+    train = spark.createDataFrame(rows, "run string, idx long, error_score double, y int, verdict_yes int")
+    test = train.withColumn("error_score", 1 - F.col("error_score"))
+    r = rank.error_detection(train, test, ["run"]).first()
+    assert (r.n, r.n_wrong, r.target, r.threshold) == (100, 30, 0.75, 0.6) and r.n_flagged == 41
+    assert r.recall == 0.0 and r.judge_recall == 1.0 and r.recall_difference == -1.0 and r.oracle_recall is None and r.recall_low == 0.0
+    none = rank.error_detection(train.withColumn("verdict_yes", F.lit(1)), test, ["run"]).first()
+    assert none.threshold is None and none.recall is None and none.recall_low is None and none.judge_recall == 1.0

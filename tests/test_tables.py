@@ -163,3 +163,31 @@ def test_balancing(spark):
     assert n == {0: 80, 1: 80}
     assert {r.idx for r in probe.balance_train(df, 1).filter("y = 0").collect()} == {i for i in range(100) if i % 5}
     assert probe.balance_train(df.filter("y = 1"), 1).count() == 20
+
+
+def test_states_of_originals(spark):
+    from gradelake.operators import perturb
+
+    p = spark.createDataFrame([(" q1 ", "o1", 1), ("q2", "o1", 1), ("q3", "o2", 2), ("q4", "o3", 3), ("q5", "o4", 4), ("q5", "o4", 5)], "question string, original_question string, original_id int")
+    ref = spark.createDataFrame([("o1", True), ("o2 ", True), ("o2", True), ("o4", False), ("o9", True)], "question string, labelable boolean")
+    mapping = perturb.template_map(p)
+    got = {r.original_question: (r.n_perturbed, r.n_reference, r.state) for r in perturb.match_originals(p, ref, mapping).collect()}
+    assert got == {"o1": (2, 1, "matched"), "o2": (1, 2, "duplicated"), "o3": (1, 0, "missing"), "o4": (2, 1, "unlabelable")}
+    assert [r.question for r in mapping.filter("violation").collect()] == ["q5"]
+
+
+def test_prompts_differ_by_dataset_and_kind(spark):
+    from gradelake.functions.prompts import KINDS, render_every_kind, template
+
+    assert len({template(d, k) for d in ("gsm8k", "math") for k in KINDS}) == 10 and template("other", "judge") == template("gsm8k", "judge")
+    df = spark.createDataFrame([("math", k, "P", None) for k in (*KINDS, "other")], "dataset string, kind string, problem string, phase1_solution string")
+    got = {r.kind: r.prompt for r in render_every_kind(df).collect()}
+    assert got["other"] is None and all("P" in got[k] and "boxed" in got[k] for k in KINDS)
+
+
+def test_layers_refuse_another_width(spark, tmp_path):
+    from gradelake.plans.fixtures import Views
+
+    spark.createDataFrame([(1, [0.5] * 63, 1)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    with pytest.raises(Exception, match="another width"):
+        Views(spark, str(tmp_path)).layers.collect()

@@ -30,43 +30,53 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recurring lines of every document. A null or empty text has no lines; rows of one doc_id are one document."""
     return line_dedup.line_table(read(spark, sf_dir, "documents"))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near duplicates of every document. Documents without words, null ones too, are linked with nothing."""
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words and items in every document. A null text has no words; items without words never occur."""
     return decontam.contamination_table(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page. A null or empty html gives an empty text of 0 characters."""
     text = html_extract.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every hundredth vector among all others. Null, empty, zero and not finite vectors take no part."""
     return neighbours.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every document. A null text has size 0; a null source is a source, the last."""
     return mixing.mix_table(read(spark, sf_dir, "documents"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every whole text. A null text counts as empty."""
     return tokens.token_table(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret-like spans of every whole text. A null text counts as empty and has none."""
     return secret_scan.find_secrets(read(spark, sf_dir, "documents"))
 
 
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and place of every document. A null text has no bytes; null ids are hashed like others."""
     return sharding.shard_table(read(spark, sf_dir, "documents"))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text; `und` for one that is null or has no letters."""
     return langid.language_table(read(spark, sf_dir, "documents"))
 
 

@@ -454,8 +454,62 @@ def test_pipeline_stages(spark, tmp_path):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         kept.append({x.doc_id for x in docs.collect()})
     assert kept[0] == {*range(60), 100} and kept[1] == set(range(60)) and kept[2] == set(range(60)) - {1}
+    # the mix: each source's words meet its target
+    before = spark.read.parquet(str(tmp_path / "documents.parquet")).filter(F.col("doc_id").isin(sorted(kept[2]))).collect()
+    sizes = {s: sum(len(x.text.split()) for x in before if x.source == s) for s in ("a", "b")}
+    mixed = {s: sum(len(x.text.split()) for x in docs.collect() if x.source == s) for s in ("a", "b")}
+    want = water(sizes)
+    assert all(0 <= int(want[s]) - mixed[s] <= 1 for s in sizes)
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {x.doc_id for x in out} == kept[3] and len(out) == docs.count()
+    assert sorted(x.size for x in out) == sorted(len(x.text) + 16 for x in docs.collect())
+    for shard in {x.shard for x in out}:
+        assert sorted(x.slot for x in out if x.shard == shard) == list(range(sum(x.shard == shard for x in out)))
+
+
+def test_pipeline_takes_empty_tables_and_other_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(1, "the thing of the and ing tion", "en", "a", 30, 5), (1, "the thing of the and ing tion", "en", "a", 30, 5), (None, "of the thing and more of that", "en", None, 3, 6)] + [(i, "the and ing of thing " * 9 + str(i), "en", "b", 9, i) for i in range(2, 9)]
+    docs = spark.createDataFrame(rows, DOCS + ", `score` int").withColumn("row.x", F.lit("y"))
+    spark.createDataFrame([(1, "something else entirely")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for d in (docs, docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            d = corpus_pipeline.stored(stage(spark, d, str(tmp_path)), "x")
+            assert d.columns == docs.columns
+        assert corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path)).count() == d.count()
+
+
+def test_language_distance_by_definition():
+    r = random.Random(12)
+
+    def ranked(text):
+        words = "".join(c.lower() if c.isalpha() else " " for c in text).split()
+        counts = {}
+        for w in words:
+            padded = f" {w} "
+            for n in (1, 2, 3):
+                for i in range(len(padded) - n + 1):
+                    g = padded[i : i + n]
+                    if g.strip():
+                        counts[g] = counts.get(g, 0) + 1
+        return counts
+
+    def code(g):
+        return sum(ord(c) << 16 * (len(g) - 1 - i) for i, c in enumerate(g))
+
+    def order(text):
+        return [g for g, _ in sorted(ranked(text).items(), key=lambda x: (-x[1], code(x[0])))][: langid.PLACES]
+
+    texts = {k: " ".join("".join(r.choice(a) for _ in range(r.randrange(1, 7))) for _ in range(300)) for k, a in {"x": "abcdé", "y": "cdefß", "z": "efgh"}.items()}
+    profiles = {k: order(t) for k, t in texts.items()}
+    p = langid.Profiles({k: [code(g) for g in v] for k, v in profiles.items()})
+    for _ in range(60):
+        text = "".join(r.choice("abcdefgh Éß1 .") for _ in range(r.randrange(1, 90)))
+        own = order(text)
+        away = {k: sum(abs(v.index(g) - i) if g in v else langid.PLACES for i, g in enumerate(own)) for k, v in profiles.items()}
+        best = min(sorted(away), key=away.get)
+        assert p.predict(text) == ((best, pytest.approx(1 - away[best] / (langid.PLACES * len(own)))) if own else ("und", 0.0))
 
 
 def test_fingerprint_of_text_column_types():

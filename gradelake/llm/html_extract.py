@@ -101,50 +101,45 @@ class Model:
         return out[::-1]
 
 
-def _sums(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis, keepdims=True)
-    return (m + np.log(np.exp(x - m).sum(axis, keepdims=True))).squeeze(axis)
-
-
 def fit(pages: list[tuple[list[Block], list[bool]]], steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY) -> Model:
-    """Maximum penalised likelihood by Adam steps; all sequences advance together, padded at the end. Pages of more than LONGEST blocks are no help."""
-    pages = [p for p in pages if 0 < len(p[0]) <= LONGEST]
+    """Maximum penalised likelihood by Adam steps; all sequences advance together, the longest first. Pages of more than LONGEST blocks are no help."""
+    pages = sorted((p for p in pages if 0 < len(p[0]) <= LONGEST), key=lambda p: -len(p[0]))
     index: dict[str, int] = {}
-    where, feature = [], []
-    longest = max(len(p) for p, _ in pages)
-    label = np.zeros((len(pages), longest), int)
-    real = np.zeros((len(pages), longest), bool)
-    for i, (page, labels) in enumerate(pages):
-        label[i, : len(page)], real[i, : len(page)] = labels, True
-        for t, own in enumerate(page_features(page)):
-            for f in own:
-                where.append(i * longest + t)
-                feature.append(index.setdefault(f, len(index)))
-    where, feature = np.array(where), np.array(feature)
+    rows = [[index.setdefault(f, len(index)) for f in own] for page, _ in pages for own in page_features(page)]
+    x = np.zeros((len(rows), len(index)), np.float32)
+    for i, own in enumerate(rows):
+        x[i, own] = 1
+    length = np.array([len(p) for p, _ in pages])
+    n, longest = len(pages), int(length[0])
+    at = (np.repeat(np.arange(n), length), np.concatenate([np.arange(k) for k in length]))
+    running = [int((length > t).sum()) for t in range(longest)]
+    label = np.zeros((n, longest), int)
+    label[at] = [k for _, labels in pages for k in labels]
+    one = np.eye(2)[label[at]]
+    seen = np.zeros((2, 2))
+    for t in range(longest - 1):
+        np.add.at(seen, (label[: running[t + 1], t], label[: running[t + 1], t + 1]), 1)
     params = [np.zeros((len(index), 2)), np.zeros(2), np.zeros((2, 2))]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    one = np.eye(2)[label] * real[..., None]
-    pairs = real[:, 1:] & real[:, :-1]
-    n = len(pages)
     for k in range(1, steps + 1):
         w, start, step = params
-        s = np.stack([np.bincount(where, w[feature, c], n * longest) for c in (0, 1)], 1).reshape(n, longest, 2)
-        ahead = np.zeros((n, longest, 2))
+        s, ahead, behind = (np.zeros((n, longest, 2)) for _ in range(3))
+        s[at] = x @ w.astype(np.float32)
         ahead[:, 0] = s[:, 0] + start
         for t in range(1, longest):
-            ahead[:, t] = np.where(real[:, t, None], _sums(ahead[:, t - 1, :, None] + step, 1) + s[:, t], ahead[:, t - 1])
-        total = _sums(ahead[:, -1], 1)
-        behind = np.zeros((n, longest, 2))
+            m = running[t]
+            before = ahead[:m, t - 1]
+            ahead[:m, t] = np.logaddexp(before[:, :1] + step[0], before[:, 1:] + step[1]) + s[:m, t]
+        end = ahead[np.arange(n), length - 1]
+        total = np.logaddexp(end[:, 0], end[:, 1])
         joint = np.zeros((2, 2))
         for t in range(longest - 2, -1, -1):
-            onward = s[:, t + 1] + behind[:, t + 1]
-            behind[:, t] = np.where(real[:, t + 1, None], _sums(step + onward[:, None, :], 2), 0)
-            p = np.exp(ahead[:, t, :, None] + step + onward[:, None, :] - total[:, None, None])
-            joint += p[pairs[:, t]].sum(0)
-        marginal = np.exp(ahead + behind - total[:, None, None]) * real[..., None]
-        differ = (one - marginal).reshape(-1, 2)
-        seen = np.stack([np.bincount(label[:, :-1][pairs] * 2 + label[:, 1:][pairs], minlength=4)]).reshape(2, 2)
-        grads = [np.stack([np.bincount(feature, differ[where, c], len(index)) for c in (0, 1)], 1), (one - marginal)[:, 0].sum(0), seen - joint]
+            m = running[t + 1]
+            onward = s[:m, t + 1] + behind[:m, t + 1]
+            behind[:m, t] = np.logaddexp(step[:, 0] + onward[:, :1], step[:, 1] + onward[:, 1:])
+            joint += np.exp(ahead[:m, t, :, None] + step + onward[:, None, :] - total[:m, None, None]).sum(0)
+        differ = one - np.exp(ahead[at] + behind[at] - total[at[0], None])
+        grads = [(x.T @ differ.astype(np.float32)).astype(float), differ[at[1] == 0].sum(0), seen - joint]
         for i, g in enumerate(grads):
             g = g / n - penalty * params[i]
             first[i] = 0.9 * first[i] + 0.1 * g

@@ -38,14 +38,15 @@ def with_running(cells: DataFrame, by: list[str], descending: bool = False, valu
     """`cells` with {v}_before (sums over the cells before, in order of score) and {v}_all of each value. The cells of a group are ordered in `buckets` parts."""
     key = F.col(order).desc() if descending else F.col(order).asc()
     by = list(by)
-    cuts = cells.groupBy(*by).agg(F.percentile_approx(order, [i / buckets for i in range(1, max(2, buckets))], 1000).alias("_cuts"))
+    # the totals go along everywhere, so that all three readings of the cells are the same and share one shuffle of them
+    cuts = cells.groupBy(*by).agg(F.percentile_approx(order, [i / buckets for i in range(1, max(2, buckets))], 1000).alias("_cuts"), *[F.sum(v).alias(f"{v}_all") for v in values])
     bucket = sum((F.coalesce((F.get("_cuts", F.lit(i)) < F.col(order)).cast("int"), F.lit(0)) for i in range(max(1, buckets - 1))), F.lit(0))
     dealt = beside(cells, cuts, by).withColumn("_bucket", bucket).drop("_cuts")
-    totals = dealt.groupBy(*by, "_bucket").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    totals = dealt.groupBy(*by, "_bucket").agg(*[f for v in values for f in (F.sum(v).alias(f"_{v}"), F.min(f"{v}_all").alias(f"_{v}_all"))])
     bucket_order = Window.partitionBy(*by).orderBy(F.col("_bucket").desc() if descending else F.col("_bucket"))
     before = bucket_order.rowsBetween(Window.unboundedPreceding, -1)
-    sums = {f"_{v}_offset": F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)) for v in values} | {f"{v}_all": F.sum(f"_{v}").over(Window.partitionBy(*by)) for v in values}
-    offsets = totals.withColumns(sums).drop(*[f"_{v}" for v in values])  # at most `buckets` rows a group
+    zero = lambda v: F.col(f"_{v}_all") - F.col(f"_{v}_all")
+    offsets = totals.select(*by, "_bucket", *[F.coalesce(F.sum(f"_{v}").over(before), zero(v)).alias(f"_{v}_offset") for v in values])  # at most `buckets` rows a group
     inner = Window.partitionBy(*by, "_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     out = beside(dealt, offsets, [*by, "_bucket"])
     out = out.withColumns({f"{v}_before": F.coalesce(F.sum(v).over(inner), F.lit(0)) + F.col(f"_{v}_offset") for v in values})

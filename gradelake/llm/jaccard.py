@@ -518,9 +518,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """`docs` without near duplicates: of each component the row with the least doc_id stays (of equal ids, one), as do rows without words or doc_id.
+    """`docs` without near duplicates: of each component the row with the least doc_id stays (of equal ids, one). Rows without words or doc_id all stay, repeated ones too.
 
-    Of rows equal in doc_id and text one stays. The same plan at every size: a Bloom filter of the rows that go lets nearly all others pass
+    Of rows with words that are equal in doc_id and text one stays. The same plan at every size: a Bloom filter of the rows that go lets nearly all others pass
     where they are; the few rows that it holds back are shuffled and looked up exactly.
     """
     rows, _, named = joined(docs)

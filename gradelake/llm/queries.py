@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import decontam, html_extract, jaccard, langid, line_dedup, mixing, neighbours, secret_scan, sharding, tokens
+from gradelake.llm import conversations, decontam, html_extract, jaccard, langid, line_dedup, mixing, neighbours, secret_scan, sharding, tokens
 from gradelake.llm.common import small_batches, table
 
 
@@ -80,5 +80,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_table(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_templates, op2_ngram_jaccard, op3_decontaminate, op4_main_text, op5_nearest, op6_mix, op7_token_counts, op8_secrets, op9_shards, op10_language)}
-ORACLE = {"op1_line_templates": line_dedup.LINE_SQL, "op5_nearest": neighbours.NEAREST_SQL, "op6_mix": mixing.MIX_SQL}
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every damaged conversation. Nulls are one space; conversations without rows have zeros."""
+    return conversations.repair_table(read(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_templates, op2_ngram_jaccard, op3_decontaminate, op4_main_text, op5_nearest, op6_mix, op7_token_counts, op8_secrets, op9_shards, op10_language, op11_conversations)}
+ORACLE = {"op1_line_templates": line_dedup.LINE_SQL, "op5_nearest": neighbours.NEAREST_SQL, "op6_mix": mixing.MIX_SQL, "op11_conversations": conversations.REPAIR_SQL}

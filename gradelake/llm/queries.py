@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm import conversations, decontam, html_extract, jaccard, langid, line_dedup, mixing, neighbours, secret_scan, sharding, tokens, warc
+from gradelake.llm import align_tokens, conversations, decontam, html_extract, jaccard, langid, line_dedup, mixing, neighbours, secret_scan, sharding, tokens, warc
 from gradelake.llm.common import small_batches, table
 
 
@@ -90,5 +90,10 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_table(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_templates, op2_ngram_jaccard, op3_decontaminate, op4_main_text, op5_nearest, op6_mix, op7_token_counts, op8_secrets, op9_shards, op10_language, op11_conversations, op12_warc)}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every whole text by two tokenizers, linked. Null, empty and not reproducible texts have none."""
+    return align_tokens.align_table(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_templates, op2_ngram_jaccard, op3_decontaminate, op4_main_text, op5_nearest, op6_mix, op7_token_counts, op8_secrets, op9_shards, op10_language, op11_conversations, op12_warc, op13_alignment)}
 ORACLE = {"op1_line_templates": line_dedup.LINE_SQL, "op5_nearest": neighbours.NEAREST_SQL, "op6_mix": mixing.MIX_SQL, "op11_conversations": conversations.REPAIR_SQL, "op12_warc": warc.ARCHIVE_SQL}

@@ -1,7 +1,7 @@
 """Two tokenizers' tokens of the same texts laid side by side, and how many documents link each pair of ids.
 
 Where tokens of both end at one byte, the text is cut into groups; the tokens of a group are linked with one another. Texts are cut at safe boundaries into short pieces,
-and each distinct piece is encoded and aligned once in a task.
+and each distinct piece of a batch is encoded and aligned once, many of them as one text.
 
 First pass: every Arrow batch of documents becomes a block and gives its distinct pairs with its own document counts. Distinct pairs are dealt by
 hash into segments of about SEGMENT pairs, and each segment gets a minimal perfect hash function (levels of bit arrays: a key's place is the rank of its bit
@@ -13,11 +13,13 @@ Nothing whole is sent to tasks or to the driver but the best count of each id of
 from __future__ import annotations
 
 import functools
+import itertools
 import os
-from collections import Counter
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,8 +31,8 @@ from gradelake.llm.words import mix
 
 #: Distinct pairs of a segment, about; blocks' counts that one task adds up or looks up at once, about; vectors that one task sums.
 SEGMENT, PART_ROWS, FAN = 1 << 15, 1 << 20, 16
-#: Characters of pieces whose alignment a worker remembers.
-CACHE_CHARS = 1 << 21
+#: Distinct pieces that are encoded as one text.
+CHUNK = 2048
 #: A pair of ids is first * BASE + second.
 BASE = 1 << 31
 
@@ -43,7 +45,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class Encoders:
-    """ids of texts by a byte-level .json (first) and a sentencepiece .model (second), and how many bytes each id stands for."""
+    """ids of texts by a byte-level .json (first) and a sentencepiece .model (second), and the bytes each id stands for."""
 
     def __init__(self, first: str, second: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,119 +58,157 @@ class Encoders:
         self.a.no_padding()
         self.b = sentencepiece.SentencePieceProcessor(model_file=second)
         letters = byte_letters()
-        self.a_bytes = {i: bytes(letters[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
+        vocabulary = self.a.get_vocab(with_added_tokens=False)
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for t, i in vocabulary.items():
+            self.a_bytes[i] = bytes(letters[c] for c in t)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(t[3:-1], 16)]) if self.b.is_byte(i) else t.replace("▁", " ").encode() for i, t in enumerate(names)]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in v]) for v in (self.a_bytes, self.b_bytes))
         # a piece may begin wherever a space comes after another character only if no entry has a space after another one
         if any("▁" in t.lstrip("▁") for t in names):
             raise ValueError("the second vocabulary has entries that reach over a space")
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Each text begins with a space, which the second tokenizer adds itself."""
-        first = self.a.encode_batch_fast(texts, add_special_tokens=False)
-        second = self.b.encode([t[1:] for t in texts], num_threads=1)
-        return zip((e.ids for e in first), second, strict=True)
-
-    def groups(self, text: str, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
-        """The ids of both in groups that end at one byte; None if either doesn't give the text back."""
-        x, z = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        data = text.encode()
-        if b"".join(x) != data or b"".join(z) != data:
-            return None
-        out, i, j, from_i, from_j, at_a, at_b = [], 0, 0, 0, 0, 0, 0
-        while i < len(a):
-            at_a += len(x[i])
-            i += 1
-            while j < len(b) and (at_b < at_a or not z[j]):
-                at_b += len(z[j])
-                j += 1
-            if at_a == at_b:
-                out.append((a[from_i:i], b[from_j:j]))
-                from_i, from_j = i, j
-        return out
+    def encode(self, chunks: list[list[str]]) -> Iterator[tuple[list[str], list[int], list[int]]]:
+        """(pieces, ids, ids) of chunks of pieces, each encoded as one text. Pieces that a tokenizer doesn't give back byte by byte are left out.
 
+        Every piece begins with a space; the second tokenizer adds the first space itself.
+        """
+        while chunks:
+            texts = ["".join(c) for c in chunks]
+            again = []
+            for batch, own in zip(balanced(texts), _split(chunks, [len(b) for b in balanced(texts)]), strict=True):
+                first = self.a.encode_batch_fast(batch, add_special_tokens=False)
+                second = self.b.encode([t[1:] for t in batch], num_threads=1)
+                for c, text, e, z in zip(own, batch, first, second, strict=True):
+                    x, data = e.ids, text.encode()
+                    if b"".join(map(self.a_bytes.__getitem__, x)) == data and b"".join(map(self.b_bytes.__getitem__, z)) == data:
+                        yield c, x, z
+                    elif len(c) > 1:
+                        again += [c[: len(c) // 2], c[len(c) // 2 :]]
+            chunks = again
 
-class Piece:
-    """What a piece of text adds to its document: tokens, groups, links, the pairs linked and how often, the groups in writing. ok: both tokenizers give it back."""
 
-    __slots__ = ("ok", "sizes", "keys", "times", "written")
+def _split(items: list, sizes: list[int]) -> Iterator[list]:
+    at = 0
+    for n in sizes:
+        yield items[at : at + n]
+        at += n
 
-    def __init__(self, groups: list[tuple[list[int], list[int]]] | None):
-        self.ok = groups is not None
-        groups = groups or []
-        links: Counter[int] = Counter()
-        keys, times = [], []
-        for a, b in groups:
-            if len(a) * len(b) > 4096:  # by distinct ids at once
-                (x, nx), (z, nz) = (np.unique(v, return_counts=True) for v in (a, b))
-                keys.append((x[:, None].astype(np.int64) * BASE + z).ravel())
-                times.append(np.outer(nx, nz).ravel())
-            else:
-                for p in a:
-                    for q in b:
-                        links[p * BASE + q] += 1
-        keys.append(np.fromiter(links.keys(), np.int64, len(links)))
-        times.append(np.fromiter(links.values(), np.int64, len(links)))
-        self.keys, self.times = np.concatenate(keys), np.concatenate(times)
-        self.sizes = (sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), sum(len(a) * len(b) for a, b in groups))
-        self.written = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
 
+#: Pieces of this form may stand side by side in one text and are encoded as they are alone.
+_PLAIN = re.compile(r" [^\W\d_](?:.*\S)?\Z", re.DOTALL)
 
-class Aligner:
-    """Aligns batches of texts; remembers pieces."""
 
-    def __init__(self, first: str, second: str):
-        self.encoders, self.known, self.chars = Encoders(first, second), {}, 0
+def chunked(cut: list[list[str]]) -> list[list[str]]:
+    """The distinct pieces of texts in chunks that are encoded as one text; those that may not stand beside others (first or last ones of a text) are alone."""
+    odd = {p for c in cut if c for p in (c[0], c[-1]) if not _PLAIN.match(p)}
+    plain = list(dict.fromkeys(itertools.chain.from_iterable(cut)))
+    if odd:
+        plain = [p for p in plain if p not in odd]
+    return [[p] for p in odd] + [plain[at : at + CHUNK] for at in range(0, len(plain), CHUNK)]
 
-    def of(self, texts: list[str | None]) -> tuple[list[list[Piece]], np.ndarray, np.ndarray, np.ndarray]:
-        """(pieces of each text; documents, pairs, times): a row for each pair that a document links. Texts that can't be aligned have no pieces."""
-        cut = [pieces(" " + t) if t else [] for t in texts]
-        new = [p for p in set().union(*cut) if p not in self.known]
-        more = sum(map(len, new))
-        if self.chars + more > CACHE_CHARS:
-            new, self.known, self.chars = list(set().union(*cut)), {}, 0
-            more = sum(map(len, new))
-        self.chars += more
-        for batch in balanced(new):
-            for text, (a, b) in zip(batch, self.encoders.encode(batch), strict=True):
-                self.known[text] = Piece(self.encoders.groups(text, a, b))
-        every = list(set().union(*cut))
-        number = {p: i for i, p in enumerate(every)}
-        made = [self.known[p] for p in every]
-        bad = {i for i, p in enumerate(made) if not p.ok}
-        codes = [[number[p] for p in c] for c in cut]
-        if bad:
-            codes = [[] if not bad.isdisjoint(c) else c for c in codes]
-        docs, at, times = self.pairs(codes, made)
-        return [[made[i] for i in c] for c in codes], docs, at, times
 
-    @staticmethod
-    def pairs(codes: list[list[int]], made: list[Piece]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Aligned:
+    """The distinct pieces of a batch of texts, aligned at once.
+
+    codes: the pieces of each text by number (none if a piece of it can't be aligned). sizes: tokens, tokens, groups and links of each piece. piece, keys, times: a row for
+    each pair of ids that a group of a piece links.
+    """
+
+    def __init__(self, encoders: Encoders, texts: list[str | None]):
+        cut = [pieces(" " + t) if t else [] for t in texts]
+        made, a, b = [], [], []
+        for c, x, z in encoders.encode(chunked(cut)):
+            made += c
+            a.append(np.array(x, np.int64))
+            b.append(np.array(z, np.int64))
+        number = {p: i for i, p in enumerate(made)}
+        codes = [list(map(number.get, c)) for c in cut]
+        self.codes = [[] if None in c else c for c in codes]
         none = np.empty(0, np.int64)
-        sizes = np.array([len(c) for c in codes], np.int64)
-        if not sizes.sum():
-            return none, none, none
-        flat = np.concatenate([np.array(c, np.int64) for c in codes])
-        own, n = np.unique(np.repeat(np.arange(len(codes)), sizes) * len(made) + flat, return_counts=True)
-        doc, piece = np.divmod(own, len(made))
-        lengths = np.array([len(p.keys) for p in made], np.int64)
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        keys, place = np.unique(np.concatenate([p.keys for p in made]), return_inverse=True)
-        times = np.concatenate([p.times for p in made])
-        k = lengths[piece]
-        rows = np.repeat(np.arange(len(own)), k)
-        at = np.arange(len(rows)) - np.repeat(np.cumsum(k) - k, k) + starts[piece][rows]
-        both, where = np.unique(doc[rows] * len(keys) + place[at], return_inverse=True)
-        d, which = np.divmod(both, len(keys))
-        sums = np.zeros(len(both), np.int64)
-        np.add.at(sums, where, times[at] * n[rows])
-        return d, keys[which], sums
+        self.a, self.b = (np.concatenate(v) if v else none for v in (a, b))
+        ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in made])
+        at_a, at_b = np.cumsum(encoders.a_sizes[self.a]), np.cumsum(encoders.b_sizes[self.b])
+        cuts = np.intersect1d(at_a, at_b, assume_unique=True)
+        self.group_a, self.group_b = np.searchsorted(cuts, at_a), np.searchsorted(cuts, at_b)
+        self.owner = np.searchsorted(ends, cuts)
+        self.n_a, self.n_b = (np.bincount(g, minlength=len(cuts)) for g in (self.group_a, self.group_b))
+        self.n_pieces = len(made)
+        self.sizes = np.stack([np.bincount(self.owner, w, self.n_pieces).astype(np.int64) for w in (self.n_a, self.n_b, np.ones(len(cuts)), self.n_a * self.n_b)])
+        self.link()
+
+    def link(self) -> None:
+        from_a, from_b = np.cumsum(self.n_a) - self.n_a, np.cumsum(self.n_b) - self.n_b
+        links = self.n_a * self.n_b
+        few = np.flatnonzero(links <= 4096)
+        k = links[few]
+        g = np.repeat(few, k)
+        r = np.arange(len(g)) - np.repeat(np.cumsum(k) - k, k)
+        keys = [self.a[from_a[g] + r // self.n_b[g]] * BASE + self.b[from_b[g] + r % self.n_b[g]]]
+        piece, times = [self.owner[g]], [np.ones(len(g), np.int64)]
+        for i in np.flatnonzero(links > 4096):  # by distinct ids at once
+            (x, nx), (z, nz) = (np.unique(v[f : f + n], return_counts=True) for v, f, n in ((self.a, from_a[i], self.n_a[i]), (self.b, from_b[i], self.n_b[i])))
+            keys.append((x[:, None] * BASE + z).ravel())
+            times.append(np.outer(nx, nz).ravel())
+            piece.append(np.full(len(keys[-1]), self.owner[i]))
+        self.keys, self.times, self.piece = (np.concatenate(v) for v in (keys, times, piece))
+
+    def flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """(text, piece) of every occurrence."""
+        sizes = [len(c) for c in self.codes]
+        return np.repeat(np.arange(len(sizes)), sizes), np.fromiter(itertools.chain.from_iterable(self.codes), np.int64, sum(sizes))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, texts that link each) of the distinct pairs that the texts link."""
+        doc, piece = self.flat()
+        doc, piece = np.divmod(pd.unique(doc * self.n_pieces + piece), max(1, self.n_pieces))
+        place, keys = pd.factorize(self.keys)
+        order = np.argsort(self.piece, kind="stable")
+        k = np.bincount(self.piece, minlength=self.n_pieces)
+        starts = (np.cumsum(k) - k)[piece]
+        n = k[piece]
+        rows = np.repeat(np.arange(len(piece)), n)
+        at = order[np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + starts[rows]]
+        both = pd.unique(doc[rows] * len(keys) + place[at])
+        n = np.bincount(both % max(1, len(keys)), minlength=len(keys))
+        return keys[n > 0], n[n > 0]
+
+    def totals(self, by_piece: np.ndarray) -> np.ndarray:
+        """Numbers of pieces (rows of values) summed over each text."""
+        doc, piece = self.flat()
+        return np.stack([np.bincount(doc, v[piece], len(self.codes)).astype(np.int64) for v in by_piece])
+
+    def by_piece(self, values: np.ndarray) -> np.ndarray:
+        """Numbers of links' pairs, times how often they are linked, summed over each piece."""
+        return np.bincount(self.piece, values * self.times, self.n_pieces)
+
+    def written(self) -> list[str]:
+        """The groups of each text."""
+        if not len(self.a):
+            return [""] * len(self.codes)
+        last = lambda g: np.append(g[1:] != g[:-1], True)
+        out = np.empty(len(self.a) + len(self.b), object)
+        ends_a, ends_b = last(self.group_a), last(self.group_b)
+        ends_piece = ends_b & np.append(self.owner[self.group_b[1:]] != self.owner[self.group_b[:-1]], True)
+        upto_a, upto_b = np.cumsum(self.n_a), np.cumsum(self.n_b)
+        out[np.arange(len(self.a)) + (upto_b - self.n_b)[self.group_a]] = _numbers(self.a, [ends_a], ",|")
+        out[np.arange(len(self.b)) + upto_a[self.group_b]] = _numbers(self.b, [ends_b, ends_piece], ",;\n")
+        lines = "".join(out.tolist()).split("\n")
+        return [";".join([lines[i] for i in c]) for c in self.codes]
+
+
+def _numbers(ids: np.ndarray, marks: list[np.ndarray], ends: str) -> np.ndarray:
+    """Each id in decimal with one of `ends` after it: the first, or that of the last of `marks` that holds."""
+    distinct, place = np.unique(ids, return_inverse=True)
+    table = np.array([[f"{i}{e}" for e in ends] for i in distinct.tolist()], object)
+    return table[place, sum(m.astype(np.int64) for m in marks)]
 
 
 @functools.cache
-def aligner(first: str, second: str) -> Aligner:
+def encoders(first: str, second: str) -> Encoders:
     """One for each worker process."""
-    return Aligner(first, second)
+    return Encoders(first, second)
 
 
 class PerfectHash:
@@ -301,8 +341,7 @@ def blocks_of(docs: DataFrame, first: str, second: str) -> DataFrame:
             n = b.num_rows
             if not n:
                 continue
-            _, _, keys, _ = aligner(first, second).of(b.column("text").to_pylist())
-            keys, docs = np.unique(keys, return_counts=True)
+            keys, docs = Aligned(encoders(first, second), b.column("text").to_pylist()).pairs()
             lists = [pa.array([None] * n + [x], pa.list_(pa.int64())) for x in (keys, docs)]
             ids, texts = (pa.concat_arrays([b.column(c), pa.nulls(1, b.column(c).type)]) for c in ("doc_id", "text"))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n + 1, block)), ids, texts, *lists], names=["block", "doc_id", "text", "keys", "docs"])
@@ -341,19 +380,20 @@ def aligned(docs: DataFrame, first: str, second: str) -> DataFrame:
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def best_of(ids: np.ndarray) -> np.ndarray:
+        return np.append(sent.value, 0)[np.minimum(ids, len(sent.value))]
+
     def again(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        texts, doc, keys, times = aligner(first, second).of(left.column("text").to_pylist())
+        own = Aligned(encoders(first, second), left.column("text").to_pylist())
         flat = lambda c: right.column(c).combine_chunks().flatten().to_numpy()
         known = flat("keys")
         order = np.argsort(known)
-        counts = flat("counts")[order][np.searchsorted(known[order], keys)] if len(keys) else keys
-        n = len(texts)
-        sizes = np.array([[sum(p.sizes[i] for p in t) for i in range(4)] for t in texts], np.int64).reshape(n, 4)
-        hit, total = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        np.add.at(hit, doc, times * (counts == sent.value[keys // BASE]))
-        np.add.at(total, doc, times * counts)
-        columns = dict(zip(names, [*sizes.T, hit, total], strict=True))
-        return pa.table({"doc_id": left.column("doc_id"), **columns, "groups": pa.array([";".join(p.written for p in t) for t in texts], pa.string())})
+        known, counts = np.append(known[order], -1), np.append(flat("counts")[order], 0)
+        at = np.searchsorted(known[:-1], own.keys)
+        counts = np.where(known[at] == own.keys, counts[at], 0)  # 0: pairs of pieces that only texts without tokens hold
+        linked = [own.by_piece(v) for v in (counts == best_of(own.keys // BASE), counts)]
+        sums = own.totals(np.stack([*own.sizes, *linked]))
+        return pa.table({"doc_id": left.column("doc_id"), **dict(zip(names, sums, strict=True)), "groups": pa.array(own.written(), pa.string())})
 
     shape = f"doc_id {kind}, {', '.join(f'{c} long' for c in names)}, groups string"
     own = blocks.filter("keys is null").select("block", "doc_id", "text")

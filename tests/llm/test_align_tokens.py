@@ -101,6 +101,19 @@ def test_hash_is_minimal_perfect_and_verified(n):
 
 
 def test_long_groups_link_all_pairs():
-    a, b = list(range(70)) * 2, [5, 6] * 40
-    p = align_tokens.Piece([(a, b)])
-    assert p.times.sum() == len(a) * len(b) == p.sizes[3] and len(p.keys) == 140 and set(p.times) == {2 * 40}
+    """Groups of very many links are counted by distinct ids."""
+    own = object.__new__(align_tokens.Aligned)
+    own.a, own.b = np.array([1, *range(70), *range(70), 2]), np.array([9, *[5, 6] * 40, 9])
+    own.n_a, own.n_b, own.owner = np.array([1, 140, 1]), np.array([1, 80, 1]), np.array([0, 1, 1])
+    own.link()
+    got = Counter()
+    for p, k, n in zip(own.piece.tolist(), own.keys.tolist(), own.times.tolist(), strict=True):
+        got[p, *divmod(k, align_tokens.BASE)] += n
+    want = Counter((1, p, q) for p in [*range(70)] * 2 for q in [5, 6] * 40)
+    want.update([(0, 1, 9), (1, 2, 9)])
+    assert got == want
+
+
+def test_pieces_that_do_not_come_back_spoil_only_their_texts():
+    own = align_tokens.Aligned(align_tokens.encoders(A, B), ["some words here", "some words a▁b", "words here"])
+    assert [bool(c) for c in own.codes] == [True, False, True] and own.written()[1] == "" and own.totals(own.sizes)[:, 1].tolist() == [0] * 4

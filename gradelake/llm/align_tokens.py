@@ -3,10 +3,11 @@
 Where tokens of both end at one byte, the text is cut into groups; the tokens of a group are linked with one another. Texts are cut at safe boundaries into short pieces,
 and each distinct piece of a batch is encoded and aligned once, many of them as one text.
 
-First pass: every Arrow batch of documents becomes a block and gives its distinct pairs with its own document counts. Distinct pairs are dealt by
+First pass: documents are taken in blocks, each of which gives its distinct pairs with its own document counts. Distinct pairs are dealt by
 hash into segments of about SEGMENT pairs, and each segment gets a minimal perfect hash function (levels of bit arrays: a key's place is the rank of its bit
 in the first level where it stood alone). Blocks' counts are added up in dense vectors by that hash, parts of blocks side by side, and the vectors are summed as a tree.
-Then blocks look their pairs up, in vectors whose slots hold the key itself and so verify it. Second pass: each block's documents are aligned again beside the block's counts.
+Then blocks look their pairs up, in vectors whose slots hold the key itself and so verify it. Second pass: each block's documents are aligned again beside the
+block's counts, from the tokens of its distinct pieces, which the first pass has kept.
 Nothing whole is sent to tasks or to the driver but the best count of each id of the first vocabulary.
 """
 
@@ -31,6 +32,8 @@ from gradelake.llm.words import mix
 
 #: Distinct pairs of a segment, about; blocks' counts that one task adds up or looks up at once, about; vectors that one task sums.
 SEGMENT, PART_ROWS, FAN = 1 << 15, 1 << 20, 16
+#: Characters of a block's texts, and of its distinct pieces, at most (or one Arrow batch).
+BLOCK_CHARS, DISTINCT_CHARS = 1 << 24, 1 << 22
 #: Distinct pieces that are encoded as one text.
 CHUNK = 2048
 #: A pair of ids is first * BASE + second.
@@ -64,70 +67,88 @@ class Encoders:
             self.a_bytes[i] = bytes(letters[c] for c in t)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(t[3:-1], 16)]) if self.b.is_byte(i) else t.replace("▁", " ").encode() for i, t in enumerate(names)]
+        self.kinds = (*(np.min_scalar_type(len(v)) for v in (self.a_bytes, self.b_bytes)), np.int64)
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in v]) for v in (self.a_bytes, self.b_bytes))
         # a piece may begin wherever a space comes after another character only if no entry has a space after another one
         if any("▁" in t.lstrip("▁") for t in names):
             raise ValueError("the second vocabulary has entries that reach over a space")
 
-    def encode(self, chunks: list[list[str]]) -> Iterator[tuple[list[str], list[int], list[int]]]:
-        """(pieces, ids, ids) of chunks of pieces, each encoded as one text. Pieces that a tokenizer doesn't give back byte by byte are left out.
+    def encode(self, alone: list[str], together: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, ids, bad) of pieces in order, those of `together` many as one text. bad: the numbers of pieces that a tokenizer doesn't give back byte by byte; they have no ids.
 
         Every piece begins with a space; the second tokenizer adds the first space itself.
         """
-        while chunks:
-            texts = ["".join(c) for c in chunks]
-            again = []
-            for batch, own in zip(balanced(texts), _split(chunks, [len(b) for b in balanced(texts)]), strict=True):
-                first = self.a.encode_batch_fast(batch, add_special_tokens=False)
-                second = self.b.encode([t[1:] for t in batch], num_threads=1)
-                for c, text, e, z in zip(own, batch, first, second, strict=True):
-                    x, data = e.ids, text.encode()
-                    if b"".join(map(self.a_bytes.__getitem__, x)) == data and b"".join(map(self.b_bytes.__getitem__, z)) == data:
-                        yield c, x, z
-                    elif len(c) > 1:
-                        again += [c[: len(c) // 2], c[len(c) // 2 :]]
-            chunks = again
-
-
-def _split(items: list, sizes: list[int]) -> Iterator[list]:
-    at = 0
-    for n in sizes:
-        yield items[at : at + n]
-        at += n
+        a: list[list[int]] = []
+        b: list[list[int]] = []
+        bad: list[int] = []
+        chunks = [(i, [p]) for i, p in enumerate(alone)]
+        chunks += [(len(alone) + at, together[at : at + CHUNK]) for at in range(0, len(together), CHUNK)]
+        todo = iter(chunks)
+        for batch in balanced(["".join(c) for _, c in chunks]):
+            first = self.a.encode_batch_fast(batch, add_special_tokens=False)
+            second = self.b.encode([t[1:] for t in batch], num_threads=1)
+            for text, x, z in zip(batch, (e.ids for e in first), second, strict=True):
+                at, c = next(todo)
+                if not self.whole(text, x, z):
+                    x, z, off = self.one_by_one(c)
+                    bad += [at + i for i in off]
+                a.append(x)
+                b.append(z)
+        none = np.empty(0, np.int64)
+        return *(np.concatenate([np.array(x, np.int64) for x in v]) if v else none for v in (a, b)), np.array(bad, np.int64)
+
+    def whole(self, text: str, x: list[int], z: list[int]) -> bool:
+        data = text.encode()
+        return b"".join(map(self.a_bytes.__getitem__, x)) == data and b"".join(map(self.b_bytes.__getitem__, z)) == data
+
+    def one_by_one(self, c: list[str]) -> tuple[list[int], list[int], list[int]]:
+        """The ids of the pieces of a text that didn't come back, and the places of those that are to blame."""
+        a, b, off = [], [], []
+        for i, t in enumerate(c):
+            x, z = self.a.encode(t, add_special_tokens=False).ids, self.b.encode(t[1:])
+            if self.whole(t, x, z):
+                a += x
+                b += z
+            else:
+                off.append(i)
+        return a, b, off
 
 
 #: Pieces of this form may stand side by side in one text and are encoded as they are alone.
 _PLAIN = re.compile(r" [^\W\d_](?:.*\S)?\Z", re.DOTALL)
 
 
-def chunked(cut: list[list[str]]) -> list[list[str]]:
-    """The distinct pieces of texts in chunks that are encoded as one text; those that may not stand beside others (first or last ones of a text) are alone."""
-    odd = {p for c in cut if c for p in (c[0], c[-1]) if not _PLAIN.match(p)}
+def arranged(cut: list[list[str]]) -> tuple[list[str], list[str]]:
+    """The distinct pieces of texts in order: those that may not stand beside others (first or last ones of a text), and the rest."""
+    odd = dict.fromkeys(p for c in cut if c for p in (c[0], c[-1]) if not _PLAIN.match(p))
     plain = list(dict.fromkeys(itertools.chain.from_iterable(cut)))
-    if odd:
-        plain = [p for p in plain if p not in odd]
-    return [[p] for p in odd] + [plain[at : at + CHUNK] for at in range(0, len(plain), CHUNK)]
+    return list(odd), [p for p in plain if p not in odd] if odd else plain
+
+
+def cut_up(texts: list[str | None]) -> list[list[str]]:
+    """Each text, a space before it, in pieces; none of a null or empty one."""
+    return [pieces(" " + t) if t else [] for t in texts]
 
 
 class Aligned:
-    """The distinct pieces of a batch of texts, aligned at once.
+    """The distinct pieces of texts, given as their pieces, aligned at once.
 
     codes: the pieces of each text by number (none if a piece of it can't be aligned). sizes: tokens, tokens, groups and links of each piece. piece, keys, times: a row for
     each pair of ids that a group of a piece links.
     """
 
-    def __init__(self, encoders: Encoders, texts: list[str | None]):
-        cut = [pieces(" " + t) if t else [] for t in texts]
-        made, a, b = [], [], []
-        for c, x, z in encoders.encode(chunked(cut)):
-            made += c
-            a.append(np.array(x, np.int64))
-            b.append(np.array(z, np.int64))
+    def __init__(self, encoders: Encoders, cut: list[list[str]], tokens: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
+        """tokens: what `Encoders.encode` gave for the same texts in the same order, if that is known."""
+        alone, together = arranged(cut)
+        self.tokens = tokens or encoders.encode(alone, together)
+        self.a, self.b, bad = self.tokens
+        made = alone + together
+        if len(bad):
+            off = set(bad.tolist())
+            made = [p for i, p in enumerate(made) if i not in off]
         number = {p: i for i, p in enumerate(made)}
         codes = [list(map(number.get, c)) for c in cut]
         self.codes = [[] if None in c else c for c in codes]
-        none = np.empty(0, np.int64)
-        self.a, self.b = (np.concatenate(v) if v else none for v in (a, b))
         ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in made])
         at_a, at_b = np.cumsum(encoders.a_sizes[self.a]), np.cumsum(encoders.b_sizes[self.b])
         cuts = np.intersect1d(at_a, at_b, assume_unique=True)
@@ -331,23 +352,47 @@ def pair_rows(vectors: DataFrame) -> DataFrame:
     return vectors.select("slots", "counts").mapInArrow(rows, "first long, second long, docs long")
 
 
+BLOCK_COLUMNS = ["block", "place", "doc_id", "text", "keys", "docs", "a", "b", "bad"]
+
+
 def blocks_of(docs: DataFrame, first: str, second: str) -> DataFrame:
-    """block, doc_id, text of every document, and a row for each block with keys and docs (arrays): its distinct pairs and how many of its documents link each."""
+    """block, place, doc_id, text of every document, and as each block's last place a row of keys and docs (arrays: its distinct pairs and how many of its documents
+    link each) and a, b, bad (the tokens of its distinct pieces, as `Encoders.encode` gives them)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            keys, docs = Aligned(encoders(first, second), b.column("text").to_pylist()).pairs()
-            lists = [pa.array([None] * n + [x], pa.list_(pa.int64())) for x in (keys, docs)]
-            ids, texts = (pa.concat_arrays([b.column(c), pa.nulls(1, b.column(c).type)]) for c in ("doc_id", "text"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n + 1, block)), ids, texts, *lists], names=["block", "doc_id", "text", "keys", "docs"])
-            block += 1
+        held: list[pa.RecordBatch] = []
+        cut: list[list[str]] = []
+        distinct: set[str] = set()
+        chars = own_chars = 0
+
+        def closed() -> pa.RecordBatch:
+            n, both = len(cut), encoders(first, second)
+            own = Aligned(both, cut)
+            ids, texts = (pa.concat_arrays([*(b.column(c) for b in held), pa.nulls(1, held[0].column(c).type)]) for c in ("doc_id", "text"))
+            last = [pa.array([None] * n + [x], pa.list_(pa.int64())) for x in own.pairs()]
+            last += [pa.array([None] * n + [x.astype(kind).tobytes()], pa.binary()) for x, kind in zip(own.tokens, both.kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n + 1, block)), pa.array(range(n + 1), pa.int64()), ids, texts, *last], names=BLOCK_COLUMNS)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"block long, doc_id {kind}, text string, keys array<long>, docs array<long>")
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            more = cut_up(texts)
+            new = set(itertools.chain.from_iterable(more)) - distinct
+            size, own_size = sum(len(t or "") for t in texts), sum(map(len, new))
+            if held and (chars + size > BLOCK_CHARS or own_chars + own_size > DISTINCT_CHARS):
+                yield closed()
+                block, held, cut, distinct, chars, own_chars = block + 1, [], [], set(), 0, 0
+                new = set(itertools.chain.from_iterable(more))
+                own_size = sum(map(len, new))
+            held.append(b)
+            cut += more
+            distinct |= new
+            chars, own_chars = chars + size, own_chars + own_size
+        if cut:
+            yield closed()
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"block long, place long, doc_id {kind}, text string, keys array<long>, docs array<long>, a binary, b binary, bad binary")
 
 
 def pair_counts(blocks: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -384,7 +429,11 @@ def aligned(docs: DataFrame, first: str, second: str) -> DataFrame:
         return np.append(sent.value, 0)[np.minimum(ids, len(sent.value))]
 
     def again(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        own = Aligned(encoders(first, second), left.column("text").to_pylist())
+        both = encoders(first, second)
+        left = left.sort_by("place")
+        last = left.slice(left.num_rows - 1).to_pylist()[0]
+        left = left.slice(0, left.num_rows - 1)
+        own = Aligned(both, cut_up(left.column("text").to_pylist()), tuple(np.frombuffer(last[c], k).astype(np.int64) for c, k in zip(("a", "b", "bad"), both.kinds, strict=True)))
         flat = lambda c: right.column(c).combine_chunks().flatten().to_numpy()
         known = flat("keys")
         order = np.argsort(known)
@@ -396,7 +445,7 @@ def aligned(docs: DataFrame, first: str, second: str) -> DataFrame:
         return pa.table({"doc_id": left.column("doc_id"), **dict(zip(names, sums, strict=True)), "groups": pa.array(own.written(), pa.string())})
 
     shape = f"doc_id {kind}, {', '.join(f'{c} long' for c in names)}, groups string"
-    own = blocks.filter("keys is null").select("block", "doc_id", "text")
+    own = blocks.select("block", "place", "doc_id", "text", "a", "b", "bad")
     return own.groupBy("block").cogroup(looked_up(dealt, vectors, n_parts).groupBy("block")).applyInArrow(again, shape)
 
 

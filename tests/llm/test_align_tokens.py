@@ -115,5 +115,5 @@ def test_long_groups_link_all_pairs():
 
 
 def test_pieces_that_do_not_come_back_spoil_only_their_texts():
-    own = align_tokens.Aligned(align_tokens.encoders(A, B), ["some words here", "some words a▁b", "words here"])
+    own = align_tokens.Aligned(align_tokens.encoders(A, B), align_tokens.cut_up(["some words here", "some words a▁b", "words here"]))
     assert [bool(c) for c in own.codes] == [True, False, True] and own.written()[1] == "" and own.totals(own.sizes)[:, 1].tolist() == [0] * 4

@@ -1,8 +1,9 @@
 """Tie-exact rank metrics. y is 1 for a right answer; a high score says right, so the lowest scores are reviewed first.
 
 Everything starts from tie groups: one row for each distinct score of a group, with its counts. That shrinks saturated scores to a few rows before
-anything is ordered. No group is ordered in one task: tie groups are cut at approximate quantiles of their scores into BUCKETS buckets, totals of
-the buckets give offsets, and the buckets are ordered in parallel. Ties share a bucket, so results are exact.
+anything is ordered. Tie groups are moved once more, by group and part, and ordered there. A group of up to PART_CELLS tie groups is one part; a larger one is
+cut at quantiles of its scores into as many parts as it needs, and the parts' totals give offsets. Ties share a part, so results are exact. What the large groups
+add to the cells (cuts, totals, offsets) is broadcast: a few numbers for each PART_CELLS cells of the input.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 
 BUDGETS = (0.02, 0.05, 0.075, 0.10, 0.125, 0.15, 0.20)
 COVERAGES = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5)
-#: Parts that the tie groups of one group are ordered in.
-BUCKETS = 16
+#: Tie groups that one task orders, about.
+PART_CELLS = 1 << 20
+#: Quantiles a large group is cut at, at most, so many of them compared at once; and how finely they are estimated.
+CUTS, CUTS_AT_ONCE, ACCURACY = 4096, 64, 20_000
 Z95 = 1.959963984540054
 _GAMMA = 0.5772156649015329
 
@@ -26,31 +29,46 @@ def tie_groups(df: DataFrame, by: list[str], score: str = "score", y: str = "y",
     return g.filter("n > 0").withColumn("wrong", F.col("n") - F.col("pos"))
 
 
-def beside(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
-    """`left` with the other columns of `right` (one row for each value of `by`, nulls included; one row in all if `by` is empty)."""
-    if not by:
-        return left.join(F.broadcast(right))
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
-    return left.alias("l").join(right.alias("r"), same).select("l.*", *[F.col(f"r.{c}") for c in right.columns if c not in by])
+def beside(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """`left` with the other columns of `right`, which is small and has one row for each value of `by` (nulls included; one row in all if `by` is empty)."""
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by] or F.lit(True)
+    return left.alias("l").join(F.broadcast(right.alias("r")), same, how).select("l.*", *[F.col(f"r.{c}") for c in right.columns if c not in by])
 
 
-def with_running(cells: DataFrame, by: list[str], descending: bool = False, values: tuple[str, ...] = ("n", "pos", "wrong"), buckets: int = BUCKETS, order: str = "score") -> DataFrame:
-    """`cells` with {v}_before (sums over the cells before, in order of score) and {v}_all of each value. The cells of a group are ordered in `buckets` parts."""
+def part_of(score: Column, cuts: Column) -> Column:
+    """How many of the ascending `cuts` lie below the score: first among every CUTS_AT_ONCE-th, then among those in between."""
+    below = lambda x: x < score
+    every = F.filter(cuts, lambda x, i: (i + 1) % CUTS_AT_ONCE == 0)
+    coarse = F.size(F.filter(every, below))
+    return coarse * CUTS_AT_ONCE + F.size(F.filter(F.slice(cuts, coarse * CUTS_AT_ONCE + 1, F.lit(CUTS_AT_ONCE)), below))
+
+
+def with_running(cells: DataFrame, by: list[str], descending: bool = False, values: tuple[str, ...] = ("n", "pos", "wrong"), part_cells: int | None = None, order: str = "score") -> DataFrame:
+    """`cells` with {v}_before (sums over the cells before, in order of score) and {v}_all of each value. part_cells: cells of a part, PART_CELLS if not given.
+
+    Every reading of the cells uses the same columns of them, so that all share one shuffle. No exchange is by the group alone.
+    """
     key = F.col(order).desc() if descending else F.col(order).asc()
-    by = list(by)
-    # the totals go along everywhere, so that all three readings of the cells are the same and share one shuffle of them
-    cuts = cells.groupBy(*by).agg(F.percentile_approx(order, [i / buckets for i in range(1, max(2, buckets))], 1000).alias("_cuts"), *[F.sum(v).alias(f"{v}_all") for v in values])
-    bucket = sum((F.coalesce((F.get("_cuts", F.lit(i)) < F.col(order)).cast("int"), F.lit(0)) for i in range(max(1, buckets - 1))), F.lit(0))
-    dealt = beside(cells, cuts, by).withColumn("_bucket", bucket).drop("_cuts")
-    totals = dealt.groupBy(*by, "_bucket").agg(*[f for v in values for f in (F.sum(v).alias(f"_{v}"), F.min(f"{v}_all").alias(f"_{v}_all"))])
-    bucket_order = Window.partitionBy(*by).orderBy(F.col("_bucket").desc() if descending else F.col("_bucket"))
-    before = bucket_order.rowsBetween(Window.unboundedPreceding, -1)
-    zero = lambda v: F.col(f"_{v}_all") - F.col(f"_{v}_all")
-    offsets = totals.select(*by, "_bucket", *[F.coalesce(F.sum(f"_{v}").over(before), zero(v)).alias(f"_{v}_offset") for v in values])  # at most `buckets` rows a group
-    inner = Window.partitionBy(*by, "_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    out = beside(dealt, offsets, [*by, "_bucket"])
-    out = out.withColumns({f"{v}_before": F.coalesce(F.sum(v).over(inner), F.lit(0)) + F.col(f"_{v}_offset") for v in values})
-    return out.drop("_bucket", *[f"_{v}_offset" for v in values])
+    by, per = list(by), part_cells or PART_CELLS
+    sums = [F.sum(v).alias(f"_{v}_all") for v in values]
+    counts = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("_cells"), *sums)
+    large = counts.filter(F.col("_cells") > per).select(*by, "_cells")  # at most one row for each `per` cells
+    shares = F.split(F.lit(" ".join(str(i / CUTS) for i in range(1, CUTS))), " ").cast("array<double>")  # one literal keeps the plan small
+    quantiles = F.percentile_approx(order, shares, ACCURACY)
+    found = beside(cells, large, by).groupBy(*by).agg(quantiles.alias("_q"), F.max("_cells").alias("_cells"), *sums)
+    parts = F.least(F.lit(CUTS), F.ceil(F.col("_cells") / per)).cast("int")
+    chosen = F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.get("_q", F.floor(i * CUTS / parts).cast("int") - 1))
+    cuts = found.select(*by, F.array_distinct(chosen).alias("_cuts"), *[f"_{v}_all" for v in values])
+    dealt = beside(cells, cuts, by, "left").withColumn("_part", F.when(F.col("_cuts").isNotNull(), F.coalesce(part_of(F.col(order), F.col("_cuts")), F.lit(0)))).drop("_cuts")
+    totals = dealt.filter("_part is not null").groupBy(*by, "_part").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    before = Window.partitionBy(*by).orderBy(F.col("_part").desc() if descending else F.col("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "_part", *[F.sum(f"_{v}").over(before).alias(f"_{v}_offset") for v in values])  # at most CUTS rows a large group
+    own = Window.partitionBy(*by, "_part")
+    inner = own.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda v: F.col(v) - F.col(v)  # noqa: E731  in the type of the value
+    out = beside(dealt, offsets, [*by, "_part"], "left")
+    out = out.withColumns({f"{v}_before": F.coalesce(F.sum(v).over(inner), zero(v)) + F.coalesce(f"_{v}_offset", zero(v)) for v in values} | {f"{v}_all": F.coalesce(f"_{v}_all", F.sum(v).over(own)) for v in values})
+    return out.drop("_part", *[f"_{v}_{x}" for v in values for x in ("offset", "all")])
 
 
 def harmonic(n: Column) -> Column:
@@ -60,16 +78,16 @@ def harmonic(n: Column) -> Column:
     return F.when(n <= 128, summed).otherwise(F.log(x) + _GAMMA + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x))
 
 
-def auroc(df: DataFrame, by: list[str], score: str = "score", y: str = "y", weight: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+def auroc(df: DataFrame, by: list[str], score: str = "score", y: str = "y", weight: str | None = None, part_cells: int | None = None) -> DataFrame:
     """auroc: the probability that a right answer scores above a wrong one, ties counting half; null with a single class."""
-    cells = with_running(tie_groups(df, by, score, y, weight), by, values=("pos", "wrong"), buckets=buckets)
+    cells = with_running(tie_groups(df, by, score, y, weight), by, values=("pos", "wrong"), part_cells=part_cells)
     pairs = F.sum(F.col("pos") * (F.col("wrong_before") + F.col("wrong") / 2))
     return cells.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("wrong").alias("n_wrong"), pairs.alias("_p")).select(*by, F.try_divide(F.col("_p"), F.col("n_pos").cast("double") * F.col("n_wrong")).alias("auroc"))
 
 
-def rank_metrics(df: DataFrame, by: list[str], score: str = "score", y: str = "y", weight: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+def rank_metrics(df: DataFrame, by: list[str], score: str = "score", y: str = "y", weight: str | None = None, part_cells: int | None = None) -> DataFrame:
     """n, n_wrong, auroc, ap (average precision of wrong answers, tied blocks at once) and aurc (mean risk over all coverages, ties in expectation)."""
-    c = with_running(tie_groups(df, by, score, y, weight), by, buckets=buckets)
+    c = with_running(tie_groups(df, by, score, y, weight), by, part_cells=part_cells)
     seen, hit = F.col("n_before") + F.col("n"), F.col("wrong_before") + F.col("wrong")
     above_n = F.col("n_all") - seen
     above_wrong = F.col("wrong_all") - hit
@@ -166,9 +184,14 @@ def wilson_interval(k: Column, n: Column, z: float = Z95) -> tuple[Column, Colum
 
 
 def at_ranks(cells: DataFrame, by: list[str], ranks: Column, name: str, column: str) -> DataFrame:
-    """Cells (with running sums in review order) times `ranks` (array of struct(label, m)), kept where rank m falls into the cell; column: the label's name."""
-    out = cells.withColumn("_r", F.explode(ranks)).withColumns({column: F.col("_r.label"), name: F.col("_r.m")}).drop("_r")
-    return out.filter((F.col("n_before") < F.col(name)) & (F.col(name) <= F.col("n_before") + F.col("n")))
+    """Cells (with running sums in review order) that one of `ranks` (array of struct(label, m)) falls into, a row for each that does; rank 0 is in the first cell.
+
+    Every cell looks for its ranks; only those that hold one go on, so the cells are not multiplied.
+    """
+    first = F.col("n_before") == 0
+    own = F.filter(ranks, lambda r: ((F.col("n_before") < r["m"]) | (first & (r["m"] == 0))) & (r["m"] <= F.col("n_before") + F.col("n")))
+    out = cells.withColumn("_own", own).filter(F.size("_own") > 0)
+    return out.withColumn("_r", F.explode("_own")).withColumns({column: F.col("_r.label"), name: F.col("_r.m")}).drop("_r", "_own")
 
 
 def budget_rank(n: Column, share: Column) -> Column:
@@ -176,9 +199,9 @@ def budget_rank(n: Column, share: Column) -> Column:
     return F.greatest(F.lit(1), F.least(n - 1, F.floor(share * n + 0.5))).cast("long")
 
 
-def budget_metrics(df: DataFrame, by: list[str], score: str = "score", y: str = "y", budgets: tuple[float, ...] = BUDGETS, buckets: int = BUCKETS, weight: str | None = None) -> DataFrame:
+def budget_metrics(df: DataFrame, by: list[str], score: str = "score", y: str = "y", budgets: tuple[float, ...] = BUDGETS, part_cells: int | None = None, weight: str | None = None) -> DataFrame:
     """For each budget: reviewed (the lowest m), recall of wrong answers, and residual_risk among the rest; ties in expectation."""
-    cells = with_running(tie_groups(df, by, score, y, weight), by, buckets=buckets)
+    cells = with_running(tie_groups(df, by, score, y, weight), by, part_cells=part_cells)
     ranks = F.transform(F.array(*map(F.lit, budgets)), lambda b: F.struct(b.alias("label"), budget_rank(F.col("n_all"), b).alias("m")))
     c = at_ranks(cells, by, ranks, "reviewed", "budget")
     caught = F.col("wrong_before") + (F.col("reviewed") - F.col("n_before")) * F.col("wrong") / F.col("n")
@@ -265,8 +288,9 @@ def budget_calibration(lengths: DataFrame, truncated_share: float, shares: tuple
     counts = lengths.groupBy(F.col(length).cast("long").alias("score")).agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("pos"))
     cells = with_running(counts, [], values=("n",))
     want = F.array(*[F.struct(F.lit(q).alias("q"), F.lit((q - (1 - truncated_share)) / truncated_share).alias("within"), F.lit(q > 1 - truncated_share).alias("new")) for q in shares])
-    place = F.least(F.bround(F.col("w.within") * (F.col("n_all") - 1)), F.col("n_all") - 1)
-    hit = cells.withColumn("w", F.explode(want)).filter((F.col("n_before") <= place) & (place < F.col("n_before") + F.col("n")) & F.col("w.new"))
+    place = lambda w: F.least(F.bround(w["within"] * (F.col("n_all") - 1)), F.col("n_all") - 1)
+    own = F.filter(want, lambda w: (F.col("n_before") <= place(w)) & (place(w) < F.col("n_before") + F.col("n")) & w["new"])
+    hit = cells.withColumn("own", own).filter(F.size("own") > 0).withColumn("w", F.explode("own"))
     all_q = lengths.sparkSession.createDataFrame([(float(q),) for q in shares], "q double")
     hit = hit.select(F.col("w.q").alias("q"), F.col("score").alias("raw"))
     return all_q.join(F.broadcast(hit), "q", "left").select("q", "raw", F.pow(F.lit(2.0), F.ceil(F.log2("raw"))).cast("long").alias("rounded"))

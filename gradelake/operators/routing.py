@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.operators.rank import with_running
+from gradelake.operators.rank import at_ranks, with_running
 
 FRACTIONS = tuple(i / 20 for i in range(21))
 
@@ -20,12 +20,9 @@ def gain_cells(df: DataFrame, by: list[str], order: str = "score", greedy: str =
 def routed(df: DataFrame, by: list[str], fractions: tuple[float, ...] = FRACTIONS, order: str = "score", weight: str | None = None, rounding=lambda x: F.floor(x + 0.5), descending: bool = False) -> DataFrame:
     """For each fraction: m routed, and the gain of those m (ties in expectation), with the group's totals."""
     cells = with_running(gain_cells(df, by, order, weight=weight), by, descending, values=("n", "gain", "greedy"))
-    ranks = F.array(*map(F.lit, fractions))
-    out = cells.withColumn("fraction", F.explode(ranks)).withColumn("m", rounding(F.col("fraction") * F.col("n_all")).cast("long"))
-    # m = 0 belongs to the first cell
-    inside = ((F.col("n_before") < F.col("m")) | ((F.col("m") == 0) & (F.col("n_before") == 0))) & (F.col("m") <= F.col("n_before") + F.col("n"))
+    ranks = F.transform(F.array(*map(F.lit, fractions)), lambda f: F.struct(f.alias("label"), rounding(f * F.col("n_all")).cast("long").alias("m")))
     gained = F.col("gain_before") + (F.col("m") - F.col("n_before")) * F.col("gain") / F.col("n")
-    return out.filter(inside).select(*by, "fraction", "m", F.when(F.col("m") == 0, 0.0).otherwise(gained).alias("gained"), "n_all", "gain_all", "greedy_all")
+    return at_ranks(cells, by, ranks, "m", "fraction").select(*by, "fraction", "m", F.when(F.col("m") == 0, 0.0).otherwise(gained).alias("gained"), "n_all", "gain_all", "greedy_all")
 
 
 def routed_accuracy(df: DataFrame, by: list[str], fractions: tuple[float, ...] = FRACTIONS, order: str = "score") -> DataFrame:

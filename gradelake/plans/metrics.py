@@ -37,7 +37,7 @@ WITH p AS (SELECT l_linestatus AS run, (l_returnflag <> 'R')::INT AS y, rank() O
 SELECT run, (sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0) / nullif(sum(y) * sum(1 - y), 0) AS auroc FROM p GROUP BY run""")
 def _(v):
     d = v.lineitem.select(F.col("l_linestatus").alias("run"), (F.col("l_returnflag") != "R").cast("int").alias("y"), F.col("l_extendedprice").alias("score"))
-    return rank.auroc(d, ["run"], buckets=16)
+    return rank.auroc(d, ["run"], part_cells=1 << 14)
 
 
 @query("saturated_metrics", "run:s n:l n_wrong:l auroc:d ap:d aurc:d", "", """

@@ -1,6 +1,8 @@
 """Rank metrics, routing and resampling against plain numpy and their invariants."""
 
 import itertools
+import random
+import re
 
 import numpy as np
 import pytest
@@ -34,9 +36,9 @@ def brute(s, y):
     return (np.mean(pairs) if pairs else None), ap, risk
 
 
-@pytest.mark.parametrize("buckets", [1, 7])
-def test_rank_metrics(spark, buckets):
-    got = {r.run: r for r in rank.rank_metrics(frame(spark, GROUPS), ["run"], buckets=buckets).collect()}
+@pytest.mark.parametrize("part_cells", [None, 1, 7])
+def test_rank_metrics(spark, part_cells):
+    got = {r.run: r for r in rank.rank_metrics(frame(spark, GROUPS), ["run"], part_cells=part_cells).collect()}
     for k, (s, y) in GROUPS.items():
         au, ap, risk = brute(s, y)
         assert got[k].auroc == (None if au is None else pytest.approx(au)) and got[k].ap == (None if ap is None else pytest.approx(ap))
@@ -47,7 +49,7 @@ def test_rank_metrics(spark, buckets):
 
 def test_budgets_and_coverage(spark):
     df = frame(spark, GROUPS)
-    for r in rank.budget_metrics(df, ["run"], budgets=(0.02, 0.1, 0.5), buckets=3).collect():
+    for r in rank.budget_metrics(df, ["run"], budgets=(0.02, 0.1, 0.5), part_cells=3).collect():
         s, y = GROUPS[r.run]
         n, wrong = len(s), (1 - y).sum()
         m = max(1, min(n - 1, int(np.floor(r.budget * n + 0.5))))
@@ -186,3 +188,44 @@ def test_error_detection_report(spark):
     assert r.recall == 0.0 and r.judge_recall == 1.0 and r.recall_difference == -1.0 and r.oracle_recall is None and r.recall_low == 0.0
     none = rank.error_detection(train.withColumn("verdict_yes", F.lit(1)), test, ["run"]).first()
     assert none.threshold is None and none.recall is None and none.recall_low is None and none.judge_recall == 1.0
+
+
+def test_running_sums_in_parts(spark):
+    """Groups of one part and of many, null groups, ties and both directions against a plain loop; the cells are never moved by their group alone."""
+    r = random.Random(8)
+    cells = [(g, float(i), r.randrange(1, 5), r.randrange(3)) for g, n in (("a", 700), ("b", 3), (None, 90)) for i in r.sample(range(2000), n)]
+    df = spark.createDataFrame(cells, "run string, score double, n long, pos long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for down in (False, True):
+            out = rank.with_running(df, ["run"], down, ("n", "pos"), part_cells=10)
+            want = {}
+            for g in ("a", "b", None):
+                seen = [0, 0]
+                own = sorted((c for c in cells if c[0] == g), key=lambda c: c[1], reverse=down)
+                for c in own:
+                    want[g, c[1]] = (*seen, sum(x[2] for x in own), sum(x[3] for x in own))
+                    seen = [seen[0] + c[2], seen[1] + c[3]]
+            assert {(x.run, x.score): (x.n_before, x.pos_before, x.n_all, x.pos_all) for x in out.collect()} == want
+        import io
+        from contextlib import redirect_stdout
+
+        with redirect_stdout(io.StringIO()) as said:
+            rank.with_running(rank.tie_groups(df.withColumn("y", F.col("pos")), ["run"]), ["run"]).explain("simple")
+        plan = said.getvalue()
+        assert "SortMergeJoin" not in plan
+        # every exchange by run alone stands above a partial aggregate, or above totals of parts
+        lines = plan.splitlines()
+        for i, line in enumerate(lines):
+            if "Exchange hashpartitioning(run#" in line and re.search(r"hashpartitioning\(run#\d+, \d+\)", line):
+                assert re.search("partial_|HashAggregate|Project", lines[i + 1]) and "Scan" not in lines[i + 1], line
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_parts_follow_the_number_of_cells(spark):
+    big = spark.range(30_000).select(F.lit("a").alias("run"), F.col("id").cast("double").alias("score"), F.lit(1).cast("long").alias("n"))
+    cuts = spark.range(1).select(F.array(*[F.lit(float(x)) for x in range(200)]).alias("c"), F.array(F.lit(-1.0), F.lit(0.0), F.lit(0.5), F.lit(63.5), F.lit(150.0), F.lit(1e9)).alias("s"))
+    assert cuts.select(F.transform("s", lambda x: rank.part_of(x, F.col("c")))).first()[0] == [0, 0, 1, 64, 150, 200]
+    out = rank.with_running(big, ["run"], values=("n",), part_cells=100)
+    assert out.filter("n_before <> score or n_all <> 30000").count() == 0

@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -21,6 +23,29 @@ from gradelake.operators.resample import draw_hash, numbered, poisson
 RIDGE = 0.01
 #: Rows that a step of a fit reads in one task at least.
 ROWS_A_PART = 8192
+#: Partial sums that one task adds up, and levels of such sums.
+FAN, LEVELS = 64, 3
+#: Features up to which a logistic regression takes Newton steps: their matrix is the square of that.
+NEWTON_FEATURES = 512
+
+
+def tree_sum(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, v: the sums by position of the arrays v (of one length) of each key. parts: keys, _task (the task that gave a row), v. Summed as a tree: FAN rows of a key meet in a task."""
+
+    def add(t: pa.Table) -> pa.Table:
+        v = t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1).sum(0)
+        return pa.table({**{k: t.column(k).slice(0, 1) for k in (*keys, "_task")}, "v": pa.array([v], pa.list_(pa.float64()))})
+
+    for level in range(1, LEVELS + 1):
+        at = F.lit(0).cast("long") if level == LEVELS else F.floor(F.col("_task") / FAN)
+        parts = parts.withColumn("_task", at).groupBy(*keys, "_task").applyInArrow(add, parts.schema)
+    return parts.drop("_task")
+
+
+def column_matrix(c: pa.Array) -> np.ndarray:
+    """The rows of an array column, all of one length."""
+    c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+    return c.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(c), -1)
 
 
 def explode_heads(df: DataFrame, head_dim: int, vec: str = "vec", layer: str = "layer") -> DataFrame:
@@ -41,25 +66,28 @@ def vector_quality(df: DataFrame, vec: str = "vec", layer: str = "layer", limit:
 
 
 def head_statistics(heads: DataFrame, weight: str | None = None) -> DataFrame:
-    """flat_head, y, n, s (sums) and ss (sums of products, row-major) of labelled head vectors (flat_head, y, vec): sums of each task, then of all."""
+    """flat_head, y, n, s (sums) and ss (sums of products, row-major) of labelled head vectors (flat_head, y, vec): sums of each task, then of all as a tree."""
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[int, int], list] = {}
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            for key, g in b.groupby(["flat_head", "y"]):
-                x = np.stack(g["vec"].to_numpy()).astype(float)
-                w = g["w"].to_numpy(float)
-                own = sums.setdefault(key, [0.0, 0.0, 0.0])
-                own[0] += w.sum()
-                own[1] = own[1] + w @ x
-                own[2] = own[2] + (x * w[:, None]).T @ x
-        yield pd.DataFrame([(int(h), int(y), n, s.tolist(), ss.ravel().tolist()) for (h, y), (n, s, ss) in sums.items()], columns=["flat_head", "y", "n", "s", "ss"])
-
-    rows = heads.select("flat_head", F.col("y").cast("int").alias("y"), "vec", (F.col(weight) if weight else F.lit(1)).cast("double").alias("w"))
-    part = rows.mapInPandas(partial, "flat_head long, y int, n double, s array<double>, ss array<double>")
-    add = lambda a, x: F.zip_with(a, x, lambda p, q: F.coalesce(p, F.lit(0.0)) + q)
-    whole = lambda c: F.aggregate(F.collect_list(c), F.array().cast("array<double>"), add)  # noqa: E731  one row of each task
-    return part.groupBy("flat_head", "y").agg(F.sum("n").alias("n"), whole("s").alias("s"), whole("ss").alias("ss"))
+            head, y, w = (b.column(c).to_numpy(zero_copy_only=False) for c in ("flat_head", "y", "w"))
+            x = column_matrix(b.column("vec"))
+            for h, k in set(zip(head.tolist(), y.tolist(), strict=True)):
+                of = (head == h) & (y == k)
+                v, u = x[of], w[of]
+                own = np.concatenate([[u.sum()], u @ v, ((v * u[:, None]).T @ v).ravel()])
+                sums[h, k] = sums[h, k] + own if (h, k) in sums else own
+        if sums:
+            keys = list(sums)
+            columns = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), pa.array([TaskContext.get().partitionId()] * len(keys), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([sums[k] for k in keys], pa.list_(pa.float64()))], names=["flat_head", "y", "_task", "v"])
+
+    rows = heads.select(F.col("flat_head").cast("long").alias("flat_head"), F.col("y").cast("int").alias("y"), "vec", (F.col(weight) if weight else F.lit(1)).cast("double").alias("w"))
+    part = rows.filter("y is not null and vec is not null").mapInArrow(partial, "flat_head long, y int, _task long, v array<double>")
+    d = F.floor(F.sqrt(F.size("v").cast("double"))).cast("int")  # 1 + d + d * d numbers
+    total = tree_sum(part, ["flat_head", "y"])
+    return total.select("flat_head", "y", F.col("v")[0].alias("n"), F.slice("v", F.lit(2), d).alias("s"), F.slice("v", d + 2, d * d).alias("ss"))
 
 
 def head_directions(stats: DataFrame) -> DataFrame:
@@ -86,10 +114,10 @@ def head_lda_auc(heads: DataFrame, weight: str | None = None) -> DataFrame:
     """flat_head, auc: how well the linear discriminant of each head ranks the rows, max(a, 1 - a); 0.5 for a single class."""
     w = F.broadcast(head_directions(head_statistics(heads, weight)))  # one vector a head
     score = F.aggregate(F.zip_with("vec", "w", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    scored = heads.join(w, "flat_head").select("flat_head", "y", score.alias("score"), *([F.col(weight).alias("_w")] if weight else []))
+    # a head of a single class has no direction: all its rows tie, and its AUROC is null
+    scored = heads.join(w, "flat_head").select("flat_head", "y", F.coalesce(score, F.lit(0.0)).alias("score"), *([F.col(weight).alias("_w")] if weight else []))
     found = auroc(scored, ["flat_head"], weight="_w" if weight else None)
-    every = w.select("flat_head").join(found, "flat_head", "left")
-    return every.select("flat_head", F.coalesce(F.greatest(F.col("auroc"), 1 - F.col("auroc")), F.lit(0.5)).alias("auc"))
+    return found.select("flat_head", F.coalesce(F.greatest(F.col("auroc"), 1 - F.col("auroc")), F.lit(0.5)).alias("auc"))
 
 
 def head_auc_summary(aucs: DataFrame, k: int = 32) -> DataFrame:
@@ -128,22 +156,22 @@ def standardize(train: DataFrame, apply_to: DataFrame, columns: tuple[str, ...])
 
 
 def _products(rows: DataFrame, x: str, y: str) -> tuple[np.ndarray, np.ndarray]:
-    """X'X and X'Y with an intercept, summed in tasks and then by Spark; only these small matrices come to the driver."""
+    """X'X and X'Y with an intercept, summed in tasks and then as a tree; only these small matrices come to the driver."""
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        xx, xy = 0.0, 0.0
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
         for b in batches:
-            if len(b):
-                a = np.column_stack([np.ones(len(b)), np.stack(b["x"].to_numpy())])
-                xx, xy = xx + a.T @ a, xy + a.T @ np.stack(b["y"].to_numpy())
-        if np.ndim(xx):
-            yield pd.DataFrame({"i": range(len(xx)), "xx": list(map(list, xx)), "xy": list(map(list, xy))})
+            if b.num_rows:
+                a = np.column_stack([np.ones(b.num_rows), column_matrix(b.column("x"))])
+                own = a.T @ np.column_stack([a, column_matrix(b.column("y"))])
+                total = own if total is None else total + own
+        if total is not None:
+            n = len(total)
+            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([TaskContext.get().partitionId()] * n, pa.int64()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "_task", "v"])
 
-    part = rows.select(F.col(x).alias("x"), F.col(y).alias("y")).mapInPandas(partial, "i int, xx array<double>, xy array<double>")
-    add = lambda a, v: F.zip_with(a, v, lambda p, q: F.coalesce(p, F.lit(0.0)) + q)
-    whole = lambda c: F.aggregate(F.collect_list(c), F.array().cast("array<double>"), add).alias(c)
-    got = part.groupBy("i").agg(whole("xx"), whole("xy")).orderBy("i").collect()
-    return np.array([r.xx for r in got]), np.array([r.xy for r in got])
+    part = rows.select(F.col(x).alias("x"), F.col(y).alias("y")).mapInArrow(partial, "i int, _task long, v array<double>")
+    got = np.array([r.v for r in tree_sum(part, ["i"]).orderBy("i").collect()])
+    return got[:, : len(got)], got[:, len(got) :]
 
 
 def residualize(train: DataFrame, apply_to: DataFrame, x: str = "shallow", y: str = "features") -> DataFrame:
@@ -193,17 +221,63 @@ def balance_train(df: DataFrame, seed: int, y: str = "y", key: str = "idx") -> D
     return df.filter(F.col(y) != small).unionByName(copies.select(*df.columns))
 
 
+def newton(rows: DataFrame, width: int, c: float, steps: int = 25) -> np.ndarray:
+    """Intercept and coefficients that minimise |b|^2 / 2 + c * sum of w * log loss over rows (x, y, w): Newton steps from zero, until nothing moves.
+
+    Each step sums gradient and Hessian in tasks and by position; width squared numbers come to the driver. The intercept has no penalty.
+    """
+    b = np.zeros(width + 1)
+    for _ in range(steps):
+        sent = b
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                if batch.num_rows:
+                    a = np.column_stack([np.ones(batch.num_rows), column_matrix(batch.column("x"))])
+                    y, w = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("y", "w"))
+                    p = 1 / (1 + np.exp(-(a @ sent)))
+                    own = a.T @ np.column_stack([w * (p - y), a * (w * p * (1 - p))[:, None]])
+                    total = own if total is None else total + own
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["v"])
+
+        sums = rows.mapInArrow(partial, "v array<double>").select(F.posexplode("v").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v"))
+        v = np.zeros((width + 1) * (width + 2))
+        for r in sums.collect():
+            v[r["at"]] = r["v"]
+        v = c * v.reshape(width + 1, width + 2)
+        gradient, hessian = v[:, 0], v[:, 1:] + np.diag([0.0] + [1.0] * width)
+        gradient[1:] += b[1:]
+        move = np.linalg.solve(hessian, gradient)
+        b = b - move
+        if np.abs(move).max() < 1e-11:
+            break
+    return b
+
+
 def fit_lr(train: DataFrame, apply_to: DataFrame, features: str = "features", c: float = 0.5, y: str = "y") -> DataFrame:
-    """`apply_to` with score: P(right) by a logistic regression with balanced class weights on standardised features, penalty 1 / (2 c)."""
+    """`apply_to` with score: P(right) by a logistic regression with balanced class weights on standardised features, penalty 1 / (2 c).
+
+    Newton steps on summed Hessians up to NEWTON_FEATURES features, beyond them Spark's L-BFGS: the same strictly convex problem, so the same coefficients.
+    """
     t, a = scale_array(train, train, features), scale_array(train, apply_to, features)
     sizes = {int(r[y]): r["count"] for r in train.groupBy(y).count().collect()}
     n = sum(sizes.values())
     if len(sizes) < 2:
         return apply_to.withColumn("score", F.lit(float(next(iter(sizes), 0))))
     t = t.withColumn("_w", F.when(F.col(y) == 1, n / (2 * sizes[1])).otherwise(n / (2 * sizes[0])))
-    t = t.select(F.col(y).cast("double").alias("label"), array_to_vector(features).alias("_x"), "_w")
-    model = LogisticRegression(featuresCol="_x", labelCol="label", weightCol="_w", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, probabilityCol="_p", maxIter=200).fit(t)
-    return _scored(model, a, apply_to, features)
+    width = train.select(F.size(features)).first()[0]
+    if width > NEWTON_FEATURES:
+        t = t.select(F.col(y).cast("double").alias("label"), array_to_vector(features).alias("_x"), "_w")
+        model = LogisticRegression(featuresCol="_x", labelCol="label", weightCol="_w", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, probabilityCol="_p", maxIter=200).fit(t)
+        return _scored(model, a, apply_to, features)
+    rows = t.select(F.col(features).alias("x"), F.col(y).cast("double").alias("y"), F.col("_w").alias("w")).persist()
+    b = newton(rows, width, c)
+    rows.unpersist()
+    weights = F.split(F.lit(" ".join(map(repr, map(float, b[1:])))), " ").cast("array<double>")
+    z = F.aggregate(F.zip_with(features, weights, lambda v, w: v * w), F.lit(float(b[0])), lambda s, v: s + v)
+    return a.withColumn("score", 1 / (1 + F.exp(-z))).select(*[k for k in apply_to.columns if k != "score"], "score")
 
 
 def _scored(model, scaled: DataFrame, apply_to: DataFrame, features: str) -> DataFrame:

@@ -286,18 +286,22 @@ def judged(v):
 JUDGED = "j AS (SELECT conv_id * 1000 + turn AS idx, (length(text) % 3 <> 0)::INT AS y, CASE WHEN conv_id % 2 = 0 THEN 'train' ELSE 'test' END AS split FROM conversations)"
 
 
-@query("compare_verdict_rules", "rule:s top:s n:l auroc:d n_saturated:l n_fallback:l n_moved:l threshold:d recall:d precision:d", "tokens", f"""
+@query("compare_verdict_rules", "rule:s top:s n:l auroc:d ap:d n_saturated:l n_fallback:l n_moved:l threshold:d recall:d recall_low:d recall_high:d precision:d", "tokens", f"""
 WITH {MASS}, {JUDGED}, a AS ({" UNION ALL ".join(mass(r, w) for r in ("prefix", "exact") for w in (20, 40, None))}),
 d AS (SELECT a.rule, a.window_, a.idx, round(a.p_yes, 12) AS p_yes, j.y, j.split, b.p_yes AS base FROM a JOIN j USING (idx) JOIN a b ON b.idx = a.idx AND b.rule = 'prefix' AND b.window_ = '20'),
 q AS (SELECT *, rank() OVER w + (count(*) OVER t - 1) / 2.0 AS r FROM d WHERE split = 'test' WINDOW w AS (PARTITION BY rule, window_ ORDER BY p_yes), t AS (PARTITION BY rule, window_, p_yes)),
 g AS (SELECT rule, window_, p_yes, count(*) AS n, sum(1 - y) AS w FROM d WHERE split = 'train' GROUP BY ALL),
 h AS (SELECT rule, window_, p_yes, sum(w) OVER z / (sum(n) OVER z)::DOUBLE AS precision FROM g WINDOW z AS (PARTITION BY rule, window_ ORDER BY p_yes ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-thr AS (SELECT rule, window_, max(p_yes) FILTER (WHERE precision >= 0.3) AS p FROM h GROUP BY ALL)
-SELECT q.rule, q.window_ AS top, count(*) AS n, (sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)) AS auroc, count(*) FILTER (WHERE p_yes <= 0.02 OR p_yes >= 0.98) AS n_saturated,
+thr AS (SELECT rule, window_, max(p_yes) FILTER (WHERE precision >= 0.3) AS p FROM h GROUP BY ALL),
+tg AS (SELECT rule, window_, p_yes, count(*) AS n, sum(1 - y) AS w FROM d WHERE split = 'test' GROUP BY ALL),
+ta AS (SELECT rule, window_, sum(w * cw / cn) / sum(w) AS ap FROM (SELECT *, sum(w) OVER z AS cw, (sum(n) OVER z)::DOUBLE AS cn FROM tg WINDOW z AS (PARTITION BY rule, window_ ORDER BY p_yes ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) x GROUP BY ALL),
+report AS (SELECT q.rule, q.window_ AS top, any_value(ap) AS ap, count(*) FILTER (WHERE y = 0)::DOUBLE AS nw, 1.959963984540054 AS z, count(*) AS n, (sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)) AS auroc, count(*) FILTER (WHERE p_yes <= 0.02 OR p_yes >= 0.98) AS n_saturated,
   count(*) FILTER (WHERE p_yes = 0.5) AS n_fallback, count(*) FILTER (WHERE abs(p_yes - base) > 1e-3) AS n_moved, 1 - max(p) AS threshold,
   CASE WHEN max(p) IS NOT NULL THEN count(*) FILTER (WHERE p_yes <= p AND y = 0)::DOUBLE / count(*) FILTER (WHERE y = 0) END AS recall,
   CASE WHEN max(p) IS NOT NULL THEN count(*) FILTER (WHERE p_yes <= p AND y = 0)::DOUBLE / nullif(count(*) FILTER (WHERE p_yes <= p), 0) END AS precision
-FROM q LEFT JOIN thr ON thr.rule = q.rule AND thr.window_ = q.window_ GROUP BY q.rule, q.window_""")
+FROM q LEFT JOIN thr ON thr.rule = q.rule AND thr.window_ = q.window_ JOIN ta ON ta.rule = q.rule AND ta.window_ = q.window_ GROUP BY q.rule, q.window_)
+SELECT *, greatest(0, least(recall, (recall + z * z / (2 * nw) - z * sqrt(recall * (1 - recall) / nw + z * z / (4 * nw * nw))) / (1 + z * z / nw))) + 0 * recall AS recall_low,
+  least(1, greatest(recall, (recall + z * z / (2 * nw) + z * sqrt(recall * (1 - recall) / nw + z * z / (4 * nw * nw))) / (1 + z * z / nw))) + 0 * recall AS recall_high FROM report""")
 def _(v):
     return verdict.compare_verdict_rules(v.tokens, judged(v), target=0.3).withColumnRenamed("window", "top")
 
@@ -560,11 +564,32 @@ def _(v):
     return s.select("flat_head", "y", "n", (F.col("s")[0] / F.col("n")).alias("mean_first"), (F.col("ss")[0] / F.col("n")).alias("mean_square_first"))
 
 
-@query("head_lda_auc", "flat_head:l auc:d")
+def eliminated(m: str) -> str:
+    """SQL of the list of rows `m` (a column), a matrix and right sides, after Gauss-Jordan elimination."""
+    return f"""list_reduce(list_prepend({m}, list_transform(range(len({m})), lambda z: {m})), lambda a, x, i: list_transform(a, lambda r, ii:
+      CASE WHEN ii = i - 1 THEN list_transform(r, lambda v: v / a[i - 1][i - 1]) ELSE list_transform(r, lambda v, j: v - r[i - 1] * a[i - 1][j] / a[i - 1][i - 1]) END))"""
+
+
+DISCRIMINANTS = f"""e AS (SELECT flat_head, idx, y, i, vec[i]::DOUBLE AS v FROM heads, range(1, 9) t(i)),
+mu AS (SELECT flat_head, y, i, avg(v) AS m, count(*) AS n FROM e GROUP BY ALL), o AS (SELECT flat_head, sum(n) AS n FROM mu WHERE i = 1 GROUP BY flat_head),
+z AS (SELECT e.flat_head, e.idx, list(e.v - mu.m ORDER BY e.i) AS c FROM e JOIN mu ON mu.flat_head = e.flat_head AND mu.y = e.y AND mu.i = e.i GROUP BY e.flat_head, e.idx),
+cv AS (SELECT z.flat_head, i, j, sum(c[i] * c[j]) / any_value(n - 2) + CASE WHEN i = j THEN 0.01 ELSE 0 END AS v FROM z JOIN o ON o.flat_head = z.flat_head, range(1, 9) a(i), range(1, 9) b(j) GROUP BY z.flat_head, i, j),
+l AS (SELECT cv.flat_head, cv.i, list_append(list(cv.v ORDER BY cv.j), any_value(p.m - q.m)) AS l FROM cv JOIN mu p ON p.flat_head = cv.flat_head AND p.i = cv.i AND p.y = 1 JOIN mu q ON q.flat_head = cv.flat_head AND q.i = cv.i AND q.y = 0 GROUP BY cv.flat_head, cv.i),
+m AS (SELECT flat_head, list(l ORDER BY i) AS m FROM l GROUP BY flat_head), w AS (SELECT flat_head, list_transform({eliminated("m")}, lambda r: r[9]) AS w FROM m)"""
+
+
+@query("head_lda_auc", "flat_head:l auc:d", "heads", f"""
+WITH {DISCRIMINANTS}, h AS (SELECT heads.flat_head, y, list_sum(list_transform(vec::DOUBLE[], lambda v, i: v * w[i])) AS s, 1 AS w FROM heads JOIN w ON w.flat_head = heads.flat_head), u AS ({weighted_auroc('s', 'h', 'flat_head')})
+SELECT flat_head, greatest(auroc, 1 - auroc) AS auc FROM u""")
 def _(v):
     return probe.head_lda_auc(heads(v))
 
 
+@query("head_directions", "flat_head:l i:l w:d", "heads", f"WITH {DISCRIMINANTS} SELECT flat_head, unnest(range(1, 9)) AS i, unnest(w) AS w FROM w")
+def _(v):
+    return probe.head_directions(probe.head_statistics(heads(v))).select("flat_head", F.posexplode("w").alias("i", "w")).withColumn("i", F.col("i") + 1)
+
+
 def simple_aucs(v):
     """An AUC of each head by its first number alone."""
     a = rank.auroc(heads(v).select("flat_head", "y", F.col("vec")[0].cast("double").alias("score")), ["flat_head"])
@@ -626,12 +651,40 @@ def halves(d):
     return d.filter("idx % 5 < 3"), d.filter("idx % 5 >= 3")
 
 
-@query("fit_lr", "idx:l y:l score:d")
+FITTED = r"""n AS (SELECT doc_id AS idx, text, replace(regexp_extract_all(text, '(-?[0-9,]+\.?[0-9]*)', 1)[-1], ',', '') AS number, trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS t FROM documents),
+f AS (SELECT n.idx, (label < 5)::INT AS y, n.idx % 5 < 3 AS train, embedding::DOUBLE[] AS x, [length(text), CASE WHEN t = '' THEN 0 ELSE len(string_split_regex(t, '\s+')) END, length(text) - length(replace(text, chr(10), '')) + 1,
+  length(text) - length(translate(text, '0123456789', '')), length(text) - length(translate(text, '+-*/=', '')), contains(text, '####')::INT, ln(1 + abs(coalesce(try_cast(number AS DOUBLE), 0)))]::DOUBLE[] AS shallow
+  FROM n JOIN embeddings ON vec_id = n.idx)"""
+
+
+def scaled(name: str, x: str, rows: str, to: str) -> str:
+    """SQL of {name} (idx, y, train, x of `to`, standardised by the train rows of `rows`)."""
+    return f"""{name}s AS MATERIALIZED (SELECT list(m ORDER BY i) AS mu, list(s ORDER BY i) AS sd FROM (SELECT i, avg({x}[i]) AS m, stddev_pop({x}[i]) AS s FROM (SELECT {x}, unnest(range(1, len({x}) + 1)) AS i FROM {rows} WHERE train) q GROUP BY i) q2),
+{name} AS MATERIALIZED (SELECT {to}.* EXCLUDE ({x}), list_transform({x}, lambda v, i: (v - mu[i]) / CASE WHEN sd[i] > 0 THEN sd[i] ELSE 1 END) AS {x} FROM {to}, {name}s)"""
+
+
+def newton_sql(name: str, x: str, rows: str, to: str, steps: int = 12) -> str:
+    """SQL of {name} (idx, y, train, score) of `to`: the regression on the train rows of `rows` by Newton steps from zero."""
+    e = f"{name}e"
+    out = [scaled(f"{name}z", x, rows, rows), scaled(f"{name}a", x, rows, to)]
+    out.append(f"{e} AS MATERIALIZED (SELECT list_prepend(1.0::DOUBLE, {x}) AS x, y, count(*) OVER () / (2.0::DOUBLE * count(*) OVER (PARTITION BY y)) AS w FROM {name}z WHERE train)")
+    out.append(f"{name}b0 AS MATERIALIZED (SELECT list_transform(any_value(x), lambda v: 0.0::DOUBLE) AS b FROM {e})")
+    for k in range(steps):
+        out.append(f"""{name}p{k} AS MATERIALIZED (SELECT x, w * (p - y) AS g, w * p * (1 - p) AS h FROM (SELECT x, y, w, 1 / (1 + exp(-list_dot_product(x, b))) AS p FROM {e}, {name}b{k}) q),
+{name}h{k} AS (SELECT i, j, 0.5::DOUBLE * sum(h * x[i] * x[j]) + CASE WHEN i = j AND i > 1 THEN 1 ELSE 0 END AS v FROM (SELECT x, h, i, unnest(range(1, len(x) + 1)) AS j FROM (SELECT x, h, unnest(range(1, len(x) + 1)) AS i FROM {name}p{k}) q1) q2 GROUP BY i, j),
+{name}g{k} AS (SELECT i, 0.5::DOUBLE * sum(g * x[i]) AS v FROM (SELECT x, g, unnest(range(1, len(x) + 1)) AS i FROM {name}p{k}) q1 GROUP BY i),
+{name}m{k} AS MATERIALIZED (SELECT list(l ORDER BY i) AS m FROM (SELECT i, list_append(list(h.v ORDER BY j), any_value(g.v + CASE WHEN i > 1 THEN b[i] ELSE 0 END)) AS l FROM {name}h{k} h JOIN {name}g{k} g USING (i), {name}b{k} GROUP BY i) q),
+{name}b{k + 1} AS MATERIALIZED (SELECT list_transform(b, lambda v, i: v - d[i]) AS b FROM {name}b{k}, (SELECT list_transform({eliminated("m")}, lambda r: r[-1]) AS d FROM {name}m{k}) q)""")
+    out.append(f"{name} AS (SELECT idx, y, train, 1 / (1 + exp(-(b[1] + list_dot_product({x}, b[2:])))) AS score FROM {name}a, {name}b{steps})")
+    return ",\n".join(out)
+
+
+@query("fit_lr", "idx:l y:l score:d", "", f"WITH {FITTED}, {newton_sql('r', 'x', 'f', 'f')} SELECT idx, y, score FROM r WHERE NOT train")
 def _(v):
     return probe.fit_lr(*halves(features(v).drop("text")))
 
 
-@query("shallow_probe", "idx:l y:l score:d")
+@query("shallow_probe", "idx:l y:l score:d", "", f"WITH {FITTED}, {newton_sql('r', 'shallow', 'f', 'f')} SELECT idx, y, score FROM r WHERE NOT train")
 def _(v):
     return probe.shallow_probe(*halves(features(v).drop("features", "shallow")), "text")
 
@@ -646,12 +699,24 @@ def _(v):
     return probe.seed_aucs(probe.fit_mlp_ensemble(*halves(features(v).drop("text"))))
 
 
-@query("fit_raw_and_controlled", "idx:l detector:s y:l score:d")
+#: f with what its standardised shallow features explain taken off x: least squares on the train rows; a constant feature explains nothing.
+CONTROLLED = f"""{scaled("cz", "shallow", "f", "f")}, ca AS MATERIALIZED (SELECT idx, train, list_prepend(1.0::DOUBLE, shallow) AS a, x FROM cz),
+ch AS (SELECT i, j, sum(a[i] * a[j]) AS v FROM ca, range(1, 9) p(i), range(1, 9) q(j) WHERE train GROUP BY i, j), cg AS (SELECT i, j, sum(a[i] * x[j]) AS v FROM ca, range(1, 9) p(i), range(1, 65) q(j) WHERE train GROUP BY i, j),
+cl AS (SELECT h.i, list_concat(h.l, g.l) AS l FROM (SELECT i, list(CASE WHEN i = j AND v = 0 THEN 1 ELSE v END ORDER BY j) AS l FROM ch GROUP BY i) h JOIN (SELECT i, list(v ORDER BY j) AS l FROM cg GROUP BY i) g USING (i)),
+cm AS (SELECT list(l ORDER BY i) AS m FROM cl), cc AS MATERIALIZED (SELECT {eliminated("m")} AS coef FROM cm),
+fc AS MATERIALIZED (SELECT f.idx, f.y, f.train, list_transform(f.x, lambda v, j: v - list_sum(list_transform(ca.a, lambda u, i: u * coef[i][8 + j]))) AS x FROM f JOIN ca USING (idx), cc)"""
+
+
+@query("fit_raw_and_controlled", "idx:l detector:s y:l score:d", "", f"""
+WITH {FITTED}, {CONTROLLED}, {newton_sql("r", "x", "f", "f")}, {newton_sql("k", "x", "fc", "fc")} SELECT idx, 'raw' AS detector, y, score FROM r WHERE NOT train UNION ALL SELECT idx, 'controlled', y, score FROM k WHERE NOT train""")
 def _(v):
     return probe.fit_raw_and_controlled(*halves(features(v).drop("text")))
 
 
-@query("transfer_matrix", "source:s target:s auroc:d in_distribution:d retained:d")
+@query("transfer_matrix", "source:s target:s auroc:d in_distribution:d retained:d", "", f"""
+WITH {FITTED}, fe AS (SELECT * FROM f WHERE idx % 2 = 0), fo AS (SELECT * FROM f WHERE idx % 2 = 1), {newton_sql("e", "x", "fe", "f")}, {newton_sql("o", "x", "fo", "f")},
+s AS (SELECT 'even' AS source, CASE WHEN idx % 2 = 0 THEN 'even' ELSE 'odd' END AS target, score AS s, y, 1 AS w FROM e WHERE NOT train UNION ALL SELECT 'odd', CASE WHEN idx % 2 = 0 THEN 'even' ELSE 'odd' END, score, y, 1 FROM o WHERE NOT train),
+m AS ({weighted_auroc("s", "s", "source, target")}) SELECT m.source, m.target, m.auroc, q.auroc AS in_distribution, m.auroc - q.auroc AS retained FROM m JOIN m q ON q.source = q.target AND q.target = m.target""")
 def _(v):
     d = features(v).drop("text")
     return probe.transfer_deltas(probe.transfer_matrix({"even": halves(d.filter("idx % 2 = 0")), "odd": halves(d.filter("idx % 2 = 1"))}))

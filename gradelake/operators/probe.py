@@ -5,7 +5,9 @@ Activations are never shuffled. Statistics of each head are summed in the tasks
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -13,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradelake.functions.text import shallow_features
@@ -221,63 +223,124 @@ def balance_train(df: DataFrame, seed: int, y: str = "y", key: str = "idx") -> D
     return df.filter(F.col(y) != small).unionByName(copies.select(*df.columns))
 
 
-def newton(rows: DataFrame, width: int, c: float, steps: int = 25) -> np.ndarray:
-    """Intercept and coefficients that minimise |b|^2 / 2 + c * sum of w * log loss over rows (x, y, w): Newton steps from zero, until nothing moves.
+@dataclass(frozen=True)
+class Fit:
+    """A logistic regression of a stack: its penalty is 1 / (2 c), it reads the first `width` features (all if None) of the train rows for which `rows` holds (all if None)."""
 
-    Each step sums gradient and Hessian in tasks and by position; width squared numbers come to the driver. The intercept has no penalty.
+    c: float = 0.5
+    width: int | None = None
+    rows: Column | None = None
+
+
+@dataclass(frozen=True)
+class Model:
+    """Intercept and coefficients on features as they are: the scaling is worked in. constant: the score if the rows had one class only."""
+
+    intercept: float = 0.0
+    coefficients: tuple[float, ...] = ()
+    constant: float | None = None
+
+    def score(self, features: str) -> Column:
+        if self.constant is not None:
+            return F.lit(self.constant)
+        weights = F.split(F.lit(" ".join(map(repr, self.coefficients))), " ").cast("array<double>")
+        z = F.aggregate(F.zip_with(F.slice(features, 1, len(self.coefficients)), weights, lambda v, w: v * w), F.lit(self.intercept), lambda s, v: s + v)
+        return 1 / (1 + F.exp(-z))
+
+
+def newton(rows: DataFrame, fits: list[tuple[int, float]], scales: list[tuple[np.ndarray, np.ndarray]], steps: int = 25) -> list[np.ndarray]:
+    """For each of `fits` (width, c): intercept and coefficients on scaled features that minimise |b|^2 / 2 + c * sum of w * log loss over rows (x, y, w: a weight for each fit).
+
+    Newton steps from zero, until nothing moves. Each step reads the rows once for the whole stack, sums gradients and Hessians in tasks and then by position; the numbers that come
+    to the driver are the squares of the widths. The intercept has no penalty.
     """
-    b = np.zeros(width + 1)
+    b = [np.zeros(width + 1) for width, _ in fits]
+    ends = np.cumsum([(width + 1) * (width + 2) for width, _ in fits])
+    going = set(range(len(fits)))
     for _ in range(steps):
-        sent = b
+        sent, open_ = [x.copy() for x in b], sorted(going)
 
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
+            total = {}
             for batch in batches:
                 if batch.num_rows:
-                    a = np.column_stack([np.ones(batch.num_rows), column_matrix(batch.column("x"))])
-                    y, w = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("y", "w"))
-                    p = 1 / (1 + np.exp(-(a @ sent)))
-                    own = a.T @ np.column_stack([w * (p - y), a * (w * p * (1 - p))[:, None]])
-                    total = own if total is None else total + own
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["v"])
-
-        sums = rows.mapInArrow(partial, "v array<double>").select(F.posexplode("v").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v"))
-        v = np.zeros((width + 1) * (width + 2))
+                    x, y, w = column_matrix(batch.column("x")), batch.column("y").to_numpy(zero_copy_only=False), column_matrix(batch.column("w"))
+                    for f in open_:
+                        of = w[:, f] > 0
+                        width = fits[f][0]
+                        a = np.column_stack([np.ones(of.sum()), (x[of, :width] - scales[f][0]) / scales[f][1]])
+                        p = 1 / (1 + np.exp(-(a @ sent[f])))
+                        own = a.T @ np.column_stack([w[of, f] * (p - y[of]), a * (w[of, f] * p * (1 - p))[:, None]])
+                        total[f] = total[f] + own if f in total else own
+            if total:
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.ravel() for t in total.values()], pa.list_(pa.float64()))], names=["fit", "v"])
+
+        sums = rows.mapInArrow(partial, "fit int, v array<double>").select("fit", F.posexplode("v").alias("at", "v")).groupBy("fit", "at").agg(F.sum("v").alias("v"))
+        found = np.zeros(ends[-1])
         for r in sums.collect():
-            v[r["at"]] = r["v"]
-        v = c * v.reshape(width + 1, width + 2)
-        gradient, hessian = v[:, 0], v[:, 1:] + np.diag([0.0] + [1.0] * width)
-        gradient[1:] += b[1:]
-        move = np.linalg.solve(hessian, gradient)
-        b = b - move
-        if np.abs(move).max() < 1e-11:
+            found[(ends[r["fit"] - 1] if r["fit"] else 0) + r["at"]] = r["v"]
+        for f in open_:
+            width, c = fits[f]
+            v = c * found[(ends[f - 1] if f else 0) : ends[f]].reshape(width + 1, width + 2)
+            gradient, hessian = v[:, 0], v[:, 1:] + np.diag([0.0] + [1.0] * width)
+            gradient[1:] += b[f][1:]
+            move = np.linalg.solve(hessian, gradient)
+            b[f] = b[f] - move
+            if np.abs(move).max() < 1e-11:
+                going.discard(f)
+        if not going:
             break
     return b
 
 
+def fit_stack(train: DataFrame, fits: dict[str, Fit], features: str = "features", y: str = "y") -> dict[str, Model]:
+    """A logistic regression for each of `fits`, with balanced class weights on features standardised by its own rows. Each Newton step of all of them is one reading of `train`."""
+    whole = train.select(F.size(features)).first()[0]
+    holds = [F.coalesce(f.rows, F.lit(False)) if f.rows is not None else F.lit(True) for f in fits.values()]
+    widths = [f.width or whole for f in fits.values()]
+    count = train.agg(*[F.count_if(h & (F.col(y) == k)) for h in holds for k in (0, 1)]).first()
+    sizes = [(count[2 * i], count[2 * i + 1]) for i in range(len(holds))]
+    balance = [F.when(h, F.when(F.col(y) == 1, n / max(1, 2 * one)).otherwise(n / max(1, 2 * zero))).otherwise(0.0) for h, (zero, one) in zip(holds, sizes, strict=True) for n in (zero + one,)]
+    rows = train.filter(F.col(y).isNotNull()).select(F.col(features).alias("x"), F.col(y).cast("double").alias("y"), F.array(*[w.cast("double") for w in balance]).alias("w")).persist()
+    of = lambda v, i: F.when(F.get("w", F.lit(i)) > 0, v)
+    flat = rows.select("w", F.posexplode("x").alias("at", "v")).groupBy("at")
+    moments = flat.agg(*[g(of(F.col("v"), i)).alias(f"{g.__name__}_{i}") for i in range(len(holds)) for g in (F.avg, F.stddev_pop)]).orderBy("at").collect()  # a row a feature
+    usable = [i for i, (zero, one) in enumerate(sizes) if zero and one]
+    scales = {}
+    for i in usable:
+        mean, sd = (np.array([r[f"{g}_{i}"] for r in moments[: widths[i]]], float) for g in ("avg", "stddev_pop"))
+        scales[i] = mean, np.where(sd > 0, sd, 1.0)
+    chosen = rows.select("x", "y", F.array(*[F.get("w", F.lit(i)) for i in usable]).alias("w")) if usable else rows
+    found = newton(chosen, [(widths[i], list(fits.values())[i].c) for i in usable], [scales[i] for i in usable]) if usable else []
+    rows.unpersist()
+    out = {}
+    for i, name in enumerate(fits):
+        if i not in usable:
+            out[name] = Model(constant=float(sizes[i][1] > 0))
+            continue
+        b, (mean, sd) = found[usable.index(i)], scales[i]
+        out[name] = Model(float(b[0] - (b[1:] * mean / sd).sum()), tuple((b[1:] / sd).tolist()))
+    return out
+
+
 def fit_lr(train: DataFrame, apply_to: DataFrame, features: str = "features", c: float = 0.5, y: str = "y") -> DataFrame:
-    """`apply_to` with score: P(right) by a logistic regression with balanced class weights on standardised features, penalty 1 / (2 c).
+    """`apply_to` with score: P(right) by a logistic regression with balanced class weights on standardised features, penalty 1 / (2 c). A single class gives its own value.
 
     Newton steps on summed Hessians up to NEWTON_FEATURES features, beyond them Spark's L-BFGS: the same strictly convex problem, so the same coefficients.
     """
-    t, a = scale_array(train, train, features), scale_array(train, apply_to, features)
+    first = train.select(F.size(features)).first()
+    if first is None or first[0] <= NEWTON_FEATURES:
+        model = fit_stack(train, {"lr": Fit(c)}, features, y)["lr"] if first else Model(constant=0.0)
+        return apply_to.withColumn("score", model.score(features))
     sizes = {int(r[y]): r["count"] for r in train.groupBy(y).count().collect()}
     n = sum(sizes.values())
     if len(sizes) < 2:
         return apply_to.withColumn("score", F.lit(float(next(iter(sizes), 0))))
+    t, a = scale_array(train, train, features), scale_array(train, apply_to, features)
     t = t.withColumn("_w", F.when(F.col(y) == 1, n / (2 * sizes[1])).otherwise(n / (2 * sizes[0])))
-    width = train.select(F.size(features)).first()[0]
-    if width > NEWTON_FEATURES:
-        t = t.select(F.col(y).cast("double").alias("label"), array_to_vector(features).alias("_x"), "_w")
-        model = LogisticRegression(featuresCol="_x", labelCol="label", weightCol="_w", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, probabilityCol="_p", maxIter=200).fit(t)
-        return _scored(model, a, apply_to, features)
-    rows = t.select(F.col(features).alias("x"), F.col(y).cast("double").alias("y"), F.col("_w").alias("w")).persist()
-    b = newton(rows, width, c)
-    rows.unpersist()
-    weights = F.split(F.lit(" ".join(map(repr, map(float, b[1:])))), " ").cast("array<double>")
-    z = F.aggregate(F.zip_with(features, weights, lambda v, w: v * w), F.lit(float(b[0])), lambda s, v: s + v)
-    return a.withColumn("score", 1 / (1 + F.exp(-z))).select(*[k for k in apply_to.columns if k != "score"], "score")
+    t = t.select(F.col(y).cast("double").alias("label"), array_to_vector(features).alias("_x"), "_w")
+    model = LogisticRegression(featuresCol="_x", labelCol="label", weightCol="_w", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, probabilityCol="_p", maxIter=200).fit(t)
+    return _scored(model, a, apply_to, features)
 
 
 def _scored(model, scaled: DataFrame, apply_to: DataFrame, features: str) -> DataFrame:
@@ -342,13 +405,15 @@ def fit_raw_and_controlled(train: DataFrame, apply_to: DataFrame, model: str = "
 
 def transfer_matrix(splits: dict[str, tuple[DataFrame, DataFrame]], keys: tuple[str, ...] = ("idx",), detector: str = "lr_raw", **how) -> DataFrame:
     """source, target, keys, y, score: a model (and, controlled, the coefficients of shallow features) fitted on each source's train rows scores each target's
-    test rows. splits: few named pairs."""
-    out = None
-    for source, (train, _) in splits.items():
-        for target, (_, test) in splits.items():
-            s = score_with(detector, train, test, **how).select(F.lit(source).alias("source"), F.lit(target).alias("target"), *keys, "y", "score")
-            out = s if out is None else out.unionByName(s)
-    return out
+    test rows. splits: few named pairs. Regressions on raw features of all sources are one stack."""
+    columns = lambda d, source, target: d.select(F.lit(source).alias("source"), F.lit(target).alias("target"), *keys, "y", "score")
+    if detector == "lr_raw" and next(iter(splits.values()))[0].select(F.size("features") <= NEWTON_FEATURES).first()[0]:
+        named = [train.select("features", "y", F.lit(source).alias("_source")) for source, (train, _) in splits.items()]
+        models = fit_stack(functools.reduce(DataFrame.unionByName, named), {s: Fit(how.get("c", 0.5), rows=F.col("_source") == s) for s in splits})
+        out = [columns(test.withColumn("score", m.score("features")), source, target) for source, m in models.items() for target, (_, test) in splits.items()]
+    else:
+        out = [columns(score_with(detector, train, test, **how), source, target) for source, (train, _) in splits.items() for target, (_, test) in splits.items()]
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def transfer_deltas(scores: DataFrame) -> DataFrame:
@@ -365,21 +430,36 @@ def features_of(heads: DataFrame, top: DataFrame, keys: tuple[str, ...], shallow
 
 
 def sweep(train_heads: DataFrame, test_heads: DataFrame, grid: dict[str, tuple], default: dict, detectors: tuple[str, ...] = ("lr_raw",), shallow: DataFrame | None = None, keys: tuple[str, ...] = ("idx",), **how) -> DataFrame:
-    """axis, cell, detector, auroc: one axis (topk, c, hidden) at a time around the default. Head AUCs are worked out once."""
-    order = head_ranking(head_lda_auc(train_heads), max([default["topk"], *grid.get("topk", ())]), None)
+    """axis, cell, detector, auroc: one axis (topk, c, hidden) at a time around the default. Head AUCs are worked out once.
+
+    The regressions of all cells are one stack: the features of fewer heads are the first of those of more, with what shallow features explain taken off each alone.
+    """
+    most = max([default["topk"], *grid.get("topk", ())])
+    order = head_ranking(head_lda_auc(train_heads), most, None)
     order = order.sparkSession.createDataFrame(order.collect(), order.schema)  # the chosen heads
-    out = None
-    for axis, value in [("default", "default"), *[(a, v) for a, values in grid.items() for v in values]]:
-        at = default if axis == "default" else default | {axis: value}
-        top = order.filter(F.col("rank") <= at["topk"])
-        train, test = (features_of(h, top, keys, shallow) for h in (train_heads, test_heads))
-        for d in detectors:
-            if axis == "c" and not d.startswith("lr") or axis == "hidden" and not d.startswith("mlp"):
-                continue
-            one = score_with(d, train, test, at["c"], at.get("hidden", 128), **how)
-            one = one.select(F.lit(axis).alias("axis"), F.lit(str(value)).alias("cell"), F.lit(d).alias("detector"), "y", "score")
-            out = one if out is None else out.unionByName(one)
-    return auroc(out, ["axis", "cell", "detector"])
+    cells = [("default", "default", default), *[(a, str(v), default | {a: v}) for a, values in grid.items() for v in values]]
+    wide = [features_of(h, order, keys, shallow) for h in (train_heads, test_heads)]
+    size = train_heads.select(F.size("vec")).first()[0]
+    name = lambda d, axis, cell, detector: d.select(F.lit(axis).alias("axis"), F.lit(cell).alias("cell"), F.lit(detector).alias("detector"), "y", "score")
+    out = []
+    for d in detectors:
+        model, _, kind = d.partition("_")
+        if model == "lr" and most * size <= NEWTON_FEATURES:
+            train, test = wide
+            if kind == "controlled":
+                t, a = scale_array(train, train, "shallow"), scale_array(train, test, "shallow")
+                train, test = residualize(t, t), residualize(t, a)
+            own = {(axis, cell): at for axis, cell, at in cells if axis != "hidden"}
+            models = fit_stack(train, {k: Fit(at["c"], at["topk"] * size) for k, at in own.items()})
+            each = F.explode(F.array(*[F.struct(F.lit(axis).alias("axis"), F.lit(cell).alias("cell"), m.score("features").alias("score")) for (axis, cell), m in models.items()]))
+            out.append(test.select("y", each.alias("m")).select("m.axis", "m.cell", F.lit(d).alias("detector"), "y", "m.score"))
+            continue
+        for axis, cell, at in cells:
+            if (axis, model) not in (("c", "mlp"), ("hidden", "lr")):
+                top = order.filter(F.col("rank") <= at["topk"])
+                train, test = (features_of(h, top, keys, shallow) for h in (train_heads, test_heads))
+                out.append(name(score_with(d, train, test, at["c"], at.get("hidden", 128), **how), axis, cell, d))
+    return auroc(functools.reduce(DataFrame.unionByName, out), ["axis", "cell", "detector"])
 
 
 def train_resample_auc(train_heads: DataFrame, test_heads: DataFrame, reps: int, seed: int, topk: int, detector: str = "lr_raw", shallow: DataFrame | None = None, keys: tuple[str, ...] = ("idx",), **how) -> DataFrame:

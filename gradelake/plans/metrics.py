@@ -663,7 +663,7 @@ def scaled(name: str, x: str, rows: str, to: str) -> str:
 {name} AS MATERIALIZED (SELECT {to}.* EXCLUDE ({x}), list_transform({x}, lambda v, i: (v - mu[i]) / CASE WHEN sd[i] > 0 THEN sd[i] ELSE 1 END) AS {x} FROM {to}, {name}s)"""
 
 
-def newton_sql(name: str, x: str, rows: str, to: str, steps: int = 12) -> str:
+def newton_sql(name: str, x: str, rows: str, to: str, steps: int = 12, c: float = 0.5) -> str:
     """SQL of {name} (idx, y, train, score) of `to`: the regression on the train rows of `rows` by Newton steps from zero."""
     e = f"{name}e"
     out = [scaled(f"{name}z", x, rows, rows), scaled(f"{name}a", x, rows, to)]
@@ -671,8 +671,8 @@ def newton_sql(name: str, x: str, rows: str, to: str, steps: int = 12) -> str:
     out.append(f"{name}b0 AS MATERIALIZED (SELECT list_transform(any_value(x), lambda v: 0.0::DOUBLE) AS b FROM {e})")
     for k in range(steps):
         out.append(f"""{name}p{k} AS MATERIALIZED (SELECT x, w * (p - y) AS g, w * p * (1 - p) AS h FROM (SELECT x, y, w, 1 / (1 + exp(-list_dot_product(x, b))) AS p FROM {e}, {name}b{k}) q),
-{name}h{k} AS (SELECT i, j, 0.5::DOUBLE * sum(h * x[i] * x[j]) + CASE WHEN i = j AND i > 1 THEN 1 ELSE 0 END AS v FROM (SELECT x, h, i, unnest(range(1, len(x) + 1)) AS j FROM (SELECT x, h, unnest(range(1, len(x) + 1)) AS i FROM {name}p{k}) q1) q2 GROUP BY i, j),
-{name}g{k} AS (SELECT i, 0.5::DOUBLE * sum(g * x[i]) AS v FROM (SELECT x, g, unnest(range(1, len(x) + 1)) AS i FROM {name}p{k}) q1 GROUP BY i),
+{name}h{k} AS (SELECT i, j, {c}::DOUBLE * sum(h * x[i] * x[j]) + CASE WHEN i = j AND i > 1 THEN 1 ELSE 0 END AS v FROM (SELECT x, h, i, unnest(range(1, len(x) + 1)) AS j FROM (SELECT x, h, unnest(range(1, len(x) + 1)) AS i FROM {name}p{k}) q1) q2 GROUP BY i, j),
+{name}g{k} AS (SELECT i, {c}::DOUBLE * sum(g * x[i]) AS v FROM (SELECT x, g, unnest(range(1, len(x) + 1)) AS i FROM {name}p{k}) q1 GROUP BY i),
 {name}m{k} AS MATERIALIZED (SELECT list(l ORDER BY i) AS m FROM (SELECT i, list_append(list(h.v ORDER BY j), any_value(g.v + CASE WHEN i > 1 THEN b[i] ELSE 0 END)) AS l FROM {name}h{k} h JOIN {name}g{k} g USING (i), {name}b{k} GROUP BY i) q),
 {name}b{k + 1} AS MATERIALIZED (SELECT list_transform(b, lambda v, i: v - d[i]) AS b FROM {name}b{k}, (SELECT list_transform({eliminated("m")}, lambda r: r[-1]) AS d FROM {name}m{k}) q)""")
     out.append(f"{name} AS (SELECT idx, y, train, 1 / (1 + exp(-(b[1] + list_dot_product({x}, b[2:])))) AS score FROM {name}a, {name}b{steps})")
@@ -736,6 +736,25 @@ def _(v):
     return probe.sweep(*halves(heads(v)), {"c": (0.05,), "hidden": (8,)}, {"topk": 3, "c": 0.5, "hidden": 4}, ("lr_controlled", "mlp_raw"), shallow, seeds=(0,), steps=10)
 
 
+#: name of the CTE, axis, cell, heads, c
+SWEPT = (("s0", "default", "default", 4, 0.5), ("s1", "topk", "1", 1, 0.5), ("s2", "topk", "2", 2, 0.5), ("s3", "topk", "8", 8, 0.5), ("s4", "c", "0.05", 4, 0.05), ("s5", "c", "0.1", 4, 0.1), ("s6", "c", "1.0", 4, 1.0), ("s7", "c", "2.0", 4, 2.0), ("s8", "c", "10.0", 4, 10.0))
+
+
+def swept() -> str:
+    chosen = ",\n".join(f"{n}f AS MATERIALIZED (SELECT idx, y, train, x[:{8 * k}] AS x FROM sf), {newton_sql(n, 'x', f'{n}f', f'{n}f', c=c)}" for n, _, _, k, c in SWEPT)
+    every = " UNION ALL ".join(f"SELECT '{axis}' AS axis, '{cell}' AS cell, y, score AS s, 1 AS w FROM {n} WHERE NOT train" for n, axis, cell, _, _ in SWEPT)
+    found = DISCRIMINANTS.replace("FROM heads, range(1, 9) t(i))", "FROM heads, range(1, 9) t(i) WHERE idx % 5 < 3)")
+    return f"""WITH {found}, hs AS (SELECT heads.flat_head, y, list_sum(list_transform(vec::DOUBLE[], lambda v, i: v * w[i])) AS s, 1 AS w FROM heads JOIN w ON w.flat_head = heads.flat_head WHERE idx % 5 < 3),
+hu AS ({weighted_auroc("s", "hs", "flat_head")}), hr AS (SELECT flat_head, row_number() OVER (ORDER BY greatest(auroc, 1 - auroc) DESC, flat_head) AS rank FROM hu),
+sf AS MATERIALIZED (SELECT idx, any_value(y) AS y, idx % 5 < 3 AS train, flatten(list(vec::DOUBLE[] ORDER BY rank)) AS x FROM heads JOIN hr ON hr.flat_head = heads.flat_head GROUP BY idx),
+{chosen}, every AS ({every}), a AS ({weighted_auroc("s", "every", "axis, cell")}) SELECT axis, cell, 'lr_raw' AS detector, auroc FROM a"""
+
+
+@query("sweep_regressions", "axis:s cell:s detector:s auroc:d", "heads", swept())
+def _(v):
+    return probe.sweep(*halves(heads(v)), {"topk": (1, 2, 8), "c": (0.05, 0.1, 1.0, 2.0, 10.0)}, {"topk": 4, "c": 0.5})
+
+
 @query("train_resample_auc", "n:l mean:d sd:d")
 def _(v):
     return probe.spread(probe.train_resample_auc(*halves(heads(v)), 2, 5, 3))

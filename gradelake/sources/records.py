@@ -48,11 +48,60 @@ def ingest_stats(lines: DataFrame, by: tuple[str, ...] = ("run",)) -> DataFrame:
 
 
 def write_records(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), format: str = "parquet") -> None:
-    """Replaces the record set at `path`, in idx order within and across files; readers see all of it or none (Spark's commit)."""
+    """Writes the record set at `path`, in idx order within and across files, over what is there. A job that dies while it writes over an old set loses that;
+    `replace_records` doesn't."""
     w = df.repartitionByRange("idx").sortWithinPartitions(*partition_by, "idx").write.mode("overwrite").format(format)
     (w.partitionBy(*partition_by) if partition_by else w).save(path)
 
 
+#: The file that names the current version of a record set.
+POINTER = "CURRENT"
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system and path class for `path`."""
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return paths(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), paths
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, folder) of the versions that were published, by their pointer files."""
+    files, paths = _file_system(spark, path)
+    if not files.exists(paths(path)):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(paths(path))]
+    return sorted((int(n.split("-")[1]), n.split("-", 2)[2]) for n in names if n.startswith(f"{POINTER}-"))
+
+
+def replace_records(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), format: str = "parquet", keep: int = 2) -> None:
+    """Replaces the record set at `path` whole or not at all; `current_records` reads it.
+
+    The rows go to a fresh folder. Once all of it is there an empty pointer file with the next number and the folder's name is created, which is one step; readers follow
+    the highest. A job that dies before leaves the old set as it was. Jobs that find another's pointer with their number withdraw theirs and fail. The last `keep` versions stay, since readers may
+    still be at them. `df` may be made from the set itself.
+    """
+    spark = df.sparkSession
+    folder = f"v{uuid.uuid4().hex}"
+    before = _versions(spark, path)
+    write_records(df, f"{path}/{folder}", partition_by, format)
+    files, paths = _file_system(spark, path)
+    number = before[-1][0] + 1 if before else 0
+    if not files.createNewFile(paths(f"{path}/{POINTER}-{number:012d}-{folder}")) or [v for n, v in _versions(spark, path) if n == number] != [folder]:
+        files.delete(paths(f"{path}/{POINTER}-{number:012d}-{folder}"), False)
+        raise RuntimeError(f"another job has replaced the records at {path} meanwhile")
+    for old, name in before[: len(before) + 1 - max(1, keep)]:
+        files.delete(paths(f"{path}/{POINTER}-{old:012d}-{name}"), False)
+        files.delete(paths(f"{path}/{name}"), True)
+
+
+def current_records(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
+    """The record set that was last published at `path` by `replace_records`."""
+    versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"no record set at {path}")
+    return spark.read.format(format).load(f"{path}/{versions[-1][1]}")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new place in the folder that spark.checkpoint.dir names, which all executors share; only a local session may leave it unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)

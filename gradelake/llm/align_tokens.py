@@ -14,6 +14,7 @@ Nothing whole is sent to tasks or to the driver but the best count of each id of
 from __future__ import annotations
 
 import functools
+import hashlib
 import itertools
 import os
 import re
@@ -33,7 +34,9 @@ from gradelake.llm.words import mix
 #: Distinct pairs of a segment, about; blocks' counts that one task adds up or looks up at once, about; vectors that one task sums.
 SEGMENT, PART_ROWS, FAN = 1 << 15, 1 << 20, 16
 #: Characters of a block's texts, and of its distinct pieces, at most (or one Arrow batch).
-BLOCK_CHARS, DISTINCT_CHARS = 1 << 24, 1 << 22
+BLOCK_CHARS, DISTINCT_CHARS = 6 << 20, 2 << 20
+#: Links of texts that are counted at once, about.
+PAIR_ROWS = 1 << 19
 #: Distinct pieces that are encoded as one text.
 CHUNK = 2048
 #: A pair of ids is first * BASE + second.
@@ -188,11 +191,17 @@ class Aligned:
         order = np.argsort(self.piece, kind="stable")
         k = np.bincount(self.piece, minlength=self.n_pieces)
         starts = (np.cumsum(k) - k)[piece]
-        n = k[piece]
-        rows = np.repeat(np.arange(len(piece)), n)
-        at = order[np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + starts[rows]]
-        both = pd.unique(doc[rows] * len(keys) + place[at])
-        n = np.bincount(both % max(1, len(keys)), minlength=len(keys))
+        links = k[piece]
+        n = np.zeros(len(keys), np.int64)
+        # whole texts at a time, of about PAIR_ROWS links
+        part = np.cumsum(np.bincount(doc, links, len(self.codes))) // PAIR_ROWS
+        ends = np.searchsorted(doc, np.append(np.flatnonzero(np.diff(part)) + 1, len(self.codes)))
+        for a, z in zip(np.append(0, ends[:-1]), ends, strict=True):
+            m = links[a:z]
+            rows = np.repeat(np.arange(a, z), m)
+            at = order[np.arange(len(rows)) - np.repeat(np.cumsum(m) - m, m) + starts[rows]]
+            both = pd.unique(doc[rows] * len(keys) + place[at])
+            n += np.bincount(both % max(1, len(keys)), minlength=len(keys))
         return keys[n > 0], n[n > 0]
 
     def totals(self, by_piece: np.ndarray) -> np.ndarray:
@@ -204,10 +213,10 @@ class Aligned:
         """Numbers of links' pairs, times how often they are linked, summed over each piece."""
         return np.bincount(self.piece, values * self.times, self.n_pieces)
 
-    def written(self) -> list[str]:
+    def written(self) -> Iterator[str]:
         """The groups of each text."""
         if not len(self.a):
-            return [""] * len(self.codes)
+            return iter([""] * len(self.codes))
         last = lambda g: np.append(g[1:] != g[:-1], True)
         out = np.empty(len(self.a) + len(self.b), object)
         ends_a, ends_b = last(self.group_a), last(self.group_b)
@@ -216,7 +225,7 @@ class Aligned:
         out[np.arange(len(self.a)) + (upto_b - self.n_b)[self.group_a]] = _numbers(self.a, [ends_a], ",|")
         out[np.arange(len(self.b)) + upto_a[self.group_b]] = _numbers(self.b, [ends_b, ends_piece], ",;\n")
         lines = "".join(out.tolist()).split("\n")
-        return [";".join([lines[i] for i in c]) for c in self.codes]
+        return (";".join([lines[i] for i in c]) for c in self.codes)
 
 
 def _numbers(ids: np.ndarray, marks: list[np.ndarray], ends: str) -> np.ndarray:
@@ -408,11 +417,11 @@ def pair_counts(blocks: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     return dealt, stored(counted(dealt, segments, n_parts), "align_counts"), n_parts
 
 
-def aligned(docs: DataFrame, first: str, second: str) -> DataFrame:
+def aligned(docs: DataFrame, first: str, second: str, digest: bool = False) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups of every row of `docs` (doc_id, text).
 
-    first: a byte-level tokenizer file (.json), second: a sentencepiece file (.model), both where every executor can read them. groups is written `a1,a2|b1;a3|b2,b3`. A pair's count is
-    the number of rows that link it, copies included; n_best counts links whose pair has the highest count of its first id, count_sum adds the counts of all links.
+    first: a byte-level tokenizer file (.json), second: a sentencepiece file (.model), both where every executor can read them. groups is written `a1,a2|b1;a3|b2,b3`,
+    with digest it is the lower-case hex SHA-256 of that, empty without tokens. A pair's count is the number of rows that link it, copies included; n_best counts links whose pair has the highest count of its first id, count_sum adds the counts of all links.
     Texts that are null or empty, or that a tokenizer doesn't give back byte by byte (as with U+2581), have zeros and no groups. Other columns are not read.
     """
     blocks = stored(blocks_of(docs, first, second), "align_blocks")
@@ -442,7 +451,7 @@ def aligned(docs: DataFrame, first: str, second: str) -> DataFrame:
         counts = np.where(known[at] == own.keys, counts[at], 0)  # 0: pairs of pieces that only texts without tokens hold
         linked = [own.by_piece(v) for v in (counts == best_of(own.keys // BASE), counts)]
         sums = own.totals(np.stack([*own.sizes, *linked]))
-        return pa.table({"doc_id": left.column("doc_id"), **dict(zip(names, sums, strict=True)), "groups": pa.array(own.written(), pa.string())})
+        return pa.table({"doc_id": left.column("doc_id"), **dict(zip(names, sums, strict=True)), "groups": pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in own.written()] if digest else list(own.written()), pa.string())})
 
     shape = f"doc_id {kind}, {', '.join(f'{c} long' for c in names)}, groups string"
     own = blocks.select("block", "place", "doc_id", "text", "a", "b", "bad")
@@ -451,5 +460,4 @@ def aligned(docs: DataFrame, first: str, second: str) -> DataFrame:
 
 def align_table(docs: DataFrame, first: str, second: str) -> DataFrame:
     """`aligned` with groups_sha256 in place of groups: lowercase hex, empty without tokens."""
-    out = aligned(docs, first, second)
-    return out.select(*out.columns[:-1], F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"))
+    return aligned(docs, first, second, digest=True).withColumnRenamed("groups", "groups_sha256")

@@ -100,6 +100,23 @@ def test_hash_is_minimal_perfect_and_verified(n):
             align_tokens.found(f, slots, keys + (1 << 60))
 
 
+def test_pairs_of_slices_are_those_of_the_whole(monkeypatch):
+    own = align_tokens.Aligned(align_tokens.encoders(A, B), align_tokens.cut_up(texts()))
+    monkeypatch.setattr(align_tokens, "PAIR_ROWS", 1 << 40)
+    want = dict(zip(*map(np.ndarray.tolist, own.pairs()), strict=True))
+    counts = whole(texts())[1]
+    assert {divmod(k, align_tokens.BASE): n for k, n in want.items()} == counts
+    for rows in (1, 50, 3000):
+        monkeypatch.setattr(align_tokens, "PAIR_ROWS", rows)
+        assert dict(zip(*map(np.ndarray.tolist, own.pairs()), strict=True)) == want
+
+
+def test_groups_are_written(spark):
+    docs = spark.createDataFrame([(1, "the same text")], "doc_id long, text string")
+    got, digest = align_tokens.aligned(docs, A, B).first(), align_tokens.align_table(docs, A, B).first()
+    assert got.groups.count("|") == got.n_groups > 0 and digest.groups_sha256 == hashlib.sha256(got.groups.encode()).hexdigest()
+
+
 def test_long_groups_link_all_pairs():
     """Groups of very many links are counted by distinct ids."""
     own = object.__new__(align_tokens.Aligned)
@@ -116,4 +133,4 @@ def test_long_groups_link_all_pairs():
 
 def test_pieces_that_do_not_come_back_spoil_only_their_texts():
     own = align_tokens.Aligned(align_tokens.encoders(A, B), align_tokens.cut_up(["some words here", "some words a▁b", "words here"]))
-    assert [bool(c) for c in own.codes] == [True, False, True] and own.written()[1] == "" and own.totals(own.sizes)[:, 1].tolist() == [0] * 4
+    assert [bool(c) for c in own.codes] == [True, False, True] and list(own.written())[1] == "" and own.totals(own.sizes)[:, 1].tolist() == [0] * 4

@@ -7,7 +7,7 @@ First pass: documents are taken in blocks, each of which gives its distinct pair
 hash into segments of about SEGMENT pairs, and each segment gets a minimal perfect hash function (levels of bit arrays: a key's place is the rank of its bit
 in the first level where it stood alone). Blocks' counts are added up in dense vectors by that hash, parts of blocks side by side, and the vectors are summed as a tree.
 Then blocks look their pairs up, in vectors whose slots hold the key itself and so verify it. Second pass: each block's documents are aligned again beside the
-block's counts, from the tokens of its distinct pieces, which the first pass has kept.
+block's counts. The texts themselves are read once: a block is kept as the tokens and byte lengths of its distinct pieces and the pieces of each text by number.
 Nothing whole is sent to tasks or to the driver but the best count of each id of the first vocabulary.
 """
 
@@ -70,7 +70,6 @@ class Encoders:
             self.a_bytes[i] = bytes(letters[c] for c in t)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(t[3:-1], 16)]) if self.b.is_byte(i) else t.replace("▁", " ").encode() for i, t in enumerate(names)]
-        self.kinds = (*(np.min_scalar_type(len(v)) for v in (self.a_bytes, self.b_bytes)), np.int64)
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in v]) for v in (self.a_bytes, self.b_bytes))
         # a piece may begin wherever a space comes after another character only if no entry has a space after another one
         if any("▁" in t.lstrip("▁") for t in names):
@@ -133,32 +132,59 @@ def cut_up(texts: list[str | None]) -> list[list[str]]:
     return [pieces(" " + t) if t else [] for t in texts]
 
 
+def packed(v: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, in the narrowest type that holds them, compressed."""
+    kind = np.min_scalar_type(int(v.max(initial=0)))
+    data = v.astype(kind).tobytes()
+    return kind.char.encode() + len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[1:9], "little")
+    return np.frombuffer(pa.decompress(data[9:], size, "zstd", asbytes=True), np.dtype(data[:1].decode())).astype(np.int64)
+
+
 class Aligned:
     """The distinct pieces of texts, given as their pieces, aligned at once.
 
-    codes: the pieces of each text by number (none if a piece of it can't be aligned). sizes: tokens, tokens, groups and links of each piece. piece, keys, times: a row for
-    each pair of ids that a group of a piece links.
+    per_text, placed: how many pieces each text has and their numbers, text by text (none of a text with a piece that can't be aligned). sizes: tokens, tokens, groups and
+    links of each piece. piece, keys, times: a row for each pair of ids that a group of a piece links.
     """
 
-    def __init__(self, encoders: Encoders, cut: list[list[str]], tokens: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
-        """tokens: what `Encoders.encode` gave for the same texts in the same order, if that is known."""
+    def __init__(self, encoders: Encoders, cut: list[list[str]]):
         alone, together = arranged(cut)
-        self.tokens = tokens or encoders.encode(alone, together)
-        self.a, self.b, bad = self.tokens
+        a, b, bad = encoders.encode(alone, together)
         made = alone + together
         if len(bad):
             off = set(bad.tolist())
             made = [p for i, p in enumerate(made) if i not in off]
         number = {p: i for i, p in enumerate(made)}
         codes = [list(map(number.get, c)) for c in cut]
-        self.codes = [[] if None in c else c for c in codes]
-        ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in made])
-        at_a, at_b = np.cumsum(encoders.a_sizes[self.a]), np.cumsum(encoders.b_sizes[self.b])
+        codes = [[] if None in c else c for c in codes]
+        per_text = np.array([len(c) for c in codes], np.int64)
+        widths = np.array([len(p) if p.isascii() else len(p.encode()) for p in made], np.int64)
+        self.build(encoders, a, b, widths, per_text, np.fromiter(itertools.chain.from_iterable(codes), np.int64, per_text.sum()))
+
+    @classmethod
+    def kept(cls, encoders: Encoders, *parts: bytes) -> Aligned:
+        """The same again from what `parts` gave."""
+        own = object.__new__(cls)
+        own.build(encoders, *map(unpacked, parts))
+        return own
+
+    def parts(self) -> list[bytes]:
+        """What the alignment is made of, by the names of PARTS."""
+        return [packed(v) for v in (self.a, self.b, self.widths, self.per_text, self.placed)]
+
+    def build(self, encoders: Encoders, a: np.ndarray, b: np.ndarray, widths: np.ndarray, per_text: np.ndarray, placed: np.ndarray) -> None:
+        self.a, self.b, self.widths, self.per_text, self.placed = a, b, widths, per_text, placed
+        ends = np.cumsum(widths)
+        at_a, at_b = np.cumsum(encoders.a_sizes[a]), np.cumsum(encoders.b_sizes[b])
         cuts = np.intersect1d(at_a, at_b, assume_unique=True)
         self.group_a, self.group_b = np.searchsorted(cuts, at_a), np.searchsorted(cuts, at_b)
         self.owner = np.searchsorted(ends, cuts)
         self.n_a, self.n_b = (np.bincount(g, minlength=len(cuts)) for g in (self.group_a, self.group_b))
-        self.n_pieces = len(made)
+        self.n_pieces = len(widths)
         self.sizes = np.stack([np.bincount(self.owner, w, self.n_pieces).astype(np.int64) for w in (self.n_a, self.n_b, np.ones(len(cuts)), self.n_a * self.n_b)])
         self.link()
 
@@ -180,8 +206,13 @@ class Aligned:
 
     def flat(self) -> tuple[np.ndarray, np.ndarray]:
         """(text, piece) of every occurrence."""
-        sizes = [len(c) for c in self.codes]
-        return np.repeat(np.arange(len(sizes)), sizes), np.fromiter(itertools.chain.from_iterable(self.codes), np.int64, sum(sizes))
+        return np.repeat(np.arange(len(self.per_text)), self.per_text), self.placed
+
+    @property
+    def codes(self) -> list[list[int]]:
+        """The pieces of each text by number."""
+        flat, ends = self.placed.tolist(), np.cumsum(self.per_text).tolist()
+        return [flat[a:z] for a, z in zip([0, *ends], ends)]
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """(keys, texts that link each) of the distinct pairs that the texts link."""
@@ -194,8 +225,8 @@ class Aligned:
         links = k[piece]
         n = np.zeros(len(keys), np.int64)
         # whole texts at a time, of about PAIR_ROWS links
-        part = np.cumsum(np.bincount(doc, links, len(self.codes))) // PAIR_ROWS
-        ends = np.searchsorted(doc, np.append(np.flatnonzero(np.diff(part)) + 1, len(self.codes)))
+        part = np.cumsum(np.bincount(doc, links, len(self.per_text))) // PAIR_ROWS
+        ends = np.searchsorted(doc, np.append(np.flatnonzero(np.diff(part)) + 1, len(self.per_text)))
         for a, z in zip(np.append(0, ends[:-1]), ends, strict=True):
             m = links[a:z]
             rows = np.repeat(np.arange(a, z), m)
@@ -207,7 +238,7 @@ class Aligned:
     def totals(self, by_piece: np.ndarray) -> np.ndarray:
         """Numbers of pieces (rows of values) summed over each text."""
         doc, piece = self.flat()
-        return np.stack([np.bincount(doc, v[piece], len(self.codes)).astype(np.int64) for v in by_piece])
+        return np.stack([np.bincount(doc, v[piece], len(self.per_text)).astype(np.int64) for v in by_piece])
 
     def by_piece(self, values: np.ndarray) -> np.ndarray:
         """Numbers of links' pairs, times how often they are linked, summed over each piece."""
@@ -216,7 +247,7 @@ class Aligned:
     def written(self) -> Iterator[str]:
         """The groups of each text."""
         if not len(self.a):
-            return iter([""] * len(self.codes))
+            return iter([""] * len(self.per_text))
         last = lambda g: np.append(g[1:] != g[:-1], True)
         out = np.empty(len(self.a) + len(self.b), object)
         ends_a, ends_b = last(self.group_a), last(self.group_b)
@@ -361,52 +392,52 @@ def pair_rows(vectors: DataFrame) -> DataFrame:
     return vectors.select("slots", "counts").mapInArrow(rows, "first long, second long, docs long")
 
 
-BLOCK_COLUMNS = ["block", "place", "doc_id", "text", "keys", "docs", "a", "b", "bad"]
+#: What an alignment is made of (`Aligned.parts`).
+PARTS = ["a", "b", "widths", "per_text", "placed"]
 
 
 def blocks_of(docs: DataFrame, first: str, second: str) -> DataFrame:
-    """block, place, doc_id, text of every document, and as each block's last place a row of keys and docs (arrays: its distinct pairs and how many of its documents
-    link each) and a, b, bad (the tokens of its distinct pieces, as `Encoders.encode` gives them)."""
+    """A row for each block of documents: block, doc_id (an array), keys and docs (arrays: its distinct pairs and how many of its documents link each) and PARTS."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        held: list[pa.RecordBatch] = []
+        ids: list[pa.Array] = []
         cut: list[list[str]] = []
         distinct: set[str] = set()
         chars = own_chars = 0
 
         def closed() -> pa.RecordBatch:
-            n, both = len(cut), encoders(first, second)
-            own = Aligned(both, cut)
-            ids, texts = (pa.concat_arrays([*(b.column(c) for b in held), pa.nulls(1, held[0].column(c).type)]) for c in ("doc_id", "text"))
-            last = [pa.array([None] * n + [x], pa.list_(pa.int64())) for x in own.pairs()]
-            last += [pa.array([None] * n + [x.astype(kind).tobytes()], pa.binary()) for x, kind in zip(own.tokens, both.kinds, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n + 1, block)), pa.array(range(n + 1), pa.int64()), ids, texts, *last], names=BLOCK_COLUMNS)
+            own = Aligned(encoders(first, second), cut)
+            row = [pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(cut)], pa.int32()), pa.concat_arrays(ids))]
+            row += [pa.array([x], pa.list_(pa.int64())) for x in own.pairs()]
+            row += [pa.array([x], pa.binary()) for x in own.parts()]
+            return pa.RecordBatch.from_arrays(row, names=["block", "doc_id", "keys", "docs", *PARTS])
 
         for b in batches:
             texts = b.column("text").to_pylist()
             more = cut_up(texts)
             new = set(itertools.chain.from_iterable(more)) - distinct
             size, own_size = sum(len(t or "") for t in texts), sum(map(len, new))
-            if held and (chars + size > BLOCK_CHARS or own_chars + own_size > DISTINCT_CHARS):
+            if cut and (chars + size > BLOCK_CHARS or own_chars + own_size > DISTINCT_CHARS):
                 yield closed()
-                block, held, cut, distinct, chars, own_chars = block + 1, [], [], set(), 0, 0
+                block, ids, cut, distinct, chars, own_chars = block + 1, [], [], set(), 0, 0
                 new = set(itertools.chain.from_iterable(more))
                 own_size = sum(map(len, new))
-            held.append(b)
+            ids.append(b.column("doc_id").take(pa.array(range(b.num_rows), pa.int64())))  # a copy, so that the batch's texts can go
             cut += more
             distinct |= new
             chars, own_chars = chars + size, own_chars + own_size
         if cut:
             yield closed()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"block long, place long, doc_id {kind}, text string, keys array<long>, docs array<long>, a binary, b binary, bad binary")
+    shape = f"block long, doc_id array<{kind}>, keys array<long>, docs array<long>, {', '.join(f'{c} binary' for c in PARTS)}"
+    return docs.select("doc_id", "text").mapInArrow(run, shape)
 
 
 def pair_counts(blocks: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """(blocks' pairs: seg, part, block, key, docs; vectors: seg, hash, slots, counts; number of parts) of a stored table of `blocks_of`."""
-    own = blocks.filter("keys is not null").select("block", F.explode(F.arrays_zip("keys", "docs")).alias("x")).select("block", F.col("x.keys").alias("key"), F.col("x.docs").alias("docs"))
+    own = blocks.select("block", F.explode(F.arrays_zip("keys", "docs")).alias("x")).select("block", F.col("x.keys").alias("key"), F.col("x.docs").alias("docs"))
     pairs = stored(own.select("key").distinct(), "align_pairs")
     n_segments = max(1, pairs.count() // SEGMENT)
     n_rows = blocks.agg(F.sum(F.size("keys"))).first()[0] or 0
@@ -438,11 +469,7 @@ def aligned(docs: DataFrame, first: str, second: str, digest: bool = False) -> D
         return np.append(sent.value, 0)[np.minimum(ids, len(sent.value))]
 
     def again(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        both = encoders(first, second)
-        left = left.sort_by("place")
-        last = left.slice(left.num_rows - 1).to_pylist()[0]
-        left = left.slice(0, left.num_rows - 1)
-        own = Aligned(both, cut_up(left.column("text").to_pylist()), tuple(np.frombuffer(last[c], k).astype(np.int64) for c, k in zip(("a", "b", "bad"), both.kinds, strict=True)))
+        own = Aligned.kept(encoders(first, second), *(left.column(c)[0].as_py() for c in PARTS))
         flat = lambda c: right.column(c).combine_chunks().flatten().to_numpy()
         known = flat("keys")
         order = np.argsort(known)
@@ -451,10 +478,11 @@ def aligned(docs: DataFrame, first: str, second: str, digest: bool = False) -> D
         counts = np.where(known[at] == own.keys, counts[at], 0)  # 0: pairs of pieces that only texts without tokens hold
         linked = [own.by_piece(v) for v in (counts == best_of(own.keys // BASE), counts)]
         sums = own.totals(np.stack([*own.sizes, *linked]))
-        return pa.table({"doc_id": left.column("doc_id"), **dict(zip(names, sums, strict=True)), "groups": pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in own.written()] if digest else list(own.written()), pa.string())})
+        ids = left.column("doc_id").combine_chunks().flatten()
+        return pa.table({"doc_id": ids, **dict(zip(names, sums, strict=True)), "groups": pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in own.written()] if digest else list(own.written()), pa.string())})
 
     shape = f"doc_id {kind}, {', '.join(f'{c} long' for c in names)}, groups string"
-    own = blocks.select("block", "place", "doc_id", "text", "a", "b", "bad")
+    own = blocks.select("block", "doc_id", *PARTS)
     return own.groupBy("block").cogroup(looked_up(dealt, vectors, n_parts).groupBy("block")).applyInArrow(again, shape)
 
 

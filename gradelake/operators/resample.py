@@ -1,7 +1,8 @@
 """Bootstrap: draws by hash, so they depend on no partitioning, and weighted metrics of every replicate.
 
 `bootstrap_weights` draws rows (or whole clusters) exactly and in SQL. For many replicates of rank metrics `paired_intervals` needs no drawn rows: rows
-with equal scores and label are exchangeable, so each task draws the counts of the distinct cells of a compact table.
+with equal scores and label are exchangeable, so the counts of the distinct cells are drawn. Cells lie in hash parts; a replicate's draws are split down to
+the parts by seeded binomials, and in a part among its cells, so any task can work out any part's counts, and they are the same however many cells there are.
 """
 
 from __future__ import annotations
@@ -10,14 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradelake.operators.rank import BUDGETS, auroc, budget_metrics, rank_metrics
+from gradelake.operators.rank import BUDGETS, auroc, beside, budget_metrics, rank_metrics
 from gradelake.operators.routing import FRACTIONS, gain_over_random
 
-#: Distinct (score_a, score_b, y) cells of one group that are sent to every task at most.
+#: Distinct (score_a, score_b, y) cells that are sent to every task at most; beyond, Spark sums the same draws.
 MAX_CELLS = 1_000_000
+#: Cells of a part among which its draws are shared out, about.
+PART_CELLS = 1 << 16
 
 
 def draw_hash(seed: int, *parts: Column) -> Column:
@@ -157,9 +161,62 @@ def template_delta_bootstrap(pairs: DataFrame, n_boot: int, seed: int, template:
     return w.groupBy(*by, "b").agg((F.sum(F.col("delta") * F.col("w")) / F.sum("w")).alias("mean_delta"))
 
 
+def part_total(cuts: np.ndarray, i: int, key: tuple[int, ...], name: bytes) -> int:
+    """How many of cuts[-1] draws fall into part i of parts that begin at `cuts`: halves share draws by a binomial that is seeded by key, the half's place and name."""
+    lo, hi, left = 0, len(cuts) - 1, int(cuts[-1])
+    while hi - lo > 1 and left:
+        mid = (lo + hi) // 2
+        share = (cuts[mid] - cuts[lo]) / (cuts[hi] - cuts[lo])
+        first = int(np.random.default_rng([*key, lo, hi, *name]).binomial(left, share))
+        lo, hi, left = (lo, mid, first) if i < mid else (mid, hi, left - first)
+    return left
+
+
+def part_draws(n: np.ndarray, cuts: np.ndarray, i: int, key: tuple[int, ...], name: bytes) -> np.ndarray:
+    """How often each cell of part i is drawn, whose cells stand for n rows each."""
+    return np.random.default_rng([*key, i, i + 1, *name]).multinomial(part_total(cuts, i, key, name), n / n.sum())
+
+
+def in_parts(cells: DataFrame, run: str) -> DataFrame:
+    """`cells` (run, _a, _b, _y, _n) with _part: as many hash parts of a run's class as its cells need."""
+    sizes = cells.groupBy(run, "_y").agg(F.count(F.lit(1)).alias("_cells"))
+    part = F.pmod(F.xxhash64("_a", "_b"), 1 + F.floor(F.col("_cells") / PART_CELLS))
+    return beside(cells, sizes, [run, "_y"]).withColumn("_part", part).drop("_cells")
+
+
+def drawn_cells(cells: DataFrame, n_boot: int, seed: int, run: str) -> DataFrame:
+    """(run, b, _score_a, _score_b, y, w): the cells that each replicate draws and how often. A row for each of them, whatever number of rows they stand for."""
+    group = [run, "_y", "_part"]
+    own = cells.filter("_y in (0, 1)").groupBy(*group).agg(F.collect_list(F.struct("_a", "_b", "_n")).alias("_own"), F.sum("_n").alias("_size"))
+    sizes = own.groupBy(run, "_y").agg(F.sort_array(F.collect_list(F.struct("_part", "_size"))).alias("_sizes"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (r, y, part) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("run", "_y", "_part")), strict=True)):
+                a, z, n = (batch.column("_own")[i].values.field(c).to_numpy(zero_copy_only=False) for c in ("_a", "_b", "_n"))
+                order = np.lexsort((z, a))
+                a, z, n = a[order], z[order], n[order]
+                parts, rows = (batch.column("_sizes")[i].values.field(c).to_numpy() for c in ("_part", "_size"))
+                cuts, at = np.append(0, np.cumsum(rows)), int(np.searchsorted(parts, part))
+                for b in range(n_boot):
+                    w = part_draws(n, cuts, at, (seed, b, y), (r or "").encode())
+                    hit = w > 0
+                    k = int(hit.sum())
+                    if k:
+                        cols = [pa.array([r] * k, pa.string()), pa.array(np.full(k, b)), pa.array(a[hit]), pa.array(z[hit]), pa.array(np.full(k, y, np.int32)), pa.array(w[hit])]
+                        yield pa.RecordBatch.from_arrays(cols, names=["run", "b", "_score_a", "_score_b", "y", "w"])
+
+    rows = beside(own, sizes, [run, "_y"]).select(F.col(run).cast("string").alias("run"), "_y", "_part", "_own", "_sizes")
+    return rows.mapInArrow(draw, "run string, b long, _score_a double, _score_b double, y int, w long")
+
+
 def cell_metrics(score: np.ndarray, wrong: np.ndarray, pos: np.ndarray, budgets: tuple[float, ...]) -> list[float]:
     """auroc, ap, aurc, and recall and residual risk at each budget, from the counts of cells (any order, scores may repeat)."""
-    _, where = np.unique(score, return_inverse=True)
+    return place_metrics(np.unique(score, return_inverse=True)[1], wrong, pos, budgets)
+
+
+def place_metrics(where: np.ndarray, wrong: np.ndarray, pos: np.ndarray, budgets: tuple[float, ...]) -> list[float]:
+    """`cell_metrics` of cells whose scores have these places in order."""
     w, p = np.bincount(where, wrong), np.bincount(where, pos)
     n = w + p
     used = n > 0
@@ -184,43 +241,58 @@ def metric_names(budgets: tuple[float, ...]) -> list[str]:
     return ["auroc", "ap", "aurc", *[f"{m}_{b:g}" for b in budgets for m in ("recall", "residual_risk")]]
 
 
-def drawn_intervals(df: DataFrame, a: str, b: str, n_boot: int, seed: int, budgets: tuple[float, ...] = BUDGETS, run: str = "run") -> DataFrame:
-    """The columns of `paired_intervals` from rows drawn one by one: for any number of distinct scores."""
-    d = df.withColumnRenamed(run, "run")
-    whole = paired_bootstrap(d, a, b, n_boot, seed)
-    at = paired_budget_bootstrap(d, a, b, n_boot, seed, budgets=budgets)
-    values = [F.max(F.when(F.abs(F.col("budget") - x) < 1e-12, F.col(m))).alias(f"{m}_{x:g}") for x in budgets for m in ("recall", "residual_risk")]
-    wide = at.groupBy("run", "b").agg(*values)
-    out = whole.join(wide, ["run", "b"], "left")
-    return out.select("run", F.col("b").cast("long").alias("b"), *[F.coalesce(F.col(f"`{m}`"), F.lit(float("nan"))).alias(m) for m in metric_names(budgets)])
+def summed_intervals(cells: DataFrame, n_boot: int, seed: int, budgets: tuple[float, ...], run: str) -> DataFrame:
+    """What `paired_intervals` gives, from drawn cells that Spark orders and sums."""
+    w, keys = drawn_cells(cells, n_boot, seed, run), ["run", "b"]
+
+    def both(x: DataFrame, z: DataFrame, on: list[str], metrics: tuple[str, ...]) -> DataFrame:
+        same = [F.col(f"x.{c}").eqNullSafe(F.col(f"z.{c}")) for c in on]
+        return x.alias("x").join(z.alias("z"), same).select(*[F.col(f"x.{c}") for c in on], *[(F.col(f"x.{m}") - F.col(f"z.{m}")).alias(m) for m in metrics])
+
+    whole = both(*(rank_metrics(w, keys, c, weight="w") for c in ("_score_a", "_score_b")), keys, ("auroc", "ap", "aurc"))
+    at = both(*(budget_metrics(w, keys, c, budgets=budgets, weight="w") for c in ("_score_a", "_score_b")), [*keys, "budget"], ("recall", "residual_risk"))
+    values = [F.max(F.when(F.abs(F.col("budget") - v) < 1e-12, F.col(m))).alias(f"{m}_{v:g}") for v in budgets for m in ("recall", "residual_risk")]
+    wide = at.groupBy(*keys).agg(*values)
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"z.{c}")) for c in keys]
+    out = whole.alias("x").join(wide.alias("z"), same, "left").select("x.*", *[F.col(f"z.`{c}`") for c in wide.columns if c not in keys])
+    return out.select(*keys, *[F.coalesce(F.col(f"`{m}`"), F.lit(float("nan"))).alias(m) for m in metric_names(budgets)])
 
 
 def paired_intervals(df: DataFrame, a: str, b: str, n_boot: int = 2000, seed: int = 0, budgets: tuple[float, ...] = BUDGETS, run: str = "run") -> DataFrame:
     """(run, b, metrics): differences of a and b in class-stratified replicates, each drawn as cell counts.
 
-    The cells of a run are the distinct (a, b, y) with their counts; up to MAX_CELLS they are sent to all tasks and replicates are
-    spread over tasks. A replicate's draw depends on seed, run and its number alone. Beyond, rows are drawn one by one and all is summed by
-    Spark: other draws of the same law.
+    The cells of a run are the distinct (a, b, y) with their counts. A draw depends on seed, run, replicate and the run's cells alone. Up to MAX_CELLS cells are sent
+    to all tasks and replicates are spread over tasks; beyond, Spark orders and sums the drawn cells: the same draws, so the same figures but for rounding.
     """
     spark = df.sparkSession
-    cells = df.groupBy(run, F.col(a).alias("_a"), F.col(b).alias("_b"), F.col("y").cast("int").alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
+    scores = [F.col(c).cast("double").alias(n) for c, n in ((a, "_a"), (b, "_b"))]
+    cells = in_parts(df.groupBy(run, *scores, F.col("y").cast("int").alias("_y")).agg(F.count(F.lit(1)).alias("_n")), run)
     if cells.limit(MAX_CELLS + 1).count() > MAX_CELLS:
-        return drawn_intervals(df, a, b, n_boot, seed, budgets, run)
-    table = spark.sparkContext.broadcast({k: g for k, g in cells.toPandas().groupby(run)})
+        return summed_intervals(cells, n_boot, seed, budgets, run)
     names = metric_names(budgets)
 
+    def prepared(c: pd.DataFrame) -> tuple:
+        """The parts of each class in order (row numbers, counts, cuts of parts, place), the labels, and both scores' places."""
+        c = c.sort_values(["_y", "_part", "_a", "_b"], ignore_index=True)
+        n, parts = c["_n"].to_numpy(), []
+        for k in (0, 1):
+            own = [g.to_numpy() for _, g in c.index.to_series()[c["_y"] == k].groupby(c["_part"])]
+            cuts = np.append(0, np.cumsum([n[g].sum() for g in own]))
+            parts += [(k, g, n[g], cuts, i) for i, g in enumerate(own)]
+        return parts, c["_y"].to_numpy(), [np.unique(c[x], return_inverse=True)[1] for x in ("_a", "_b")]
+
+    groups = cells.toPandas().groupby(run, dropna=False)
+    table = spark.sparkContext.broadcast({None if pd.isna(k) else k: prepared(g) for k, g in groups})
+
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for name in batch.itertuples(index=False):
-                c = table.value[name.run].sort_values(["_a", "_b", "_y"])
-                rng = np.random.default_rng([seed, int(name.b), *name.run.encode()])
-                n, y = c["_n"].to_numpy(), c["_y"].to_numpy()
-                drawn = np.zeros(len(c))
-                for k in (0, 1):
-                    if n[y == k].sum():
-                        drawn[y == k] = rng.multinomial(n[y == k].sum(), n[y == k] / n[y == k].sum())
-                both = [cell_metrics(c[s].to_numpy(), drawn * (y == 0), drawn * (y == 1), budgets) for s in ("_a", "_b")]
+                parts, y, places = table.value[name.run]
+                drawn = np.zeros(len(y))
+                for k, at, n, cuts, i in parts:
+                    drawn[at] = part_draws(n, cuts, i, (seed, int(name.b), k), (name.run or "").encode())
+                both = [place_metrics(p, drawn * (y == 0), drawn * (y == 1), budgets) for p in places]
                 rows.append([name.run, int(name.b), *(np.array(both[0]) - np.array(both[1]))])
             yield pd.DataFrame(rows, columns=["run", "b", *names])
 

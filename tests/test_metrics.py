@@ -156,19 +156,35 @@ def test_groups_of_null_are_groups(spark):
     assert {r.run: r.reviewed for r in rank.budget_metrics(df, ["run"], budgets=(0.5,)).collect()} == {None: 1, "a": 1}
 
 
-def test_intervals_beyond_the_cells_that_are_sent(spark, monkeypatch):
+@pytest.mark.parametrize("part_cells", [1 << 16, 10])
+def test_intervals_are_the_same_beyond_the_cells_that_are_sent(spark, monkeypatch, part_cells):
+    monkeypatch.setattr(resample, "PART_CELLS", part_cells)
     g = np.random.default_rng(4)
     y = (g.random(150) < 0.6).astype(int)
-    rows = [("r", i, float(a), float(b), int(c)) for i, (a, b, c) in enumerate(zip(g.random(150) + y, g.random(150), y, strict=True))]
+    rows = [("r", i, float(np.round(a, 1)), float(b), int(c)) for i, (a, b, c) in enumerate(zip(g.random(150) + y, g.random(150), y, strict=True))]
+    rows += [("s", i, float(i % 3), float(i % 4), int(i % 5 > 1)) for i in range(90)] + [(None, i, float(i), 0.5, i % 2) for i in range(9)]
     df = spark.createDataFrame(rows, "run string, idx long, a double, b double, y int")
-    few = resample.paired_intervals(df, "a", "b", 40, 3, budgets=(0.1,))
+    few = resample.paired_intervals(df, "a", "b", 12, 3, budgets=(0.1,))
+    want = {(r.run, r.b): r for r in few.collect()}
     monkeypatch.setattr(resample, "MAX_CELLS", 20)
-    many = resample.paired_intervals(df, "a", "b", 40, 3, budgets=(0.1,))
-    assert few.columns == many.columns and few.schema["b"].dataType == many.schema["b"].dataType
-    a, b = (np.array([[r[c] for c in ("auroc", "ap", "aurc", "recall_0.1", "residual_risk_0.1")] for r in d.collect()]) for d in (few, many))
-    assert a.shape == b.shape == (40, 5) and np.isfinite(b).all()
-    # two samples of one law
-    assert (np.abs(a.mean(0) - b.mean(0)) < 5 * np.sqrt((a.var(0) + b.var(0)) / 40) + 1e-12).all()
+    many = resample.paired_intervals(df.repartition(5), "a", "b", 12, 3, budgets=(0.1,))
+    assert few.columns == many.columns and [f.dataType for f in few.schema] == [f.dataType for f in many.schema]
+    got = {(r.run, r.b): r for r in many.collect()}
+    assert got.keys() == want.keys() and len(got) == 36
+    for k, r in got.items():
+        assert tuple(r)[2:] == pytest.approx(tuple(want[k])[2:], abs=1e-12, nan_ok=True)
+
+
+def test_draws_split_down_to_parts_are_multinomial():
+    n = np.array([5, 1, 30, 2, 12, 7, 3])
+    sizes = [slice(0, 2), slice(2, 3), slice(3, 6), slice(6, 7)]
+    cuts = np.append(0, np.cumsum([n[s].sum() for s in sizes]))
+    draws = np.array([np.concatenate([resample.part_draws(n[s], cuts, i, (1, b, 0), b"r") for i, s in enumerate(sizes)]) for b in range(4000)])
+    assert (draws.sum(1) == 60).all()
+    p = n / 60
+    want = 60 * (np.diag(p) - np.outer(p, p))
+    assert np.abs(draws.mean(0) - n).max() < 5 * np.sqrt(want.max() / 4000)
+    assert np.abs(np.cov(draws.T) - want).max() < 0.08 * want.max()
 
 
 def test_numbers_of_units_are_a_permutation(spark):

@@ -74,18 +74,22 @@ def place_slots(slot_bytes: DataFrame, n_shards: int, old: DataFrame | None = No
 
 
 def stored_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
-    """The slot-to-shard map of a version, or of the last one; None if `path` has none."""
+    """The slot-to-shard map of a version, or of the last one; None if `path` has none. One row a slot: where writers that ran at once stored a version twice, the lower shard holds."""
     try:
         every = spark.read.parquet(path)
     except AnalysisException:
         return None
     if version is None:
         version = every.agg(F.max("version")).first()[0]
-    return every.filter(F.col("version") == version)
+    return every.filter(F.col("version") == version).groupBy("version", "virtual_slot").agg(F.min("shard").alias("shard"))
 
 
 def store_map(slot_map: DataFrame, path: str) -> DataFrame:
-    """Adds a version of the map to those under `path`, and reads it from there."""
+    """Adds a version of the map to those under `path`, and reads it from there. A version that is there is refused."""
+    version = slot_map.first().version
+    old = stored_map(slot_map.sparkSession, path, version)
+    if old is not None and not old.isEmpty():
+        raise ValueError(f"version {version} of the map is already stored")
     slot_map.write.mode("append").parquet(path)
     return stored_map(slot_map.sparkSession, path)
 

@@ -515,3 +515,16 @@ def test_language_distance_by_definition():
 def test_fingerprint_of_text_column_types():
     assert list(decontam.shards(pa.array([], pa.string()))) == []
     assert [len(s) for s in decontam.shards(pa.array(["a", None, "b"]))] == [3]
+
+
+def test_a_stored_version_of_the_map_is_refused_and_read_once(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)], "doc_id long, text string")
+    path = f"file://{tmp_path}/maps"
+    _, first = sharding.assign_shards(docs, 5, path, 64)
+    with pytest.raises(ValueError, match="version 1"):
+        sharding.store_map(first, path)
+    again = spark.createDataFrame([(1, i, (i + 1) % 5) for i in range(64)], "version int, virtual_slot int, shard int")
+    again.write.mode("append").parquet(path)  # another writer at the same time
+    rows, both = sharding.assign_shards(docs, 5, path, 64)
+    assert both.count() == 64 and rows.count() == 60
+    assert sorted(r.slot for r in rows.collect() if r.shard == 0) == list(range(rows.filter("shard = 0").count()))

@@ -13,43 +13,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradelake.functions.text import shallow_features
+from gradelake.operators import network
 from gradelake.operators.rank import auroc
 from gradelake.operators.resample import draw_hash, numbered, poisson
+from gradelake.operators.sums import column_matrix, tree_sum
 
 RIDGE = 0.01
-#: Rows that a step of a fit reads in one task at least.
-ROWS_A_PART = 8192
-#: Partial sums that one task adds up, and levels of such sums.
-FAN, LEVELS = 64, 3
 #: Features up to which a logistic regression takes Newton steps: their matrix is the square of that.
 NEWTON_FEATURES = 512
 
 
-def tree_sum(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, v: the sums by position of the arrays v (of one length) of each key. parts: keys, _task (the task that gave a row), v. Summed as a tree: FAN rows of a key meet in a task."""
-
-    def add(t: pa.Table) -> pa.Table:
-        v = t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1).sum(0)
-        return pa.table({**{k: t.column(k).slice(0, 1) for k in (*keys, "_task")}, "v": pa.array([v], pa.list_(pa.float64()))})
-
-    for level in range(1, LEVELS + 1):
-        at = F.lit(0).cast("long") if level == LEVELS else F.floor(F.col("_task") / FAN)
-        parts = parts.withColumn("_task", at).groupBy(*keys, "_task").applyInArrow(add, parts.schema)
-    return parts.drop("_task")
-
-
-def column_matrix(c: pa.Array) -> np.ndarray:
-    """The rows of an array column, all of one length."""
-    c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
-    return c.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(c), -1)
-
-
 def explode_heads(df: DataFrame, head_dim: int, vec: str = "vec", layer: str = "layer") -> DataFrame:
     """A row for each head of each layer vector: flat_head (layer-major), head_in_layer and vec of head_dim numbers. A width that head_dim doesn't divide is refused."""
     heads = F.size(vec) / head_dim
@@ -348,22 +327,13 @@ def _scored(model, scaled: DataFrame, apply_to: DataFrame, features: str) -> Dat
     return out.select(*[c for c in apply_to.columns if c != "score"], vector_to_array("_p")[1].alias("score"))
 
 
-def fit_mlp_ensemble(train: DataFrame, apply_to: DataFrame, seeds: tuple[int, ...] = (0, 1, 2, 3, 4), hidden: int = 128, features: str = "features", y: str = "y", steps: int = 60) -> DataFrame:
-    """A row for each row of `apply_to` and seed: member, score; one hidden layer, fitted on balanced rows. `ensemble` averages the members."""
-    t, a = scale_array(train, train, features), scale_array(train, apply_to, features)
-    width = train.select(F.size(features)).first()[0]
-    most = 2 * train.count()
-    out = None
-    for s in seeds:
-        rows = balance_train(t, s, y).select(F.col(y).cast("double").alias("label"), array_to_vector(features).alias("_x"))
-        mlp = MultilayerPerceptronClassifier(featuresCol="_x", labelCol="label", layers=[width, hidden, 2], seed=s, maxIter=steps, probabilityCol="_p")
-        # every step reads them: in memory, and not in more parts than their number is worth
-        rows = rows.coalesce(max(1, most // ROWS_A_PART)).persist()
-        model = mlp.fit(rows)
-        rows.unpersist()
-        one = _scored(model, a, apply_to, features).withColumn("member", F.lit(s))
-        out = one if out is None else out.unionByName(one)
-    return out
+def fit_mlp_ensemble(train: DataFrame, apply_to: DataFrame, seeds: tuple[int, ...] = (0, 1, 2, 3, 4), hidden: int = 128, features: str = "features", y: str = "y", epochs: int = 300) -> DataFrame:
+    """A row for each row of `apply_to` and seed: member, score (P(right); null without features). One hidden layer of rectified units, Adam, early stopping on held-out rows; all seeds
+    are fitted in the same readings of `train`. `ensemble` averages the members. A single class gives its own value."""
+    nets = network.fit_ensemble(train, seeds, hidden, features, y, network.Training(epochs=epochs))
+    found = apply_to.drop("member", "score").withColumn("_p", network.scores(apply_to, nets, len(seeds), features))
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("member"), F.get("_p", F.lit(i)).alias("score")) for i, s in enumerate(seeds)]))
+    return found.withColumn("_m", each).withColumns({"score": F.col("_m.score"), "member": F.col("_m.member")}).drop("_p", "_m")
 
 
 def ensemble(members: DataFrame, keys: tuple[str, ...] = ("idx",), y: str = "y") -> DataFrame:
@@ -383,7 +353,7 @@ def shallow_probe(train: DataFrame, apply_to: DataFrame, text: str = "phase1_sol
     return fit_lr(t, a, "shallow").select(*apply_to.columns, "score")
 
 
-def score_with(detector: str, train: DataFrame, apply_to: DataFrame, c: float = 0.5, hidden: int = 128, seeds: tuple[int, ...] = (0, 1, 2, 3, 4), steps: int = 60) -> DataFrame:
+def score_with(detector: str, train: DataFrame, apply_to: DataFrame, c: float = 0.5, hidden: int = 128, seeds: tuple[int, ...] = (0, 1, 2, 3, 4), epochs: int = 300) -> DataFrame:
     """`apply_to` with score by a named detector: lr or mlp (seeds averaged), on raw features or on what `shallow` doesn't explain of them (controlled)."""
     model, _, kind = detector.partition("_")
     if kind == "controlled":
@@ -391,7 +361,7 @@ def score_with(detector: str, train: DataFrame, apply_to: DataFrame, c: float =
         train, apply_to = residualize(t, t), residualize(t, a)
     if model == "lr":
         return fit_lr(train, apply_to, c=c)
-    members = fit_mlp_ensemble(train, apply_to, seeds, hidden, steps=steps)
+    members = fit_mlp_ensemble(train, apply_to, seeds, hidden, epochs=epochs)
     keys = [k for k in apply_to.columns if k not in ("features", "shallow", "score")]
     return members.groupBy(*keys).agg(F.avg("score").alias("score"))
 

@@ -733,7 +733,7 @@ def _(v):
 @query("sweep", "axis:s cell:s detector:s auroc:d")
 def _(v):
     shallow = features(v).select("idx", "shallow")
-    return probe.sweep(*halves(heads(v)), {"c": (0.05,), "hidden": (8,)}, {"topk": 3, "c": 0.5, "hidden": 4}, ("lr_controlled", "mlp_raw"), shallow, seeds=(0,), steps=10)
+    return probe.sweep(*halves(heads(v)), {"c": (0.05,), "hidden": (8,)}, {"topk": 3, "c": 0.5, "hidden": 4}, ("lr_controlled", "mlp_raw"), shallow, seeds=(0,), epochs=10)
 
 
 #: name of the CTE, axis, cell, heads, c

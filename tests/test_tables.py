@@ -135,9 +135,9 @@ def test_models_rank_and_residuals_vanish(spark):
     flat = df.filter("layer = 1").select("idx", "y", F.col("vec").alias("features"), F.slice("vec", 1, 2).alias("shallow"))
     from gradelake.operators.rank import auroc
 
-    for scored in (probe.fit_lr(flat, flat), probe.ensemble(probe.fit_mlp_ensemble(flat, flat, (0, 1), 8, steps=30))):
+    for scored in (probe.fit_lr(flat, flat), probe.ensemble(probe.fit_mlp_ensemble(flat, flat, (0, 1), 8))):
         assert auroc(scored.withColumn("run", F.lit("r")), ["run"]).first().auroc > 0.85
-    members = probe.fit_mlp_ensemble(flat, flat, (0, 1), 4, steps=5)
+    members = probe.fit_mlp_ensemble(flat, flat, (0, 1), 4, epochs=5)
     mean = {r.idx: r.score for r in probe.ensemble(members).collect()}
     pairs = members.groupBy("idx").agg(F.sum("score").alias("s"), F.count("score").alias("n")).collect()
     assert all(r.n == 2 and mean[r.idx] == pytest.approx(r.s / 2) for r in pairs)
@@ -151,7 +151,7 @@ def test_detectors_by_name(spark):
     df, x, y = activations(spark, 120)
     flat = df.filter("layer = 1").select("idx", "y", F.col("vec").alias("features"), F.slice("vec", 5, 2).alias("shallow"))
     for d in ("lr_raw", "lr_controlled", "mlp_raw", "mlp_controlled"):
-        s = probe.score_with(d, flat, flat, hidden=4, seeds=(0,), steps=20)
+        s = probe.score_with(d, flat, flat, hidden=4, seeds=(0,), epochs=20)
         assert s.count() == 120 and s.filter("score < 0 or score > 1").count() == 0
     both = probe.fit_raw_and_controlled(flat, flat)
     assert {r.detector: r["count"] for r in both.groupBy("detector").count().collect()} == {"raw": 120, "controlled": 120}

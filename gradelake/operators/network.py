@@ -1,12 +1,12 @@
 """Networks with one hidden layer of rectified units, trained by Adam on minibatches.
 
 Training is data-parallel: a step reads the rows of one minibatch, tasks sum its gradients, and the sums move the parameters. All members of an ensemble take their step in the same
-reading of the rows. Batches, held-out rows and starting parameters go by hash and seed, so a fit doesn't depend on partitions but for the rounding of sums.
+reading of the rows. Rows that fit one task need no such exchange: there members train side by side, a task for each, with the same steps. Batches, held-out rows and starting parameters go by hash and seed, so a fit doesn't depend on partitions but for the rounding of sums.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +26,10 @@ HELD_OUT = 0.15
 BETA, GAMMA, TINY = 0.9, 0.999, 1e-8
 
 
+#: Sums over rows for each of some members.
+Sums = Callable[..., "np.ndarray | list[np.ndarray]"]
+
+
 @dataclass(frozen=True)
 class Training:
     """rate: Adam's; decay: of the squared weights, over a batch's weight; batch: rows of a minibatch at least; most_steps: minibatches of an epoch at most (more rows make larger
@@ -109,30 +113,12 @@ class Adam:
         self.done = self.waited >= self.how.patience
 
 
-def _summed(rows: DataFrame, parts: int, of_batch) -> np.ndarray | None:
-    """The sum over rows of the numbers (members, any) that of_batch makes of (x, y, w, held) of a batch: at most FAN tasks' sums come to the driver, more are added up as a tree before."""
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for b in batches:
-            if b.num_rows:
-                own = of_batch(column_matrix(b.column("x")), b.column("y").to_numpy(zero_copy_only=False), b.column("w").to_numpy(zero_copy_only=False), column_matrix(b.column("held")) > 0)
-                total = own if total is None else total + own
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.ravel()], pa.list_(pa.float64()))], names=["one", "_task", "v"])
-
-    sums = rows.mapInArrow(partial, "one int, _task long, v array<double>")
-    sums = sums.drop("_task") if parts <= FAN else tree_sum(sums, ["one"])
-    got = sums.toArrow()
-    return column_matrix(got.column("v")).sum(0) if got.num_rows else None
-
-
-def fit(rows: DataFrame, parts: int, n_steps: int, starts: list[Network], judge_held: bool, how: Training) -> list[Network]:
-    """The best parameters of each member. rows: x, y, w, batch (0 to n_steps - 1), held (a number for each member, 1: not trained on); kept in memory by the caller, in `parts` parts.
+def trained(starts: list[Network], n_steps: int, judge_held: bool, how: Training, gradients: Sums, told: Sums) -> list[Network]:
+    """The best parameters of each member.
 
-    After an epoch a member is judged by the weighted share of its held-out rows that it tells right, without held-out rows by its training loss.
+    gradients(networks, members, batch) and told(networks, members) sum over a batch's rows and over all held-out rows: `Network.gradient`, and (weight told right, weight). After an
+    epoch a member is judged by the weighted share of its held-out rows that it tells right, without held-out rows by its training loss.
     """
-    sc = rows.sparkSession.sparkContext
     members = [Adam(s, how) for s in starts]
     for epoch in range(how.epochs):
         going = [i for i, m in enumerate(members) if not m.done]
@@ -140,42 +126,78 @@ def fit(rows: DataFrame, parts: int, n_steps: int, starts: list[Network], judge_
             break
         losses = np.zeros((len(members), 2))
         for k in range(n_steps):
-            sent = sc.broadcast([members[i].net for i in going])
-
-            def gradients(x, y, w, held, sent=sent, going=going):
-                out = []
-                for net, i in zip(sent.value, going, strict=True):
-                    own = ~held[:, i]
-                    out.append(net.gradient(x[own], y[own], w[own]))
-                return np.array(out)
-
-            sums = _summed(rows.filter(F.col("batch") == (k + epoch) % n_steps), parts, gradients)
-            sent.destroy()
-            if sums is not None:
-                for i, s in zip(going, sums.reshape(len(going), -1), strict=True):
-                    members[i].step(s)
-                    losses[i] += s[-2:]
-        right = None
-        if judge_held:
-            sent = sc.broadcast([members[i].net for i in going])
-
-            def told(x, y, w, held, sent=sent, going=going):
-                out = []
-                for net, i in zip(sent.value, going, strict=True):
-                    own = held[:, i]
-                    hit = (net.logit(x[own])[1] > 0) == (y[own] == 1)
-                    out.append([(w[own] * hit).sum(), w[own].sum()])
-                return np.array(out)
-
-            right = _summed(rows, parts, told)
-            right = right.reshape(len(going), 2) if right is not None else None
-            sent.destroy()
-        for at, i in enumerate(going):
-            seen = right is not None and right[at, 1] > 0
-            members[i].judged(right[at, 0] / right[at, 1] if seen else -losses[i, 0] / max(losses[i, 1], TINY))
+            sums = gradients([members[i].net for i in going], going, (k + epoch) % n_steps)
+            for i, s in zip(going, sums, strict=True):
+                members[i].step(s)
+                losses[i] += s[-2:]
+        right = told([members[i].net for i in going], going) if judge_held else np.zeros((len(going), 2))
+        for i, (hit, of) in zip(going, right, strict=True):
+            members[i].judged(hit / of if of > 0 else -losses[i, 0] / max(losses[i, 1], TINY))
     return [m.best for m in members]
 
 
+def right(net: Network, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return np.array([(w * ((net.logit(x)[1] > 0) == (y == 1))).sum(), w.sum()])
+
+
+def over_tasks(rows: DataFrame, parts: int, starts: list[Network], n_steps: int, judge_held: bool, how: Training) -> list[Network]:
+    """Training whose steps are jobs. rows: x, y, w, batch (0 to n_steps - 1), held (a number for each member, 1: not trained on), in `parts` parts; kept in memory meanwhile.
+
+    At most FAN tasks' sums come to the driver, more are added up as a tree before.
+    """
+    rows = rows.persist()
+
+    def summed(of: DataFrame, nets: list[Network], going: list[int], numbers: Callable, size: int, held: bool) -> np.ndarray:
+        sent = rows.sparkSession.sparkContext.broadcast(nets)
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for b in batches:
+                if b.num_rows:
+                    x, y, w, out = column_matrix(b.column("x")), b.column("y").to_numpy(zero_copy_only=False), b.column("w").to_numpy(zero_copy_only=False), column_matrix(b.column("held")) > 0
+                    keep = [out[:, i] == held for i in going]
+                    own = np.array([numbers(net, x[k], y[k], w[k]) for net, k in zip(sent.value, keep, strict=True)])
+                    total = own if total is None else total + own
+            if total is not None:
+                columns = [pa.array([0], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.ravel()], pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["one", "_task", "v"])
+
+        sums = of.mapInArrow(partial, "one int, _task long, v array<double>")
+        got = (sums.drop("_task") if parts <= FAN else tree_sum(sums, ["one"])).toArrow()
+        sent.destroy()
+        return column_matrix(got.column("v")).sum(0).reshape(len(going), -1) if got.num_rows else np.zeros((len(going), size))
+
+    found = trained(
+        starts,
+        n_steps,
+        judge_held,
+        how,
+        lambda nets, going, k: summed(rows.filter(F.col("batch") == k), nets, going, Network.gradient, len(starts[0].at) + 2, False),
+        lambda nets, going: summed(rows, nets, going, right, 2, True),
+    )
+    rows.unpersist()
+    return found
+
+
+def in_a_task(rows: DataFrame, starts: list[Network], n_steps: int, judge_held: bool, how: Training) -> list[Network]:
+    """The same training of rows that fit one task (fewer than 2 * ROWS_A_PART): a task for each member, one job in all."""
+    sent = rows.sparkSession.sparkContext.broadcast(starts)
+
+    def train(t: pa.Table) -> pa.Table:
+        i = t.column("member")[0].as_py()
+        x, y, w, batch = column_matrix(t.column("x")), *(t.column(c).to_numpy() for c in ("y", "w", "batch"))
+        out = column_matrix(t.column("held"))[:, i] > 0
+        batches = [(x[k], y[k], w[k]) for k in (~out & (batch == s) for s in range(n_steps))]
+        held = x[out], y[out], w[out]
+        best = trained([sent.value[i]], n_steps, judge_held, how, lambda nets, _, k: [nets[0].gradient(*batches[k])], lambda nets, _: [right(nets[0], *held)])[0]
+        return pa.table({"member": pa.array([i], pa.int32()), "v": pa.array([best.at], pa.list_(pa.float64()))})
+
+    each = rows.withColumn("member", F.explode(F.array(*map(F.lit, range(len(starts))))))
+    found = {r.member: np.array(r.v) for r in each.groupBy("member").applyInArrow(train, "member int, v array<double>").collect()}
+    sent.destroy()
+    return [Network(s.width, s.hidden, found[i]) for i, s in enumerate(starts)]
+
+
 def fit_ensemble(train: DataFrame, seeds: tuple[int, ...], hidden: int = 128, features: str = "features", y: str = "y", how: Training | None = None) -> list[Network] | float:
     """A network for each seed, on features as they are; for rows of a single class its label, for no rows 0.
 
@@ -206,11 +228,11 @@ def fit_ensemble(train: DataFrame, seeds: tuple[int, ...], hidden: int = 128, fe
     held = F.array(*[below(f"held {s}", HELD_OUT) if judge else F.lit(0) for s in seeds]).alias("held")
     batch = F.pmod(F.xxhash64(F.lit("batch"), row), F.lit(steps)).cast("int").alias("batch")
     dealt = known.select("x", "y", F.when(F.col("y") == 1, n / (2 * one)).otherwise(n / (2 * zero)).alias("w"), batch, held)
-    # every step reads them: in memory, evenly spread, and a batch's rows next to each other, so that a step skips the rest
-    spread = dealt.repartition(parts, F.xxhash64("x")).sortWithinPartitions("batch")
-    rows = spread.mapInArrow(scaled, "x array<double>, y double, w double, batch int, held array<int>").persist()
-    found = fit(rows, parts, steps, [started(width, hidden, s) for s in seeds], judge, how)
-    rows.unpersist()
+    # a batch's rows next to each other, so that a step skips the rest
+    spread = dealt.repartition(parts, F.xxhash64("x")).sortWithinPartitions("batch") if parts > 1 else dealt
+    rows = spread.mapInArrow(scaled, "x array<double>, y double, w double, batch int, held array<int>")
+    starts = [started(width, hidden, s) for s in seeds]
+    found = over_tasks(rows, parts, starts, steps, judge, how) if parts > 1 else in_a_task(rows, starts, steps, judge, how)
     return [f.on_raw(mean, sd) for f in found]
 
 

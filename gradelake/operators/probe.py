@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from gradelake.functions.text import shallow_features
 from gradelake.operators import network
 from gradelake.operators.rank import auroc
-from gradelake.operators.resample import draw_hash, numbered, poisson
+from gradelake.operators.resample import draw_hash, numbered
 from gradelake.operators.sums import column_matrix, tree_sum
 
 RIDGE = 0.01
@@ -93,8 +93,8 @@ def head_directions(stats: DataFrame) -> DataFrame:
 
 def head_lda_auc(heads: DataFrame, weight: str | None = None) -> DataFrame:
     """flat_head, auc: how well the linear discriminant of each head ranks the rows, max(a, 1 - a); 0.5 for a single class."""
-    w = F.broadcast(head_directions(head_statistics(heads, weight)))  # one vector a head
-    score = F.aggregate(F.zip_with("vec", "w", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    w = F.broadcast(head_directions(head_statistics(heads, weight)).withColumnRenamed("w", "_direction"))  # one vector a head
+    score = F.aggregate(F.zip_with("vec", "_direction", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     # a head of a single class has no direction: all its rows tie, and its AUROC is null
     scored = heads.join(w, "flat_head").select("flat_head", "y", F.coalesce(score, F.lit(0.0)).alias("score"), *([F.col(weight).alias("_w")] if weight else []))
     found = auroc(scored, ["flat_head"], weight="_w" if weight else None)
@@ -136,36 +136,45 @@ def standardize(train: DataFrame, apply_to: DataFrame, columns: tuple[str, ...])
     return out.withColumns(scaled).select(*apply_to.columns)
 
 
-def _products(rows: DataFrame, x: str, y: str) -> tuple[np.ndarray, np.ndarray]:
-    """X'X and X'Y with an intercept, summed in tasks and then as a tree; only these small matrices come to the driver."""
+def _products(rows: DataFrame, x: str, y: str, by: str | None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """X'X and X'Y with an intercept of each group, summed in tasks and then as a tree; only these small matrices come to the driver."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total: dict[int, np.ndarray] = {}
         for b in batches:
             if b.num_rows:
-                a = np.column_stack([np.ones(b.num_rows), column_matrix(b.column("x"))])
-                own = a.T @ np.column_stack([a, column_matrix(b.column("y"))])
-                total = own if total is None else total + own
-        if total is not None:
-            n = len(total)
-            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([TaskContext.get().partitionId()] * n, pa.int64()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "_task", "v"])
-
-    part = rows.select(F.col(x).alias("x"), F.col(y).alias("y")).mapInArrow(partial, "i int, _task long, v array<double>")
-    got = np.array([r.v for r in tree_sum(part, ["i"]).orderBy("i").collect()])
-    return got[:, : len(got)], got[:, len(got) :]
-
-
-def residualize(train: DataFrame, apply_to: DataFrame, x: str = "shallow", y: str = "features") -> DataFrame:
-    """`apply_to` with what a linear fit on train predicts of y (array) from x (array) taken off it."""
-    xx, xy = _products(train, x, y)
-    coef = apply_to.sparkSession.sparkContext.broadcast(np.linalg.lstsq(xx, xy, rcond=None)[0])
+                a, of = np.column_stack([np.ones(b.num_rows), column_matrix(b.column("x"))]), b.column("g").to_numpy()
+                both = np.column_stack([a, column_matrix(b.column("y"))])
+                for g in np.unique(of).tolist():
+                    own = a[of == g].T @ both[of == g]
+                    total[g] = total[g] + own if g in total else own
+        for g, t in total.items():
+            n = len(t)
+            yield pa.RecordBatch.from_arrays([pa.array([g] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([TaskContext.get().partitionId()] * n, pa.int64()), pa.array(list(t), pa.list_(pa.float64()))], names=["g", "i", "_task", "v"])
+
+    group = F.col(by) if by else F.lit(0)
+    part = rows.select(F.col(x).alias("x"), F.col(y).alias("y"), group.cast("int").alias("g")).mapInArrow(partial, "g int, i int, _task long, v array<double>")
+    lines: dict[int, list] = {}
+    for r in tree_sum(part, ["g", "i"]).orderBy("g", "i").collect():
+        lines.setdefault(r.g, []).append(r.v)
+    return {g: (np.array(v)[:, : len(v)], np.array(v)[:, len(v) :]) for g, v in lines.items()}
+
+
+def residualize(train: DataFrame, apply_to: DataFrame, x: str = "shallow", y: str = "features", by: str | None = None, products: dict | None = None) -> DataFrame:
+    """`apply_to` with what a linear fit on train predicts of y (array) from x (array) taken off it. products: those of train, if they are known. by: a column of small numbers, whose groups have fits of their own, found in one
+    reading; rows of groups that train lacks stay as they are."""
+    coef = apply_to.sparkSession.sparkContext.broadcast({g: np.linalg.lstsq(xx, xy, rcond=None)[0] for g, (xx, xy) in (products or _products(train, x, y, by)).items()})
     schema = apply_to.schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                a = np.column_stack([np.ones(len(b)), np.stack(b[x].to_numpy())])
-                b = b.assign(**{y: list(map(list, np.stack(b[y].to_numpy()) - a @ coef.value))})
+                a, rest = np.column_stack([np.ones(len(b)), np.stack(b[x].to_numpy())]), np.stack(b[y].to_numpy()).astype(float)
+                of = b[by].to_numpy() if by else np.zeros(len(b), int)
+                for g in np.unique(of).tolist():
+                    if g in coef.value:
+                        rest[of == g] -= a[of == g] @ coef.value[g]
+                b = b.assign(**{y: list(map(list, rest))})
             yield b
 
     return apply_to.mapInPandas(run, schema)
@@ -432,17 +441,68 @@ def sweep(train_heads: DataFrame, test_heads: DataFrame, grid: dict[str, tuple],
     return auroc(functools.reduce(DataFrame.unionByName, out), ["axis", "cell", "detector"])
 
 
-def train_resample_auc(train_heads: DataFrame, test_heads: DataFrame, reps: int, seed: int, topk: int, detector: str = "lr_raw", shallow: DataFrame | None = None, keys: tuple[str, ...] = ("idx",), **how) -> DataFrame:
-    """replicate, auroc on test: train rows are resampled, heads chosen, features residualised (controlled) and the model fitted anew each time; reps is small."""
-    out = None
-    for r in range(reps):
-        drawn = train_heads.withColumn("_w", poisson(seed, F.lit(r), *[F.col(k) for k in keys])).filter("_w > 0")
-        top = head_ranking(head_lda_auc(drawn, "_w"), topk, None)
-        copies = drawn.select(*keys, "_w").distinct().withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_w")))).select(*keys)
-        train = features_of(drawn, top, keys, shallow).join(copies, list(keys))
-        one = score_with(detector, train, features_of(test_heads, top, keys, shallow), **how).select(F.lit(r).alias("replicate"), "y", "score")
-        out = one if out is None else out.unionByName(one)
-    return auroc(out, ["replicate"])
+def replicate_weights(units: DataFrame, reps: int, seed: int, keys: tuple[str, ...] = ("idx",), attempts: int = 10) -> DataFrame:
+    """keys and w, an array: how often each of `units` (keys, y; distinct) is drawn in each replicate, as many with replacement as there are.
+
+    A replicate in which one class is missing is drawn anew, `attempts` times at most; then all its numbers are 0. Only keys are numbered and drawn, by hash: no dependence on partitions.
+    """
+    placed = numbered(units.select(F.struct(*keys).alias("_unit"), "y"), [], "_unit")
+    n = units.count()
+
+    def drawn(tries: dict[int, int]) -> DataFrame:
+        at = [F.struct(F.lit(r).alias("r"), F.pmod(draw_hash(seed, F.lit(r), F.lit(t), F.col("id")), F.lit(n)).alias("_i")) for r, t in tries.items()]
+        each = units.sparkSession.range(n).select(F.explode(F.array(*at)).alias("d")).select("d.*")
+        times = each.groupBy("_i").agg(F.array(*[F.count_if(F.col("r") == r) for r in range(reps)]).alias("w"))
+        return placed.join(times, "_i").select("_unit.*", "y", "w")
+
+    chosen, open_ = {}, range(reps) if n else ()
+    for t in range(attempts):
+        tries = {r: t for r in open_}
+        if not tries:
+            break
+        seen = drawn(tries).agg(*[F.count_if((F.get("w", F.lit(r)) > 0) & (F.col("y") == k)) for r in tries for k in (0, 1)]).first()
+        chosen |= {r: t for i, r in enumerate(tries) if seen[2 * i] and seen[2 * i + 1]}
+        open_ = [r for r in tries if r not in chosen]
+    if not chosen:
+        return units.select(*keys, F.array_repeat(F.lit(0).cast("long"), reps).alias("w"))
+    return drawn(chosen).select(*keys, "w")
+
+
+def train_resample_auc(train_heads: DataFrame, test_heads: DataFrame, reps: int = 8, seed: int = 0, topk: int = 32, detector: str = "lr_raw", shallow: DataFrame | None = None, keys: tuple[str, ...] = ("idx",), **how) -> DataFrame:
+    """replicate, auroc on test: train rows are drawn with replacement, heads chosen, features residualised (controlled) and the model fitted anew each time.
+
+    All replicates share the readings: their weights lie beside each row, the statistics and AUCs of heads are those of (replicate, head) pairs, residuals and regressions one stack.
+    A task's sums hold a d x d matrix for each replicate, head and class. Replicates that lack a class after ten draws are left out.
+    """
+    weights = replicate_weights(train_heads.select(*keys, "y").distinct(), reps, seed, keys)
+    pairs = F.filter(F.transform("_w", lambda v, i: F.struct(i.alias("replicate"), v.alias("w"))), lambda p: p["w"] > 0)
+    drawn = train_heads.drop("w", "replicate").join(weights.withColumnRenamed("w", "_w"), list(keys)).select(*keys, "y", "flat_head", "vec", F.explode(pairs).alias("p")).select(*keys, "y", "flat_head", "vec", "p.*")
+    n_heads = (train_heads.agg(F.max("flat_head")).first()[0] or 0) + 1
+    aucs = head_lda_auc(drawn.withColumn("flat_head", F.col("replicate").cast("long") * n_heads + F.col("flat_head")), "w")
+    aucs = aucs.select(F.floor(F.col("flat_head") / n_heads).cast("int").alias("replicate"), (F.col("flat_head") % n_heads).alias("flat_head"), "auc")
+    place = F.row_number().over(Window.partitionBy("replicate").orderBy(F.desc("auc"), "flat_head"))
+    top = aucs.withColumn("rank", place).filter(F.col("rank") <= topk).select("replicate", "flat_head", "rank")
+    top = F.broadcast(top.sparkSession.createDataFrame(top.collect(), top.schema))  # topk heads a replicate
+
+    def features(rows: DataFrame, *more: str) -> DataFrame:
+        x = F.array_sort(F.collect_list(F.struct("rank", "vec"))).alias("x")
+        out = rows.groupBy(*keys, "replicate").agg(F.first("y").alias("y"), x, *[F.first(c).alias(c) for c in more])
+        out = out.withColumn("features", F.flatten(F.col("x.vec")).cast("array<double>")).drop("x")
+        return out if shallow is None else out.join(shallow.select(*keys, "shallow"), list(keys))
+
+    train = features(drawn.join(top, ["replicate", "flat_head"]), "w").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("w")))).drop("w", "_copy")
+    test = features(test_heads.drop("replicate").join(top, "flat_head"))
+    model, _, kind = detector.partition("_")
+    every = sorted({r.replicate for r in top.select("replicate").distinct().collect()})
+    if kind == "controlled":
+        sums = _products(train, "shallow", "features", "replicate")
+        train, test = (residualize(train, d, by="replicate", products=sums) for d in (train, test))
+    if model == "lr" and every and train.select(F.size("features")).first()[0] <= NEWTON_FEATURES:
+        models = fit_stack(train, {str(r): Fit(how.get("c", 0.5), rows=F.col("replicate") == r) for r in every})
+        score = functools.reduce(lambda w, r: w.when(F.col("replicate") == r, models[str(r)].score("features")), every[1:], F.when(F.col("replicate") == every[0], models[str(every[0])].score("features")))
+        return auroc(test.withColumn("score", score), ["replicate"])
+    each = [score_with(f"{model}_raw", *(d.filter(F.col("replicate") == r) for d in (train, test)), **how).select("replicate", "y", "score") for r in every]
+    return auroc(functools.reduce(DataFrame.unionByName, each, test.select("replicate", "y", F.lit(0.0).alias("score")).limit(0)), ["replicate"])
 
 
 def spread(draws: DataFrame, value: str = "auroc") -> DataFrame:

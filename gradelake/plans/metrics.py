@@ -757,4 +757,4 @@ def _(v):
 
 @query("train_resample_auc", "n:l mean:d sd:d")
 def _(v):
-    return probe.spread(probe.train_resample_auc(*halves(heads(v)), 2, 5, 3))
+    return probe.spread(probe.train_resample_auc(*halves(heads(v)), 8, 5, 3, "lr_controlled", features(v).select("idx", "shallow")))

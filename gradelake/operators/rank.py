@@ -15,7 +15,7 @@ BUDGETS = (0.02, 0.05, 0.075, 0.10, 0.125, 0.15, 0.20)
 COVERAGES = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5)
 #: Tie groups that one task orders, about.
 PART_CELLS = 1 << 20
-#: Quantiles a large group is cut at, at most, so many of them compared at once; and how finely they are estimated.
+#: Quantiles a large group is cut at, at most, so many of them beside a row at once; and how finely they are estimated.
 CUTS, CUTS_AT_ONCE, ACCURACY = 4096, 64, 20_000
 Z95 = 1.959963984540054
 _GAMMA = 0.5772156649015329
@@ -35,12 +35,30 @@ def beside(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner")
     return left.alias("l").join(F.broadcast(right.alias("r")), same, how).select("l.*", *[F.col(f"r.{c}") for c in right.columns if c not in by])
 
 
-def part_of(score: Column, cuts: Column) -> Column:
-    """How many of the ascending `cuts` lie below the score: first among every CUTS_AT_ONCE-th, then among those in between."""
-    below = lambda x: x < score
-    every = F.filter(cuts, lambda x, i: (i + 1) % CUTS_AT_ONCE == 0)
-    coarse = F.size(F.filter(every, below))
-    return coarse * CUTS_AT_ONCE + F.size(F.filter(F.slice(cuts, coarse * CUTS_AT_ONCE + 1, F.lit(CUTS_AT_ONCE)), below))
+def part_of(score: Column, cuts: Column, most: int = CUTS) -> Column:
+    """How many of the ascending `cuts`, fewer than `most` (a power of two), lie below the score: a binary search."""
+    steps = F.array(*[F.lit(most >> i) for i in range(1, most.bit_length())])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) < score, at + step).otherwise(at))
+
+
+def cut_runs(cuts: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """`cuts` with every CUTS_AT_ONCE-th of their _cuts alone; and by, _run and the _cuts in between, a row for each run of them."""
+    coarse = cuts.withColumn("_cuts", F.filter("_cuts", lambda x, i: (i + 1) % CUTS_AT_ONCE == 0))
+    runs = F.transform(F.sequence(F.lit(0), F.floor(F.size("_cuts") / CUTS_AT_ONCE).cast("int")), lambda i: F.slice("_cuts", i * CUTS_AT_ONCE + 1, F.lit(CUTS_AT_ONCE - 1)))
+    return coarse, cuts.select(*by, F.posexplode(runs).alias("_run", "_cuts"))
+
+
+def with_part(cells: DataFrame, cuts: DataFrame, by: list[str], order: str) -> DataFrame:
+    """`cells` with _part, how many of their group's _cuts (ascending) lie below them, null without cuts, and the other columns of `cuts`.
+
+    A row meets one short list at a time, however many cuts its group has.
+    """
+    coarse, fine = cut_runs(cuts, by)
+    at = beside(cells, coarse, by, "left")
+    at = at.withColumn("_run", F.when(F.col("_cuts").isNotNull(), part_of(F.col(order), F.col("_cuts"), CUTS_AT_ONCE))).drop("_cuts")
+    found = beside(at, fine, [*by, "_run"], "left")
+    inner = F.when(F.col("_run").isNotNull(), part_of(F.col(order), F.col("_cuts"), CUTS_AT_ONCE))
+    return found.withColumn("_part", F.col("_run") * CUTS_AT_ONCE + inner).drop("_run", "_cuts")
 
 
 def with_running(cells: DataFrame, by: list[str], descending: bool = False, values: tuple[str, ...] = ("n", "pos", "wrong"), part_cells: int | None = None, order: str = "score") -> DataFrame:
@@ -59,7 +77,7 @@ def with_running(cells: DataFrame, by: list[str], descending: bool = False, valu
     parts = F.least(F.lit(CUTS), F.ceil(F.col("_cells") / per)).cast("int")
     chosen = F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.get("_q", F.floor(i * CUTS / parts).cast("int") - 1))
     cuts = found.select(*by, F.array_distinct(chosen).alias("_cuts"), *[f"_{v}_all" for v in values])
-    dealt = beside(cells, cuts, by, "left").withColumn("_part", F.when(F.col("_cuts").isNotNull(), F.coalesce(part_of(F.col(order), F.col("_cuts")), F.lit(0)))).drop("_cuts")
+    dealt = with_part(cells, cuts, by, order)
     totals = dealt.filter("_part is not null").groupBy(*by, "_part").agg(*[F.sum(v).alias(f"_{v}") for v in values])
     before = Window.partitionBy(*by).orderBy(F.col("_part").desc() if descending else F.col("_part")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "_part", *[F.sum(f"_{v}").over(before).alias(f"_{v}_offset") for v in values])  # at most CUTS rows a large group

@@ -245,3 +245,15 @@ def test_parts_follow_the_number_of_cells(spark):
     assert cuts.select(F.transform("s", lambda x: rank.part_of(x, F.col("c")))).first()[0] == [0, 0, 1, 64, 150, 200]
     out = rank.with_running(big, ["run"], values=("n",), part_cells=100)
     assert out.filter("n_before <> score or n_all <> 30000").count() == 0
+
+
+def test_no_row_carries_all_cuts(spark):
+    """A group of very many parts: what lies beside a cell while its part is found stays short, and the parts are those of one long list."""
+    cells = spark.range(3000).select(F.lit("a").alias("run"), (F.col("id") - 50).cast("double").alias("score")).union(spark.createDataFrame([("b", 1.0), ("a", float("nan"))], "run string, score double"))
+    for n in (1, 63, 64, 65, 128, 2500):
+        cuts = spark.createDataFrame([("a", [float(x) for x in range(n)], n)], "run string, _cuts array<double>, more int")
+        out = rank.with_part(cells, cuts, ["run"], "score").collect()
+        assert len(out) == 3002 and {(r._part, r.more) for r in out if r.run == "b"} == {(None, None)}
+        assert all(r._part == sum(x < r.score or r.score != r.score for x in range(n)) for r in out if r.run == "a")
+    widest = max(len(v) for r in rank.cut_runs(cuts, ["run"])[0].collect() + rank.cut_runs(cuts, ["run"])[1].collect() for v in [r["_cuts"]])
+    assert widest < rank.CUTS_AT_ONCE

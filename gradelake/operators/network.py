@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.operators.sums import FAN, column_matrix, tree_sum
+from gradelake.operators.sums import FAN, LEVELS, column_matrix, tree_sum
 
 #: Rows that a step reads in one task, about, where there are that many.
 ROWS_A_PART = 8192
@@ -143,9 +143,10 @@ def right(net: Network, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarr
 def over_tasks(rows: DataFrame, parts: int, starts: list[Network], n_steps: int, judge_held: bool, how: Training) -> list[Network]:
     """Training whose steps are jobs. rows: x, y, w, batch (0 to n_steps - 1), held (a number for each member, 1: not trained on), in `parts` parts; kept in memory meanwhile.
 
-    At most FAN tasks' sums come to the driver, more are added up as a tree before.
+    The sums of all tasks are added up in tasks, a member's in one (those of more than FAN as a tree): what comes to the driver each step is one gradient a member, however many the rows.
     """
     rows = rows.persist()
+    tasks = min(parts, rows.sparkSession.sparkContext.defaultParallelism)
 
     def summed(of: DataFrame, nets: list[Network], going: list[int], numbers: Callable, size: int, held: bool) -> np.ndarray:
         sent = rows.sparkSession.sparkContext.broadcast(nets)
@@ -159,13 +160,14 @@ def over_tasks(rows: DataFrame, parts: int, starts: list[Network], n_steps: int,
                     own = np.array([numbers(net, x[k], y[k], w[k]) for net, k in zip(sent.value, keep, strict=True)])
                     total = own if total is None else total + own
             if total is not None:
-                columns = [pa.array([0], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.ravel()], pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["one", "_task", "v"])
+                n = len(total)
+                columns = [pa.array(range(n), pa.int32()), pa.array([TaskContext.get().partitionId()] * n, pa.int64()), pa.array(list(total), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["at", "_task", "v"])
 
-        sums = of.mapInArrow(partial, "one int, _task long, v array<double>")
-        got = (sums.drop("_task") if parts <= FAN else tree_sum(sums, ["one"])).toArrow()
+        sums = of.coalesce(tasks).mapInArrow(partial, "at int, _task long, v array<double>")
+        got = tree_sum(sums, ["at"], 1 if tasks <= FAN else LEVELS).toArrow()
         sent.destroy()
-        return column_matrix(got.column("v")).sum(0).reshape(len(going), -1) if got.num_rows else np.zeros((len(going), size))
+        return column_matrix(got.column("v"))[np.argsort(got.column("at").to_numpy())] if got.num_rows else np.zeros((len(going), size))
 
     found = trained(
         starts,
@@ -236,7 +238,7 @@ def fit_ensemble(train: DataFrame, seeds: tuple[int, ...], hidden: int = 128, fe
     return [f.on_raw(mean, sd) for f in found]
 
 
-def scores(df: DataFrame, nets: list[Network] | float, n: int, features: str = "features") -> Column:
+def scores(df: DataFrame, nets: list[Network] | float, n: int, features: str | Column = "features") -> Column:
     """The array of the members' P(y = 1) for each row; null without features."""
     if not isinstance(nets, list):
         return F.array(*[F.lit(nets)] * n)
@@ -252,4 +254,4 @@ def scores(df: DataFrame, nets: list[Network] | float, n: int, features: str = "
             out[known] = pd.Series(list(p), index=x.index[known])
         return out
 
-    return score(F.col(features).cast("array<double>"))
+    return score((F.col(features) if isinstance(features, str) else features).cast("array<double>"))

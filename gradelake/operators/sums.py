@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 FAN, LEVELS = 64, 3
 
 
-def tree_sum(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, v: the sums by position of the arrays v (of one length) of each key. parts: keys, _task (the task that gave a row), v. Summed as a tree: FAN rows of a key meet in a task."""
+def tree_sum(parts: DataFrame, keys: list[str], levels: int = LEVELS) -> DataFrame:
+    """keys, v: the sums by position of the arrays v (of one length) of each key. parts: keys, _task (the task that gave a row), v. Summed as a tree: FAN rows of a key meet in a task. levels: one is enough for up to FAN tasks."""
 
     def add(t: pa.Table) -> pa.Table:
         v = t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1).sum(0)
         return pa.table({**{k: t.column(k).slice(0, 1) for k in (*keys, "_task")}, "v": pa.array([v], pa.list_(pa.float64()))})
 
-    for level in range(1, LEVELS + 1):
-        at = F.lit(0).cast("long") if level == LEVELS else F.floor(F.col("_task") / FAN)
+    for level in range(1, levels + 1):
+        at = F.lit(0).cast("long") if level == levels else F.floor(F.col("_task") / FAN)
         parts = parts.withColumn("_task", at).groupBy(*keys, "_task").applyInArrow(add, parts.schema)
     return parts.drop("_task")
 

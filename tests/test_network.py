@@ -109,3 +109,28 @@ def test_edges(spark):
     # one row of a class: nothing is held out, training stops by its loss
     few = df.filter("y = 0").unionByName(df.filter("y = 1").limit(1))
     assert probe.fit_mlp_ensemble(few, df, (0,), 4, epochs=3).filter("score is null").count() == 0
+
+
+def test_what_comes_to_the_driver_follows_no_number_of_tasks(spark, monkeypatch):
+    """A step brings one gradient a member, whether the rows lie in 3 parts or in 24."""
+    x, y = rings(1200, 3)
+    df = frame(spark, x, y).persist()
+    df.count()
+
+    def results():
+        none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList()
+        it, total = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, *none).iterator(), 0
+        while it.hasNext():
+            total += it.next().resultSize()
+        return total
+
+    def sent(rows_a_part):
+        monkeypatch.setattr(network, "ROWS_A_PART", rows_a_part)
+        before = results()
+        nets = network.fit_ensemble(df, (0, 1), 512, how=network.Training(epochs=1))
+        return results() - before, nets
+
+    (few, a), (many, b) = sent(400), sent(50)
+    df.unpersist()
+    assert many < 2 * few
+    assert all(np.allclose(i.at, j.at, atol=1e-9) for i, j in zip(a, b, strict=True))

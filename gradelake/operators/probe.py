@@ -188,10 +188,10 @@ def with_shallow(df: DataFrame, text: str = "phase1_solution") -> DataFrame:
 def scale_array(train: DataFrame, apply_to: DataFrame, column: str) -> DataFrame:
     """The same as `standardize` for an array column: means and deviations by position."""
     sums = train.select(F.posexplode(column).alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    one = sums.agg(F.array_sort(F.collect_list(F.struct("i", "m", "s"))).alias("_p"))
-    out = apply_to.join(F.broadcast(one))
-    scaled = F.zip_with(column, "_p", lambda v, p: (v - p["m"]) / F.when(p["s"] > 0, p["s"]).otherwise(1.0))
-    return out.withColumn(column, scaled).drop("_p")
+    known = sums.orderBy("i").collect()  # a row a feature; read once, whatever is made of the result
+    numbers = lambda v: F.array(*[F.lit(x).cast("double") for x in v]).cast("array<double>")
+    centred = F.zip_with(column, numbers(r["m"] for r in known), lambda v, m: v - m)
+    return apply_to.withColumn(column, F.zip_with(centred, numbers(r["s"] or 1.0 for r in known), lambda v, d: v / d))
 
 
 def balance_train(df: DataFrame, seed: int, y: str = "y", key: str = "idx") -> DataFrame:
@@ -281,15 +281,22 @@ def newton(rows: DataFrame, fits: list[tuple[int, float]], scales: list[tuple[np
     return b
 
 
+def _kept(rows: DataFrame, *columns: str) -> tuple[DataFrame, bool]:
+    """These columns of `rows`, kept for several readings, and whether the caller is to let go of them: rows that are kept already stay as they are."""
+    return (rows, False) if rows.is_cached else (rows.select(*columns).persist(), True)
+
+
 def fit_stack(train: DataFrame, fits: dict[str, Fit], features: str = "features", y: str = "y") -> dict[str, Model]:
-    """A logistic regression for each of `fits`, with balanced class weights on features standardised by its own rows. Each Newton step of all of them is one reading of `train`."""
+    """A logistic regression for each of `fits`, with balanced class weights on features standardised by its own rows. Each Newton step of all of them is one reading of the rows,
+    which are kept meanwhile: `train` itself is read once."""
+    train, own = _kept(train, *((features, y) if all(f.rows is None for f in fits.values()) else train.columns))
     whole = train.select(F.size(features)).first()[0]
     holds = [F.coalesce(f.rows, F.lit(False)) if f.rows is not None else F.lit(True) for f in fits.values()]
     widths = [f.width or whole for f in fits.values()]
     count = train.agg(*[F.count_if(h & (F.col(y) == k)) for h in holds for k in (0, 1)]).first()
     sizes = [(count[2 * i], count[2 * i + 1]) for i in range(len(holds))]
     balance = [F.when(h, F.when(F.col(y) == 1, n / max(1, 2 * one)).otherwise(n / max(1, 2 * zero))).otherwise(0.0) for h, (zero, one) in zip(holds, sizes, strict=True) for n in (zero + one,)]
-    rows = train.filter(F.col(y).isNotNull()).select(F.col(features).alias("x"), F.col(y).cast("double").alias("y"), F.array(*[w.cast("double") for w in balance]).alias("w")).persist()
+    rows = train.filter(F.col(y).isNotNull()).select(F.col(features).alias("x"), F.col(y).cast("double").alias("y"), F.array(*[w.cast("double") for w in balance]).alias("w"))
     of = lambda v, i: F.when(F.get("w", F.lit(i)) > 0, v)
     flat = rows.select("w", F.posexplode("x").alias("at", "v")).groupBy("at")
     moments = flat.agg(*[g(of(F.col("v"), i)).alias(f"{g.__name__}_{i}") for i in range(len(holds)) for g in (F.avg, F.stddev_pop)]).orderBy("at").collect()  # a row a feature
@@ -300,7 +307,8 @@ def fit_stack(train: DataFrame, fits: dict[str, Fit], features: str = "features"
         scales[i] = mean, np.where(sd > 0, sd, 1.0)
     chosen = rows.select("x", "y", F.array(*[F.get("w", F.lit(i)) for i in usable]).alias("w")) if usable else rows
     found = newton(chosen, [(widths[i], list(fits.values())[i].c) for i in usable], [scales[i] for i in usable]) if usable else []
-    rows.unpersist()
+    if own:
+        train.unpersist()
     out = {}
     for i, name in enumerate(fits):
         if i not in usable:
@@ -316,18 +324,25 @@ def fit_lr(train: DataFrame, apply_to: DataFrame, features: str = "features", c:
 
     Newton steps on summed Hessians up to NEWTON_FEATURES features, beyond them Spark's L-BFGS: the same strictly convex problem, so the same coefficients.
     """
+    train, own = _kept(train, features, y)
     first = train.select(F.size(features)).first()
     if first is None or first[0] <= NEWTON_FEATURES:
         model = fit_stack(train, {"lr": Fit(c)}, features, y)["lr"] if first else Model(constant=0.0)
+        if own:
+            train.unpersist()
         return apply_to.withColumn("score", model.score(features))
     sizes = {int(r[y]): r["count"] for r in train.groupBy(y).count().collect()}
     n = sum(sizes.values())
     if len(sizes) < 2:
+        if own:
+            train.unpersist()
         return apply_to.withColumn("score", F.lit(float(next(iter(sizes), 0))))
     t, a = scale_array(train, train, features), scale_array(train, apply_to, features)
     t = t.withColumn("_w", F.when(F.col(y) == 1, n / (2 * sizes[1])).otherwise(n / (2 * sizes[0])))
     t = t.select(F.col(y).cast("double").alias("label"), array_to_vector(features).alias("_x"), "_w")
     model = LogisticRegression(featuresCol="_x", labelCol="label", weightCol="_w", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, probabilityCol="_p", maxIter=200).fit(t)
+    if own:
+        train.unpersist()
     return _scored(model, a, apply_to, features)
 
 
@@ -339,7 +354,10 @@ def _scored(model, scaled: DataFrame, apply_to: DataFrame, features: str) -> Dat
 def fit_mlp_ensemble(train: DataFrame, apply_to: DataFrame, seeds: tuple[int, ...] = (0, 1, 2, 3, 4), hidden: int = 128, features: str = "features", y: str = "y", epochs: int = 300) -> DataFrame:
     """A row for each row of `apply_to` and seed: member, score (P(right); null without features). One hidden layer of rectified units, Adam, early stopping on held-out rows; all seeds
     are fitted in the same readings of `train`. `ensemble` averages the members. A single class gives its own value."""
+    train, own = _kept(train, features, y)
     nets = network.fit_ensemble(train, seeds, hidden, features, y, network.Training(epochs=epochs))
+    if own:
+        train.unpersist()
     found = apply_to.drop("member", "score").withColumn("_p", network.scores(apply_to, nets, len(seeds), features))
     each = F.explode(F.array(*[F.struct(F.lit(s).alias("member"), F.get("_p", F.lit(i)).alias("score")) for i, s in enumerate(seeds)]))
     return found.withColumn("_m", each).withColumns({"score": F.col("_m.score"), "member": F.col("_m.member")}).drop("_p", "_m")
@@ -357,41 +375,61 @@ def seed_aucs(members: DataFrame, y: str = "y") -> DataFrame:
 
 
 def shallow_probe(train: DataFrame, apply_to: DataFrame, text: str = "phase1_solution") -> DataFrame:
-    """P(right) by the seven shallow features of the text alone."""
-    t, a = with_shallow(train, text), with_shallow(apply_to, text)
+    """P(right) by the seven shallow features of the text alone; rows that have them (shallow) need no text."""
+    t, a = (d if "shallow" in d.columns else with_shallow(d, text) for d in (train, apply_to))
     return fit_lr(t, a, "shallow").select(*apply_to.columns, "score")
 
 
 def score_with(detector: str, train: DataFrame, apply_to: DataFrame, c: float = 0.5, hidden: int = 128, seeds: tuple[int, ...] = (0, 1, 2, 3, 4), epochs: int = 300) -> DataFrame:
     """`apply_to` with score by a named detector: lr or mlp (seeds averaged), on raw features or on what `shallow` doesn't explain of them (controlled)."""
     model, _, kind = detector.partition("_")
-    if kind == "controlled":
-        t, a = scale_array(train, train, "shallow"), scale_array(train, apply_to, "shallow")
-        train, apply_to = residualize(t, t), residualize(t, a)
+    train, own = _kept(train, "features", "y", *(["shallow"] if kind == "controlled" else []))
+    fitted, apply_to = controlled(train, apply_to) if kind == "controlled" else (train, apply_to)
     if model == "lr":
-        return fit_lr(train, apply_to, c=c)
-    members = fit_mlp_ensemble(train, apply_to, seeds, hidden, epochs=epochs)
-    keys = [k for k in apply_to.columns if k not in ("features", "shallow", "score")]
-    return members.groupBy(*keys).agg(F.avg("score").alias("score"))
+        out = fit_lr(fitted, apply_to, c=c)
+    else:
+        nets = network.fit_ensemble(fitted, seeds, hidden, how=network.Training(epochs=epochs))
+        out = apply_to.withColumn("score", mean_score(apply_to, nets, len(seeds)))
+    if own:
+        train.unpersist()
+    return out
+
+
+def controlled(train: DataFrame, apply_to: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with what train's shallow features, standardised, explain of the features taken off. What is learned of train is known when this returns."""
+    t, a = scale_array(train, train, "shallow"), scale_array(train, apply_to, "shallow")
+    sums = _products(t, "shallow", "features", None)
+    return residualize(t, t, products=sums), residualize(t, a, products=sums)
+
+
+def mean_score(df: DataFrame, nets: list[network.Network] | float, n: int, features: str | Column = "features") -> Column:
+    """The mean of the members' P(right)."""
+    return F.aggregate(network.scores(df, nets, n, features), F.lit(0.0), lambda s, p: s + p) / n
 
 
 def fit_raw_and_controlled(train: DataFrame, apply_to: DataFrame, model: str = "lr", **how) -> DataFrame:
-    """detector (raw, controlled) and score of the rows of `apply_to` (features, shallow) by both variants of a model."""
+    """detector (raw, controlled) and score of the rows of `apply_to` (features, shallow) by both variants of a model. `train` is read once for both."""
     keys = [c for c in apply_to.columns if c not in ("features", "shallow", "score", "detector")]
+    train, own = _kept(train, "features", "shallow", "y")
     out = [score_with(f"{model}_{k}", train, apply_to, **how).select(*keys, "score", F.lit(k).alias("detector")) for k in ("raw", "controlled")]
+    if own:
+        train.unpersist()
     return out[0].unionByName(out[1])
 
 
 def transfer_matrix(splits: dict[str, tuple[DataFrame, DataFrame]], keys: tuple[str, ...] = ("idx",), detector: str = "lr_raw", **how) -> DataFrame:
     """source, target, keys, y, score: a model (and, controlled, the coefficients of shallow features) fitted on each source's train rows scores each target's
     test rows. splits: few named pairs. Regressions on raw features of all sources are one stack."""
-    columns = lambda d, source, target: d.select(F.lit(source).alias("source"), F.lit(target).alias("target"), *keys, "y", "score")
-    if detector == "lr_raw" and next(iter(splits.values()))[0].select(F.size("features") <= NEWTON_FEATURES).first()[0]:
-        named = [train.select("features", "y", F.lit(source).alias("_source")) for source, (train, _) in splits.items()]
-        models = fit_stack(functools.reduce(DataFrame.unionByName, named), {s: Fit(how.get("c", 0.5), rows=F.col("_source") == s) for s in splits})
-        out = [columns(test.withColumn("score", m.score("features")), source, target) for source, m in models.items() for target, (_, test) in splits.items()]
+    columns = lambda d, source, target: d.select(source.alias("source"), target.alias("target"), *keys, "y", "score")
+    kept = functools.reduce(DataFrame.unionByName, [train.select("features", "y", F.lit(source).alias("_source")) for source, (train, _) in splits.items()]).persist() if detector == "lr_raw" else None
+    if kept is not None and kept.select(F.size("features") <= NEWTON_FEATURES).first()[0]:
+        models = fit_stack(kept, {s: Fit(how.get("c", 0.5), rows=F.col("_source") == s) for s in splits})
+        each = F.explode(F.array(*[F.struct(F.lit(s).alias("source"), m.score("features").alias("score")) for s, m in models.items()]))
+        out = [columns(test.withColumn("_m", each).withColumn("score", F.col("_m.score")), F.col("_m.source"), F.lit(target)) for target, (_, test) in splits.items()]
     else:
-        out = [columns(score_with(detector, train, test, **how), source, target) for source, (train, _) in splits.items() for target, (_, test) in splits.items()]
+        out = [columns(score_with(detector, train, test, **how), F.lit(source), F.lit(target)) for source, (train, _) in splits.items() for target, (_, test) in splits.items()]
+    if kept is not None:
+        kept.unpersist()
     return functools.reduce(DataFrame.unionByName, out)
 
 
@@ -404,40 +442,54 @@ def transfer_deltas(scores: DataFrame) -> DataFrame:
 
 def features_of(heads: DataFrame, top: DataFrame, keys: tuple[str, ...], shallow: DataFrame | None = None) -> DataFrame:
     """keys, y, features of the chosen heads, and shallow if a table of keys and shallow is given."""
-    out = select_head_features(heads, top, keys).join(heads.select(*keys, "y").distinct(), list(keys))
+    few = heads.join(F.broadcast(top.select("flat_head", "rank")), "flat_head").dropna(subset=list(keys))
+    rows = few.groupBy(*keys).agg(F.first("y").alias("y"), F.array_sort(F.collect_list(F.struct("rank", "vec"))).alias("x"))
+    out = rows.select(*keys, F.flatten(F.col("x.vec")).cast("array<double>").alias("features"), "y")
     return out if shallow is None else out.join(shallow.select(*keys, "shallow"), list(keys))
 
 
 def sweep(train_heads: DataFrame, test_heads: DataFrame, grid: dict[str, tuple], default: dict, detectors: tuple[str, ...] = ("lr_raw",), shallow: DataFrame | None = None, keys: tuple[str, ...] = ("idx",), **how) -> DataFrame:
     """axis, cell, detector, auroc: one axis (topk, c, hidden) at a time around the default. Head AUCs are worked out once.
 
-    The regressions of all cells are one stack: the features of fewer heads are the first of those of more, with what shallow features explain taken off each alone.
+    Train rows are put together once and kept. The regressions of all cells are one stack: the features of fewer heads are the first of those of more, with what shallow features explain taken off
+    each alone. Test rows are read once raw and once controlled, for all cells and detectors.
     """
     most = max([default["topk"], *grid.get("topk", ())])
     order = head_ranking(head_lda_auc(train_heads), most, None)
     order = order.sparkSession.createDataFrame(order.collect(), order.schema)  # the chosen heads
     cells = [("default", "default", default), *[(a, str(v), default | {a: v}) for a, values in grid.items() for v in values]]
-    wide = [features_of(h, order, keys, shallow) for h in (train_heads, test_heads)]
+    train, test = (features_of(h, order, keys, shallow) for h in (train_heads, test_heads))
+    train = train.persist()
     size = train_heads.select(F.size("vec")).first()[0]
-    name = lambda d, axis, cell, detector: d.select(F.lit(axis).alias("axis"), F.lit(cell).alias("cell"), F.lit(detector).alias("detector"), "y", "score")
+    of = lambda d, at: d.withColumn("features", F.slice("features", 1, at["topk"] * size))
     out = []
-    for d in detectors:
-        model, _, kind = d.partition("_")
-        if model == "lr" and most * size <= NEWTON_FEATURES:
-            train, test = wide
-            if kind == "controlled":
-                t, a = scale_array(train, train, "shallow"), scale_array(train, test, "shallow")
-                train, test = residualize(t, t), residualize(t, a)
-            own = {(axis, cell): at for axis, cell, at in cells if axis != "hidden"}
-            models = fit_stack(train, {k: Fit(at["c"], at["topk"] * size) for k, at in own.items()})
-            each = F.explode(F.array(*[F.struct(F.lit(axis).alias("axis"), F.lit(cell).alias("cell"), m.score("features").alias("score")) for (axis, cell), m in models.items()]))
-            out.append(test.select("y", each.alias("m")).select("m.axis", "m.cell", F.lit(d).alias("detector"), "y", "m.score"))
-            continue
-        for axis, cell, at in cells:
-            if (axis, model) not in (("c", "mlp"), ("hidden", "lr")):
-                top = order.filter(F.col("rank") <= at["topk"])
-                train, test = (features_of(h, top, keys, shallow) for h in (train_heads, test_heads))
-                out.append(name(score_with(d, train, test, at["c"], at.get("hidden", 128), **how), axis, cell, d))
+    for kind in sorted({d.partition("_")[2] for d in detectors}):
+        own = kind == "controlled"
+        fitted, target = controlled(train, test) if own else (train, test)
+        fitted = fitted.select("features", "y").persist() if own else fitted
+        found = []  # the score of a row of target by each cell and detector: all in one reading of it
+        for d in (d for d in detectors if d.partition("_")[2] == kind):
+            model = d.partition("_")[0]
+            at = {(axis, cell): v for axis, cell, v in cells if (axis, model) not in (("c", "mlp"), ("hidden", "lr"))}
+            if model == "lr" and most * size <= NEWTON_FEATURES:
+                models = fit_stack(fitted, {k: Fit(v["c"], v["topk"] * size) for k, v in at.items()})
+                found += [(d, k, m.score("features")) for k, m in models.items()]
+            elif model != "lr":
+                seeds = how.get("seeds", (0, 1, 2, 3, 4))
+                for k, v in at.items():
+                    nets = network.fit_ensemble(of(fitted, v), seeds, v.get("hidden", 128), how=network.Training(epochs=how.get("epochs", 300)))
+                    found.append((d, k, mean_score(of(target, v), nets, len(seeds), F.slice("features", 1, v["topk"] * size))))
+            else:
+                for k, v in at.items():
+                    scored = fit_lr(of(fitted, v), of(target, v), c=v["c"])
+                    out.append(scored.select(F.lit(k[0]).alias("axis"), F.lit(k[1]).alias("cell"), F.lit(d).alias("detector"), "y", "score"))
+        if found:
+            each = F.explode(F.array(*[F.struct(F.lit(axis).alias("axis"), F.lit(cell).alias("cell"), F.lit(d).alias("detector"), F.col(f"_s{i}").alias("score")) for i, (d, (axis, cell), _) in enumerate(found)]))
+            scored = target.select("y", *[score.alias(f"_s{i}") for i, (_, _, score) in enumerate(found)])
+            out.append(scored.select("y", each.alias("m")).select("m.axis", "m.cell", "m.detector", "y", "m.score"))
+        if own:
+            fitted.unpersist()
+    train.unpersist()
     return auroc(functools.reduce(DataFrame.unionByName, out), ["axis", "cell", "detector"])
 
 
@@ -491,6 +543,7 @@ def train_resample_auc(train_heads: DataFrame, test_heads: DataFrame, reps: int
         return out if shallow is None else out.join(shallow.select(*keys, "shallow"), list(keys))
 
     train = features(drawn.join(top, ["replicate", "flat_head"]), "w").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("w")))).drop("w", "_copy")
+    train = kept = train.persist()
     test = features(test_heads.drop("replicate").join(top, "flat_head"))
     model, _, kind = detector.partition("_")
     every = sorted({r.replicate for r in top.select("replicate").distinct().collect()})
@@ -498,10 +551,12 @@ def train_resample_auc(train_heads: DataFrame, test_heads: DataFrame, reps: int
         sums = _products(train, "shallow", "features", "replicate")
         train, test = (residualize(train, d, by="replicate", products=sums) for d in (train, test))
     if model == "lr" and every and train.select(F.size("features")).first()[0] <= NEWTON_FEATURES:
-        models = fit_stack(train, {str(r): Fit(how.get("c", 0.5), rows=F.col("replicate") == r) for r in every})
+        models = fit_stack(train.select("replicate", "features", "y"), {str(r): Fit(how.get("c", 0.5), rows=F.col("replicate") == r) for r in every})
+        kept.unpersist()
         score = functools.reduce(lambda w, r: w.when(F.col("replicate") == r, models[str(r)].score("features")), every[1:], F.when(F.col("replicate") == every[0], models[str(every[0])].score("features")))
         return auroc(test.withColumn("score", score), ["replicate"])
     each = [score_with(f"{model}_raw", *(d.filter(F.col("replicate") == r) for d in (train, test)), **how).select("replicate", "y", "score") for r in every]
+    kept.unpersist()
     return auroc(functools.reduce(DataFrame.unionByName, each, test.select("replicate", "y", F.lit(0.0).alias("score")).limit(0)), ["replicate"])
 
 

@@ -642,9 +642,10 @@ def _(v):
 
 
 def features(v):
-    """idx, y, features (the embedding), shallow (features of a text of the same id)."""
-    e = v.embeddings.select(F.col("vec_id").alias("idx"), (F.col("label") < 5).cast("int").alias("y"), F.col("embedding").cast("array<double>").alias("features"))
-    return probe.with_shallow(e.join(v.documents.select(F.col("doc_id").alias("idx"), "text"), "idx"), "text")
+    """idx, y, features (the embedding), shallow (features of a text of the same id). Shallow features are found before rows meet, so that texts stay where they are."""
+    e = v.embeddings.select(F.col("vec_id").alias("idx"), (F.col("label") < 5).cast("int").alias("y"), "embedding")
+    out = e.join(probe.with_shallow(v.documents.select(F.col("doc_id").alias("idx"), "text"), "text").drop("text"), "idx")
+    return out.select("idx", "y", F.col("embedding").cast("array<double>").alias("features"), "shallow")
 
 
 def halves(d):
@@ -681,22 +682,22 @@ def newton_sql(name: str, x: str, rows: str, to: str, steps: int = 12, c: float
 
 @query("fit_lr", "idx:l y:l score:d", "", f"WITH {FITTED}, {newton_sql('r', 'x', 'f', 'f')} SELECT idx, y, score FROM r WHERE NOT train")
 def _(v):
-    return probe.fit_lr(*halves(features(v).drop("text")))
+    return probe.fit_lr(*halves(features(v)))
 
 
 @query("shallow_probe", "idx:l y:l score:d", "", f"WITH {FITTED}, {newton_sql('r', 'shallow', 'f', 'f')} SELECT idx, y, score FROM r WHERE NOT train")
 def _(v):
-    return probe.shallow_probe(*halves(features(v).drop("features", "shallow")), "text")
+    return probe.shallow_probe(*halves(features(v).drop("features")))
 
 
 @query("fit_mlp_ensemble", "idx:l y:l score:d")
 def _(v):
-    return probe.ensemble(probe.fit_mlp_ensemble(*halves(features(v).drop("text"))))
+    return probe.ensemble(probe.fit_mlp_ensemble(*halves(features(v))))
 
 
 @query("seed_aucs", "member:l auroc:d mean_auroc:d sd_auroc:d")
 def _(v):
-    return probe.seed_aucs(probe.fit_mlp_ensemble(*halves(features(v).drop("text"))))
+    return probe.seed_aucs(probe.fit_mlp_ensemble(*halves(features(v))))
 
 
 #: f with what its standardised shallow features explain taken off x: least squares on the train rows; a constant feature explains nothing.
@@ -710,7 +711,7 @@ fc AS MATERIALIZED (SELECT f.idx, f.y, f.train, list_transform(f.x, lambda v, j:
 @query("fit_raw_and_controlled", "idx:l detector:s y:l score:d", "", f"""
 WITH {FITTED}, {CONTROLLED}, {newton_sql("r", "x", "f", "f")}, {newton_sql("k", "x", "fc", "fc")} SELECT idx, 'raw' AS detector, y, score FROM r WHERE NOT train UNION ALL SELECT idx, 'controlled', y, score FROM k WHERE NOT train""")
 def _(v):
-    return probe.fit_raw_and_controlled(*halves(features(v).drop("text")))
+    return probe.fit_raw_and_controlled(*halves(features(v)))
 
 
 @query("transfer_matrix", "source:s target:s auroc:d in_distribution:d retained:d", "", f"""
@@ -718,7 +719,7 @@ WITH {FITTED}, fe AS (SELECT * FROM f WHERE idx % 2 = 0), fo AS (SELECT * FROM f
 s AS (SELECT 'even' AS source, CASE WHEN idx % 2 = 0 THEN 'even' ELSE 'odd' END AS target, score AS s, y, 1 AS w FROM e WHERE NOT train UNION ALL SELECT 'odd', CASE WHEN idx % 2 = 0 THEN 'even' ELSE 'odd' END, score, y, 1 FROM o WHERE NOT train),
 m AS ({weighted_auroc("s", "s", "source, target")}) SELECT m.source, m.target, m.auroc, q.auroc AS in_distribution, m.auroc - q.auroc AS retained FROM m JOIN m q ON q.source = q.target AND q.target = m.target""")
 def _(v):
-    d = features(v).drop("text")
+    d = features(v)
     return probe.transfer_deltas(probe.transfer_matrix({"even": halves(d.filter("idx % 2 = 0")), "odd": halves(d.filter("idx % 2 = 1"))}))
 
 

@@ -102,3 +102,46 @@ def test_a_record_set_is_replaced_whole_or_not_at_all(spark, tmp_path):
         records.current_records(spark, str(tmp_path / "nothing"))
     records.replace_records(old.limit(0), place)
     assert records.current_records(spark, place).count() == 0
+
+
+def counted(df):
+    """`df`, and the number of its rows that were read so far."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def read(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(read, df.schema), seen
+
+
+def test_train_rows_are_read_once_for_both_variants(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, int(v[0] > 0), [float(k) for k in v], [float(v[1]), float(i % 7)]) for i, v in enumerate(r.normal(size=(200, 3)))]
+    df = spark.createDataFrame(rows, "idx long, y int, features array<double>, shallow array<double>")
+    for model, how in (("lr", {}), ("mlp", {"seeds": (0, 1), "hidden": 4, "epochs": 2})):
+        train, seen = counted(df)
+        out = probe.fit_raw_and_controlled(train, df, model, **how)
+        assert seen.value == 200
+        assert out.count() == 400 and seen.value == 200  # nothing of train is read again with the result
+
+
+def test_transfer_reads_each_split_once(spark):
+    r = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, int(v[0] + 0.3 * v[1] > 0), [float(k) for k in v]) for i, v in enumerate(r.normal(size=(300, 3)))], "idx long, y int, features array<double>")
+    (train, fitted), (test, scored) = counted(df), counted(df)
+    out = probe.transfer_matrix({"a": (train, test), "b": (df.filter("idx % 2 = 0"), df)})
+    assert out.groupBy("source", "target").count().count() == 4
+    assert (fitted.value, scored.value) == (300, 300)
+
+
+def test_sweep_puts_train_rows_together_once(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, h, int(i % 2), [float(k) for k in r.normal(size=2) + (i % 2) * h / 4]) for i in range(120) for h in range(4)]
+    heads = spark.createDataFrame(rows, "idx long, flat_head long, y int, vec array<double>")
+    shallow = spark.range(120).selectExpr("id AS idx", "array(CAST(id % 5 AS DOUBLE)) AS shallow")
+    joined, seen = counted(shallow)
+    out = probe.sweep(heads, heads, {"c": (0.05,), "hidden": (3,)}, {"topk": 2, "c": 0.5, "hidden": 2}, ("lr_controlled", "mlp_controlled", "mlp_raw"), joined, seeds=(0,), epochs=2)
+    assert seen.value == 120
+    assert {(x.axis, x.cell, x.detector) for x in out.collect()} == {("default", "default", d) for d in ("lr_controlled", "mlp_controlled", "mlp_raw")} | {("c", "0.05", "lr_controlled"), ("hidden", "3", "mlp_controlled"), ("hidden", "3", "mlp_raw")}

@@ -11,6 +11,9 @@ length, begin alike, agree in LEAST tenths of their tokens and in one whole thir
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +23,11 @@ from gradelake.llm.common import lookup, quoted, stored
 PARTS = 3
 #: Tenths of a line's tokens that must equal the template's.
 LEAST = 7
-_SPACE = " \t\n\x0b\x0c\r"
 #: A token with a digit, an @ or ://, from its first character on.
 _VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@:]*+(?::(?!//)[^\x20\x09-\x0D0-9@:]*+)*+(?:[0-9@]|://)[^\x20\x09-\x0D]*+"
-#: Words of 64 bits of the filter of forms to compare: 4 MB.
+#: Any white space that is not one space between two tokens.
+_ODD_SPACE = ("  ", "\t", "\x0b", "\x0c", "\r")
+#: Words of 64 bits of a filter of keys: 4 MB.
 WORDS = 1 << 19
 #: Stands for a missing doc_id: such rows are one document, the last.
 _LAST = (1 << 63) - 1
@@ -39,19 +43,29 @@ def document(docs: DataFrame) -> Column:
     return F.coalesce(F.col("doc_id").cast("long") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.lit(_LAST))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc, row_key, line_no (from 0), line (masked, one space between tokens) and form (60 bits of its md5) of every line that has a token."""
+def raw_lines(docs: DataFrame) -> DataFrame:
+    """doc, row_key, line_no (from 0) and line (as it stands) of every line that has a token."""
     one = docs.select(document(docs).alias("doc"), row_key().alias("row_key"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    line = F.btrim("line", F.lit(_SPACE))
-    one = one.select("doc", "row_key", "line_no", line.alias("line")).filter(F.length("line") > 0)
-    masked = F.when(F.col("line").rlike("[0-9@]|://"), F.regexp_replace("line", _VARIABLE, "<*>")).otherwise(F.col("line"))
-    one = one.withColumn("line", F.regexp_replace(masked, r"[\x20\x09-\x0D]+", " "))
+    return one.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+
+
+def masked_lines(raw: DataFrame) -> DataFrame:
+    """`raw` with its lines masked, one space between tokens, and form (60 bits of the line's md5). What most lines lack is looked for before it is replaced."""
+    line = F.col("line")
+    one = raw.withColumn("line", F.when(line.rlike("[0-9@:]") & line.rlike("[0-9@]|://"), F.regexp_replace(line, _VARIABLE, "<*>")).otherwise(line))
+    odd = functools.reduce(operator.or_, [line.contains(x) for x in _ODD_SPACE])
+    one = one.withColumn("line", F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line)))
     return one.withColumn("form", F.conv(F.substring(F.md5("line"), 1, 15), 16, 10).cast("long"))
 
 
-def nodes() -> Column:
-    """From the column `line`: the keys of its nodes, for lines in which a token may differ."""
-    t = F.split("line", " ", -1)
+def lines(docs: DataFrame) -> DataFrame:
+    """doc, row_key, line_no (from 0), line (masked, one space between tokens) and form of every line that has a token."""
+    return masked_lines(raw_lines(docs))
+
+
+def nodes(tokens: str) -> Column:
+    """From the column `tokens`, an array that is made once: the keys of the line's nodes, for lines in which a token may differ."""
+    t = F.col(tokens)
     n = F.size(t)
     bound = [F.floor(n * i / PARTS).cast("int") for i in range(PARTS + 1)]
     keys = [F.xxhash64(n, t[0], F.lit(i), F.slice(t, bound[i] + 1, bound[i + 1] - bound[i])) for i in range(PARTS)]
@@ -64,31 +78,35 @@ def joins(a: str, b: str) -> Column:
     return 10 * F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda same: same)) >= LEAST * F.size(x)
 
 
-def among(forms: DataFrame):
-    """A test of whether a form may be in `forms`, false only for those that are not: one bit a form, in WORDS 64-bit words, whatever the number of forms."""
-    word = lambda form: F.pmod(F.shiftright(form, 6), F.lit(WORDS))
-    bit = lambda form: F.pmod(form, F.lit(64)).cast("int")
-    form = F.col("form")
-    set_bits = forms.groupBy(word(form).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(form))).alias("bits"))
-    every = forms.sparkSession.range(WORDS).join(set_bits, F.col("id") == F.col("word"), "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+def among(keys: DataFrame):
+    """A test of whether a long, spread like a hash, may be in the one column of `keys`, false only for those that are not: one bit a key, in WORDS 64-bit words, whatever the number of keys."""
+    word = lambda key: F.pmod(F.shiftright(key, 6), F.lit(WORDS))
+    bit = lambda key: F.pmod(key, F.lit(64)).cast("int")
+    key = F.col(keys.columns[0])
+    set_bits = keys.groupBy(word(key).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(key))).alias("bits"))
+    every = keys.sparkSession.range(WORDS).join(set_bits, F.col("id") == F.col("word"), "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
     one = stored(every.agg(F.array_sort(F.collect_list(F.struct("id", "bits"))).alias("w")).select(F.col("w.bits").alias("w")), "line_filter")  # WORDS numbers
     return lambda c: F.call_function("shiftright", F.get(one.scalar(), word(c).cast("int")), bit(c)).bitwiseAND(F.lit(1)) == 1
 
 
-def recurring_forms(every: DataFrame) -> DataFrame:
-    """form, rows, low, high of each form in a template that recurs: the least and greatest of the first documents of its templates."""
+def recurring_forms(docs: DataFrame, every: DataFrame) -> DataFrame:
+    """form, rows, low, high of each form in a template that recurs: the least and greatest of the first documents of its templates.
+
+    every: doc, line_no, form and nodes of the lines of `docs`. Their texts are not in it; those to be compared are read from `docs` again.
+    """
     place = F.struct("doc", "line_no", "form")
     forms = every.groupBy("form").agg(F.min(place).alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("rows"), F.min("nodes").alias("nodes"))
     forms = stored(forms, "line_forms")
     at_node = forms.select("form", "first", "last", F.explode("nodes").alias("node"))
-    tops = at_node.groupBy("node").agg(F.min("first").alias("top"), F.max("first").alias("bottom"), F.count(F.lit(1)).alias("forms"))
-    tops = stored(tops.filter("top <> bottom").select("node", "top", "forms"), "line_nodes")
-    pairs = lookup(at_node, tops, "node", "forms", at_node.count()).filter(F.col("top").isNotNull() & (F.col("top.form") != F.col("form")))
+    tops = stored(at_node.groupBy("node").agg(F.min("first").alias("top"), F.count(F.lit(1)).alias("forms")).filter("forms > 1"), "line_nodes")
+    shared = among(tops.select("node"))  # only forms at nodes with others are moved, and few more
+    pairs = lookup(at_node.filter(shared(F.col("node"))), tops, "node", "forms", at_node.count()).filter(F.col("top").isNotNull() & (F.col("top.form") != F.col("form")))
     pairs = stored(pairs.select("form", "first", "last", "top").distinct(), "line_pairs")
     # of the lines only those that are to be compared, and few others, are moved
     wanted = pairs.select(F.col("first").alias("p")).union(pairs.select("top")).distinct().select("p.form", "p.doc", "p.line_no")
-    compared = among(wanted)
-    texts = stored(every.filter(compared(F.col("form"))).join(wanted, ["form", "doc", "line_no"]).select("form", "line").dropDuplicates(["form"]), "line_texts")
+    place = F.xxhash64("doc", "line_no")
+    compared = among(wanted.select(place.alias("place")))
+    texts = stored(masked_lines(raw_lines(docs).filter(compared(place))).join(wanted, ["form", "doc", "line_no"]).select("form", "line").dropDuplicates(["form"]), "line_texts")
     total = pairs.count()
     sizes = pairs.groupBy(F.col("top.form").alias("template")).agg(F.count(F.lit(1)).alias("n"))
     heads = texts.withColumnRenamed("form", "template").join(sizes, "template")
@@ -105,8 +123,9 @@ def recurring_forms(every: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """row_key, recurring and dropped (line numbers in order) of each distinct row that has a recurring line."""
-    every = stored(lines(docs).withColumn("nodes", nodes()), "line_forms_of_rows")
-    recurring = stored(recurring_forms(every), "line_templates")
+    every = lines(docs).withColumn("tokens", F.split("line", " ", -1)).select("doc", "row_key", "line_no", "form", nodes("tokens").alias("nodes"))
+    every = stored(every, "line_forms_of_rows")
+    recurring = stored(recurring_forms(docs, every), "line_templates")
     rows = every.select("doc", "row_key", "line_no", "form")
     found = lookup(rows, recurring, "form", "rows", rows.count()).filter(F.col("low").isNotNull())
     line_drop = F.when((F.col("low") != F.col("doc")) | (F.col("high") != F.col("doc")), F.col("line_no"))
@@ -120,7 +139,7 @@ def line_table(docs: DataFrame) -> DataFrame:
     Null and empty texts have no lines. Rows of one doc_id are one document, and so are rows without one, which come last. Rows equal in
     doc_id and text get the same result, no rows none; other columns play no part.
     """
-    n_lines = F.size(F.filter(F.split("text", "\n", -1), lambda x: F.length(F.btrim(x, F.lit(_SPACE))) > 0))
+    n_lines = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D][^\n]*+"))
     rows = docs.select("doc_id", row_key().alias("row_key"), F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"))
     out = rows.join(dropped_lines(docs), "row_key", "left")
     n = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long").alias(f"n_{c}")

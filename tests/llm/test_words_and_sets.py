@@ -273,6 +273,38 @@ def test_line_templates_by_definition_and_in_sql(spark):
     assert sorted(con.execute(line_dedup.LINE_SQL).fetchall(), key=str) == want
 
 
+def test_lines_with_odd_white_space_and_marks_by_definition(spark):
+    r = random.Random(23)
+    spaces = [" ", "  ", "\t", "\x0b", "\x0c", "\r", " \r", "\t\t"]
+    words = ["a", "b", "c", ":", "a:b", ":/", "://", "b://c", "::", "@", "c7", "7", "\u0664", "\xa0", "\u3000", "a\x85", "\U0001f600", "\u00e9"]
+    line = lambda: r.choice(["", *spaces]) + "".join(r.choice(words[: r.choice([3, 18])]) + r.choice(spaces[: r.choice([1, 1, 8])]) for _ in range(r.choice([0, 1, 4, 5, 8])))
+    rows = [(i // 2, "\n".join(line() for _ in range(r.choice([1, 4, 9])))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, line_dedup.line_table(docs).collect()), key=str) == brute_lines(rows)
+
+
+def test_of_lines_only_those_to_be_compared_are_kept_or_moved(spark, monkeypatch):
+    r = random.Random(29)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    other = [" ".join(word() for _ in range(12)) for _ in range(600)]
+    alike = "report filed by {} from the old north gate at noon today"
+    rows = [(i, "\n".join([*other[3 * i : 3 * i + 3], *([alike.format(word())] if i < 5 else [])])) for i in range(200)]
+    texts, moved, stored, lookup = [], [], line_dedup.stored, line_dedup.lookup
+
+    def seen(df, name):
+        out = stored(df, name)
+        if "line" in df.columns:
+            texts.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", seen)
+    monkeypatch.setattr(line_dedup, "lookup", lambda rows, table, key, *a: (moved.append(rows.count()) if key == "node" else None) or lookup(rows, table, key, *a))
+    got = sorted(map(tuple, line_dedup.line_table(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [(i, 3 + (i < 5), int(i < 5), int(0 < i < 5), "3" if 0 < i < 5 else "") for i in range(200)]
+    # the five lines stand at nodes of their own and at two common ones; the 600 others meet no line
+    assert texts == [5] and len(moved) == 1 and 10 <= moved[0] < 30
+
+
 def test_line_dedup_keeps_one_copy_of_every_line(spark):
     r = random.Random(3)
     lines = [" ".join(f"{r.choice('abcdefgh')}{r.randrange(9)}x" for _ in range(r.choice([2, 9, 30]))) for _ in range(25)]

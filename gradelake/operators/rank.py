@@ -193,12 +193,13 @@ def error_detection(train: DataFrame, test: DataFrame, by: list[str], score: str
 
 
 def wilson_interval(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
-    """(low, high) of k of n, within 0 to 1 and around k / n; null for n = 0."""
+    """(low, high) of k of n, within 0 to 1 and around k / n; null for n = 0 and for an unknown k."""
     n, p = n.cast("double"), F.try_divide(k.cast("double"), n)
     mid = (p + z * z / (2 * n)) / (1 + z * z / n)
     half = z / (1 + z * z / n) * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     low, high = F.greatest(F.lit(0.0), F.least(mid - half, p)), F.least(F.lit(1.0), F.greatest(mid + half, p))
-    return F.when(n > 0, low), F.when(n > 0, high)
+    known = (n > 0) & k.isNotNull()  # greatest and least pass over nulls
+    return F.when(known, low), F.when(known, high)
 
 
 def at_ranks(cells: DataFrame, by: list[str], ranks: Column, name: str, column: str) -> DataFrame:

@@ -76,6 +76,12 @@ def test_wilson_brackets_the_share(spark):
         assert (r.a, r.b) == (None, None) if r.n == 0 else 0 <= r.a <= r.k / r.n <= r.b <= 1
 
 
+def test_an_unknown_share_has_no_interval(spark):
+    low, high = rank.wilson_interval(F.col("k"), F.col("n"))
+    rows = spark.createDataFrame([(None, 4), (2, None), (None, None), (0, 4)], "k long, n long").select(low.alias("a"), high.alias("b")).collect()
+    assert [tuple(r) for r in rows[:3]] == [(None, None)] * 3 and rows[3].a == 0 and 0 < rows[3].b < 1
+
+
 def test_unreachable_precision_is_null(spark):
     df = frame(spark, GROUPS).withColumn("error_score", 1 - F.col("score"))
     goal = df.select("run").distinct().withColumn("target", F.lit(1.1))

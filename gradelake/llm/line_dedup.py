@@ -103,14 +103,16 @@ def recurring_forms(docs: DataFrame, every: DataFrame) -> DataFrame:
     pairs = lookup(at_node.filter(shared(F.col("node"))), tops, "node", "forms", at_node.count()).filter(F.col("top").isNotNull() & (F.col("top.form") != F.col("form")))
     pairs = stored(pairs.select("form", "first", "last", "top").distinct(), "line_pairs")
     # of the lines only those that are to be compared, and few others, are moved
-    wanted = pairs.select(F.col("first").alias("p")).union(pairs.select("top")).distinct().select("p.form", "p.doc", "p.line_no")
+    own, top = (pairs.select(f"{c}.form", f"{c}.doc", f"{c}.line_no", F.lit(c == "top").alias("top")) for c in ("first", "top"))
+    wanted = own.union(top).groupBy("form", "doc", "line_no").agg(F.bool_or(~F.col("top")).alias("member"), F.bool_or("top").alias("head"))
     place = F.xxhash64("doc", "line_no")
     compared = among(wanted.select(place.alias("place")))
-    texts = stored(masked_lines(raw_lines(docs).filter(compared(place))).join(wanted, ["form", "doc", "line_no"]).select("form", "line").dropDuplicates(["form"]), "line_texts")
+    read = masked_lines(raw_lines(docs).filter(compared(place))).select("form", "doc", "line_no", "line").dropDuplicates(["form", "doc", "line_no"])
+    texts = stored(read.join(wanted, ["form", "doc", "line_no"]).select("form", "line", "member", "head"), "line_texts")
     total = pairs.count()
     sizes = pairs.groupBy(F.col("top.form").alias("template")).agg(F.count(F.lit(1)).alias("n"))
-    heads = texts.withColumnRenamed("form", "template").join(sizes, "template")
-    weighed = pairs.join(texts.withColumnRenamed("line", "own"), "form").withColumn("template", F.col("top.form"))
+    heads = texts.filter("head").select(F.col("form").alias("template"), "line").join(sizes, "template")
+    weighed = pairs.select("form", "last", F.col("top.form").alias("template")).join(texts.filter("member").select("form", F.col("line").alias("own")), "form")
     joined = stored(lookup(weighed, heads, "template", "n", total).filter(joins("own", "line")).select("form", "last", "template"), "line_joined")
 
     others = joined.groupBy("template").agg(F.max("last").alias("others"), F.count(F.lit(1)).alias("n"))

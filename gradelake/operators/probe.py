@@ -448,49 +448,56 @@ def features_of(heads: DataFrame, top: DataFrame, keys: tuple[str, ...], shallow
     return out if shallow is None else out.join(shallow.select(*keys, "shallow"), list(keys))
 
 
-def sweep(train_heads: DataFrame, test_heads: DataFrame, grid: dict[str, tuple], default: dict, detectors: tuple[str, ...] = ("lr_raw",), shallow: DataFrame | None = None, keys: tuple[str, ...] = ("idx",), **how) -> DataFrame:
-    """axis, cell, detector, auroc: one axis (topk, c, hidden) at a time around the default. Head AUCs are worked out once.
+def sweep(train_heads: DataFrame, test_heads: DataFrame, grid: dict[str, tuple], default: dict, detectors: tuple[str, ...] = ("lr_raw",), shallow: DataFrame | tuple[DataFrame, DataFrame] | None = None, keys: tuple[str, ...] = ("idx",), **how) -> DataFrame:
+    """axis, cell, detector, auroc: one axis (topk, c, hidden) at a time around the default, for cells that a detector's model depends on. Head AUCs are worked out once.
 
-    Train rows are put together once and kept. The regressions of all cells are one stack: the features of fewer heads are the first of those of more, with what shallow features explain taken off
-    each alone. Test rows are read once raw and once controlled, for all cells and detectors.
+    Train rows are put together once and kept, raw and controlled side by side. The regressions of all cells are one stack, and so are all cells' networks of both kinds: the features of fewer
+    heads are the first of those of more, with what shallow features explain taken off each alone. More heads than there are: all. Test rows are read once for all cells and detectors.
+    shallow: a table of keys and shallow, or one for train and one for test.
     """
     most = max([default["topk"], *grid.get("topk", ())])
-    order = head_ranking(head_lda_auc(train_heads), most, None)
-    order = order.sparkSession.createDataFrame(order.collect(), order.schema)  # the chosen heads
+    ranked = head_ranking(head_lda_auc(train_heads), most, None)
+    chosen = ranked.collect()  # the chosen heads
+    order = ranked.sparkSession.createDataFrame(chosen, ranked.schema)
     cells = [("default", "default", default), *[(a, str(v), default | {a: v}) for a, values in grid.items() for v in values]]
-    train, test = (features_of(h, order, keys, shallow) for h in (train_heads, test_heads))
-    train = train.persist()
+    train, test = (features_of(h, order, keys, s) for h, s in zip((train_heads, test_heads), shallow if isinstance(shallow, tuple) else (shallow, shallow), strict=True))
+    whole = train.persist()
     size = train_heads.select(F.size("vec")).first()[0]
-    of = lambda d, at: d.withColumn("features", F.slice("features", 1, at["topk"] * size))
-    out = []
-    for kind in sorted({d.partition("_")[2] for d in detectors}):
-        own = kind == "controlled"
-        fitted, target = controlled(train, test) if own else (train, test)
-        fitted = fitted.select("features", "y").persist() if own else fitted
-        found = []  # the score of a row of target by each cell and detector: all in one reading of it
-        for d in (d for d in detectors if d.partition("_")[2] == kind):
-            model = d.partition("_")[0]
-            at = {(axis, cell): v for axis, cell, v in cells if (axis, model) not in (("c", "mlp"), ("hidden", "lr"))}
-            if model == "lr" and most * size <= NEWTON_FEATURES:
-                models = fit_stack(fitted, {k: Fit(v["c"], v["topk"] * size) for k, v in at.items()})
-                found += [(d, k, m.score("features")) for k, m in models.items()]
-            elif model != "lr":
-                seeds = how.get("seeds", (0, 1, 2, 3, 4))
-                for k, v in at.items():
-                    nets = network.fit_ensemble(of(fitted, v), seeds, v.get("hidden", 128), how=network.Training(epochs=how.get("epochs", 300)))
-                    found.append((d, k, mean_score(of(target, v), nets, len(seeds), F.slice("features", 1, v["topk"] * size))))
-            else:
-                for k, v in at.items():
-                    scored = fit_lr(of(fitted, v), of(target, v), c=v["c"])
-                    out.append(scored.select(F.lit(k[0]).alias("axis"), F.lit(k[1]).alias("cell"), F.lit(d).alias("detector"), "y", "score"))
-        if found:
-            each = F.explode(F.array(*[F.struct(F.lit(axis).alias("axis"), F.lit(cell).alias("cell"), F.lit(d).alias("detector"), F.col(f"_s{i}").alias("score")) for i, (d, (axis, cell), _) in enumerate(found)]))
-            scored = target.select("y", *[score.alias(f"_s{i}") for i, (_, _, score) in enumerate(found)])
-            out.append(scored.select("y", each.alias("m")).select("m.axis", "m.cell", "m.detector", "y", "m.score"))
-        if own:
-            fitted.unpersist()
-    train.unpersist()
-    return auroc(functools.reduce(DataFrame.unionByName, out), ["axis", "cell", "detector"])
+    # every step is a job over the kept rows: no more tasks than their number asks for
+    train = whole.coalesce(max(whole.sparkSession.sparkContext.defaultParallelism, whole.count() * len(chosen) * size // network.NUMBERS_A_PART))
+    width = lambda v: min(v["topk"], len(chosen)) * size
+    kinds = sorted({d.partition("_")[2] for d in detectors}, reverse=True)
+    if "controlled" in kinds:
+        both = controlled(*(d.select("features", "shallow", "y", F.col("features").alias("raw")) for d in (train, test)))
+        kept, target = (d.select("raw", F.col("features").alias("controlled"), "y") for d in both)
+    else:
+        kept, target = (d.select(F.col("features").alias("raw"), "y") for d in (train, test))
+    kept = kept.persist()
+    every = [(axis, cell, d, v) for d in detectors for axis, cell, v in cells if (axis, d.partition("_")[0]) not in (("c", "mlp"), ("hidden", "lr"))]
+    names, scores, alone = [], [], []  # names: of the scores of a row of target, in their order
+    for kind in kinds:
+        fits = {(axis, cell, d): Fit(v["c"], width(v)) for axis, cell, d, v in every if d == f"lr_{kind}"}
+        if fits and len(chosen) * size <= NEWTON_FEATURES:
+            models = fit_stack(kept, fits, kind)
+            names += models
+            scores.append(F.array(*[m.score(kind) for m in models.values()]))
+            continue
+        for name, f in fits.items():
+            alone.append((name, fit_lr(*(d.select(F.slice(kind, 1, f.width).alias("features"), "y") for d in (kept, target)), c=f.c)))
+    nets = {(axis, cell, d): (v.get("hidden", 128), kinds.index(d.partition("_")[2]) * len(chosen) * size, width(v)) for axis, cell, d, v in every if d.startswith("mlp")}
+    if nets:
+        seeds = how.get("seeds", (0, 1, 2, 3, 4))
+        members = [network.Member(s, *of) for of in nets.values() for s in seeds]
+        fitted = network.fit_members(kept.select(F.concat(*kinds).alias("features"), "raw", "y"), members, how=network.Training(epochs=how.get("epochs", 300)), deal="raw")
+        names += nets
+        scores.append(network.scores(target, fitted, len(members), F.concat(*kinds), len(seeds)))
+    kept.unpersist()
+    whole.unpersist()
+    out = [scored.select(F.lit(len(names) + i).alias("_at"), "y", "score") for i, (_, scored) in enumerate(alone)]
+    if scores:
+        out.append(target.select("y", F.concat(*scores).alias("_s")).select(F.posexplode("_s").alias("_at", "score"), "y").select("_at", "y", "score"))
+    of = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("axis", "cell", "detector"), name, strict=True)]) for name in [*names, *(name for name, _ in alone)]])
+    return auroc(functools.reduce(DataFrame.unionByName, out), ["_at"]).select(F.get(of, F.col("_at")).alias("_m"), "auroc").select("_m.axis", "_m.cell", "_m.detector", "auroc")
 
 
 def replicate_weights(units: DataFrame, reps: int, seed: int, keys: tuple[str, ...] = ("idx",), attempts: int = 10) -> DataFrame:

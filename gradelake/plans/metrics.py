@@ -731,10 +731,14 @@ def _(v):
     return probe.transfer_deltas(s.unionByName(v.items.select(F.col("run").alias("source"), F.col("run").alias("target"), F.col("score_b").alias("score"), "y")))
 
 
+#: Every number of heads that the tables have, penalties, and hidden units (a number for each layer), besides the default's.
+GRID = {"topk": (1, 2, 3, 5, 6, 7, 8), "c": (0.05, 0.1, 2.0, 10.0), "hidden": (32, 64, 256, 512, (128, 128))}
+
+
 @query("sweep", "axis:s cell:s detector:s auroc:d")
 def _(v):
-    shallow = features(v).select("idx", "shallow")
-    return probe.sweep(*halves(heads(v)), {"c": (0.05,), "hidden": (8,)}, {"topk": 3, "c": 0.5, "hidden": 4}, ("lr_controlled", "mlp_raw"), shallow, seeds=(0,), epochs=10)
+    shallow = halves(features(v).select("idx", "shallow"))
+    return probe.sweep(*halves(heads(v)), GRID, {"topk": 4, "c": 0.5, "hidden": 128}, ("lr_raw", "lr_controlled", "mlp_raw", "mlp_controlled"), shallow)
 
 
 #: name of the CTE, axis, cell, heads, c

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gradelake.operators import probe
+from gradelake.operators import network, probe
+from gradelake.operators.rank import auroc
+from gradelake.plans import all_queries
 from gradelake.sources import records
 
 
@@ -145,3 +147,43 @@ def test_sweep_puts_train_rows_together_once(spark):
     out = probe.sweep(heads, heads, {"c": (0.05,), "hidden": (3,)}, {"topk": 2, "c": 0.5, "hidden": 2}, ("lr_controlled", "mlp_controlled", "mlp_raw"), joined, seeds=(0,), epochs=2)
     assert seen.value == 120
     assert {(x.axis, x.cell, x.detector) for x in out.collect()} == {("default", "default", d) for d in ("lr_controlled", "mlp_controlled", "mlp_raw")} | {("c", "0.05", "lr_controlled"), ("hidden", "3", "mlp_controlled"), ("hidden", "3", "mlp_raw")}
+
+
+def test_the_sweep_query_has_the_whole_grid(spark, tmp_path):
+    """Each number of heads, penalty and network by all four detectors, with the operator's own seeds and epochs."""
+    r = np.random.default_rng(7)
+    labels = r.integers(0, 10, 150)
+    vectors = r.normal(size=(150, 64)) + (labels < 5)[:, None] * np.linspace(0, 0.6, 64)
+    spark.createDataFrame([(i, int(k), [float(x) for x in v]) for i, (k, v) in enumerate(zip(labels, vectors, strict=True))], "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(i, " ".join(["word", str(i * 7 % 13)] * (1 + i % 5))) for i in range(150)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = all_queries()[0]["sweep"](spark, str(tmp_path)).collect()
+    topk, c, hidden = [("topk", str(k)) for k in (1, 2, 3, 5, 6, 7, 8)], [("c", x) for x in ("0.05", "0.1", "2.0", "10.0")], [("hidden", x) for x in ("32", "64", "256", "512", "(128, 128)")]
+    cells = {"lr": [("default", "default"), *topk, *c], "mlp": [("default", "default"), *topk, *hidden]}
+    assert sorted((x.axis, x.cell, x.detector) for x in rows) == sorted((*at, f"{model}_{kind}") for model, own in cells.items() for at in own for kind in ("raw", "controlled"))
+    assert all(x.auroc > 0.6 for x in rows if x.cell == "8")
+
+
+def test_networks_of_all_cells_are_one_stack(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    rows = [(i, h, int(i % 2), [float(k) for k in r.normal(size=2) + (i % 2) * h / 4]) for i in range(120) for h in range(4)]
+    heads = spark.createDataFrame(rows, "idx long, flat_head long, y int, vec array<double>")
+    stacks, fit = [], network.fit_members
+    monkeypatch.setattr(network, "fit_members", lambda df, members, *a, **how: (stacks.append((len(members), how["how"].epochs)), fit(df, members, *a, **how | {"how": network.Training(epochs=2)}))[1])
+    out = probe.sweep(heads, heads, {"topk": (1, 99), "hidden": (3, (4, 4))}, {"topk": 4, "c": 0.5, "hidden": 2}, ("lr_raw", "mlp_raw"))
+    assert stacks == [(5 * 5, 300)]
+    got = {(x.detector, x.cell): x.auroc for x in out.collect()}
+    assert len(got) == 8 and got["lr_raw", "99"] == got["lr_raw", "default"] and got["mlp_raw", "99"] == got["mlp_raw", "default"]
+
+
+def test_networks_of_a_sweep_are_those_fitted_alone(spark):
+    """Rows are dealt to batches by raw features: those controlled come from sums, whose last digits differ from run to run."""
+    r = np.random.default_rng(9)
+    rows = [(i, h, int(i % 2), [float(k) for k in r.normal(size=2) + (i % 2) * h / 4]) for i in range(120) for h in range(4)]
+    heads = spark.createDataFrame(rows, "idx long, flat_head long, y int, vec array<double>")
+    shallow = spark.range(120).selectExpr("id AS idx", "array(CAST(id % 5 AS DOUBLE)) AS shallow")
+    how = {"seeds": (0, 1), "epochs": 3}
+    out = probe.sweep(heads, heads, {"topk": (1,)}, {"topk": 4, "c": 0.5, "hidden": 3}, ("mlp_controlled", "mlp_raw"), (shallow, shallow), **how).collect()
+    got = {(x.detector, x.cell): x.auroc for x in out}
+    train = probe.features_of(heads, probe.head_ranking(probe.head_lda_auc(heads), 4, None), ("idx",))
+    alone = auroc(probe.score_with("mlp_raw", train, train, hidden=3, **how), []).first().auroc
+    assert len(got) == 4 and got["mlp_raw", "default"] == pytest.approx(alone, abs=1e-9)

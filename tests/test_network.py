@@ -134,3 +134,37 @@ def test_what_comes_to_the_driver_follows_no_number_of_tasks(spark, monkeypatch)
     df.unpersist()
     assert many < 2 * few
     assert all(np.allclose(i.at, j.at, atol=1e-9) for i, j in zip(a, b, strict=True))
+
+
+def test_a_stack_of_networks_is_its_fits(spark, monkeypatch):
+    """Cells of other units, layers and columns in one stack, side by side in tasks and step by step over tasks."""
+    x, y = rings(500, 7)
+    df, how = frame(spark, x, y), network.Training(epochs=4)
+    members = [network.Member(0, 8), network.Member(3, 8), network.Member(0, (5, 4)), network.Member(3, 6, 1, 2), network.Member(0, 300)]
+    nets = network.fit_members(df, members, how=how)
+    for i in (0, 1, 2, 4):
+        assert np.abs(nets[i].at - network.fit_ensemble(df, (members[i].seed,), members[i].hidden, how=how)[0].at).max() < 1e-9
+    assert (nets[3].width, len(nets[3].at)) == (2, 2 * 6 + 6 + 6 + 1)
+    other = x.copy()
+    other[:, [0, 3, 4, 5]] = 9.0
+    assert np.array_equal(nets[3].logit(x)[1], nets[3].logit(other)[1])
+    monkeypatch.setattr(network, "ROWS_A_PART", 60)
+    assert all(np.abs(a.at - b.at).max() < 1e-9 for a, b in zip(nets, network.fit_members(df, members, how=how), strict=True))
+    monkeypatch.setattr(network, "NUMBERS_A_STEP", 100)  # some members after others
+    assert all(np.abs(a.at - b.at).max() < 1e-9 for a, b in zip(nets, network.fit_members(df, members, how=how), strict=True))
+    got = df.select("idx", network.scores(df, nets[:2] + nets[2:4], 4, together=2).alias("p")).orderBy("idx").collect()
+    assert np.allclose(got[5].p[1], np.mean([1 / (1 + np.exp(-n.logit(x)[1][5])) for n in nets[2:4]]))
+
+
+def test_gradients_of_two_hidden_layers():
+    r = np.random.default_rng(8)
+    x, y, w = r.normal(size=(30, 5)), r.integers(0, 2, 30), r.uniform(0.5, 2, 30)
+    net = network.started(3, (5, 4), 9, 1)
+    g = net.gradient(x, y, w)
+    for i in range(len(net.at)):
+        d = np.zeros(len(net.at))
+        d[i] = 1e-6
+        up, down = (network.Network(3, (5, 4), net.at + k * d, 1).gradient(x, y, w)[-2] for k in (1, -1))
+        assert g[i] == pytest.approx((up - down) / 2e-6, rel=1e-4, abs=1e-5)
+    mean, sd = r.normal(size=5), r.uniform(0.5, 2, 5)
+    assert np.allclose(net.on_raw(mean, sd).logit(x * sd + mean)[1], net.logit(x)[1])

@@ -324,10 +324,12 @@ def _together(sizes: list[int]) -> list[slice]:
     return [*out, slice(begin, len(sizes))]
 
 
-def scores(df: DataFrame, nets: list[Network] | float, n: int, features: str | Column = "features", together: int = 1) -> Column:
-    """The array of the members' P(y = 1) for each row, or the means of `together` members after one another; null without features."""
+def scores(df: DataFrame, nets: list[Network] | float, n: int | list[int], features: str | Column = "features") -> Column:
+    """The array of the n members' P(y = 1) for each row, or the means of members after one another, a number of them for each mean; null without features."""
     if not isinstance(nets, list):
-        return F.array(*[F.lit(nets)] * (n // together))
+        return F.array(*[F.lit(nets)] * n)
+    each = np.array([1] * n if isinstance(n, int) else n)
+    begin = np.cumsum(each) - each
     sent = df.sparkSession.sparkContext.broadcast(nets)
 
     @F.pandas_udf("array<double>")
@@ -336,7 +338,8 @@ def scores(df: DataFrame, nets: list[Network] | float, n: int, features: str | C
         known = x.notna()
         if known.any():
             a = np.stack(x[known].to_numpy())
-            p = np.column_stack([1 / (1 + np.exp(-np.clip(net.logit(a)[1], -500, 500))) for net in sent.value]).reshape(len(a), -1, together).mean(2)
+            p = np.column_stack([1 / (1 + np.exp(-np.clip(net.logit(a)[1], -500, 500))) for net in sent.value])
+            p = np.add.reduceat(p, begin, axis=1) / each
             out[known] = pd.Series(list(p), index=x.index[known])
         return out
 

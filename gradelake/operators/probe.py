@@ -235,6 +235,12 @@ class Model:
         z = F.aggregate(F.zip_with(F.slice(features, 1, len(self.coefficients)), weights, lambda v, w: v * w), F.lit(self.intercept), lambda s, v: s + v)
         return 1 / (1 + F.exp(-z))
 
+    def network(self, width: int, start: int = 0) -> network.Network:
+        """The same scores by a network without hidden layers of `width` features from `start` on."""
+        if self.constant is not None:
+            return network.Network(width, (), np.array([*[0.0] * width, 500.0 if self.constant else -500.0]), start)
+        return network.Network(width, (), np.array([*self.coefficients, self.intercept]), start)
+
 
 def newton(rows: DataFrame, fits: list[tuple[int, float]], scales: list[tuple[np.ndarray, np.ndarray]], steps: int = 25) -> list[np.ndarray]:
     """For each of `fits` (width, c): intercept and coefficients on scaled features that minimise |b|^2 / 2 + c * sum of w * log loss over rows (x, y, w: a weight for each fit).
@@ -474,28 +480,30 @@ def sweep(train_heads: DataFrame, test_heads: DataFrame, grid: dict[str, tuple],
         kept, target = (d.select(F.col("features").alias("raw"), "y") for d in (train, test))
     kept = kept.persist()
     every = [(axis, cell, d, v) for d in detectors for axis, cell, v in cells if (axis, d.partition("_")[0]) not in (("c", "mlp"), ("hidden", "lr"))]
-    names, scores, alone = [], [], []  # names: of the scores of a row of target, in their order
+    # names: of the scores of a row of target, in their order; regressions are networks without hidden layers there, so one function finds all scores
+    names, fitted, alone, start = [], [], [], {k: i * len(chosen) * size for i, k in enumerate(kinds)}
     for kind in kinds:
         fits = {(axis, cell, d): Fit(v["c"], width(v)) for axis, cell, d, v in every if d == f"lr_{kind}"}
         if fits and len(chosen) * size <= NEWTON_FEATURES:
             models = fit_stack(kept, fits, kind)
             names += models
-            scores.append(F.array(*[m.score(kind) for m in models.values()]))
+            fitted += [m.network(fits[name].width, start[kind]) for name, m in models.items()]
             continue
         for name, f in fits.items():
             alone.append((name, fit_lr(*(d.select(F.slice(kind, 1, f.width).alias("features"), "y") for d in (kept, target)), c=f.c)))
-    nets = {(axis, cell, d): (v.get("hidden", 128), kinds.index(d.partition("_")[2]) * len(chosen) * size, width(v)) for axis, cell, d, v in every if d.startswith("mlp")}
+    seeds, each = how.get("seeds", (0, 1, 2, 3, 4)), [1] * len(names)
+    nets = {(axis, cell, d): (v.get("hidden", 128), start[d.partition("_")[2]], width(v)) for axis, cell, d, v in every if d.startswith("mlp")}
     if nets:
-        seeds = how.get("seeds", (0, 1, 2, 3, 4))
         members = [network.Member(s, *of) for of in nets.values() for s in seeds]
-        fitted = network.fit_members(kept.select(F.concat(*kinds).alias("features"), "raw", "y"), members, how=network.Training(epochs=how.get("epochs", 300)), deal="raw")
+        found = network.fit_members(kept.select(F.concat(*kinds).alias("features"), "raw", "y"), members, how=network.Training(epochs=how.get("epochs", 300)), deal="raw")
         names += nets
-        scores.append(network.scores(target, fitted, len(members), F.concat(*kinds), len(seeds)))
+        each += [len(seeds)] * len(nets) if isinstance(found, list) else [1] * len(nets)
+        fitted += found if isinstance(found, list) else [Model(constant=found).network(size, 0)] * len(nets)
     kept.unpersist()
     whole.unpersist()
     out = [scored.select(F.lit(len(names) + i).alias("_at"), "y", "score") for i, (_, scored) in enumerate(alone)]
-    if scores:
-        out.append(target.select("y", F.concat(*scores).alias("_s")).select(F.posexplode("_s").alias("_at", "score"), "y").select("_at", "y", "score"))
+    if fitted:
+        out.append(target.select("y", network.scores(target, fitted, each, F.concat(*kinds)).alias("_s")).select(F.posexplode("_s").alias("_at", "score"), "y").select("_at", "y", "score"))
     of = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("axis", "cell", "detector"), name, strict=True)]) for name in [*names, *(name for name, _ in alone)]])
     return auroc(functools.reduce(DataFrame.unionByName, out), ["_at"]).select(F.get(of, F.col("_at")).alias("_m"), "auroc").select("_m.axis", "_m.cell", "_m.detector", "auroc")
 

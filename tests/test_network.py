@@ -152,8 +152,8 @@ def test_a_stack_of_networks_is_its_fits(spark, monkeypatch):
     assert all(np.abs(a.at - b.at).max() < 1e-9 for a, b in zip(nets, network.fit_members(df, members, how=how), strict=True))
     monkeypatch.setattr(network, "NUMBERS_A_STEP", 100)  # some members after others
     assert all(np.abs(a.at - b.at).max() < 1e-9 for a, b in zip(nets, network.fit_members(df, members, how=how), strict=True))
-    got = df.select("idx", network.scores(df, nets[:2] + nets[2:4], 4, together=2).alias("p")).orderBy("idx").collect()
-    assert np.allclose(got[5].p[1], np.mean([1 / (1 + np.exp(-n.logit(x)[1][5])) for n in nets[2:4]]))
+    got = df.select("idx", network.scores(df, nets[:4], [1, 1, 2]).alias("p")).orderBy("idx").collect()
+    assert np.allclose(got[5].p[2], np.mean([1 / (1 + np.exp(-n.logit(x)[1][5])) for n in nets[2:4]]))
 
 
 def test_gradients_of_two_hidden_layers():
